@@ -60,7 +60,7 @@ class RabinKarp:
         if n < width:
             return np.zeros(0, np.uint64)
         if len(self.powers) < n:
-            self.powers, self.inverses = (np.cumprod(np.concatenate([[1], np.full(2 * n, b, np.uint64)]).astype(np.uint64)) for b in (np.uint64(self.base), np.uint64(self.inverse)))
+            self.powers, self.inverses = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(2 * n, b, np.uint64)])) for b in (np.uint64(self.base), np.uint64(self.inverse)))
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * self.powers[:n], dtype=np.uint64)])
         h = (sums[width:] - sums[:-width]) * self.inverses[: n - width + 1]
         h ^= h >> np.uint64(32)  # the low bits of a sum of odd multiples say little
