@@ -5,7 +5,7 @@ noisy-or of its sentences, 1 - prod(1 - p).  Weights follow the gradient of the
 labels of documents teach which sentences offend, and the same scores locate them.
 
 The classifier is fitted on a sample of labelled documents bounded by ``sample_docs`` (chosen by a hash
-of the id) and a vocabulary of ``vocabulary`` words with the largest association with the label; both
+of the id) and a vocabulary of ``vocabulary`` words with the largest association with toxicity; both
 are parameters.  Word counts for the choice are made in Spark; the driver gets the chosen words and,
 for each sampled document, the chosen words of its sentences.  Every document is scored whole.
 
@@ -29,6 +29,8 @@ from .common import bounded_batches, slim, texts
 
 SENTENCES, WORD = re.compile(r"[.!?\n]+"), re.compile(r"\w+")
 SAMPLE_DOCS, VOCABULARY, THRESHOLD = 12_000, 1_000, 0.3
+#: The least likelihood-ratio statistic of a chosen word (one in a thousand by chance).
+MIN_GAIN = 10.8
 
 
 @dataclass
@@ -63,10 +65,11 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
 
 
-def fit_noisy_or(bags: list[list[list[int]]], toxic: np.ndarray, size: int, rounds: int = 300, l2: float = 1e-4, quiet_bias: float = -9.0) -> tuple[np.ndarray, float]:
+def fit_noisy_or(bags: list[list[list[int]]], toxic: np.ndarray, size: int, rounds: int = 400, l2: float = 1e-5, quiet_bias: float = -9.0) -> tuple[np.ndarray, float]:
     """Weights and bias from documents given as lists of sentences of word numbers (Adam on the log loss).
 
-    Only sentences with a known word are listed; the bias is fixed and low, so that the many others of
+    The words were chosen because they speak for toxicity, so no weight falls below zero.  Only
+    sentences with a known word are listed; the bias is fixed and low, so that the many others of
     a long document don't add up.
     """
     doc = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
@@ -84,7 +87,7 @@ def fit_noisy_or(bags: list[list[list[int]]], toxic: np.ndarray, size: int, roun
         p = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
         g = np.bincount(word, (slope[doc] * p)[sent], size) / len(toxic) + l2 * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        w = np.maximum(w - 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8), 0.0)
     return w, quiet_bias
 
 
@@ -111,9 +114,14 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, vo
     if not totals[0] or not totals[1]:
         return Model({}, np.zeros(0), -60.0)
     counts = sample.mapInArrow(distinct, "word string, clean long, bad long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("bad").alias("bad"))
-    # signed chi-square-like association, pseudo-counted
-    rate = lambda c, k: (F.col(c) + 0.5) / (totals[k] + 1.0)
-    counts = counts.where("clean + bad >= 3").withColumn("gain", (F.col("clean") + F.col("bad")) * F.pow(F.log(rate("bad", 1) / rate("clean", 0)), 2))
+    # the likelihood-ratio statistic of word against label; only words that speak for toxicity are chosen
+    n_bad, n_clean = totals[1], totals[0]
+    share = n_bad / (n_bad + n_clean)
+    term = lambda seen, expected: F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
+    seen, bad = F.col("bad") + F.col("clean"), F.col("bad")
+    cells = ((bad, seen * share), (F.col("clean"), seen * (1 - share)), (n_bad - bad, (n_bad + n_clean - seen) * share), (n_clean - F.col("clean"), (n_bad + n_clean - seen) * (1 - share)))
+    gain = 2 * sum((term(o, e) for o, e in cells), F.lit(0.0))
+    counts = counts.where((seen >= 3) & (bad > seen * share)).withColumn("gain", gain).where(F.col("gain") >= MIN_GAIN)
     chosen = [r["word"] for r in counts.orderBy(F.desc("gain"), "word").limit(vocabulary).select("word").collect()]
     index = {w: i for i, w in enumerate(chosen)}
 
