@@ -77,7 +77,7 @@ def batches(items: Column, size: int) -> Column:
 
 def locates(claim: Column, identifiers: Column) -> Column:
     """Whether the claim names one of the identifiers as a word that follows no dot."""
-    return F.exists(identifiers, lambda i: claim.rlike(F.concat(F.lit(r"(?<![\w.])\Q"), i, F.lit(r"\E(?!\w)"))))
+    return F.exists(identifiers, lambda i: F.regexp_like(claim, F.concat(F.lit(r"(?<![\w.])\Q"), i, F.lit(r"\E(?!\w)"))))
 
 
 def shingles(text: Column, width: int = 4) -> Column:
@@ -94,7 +94,7 @@ def containment(part: Column, whole: Column) -> Column:
 def defines(text: Column, name: Column) -> Column:
     """Whether the text has a def, a class or an assignment of the name."""
     quoted = F.concat(F.lit(r"\Q"), name, F.lit(r"\E"))
-    return text.rlike(F.concat(F.lit(r"(?m)^\s*(?:async\s+def|def|class)\s+"), quoted, F.lit(r"\b|(?m)^\s*"), quoted, F.lit(r"\s*(?::[^=\n]+)?=(?!=)")))
+    return F.regexp_like(text, F.concat(F.lit(r"(?m)^\s*(?:async\s+def|def|class)\s+"), quoted, F.lit(r"\b|(?m)^\s*"), quoted, F.lit(r"\s*(?::[^=\n]+)?=(?!=)")))
 
 
 def reply_verdict(reply: Column) -> Column:
