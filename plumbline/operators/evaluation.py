@@ -85,3 +85,9 @@ def decompose(predictions: DataFrame, cases: DataFrame) -> DataFrame:
     c = cases.select(F.col("case_id"), F.lit(1).alias("c")).distinct()
     state = F.when(F.col("c").isNull(), "unknown").when(F.col("p").isNull(), "missing").otherwise("scored")
     return p.join(c, "case_id", "full_outer").select("case_id", state.alias("state"))
+
+
+def macro_raw(metrics: DataFrame, *keys: str) -> DataFrame:
+    """Means over queries, not rounded, for means over trials of them."""
+    names = [c for c in metrics.columns if c == "rr" or c.startswith("recall_")]
+    return metrics.groupBy(*keys).agg(*[F.avg(c).alias("mrr" if c == "rr" else c) for c in names])
