@@ -99,12 +99,12 @@ f AS (
 b AS (
   SELECT *, (n_words < 20)::BIGINT + 2 * (100 * n_repeat_words > 30 * n_words)::BIGINT
     + 4 * (10 * n_symbols > 3 * word_chars)::BIGINT + 8 * (2 * n_dup_lines > n_lines AND n_lines >= 4)::BIGINT
-    + 16 * (word_chars > 40 * n_words)::BIGINT + 32 * (20 * n_symbols > n_words AND n_symbols > 20)::BIGINT
+    + 16 * (word_chars > 40 * n_words)::BIGINT + 32 * (4 * n_symbols > n_words AND n_symbols > 20)::BIGINT
     + 64 * (word_chars < 2 * n_words)::BIGINT AS failed
   FROM f)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
   n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
-  failed & 3 <> 0 AS base_failed, failed & 31 = 0 AS kept, failed
+  failed & 3 <> 0 AS base_failed, failed & 63 = 0 AS kept, failed
 FROM b
 """
 
