@@ -67,12 +67,21 @@ def claim_units(text: Column) -> Column:
     return F.filter(prose_sentences(text), lambda s: F.size(tokens.extract(tokens.literal_spans(s), with_versions=False)) > 0)
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value computed once a row; named in a lambda directly, it would be computed per element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def batches(items: Column, size: int) -> Column:
     """Neighbouring groups of ``size`` items."""
     if size < 1:
         raise ValueError("size must be 1 or more")
-    starts = F.when(F.size(items) > 0, F.sequence(F.lit(1), F.size(items), F.lit(size))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.slice(items, i, size))
+
+    def cut(held: Column) -> Column:
+        starts = F.when(F.size(held) > 0, F.sequence(F.lit(1), F.size(held), F.lit(size))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.slice(held, i, size))
+
+    return let(items, cut)
 
 
 def locates(claim: Column, identifiers: Column) -> Column:
@@ -82,9 +91,12 @@ def locates(claim: Column, identifiers: Column) -> Column:
 
 def shingles(text: Column, width: int = 4) -> Column:
     """Distinct runs of ``width`` normalised words."""
-    ws = F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
-    runs = F.when(F.size(ws) >= width, F.sequence(F.lit(1), F.size(ws) - (width - 1))).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(runs, lambda i: F.array_join(F.slice(ws, i, width), " ")))
+
+    def runs(ws: Column) -> Column:
+        starts = F.when(F.size(ws) >= width, F.sequence(F.lit(1), F.size(ws) - (width - 1))).otherwise(F.array().cast("array<int>"))
+        return F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(ws, i, width), " ")))
+
+    return let(F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != ""), runs)
 
 
 def containment(part: Column, whole: Column) -> Column:
