@@ -7,7 +7,7 @@
 3. The ids go back to the blocks, and documents are reassembled by position.  Decoding joins the ids
    with the token-byte table, which the vocabulary bounds (about 50,000 rows, under 1 MB).
 
-A block's key hashes its content, so a block that a recomputed task cut differently can't meet the
+A block's key hashes its place and content, so a block that a recomputed task cut differently can't meet the
 ids of another one: it raises instead.
 
 Defined results: null texts are empty, an empty text has no ids and the hash of no bytes; repeated
@@ -25,13 +25,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, slim, texts
 
 #: Characters of text in a block, and distinct words a merging worker remembers.
-BLOCK_CHARS, MEMO_WORDS = 12_000_000, 1_000_000
+BLOCK_CHARS, MEMO_WORDS = 24_000_000, 1_000_000
 ROUTED = "block long, part long, kind int, payload binary, size long"
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_words long"
 
@@ -86,7 +87,8 @@ class Numbering(dict):
 
 
 def _pack(*arrays: np.ndarray) -> tuple[bytes, int]:
-    raw = b"".join(len(a).to_bytes(8, "little") + a.tobytes() for a in arrays)
+    """Arrays in compressed form; the bytes of a number stand in planes, so that high bytes compress away."""
+    raw = b"".join(len(a).to_bytes(8, "little") + np.ascontiguousarray(a.view("u1").reshape(len(a), -1).T).tobytes() for a in arrays)
     return pa.compress(raw, "zstd", asbytes=True), len(raw)
 
 
@@ -94,7 +96,8 @@ def _unpack(payload: bytes, size: int, *kinds: str) -> list[np.ndarray]:
     raw, at, out = pa.decompress(payload, size, "zstd", asbytes=True), 0, []
     for kind in kinds:
         n, item = int.from_bytes(raw[at : at + 8], "little"), np.dtype(kind).itemsize
-        out.append(np.frombuffer(raw, kind, n, at + 8))
+        planes = np.frombuffer(raw, "u1", n * item, at + 8).reshape(item, n)
+        out.append(np.ascontiguousarray(planes.T).view(kind).reshape(n))
         at += 8 + n * item
     return out
 
@@ -115,21 +118,28 @@ def _split_blocks(pattern: str, buckets: int):
 
         def block() -> Iterator[pa.RecordBatch]:
             key = seal.intdigest() - (1 << 63)
-            payload, size = _pack(np.array([d or 0 for d in docs], "<i8"), np.array([d is None for d in docs], "u1"), np.array([len(s) for s in seqs], "<i8"), np.concatenate(seqs))
+            # frequent words get small numbers
+            seq, words = np.concatenate(seqs), [w.encode() for w in numbers]
+            often = np.argsort(-np.bincount(seq, minlength=len(words)), kind="stable")
+            number = np.empty(len(words), "<i4")
+            number[often] = np.arange(len(words))
+            words = [words[i] for i in often.tolist()]
+            payload, size = _pack(np.array([d or 0 for d in docs], "<i8"), np.array([d is None for d in docs], "u1"), np.array([len(s) for s in seqs], "<i8"), number[seq])
             yield _rows([(key, key, 0, payload, size)], ROUTED)
-            words = [w.encode() for w in numbers]
             part = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))
             order = np.argsort(part, kind="stable")
             cuts = np.flatnonzero(np.diff(part[order], prepend=-1, append=buckets))
             rows = []
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                 mine = [words[i] for i in order[a:b].tolist()]
-                payload, size = _pack(order[a:b].astype("<i4"), np.array([len(w) for w in mine], "<i4"), np.frombuffer(b"".join(mine), "u1"))
+                payload, size = _pack(np.diff(order[a:b], prepend=0).astype("<i4"), np.array([len(w) for w in mine], "<i4"), np.frombuffer(b"".join(mine), "u1"))
                 rows.append((key, int(part[order[a]]), 1, payload, size))
             if rows:
                 yield _rows(rows, ROUTED)
 
-        docs, seqs, numbers, chars, seal = [], [], Numbering(), 0, xxhash.xxh64()
+        task = TaskContext.get()
+        mark, nr = f"{task.partitionId() if task else 0}", 0  # equal blocks of different places stay apart
+        docs, seqs, numbers, chars, seal = [], [], Numbering(), 0, xxhash.xxh64(f"{mark}/{nr}")
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), texts(batch)):
                 found = find(text)
@@ -140,7 +150,8 @@ def _split_blocks(pattern: str, buckets: int):
                 chars += len(text)
                 if chars >= BLOCK_CHARS:
                     yield from block()
-                    docs, seqs, numbers, chars, seal = [], [], Numbering(), 0, xxhash.xxh64()
+                    nr += 1
+                    docs, seqs, numbers, chars, seal = [], [], Numbering(), 0, xxhash.xxh64(f"{mark}/{nr}")
         if docs:
             yield from block()
 
@@ -167,6 +178,7 @@ def _merge_words(ranks_path: str):
                         got = known[word] = merge(word)
                     ids += got
                     counts.append(len(got))
+                # word numbers go back as they came, as steps from one to the next
                 yield _rows([(block, part, 1, *_pack(where, np.array(counts, "<i4"), np.array(ids, "<u4")))], ROUTED)
 
     return run
@@ -195,7 +207,7 @@ def _reassemble(ranks_path: str, with_ids: bool):
         for where, counts, ids in parts:
             ends, ids = np.cumsum(counts).tolist(), ids.tolist()
             begin = 0
-            for w, end in zip(where.tolist(), ends):
+            for w, end in zip(np.cumsum(where).tolist(), ends):
                 if w >= n_words:
                     raise ValueError("a block met the words of another one; the task must run again")
                 by_word[w] = ids[begin:end]
