@@ -35,7 +35,7 @@ LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15
 PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE = 0, 1, 2, 3
 CACHE_MULTIPLIER, OPAQUE = 0x1E35A7BD, 0xFF000000
 #: Bits of the longest main code that this encoder makes; images under decoding at a time; images left for one by one.
-LONGEST, LANE_BYTES, FEW_LANES = 11, 3_000_000, 12
+LONGEST, LANE_BYTES, FEW_LANES = 11, 10_000_000, 8
 
 
 # ---------------------------------------------------------------- bits and prefix codes
@@ -231,9 +231,10 @@ def read_code(bits: BitReader, symbols: int) -> tuple[np.ndarray, int]:
     lengths = [0] * symbols
     if bits.get(1):
         two, wide = bits.get(1), bits.get(1)
-        lengths[bits.get(8 if wide else 1)] = 1
-        if two:
-            lengths[bits.get(8)] = 1
+        first = bits.get(8 if wide else 1)
+        if not two:
+            return np.array([first << 4], np.int32), 0
+        lengths[first] = lengths[bits.get(8)] = 1
         return lookup(lengths)
     short = [0] * 19
     for i in range(4 + bits.get(4)):
@@ -403,7 +404,24 @@ def read_pixels(bits: BitReader, head: ImageHead, pixels: list[int] | None = Non
     # where only green takes bits, the other channels are the same all over
     flat = len(head.codes) == 1 and not any(mask for _, mask in tables[1:4])
     rest = sum((t[0] >> 4) << shift for (t, _), shift in zip(tables[1:4], (16, 0, 24)))
+    plain = flat and not cache_bits
+    data = bits.data
     while (n := len(pixels)) < total:
+        if plain:  # literals one after the other, without the general case's detours
+            table, mask = tables[0]
+            at, left = bits.at, total - n
+            while left:
+                k = at >> 3
+                e = table[int.from_bytes(data[k : k + 4], "little") >> (at & 7) & mask]
+                if e >= 4096:
+                    break
+                at += e & 15
+                pixels.append((e >> 4) << 8 | rest)
+                left -= 1
+            bits.at = at
+            if not left:
+                break
+            n = total - left
         if head.meta:
             tables = head.codes[head.meta[(n // width >> head.meta_bits) * across + (n % width >> head.meta_bits)]].ready()
         table, mask = tables[0]
