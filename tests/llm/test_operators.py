@@ -435,3 +435,19 @@ def test_empty_table(spark, run):
 
 def test_empty_pages(spark):
     assert htmltext.main_text(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+def test_filters_keep_whole_rows(spark):
+    df = frame(spark)
+    kept = {r["doc_id"] for r in quality.apply_policy(quality.ledger(df)).where("kept").collect()}
+    good = quality.keep_good(df)
+    assert good.columns == df.columns and {r["doc_id"] for r in good.collect()} == kept
+    clean = toxicity.keep_clean(df, toxicity.Model({"alpha": 0}, np.array([20.0]), -9.0))
+    assert clean.columns == df.columns and all("alpha" not in (r["text"] or "").lower() for r in clean.collect())
+    cut = substring.cut_repeats(df)
+    assert cut.columns == df.columns
+    truth = {k[0]: k for k in removed(ROWS, 50)}
+    for r in cut.collect():
+        if truth[r["doc_id"]][2]:
+            assert hashlib.sha256(r["text"].encode()).hexdigest() == truth[r["doc_id"]][3] and r["n_chars"] == len(r["text"])
+    assert by_row([r for r in cut.collect() if r["doc_id"] in (0, None, 9)], "doc_id", "text") == by_row([r for r in df.collect() if r["doc_id"] in (0, None, 9)], "doc_id", "text")
