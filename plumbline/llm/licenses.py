@@ -23,7 +23,7 @@ from .common import bounded_batches, slim, texts
 
 #: Base phrases, fixed by the contract.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-#: Notice phrases of this operator's own, with the weight each gives to the score.
+#: Notice phrases of this operator's own; where several begin at one place the longest counts.
 NOTICES = {
     "lesser general public license": "lgpl",
     "affero general public license": "agpl",
@@ -137,20 +137,21 @@ class Scanner:
         joined = f" {b' '.join(words).decode()} "
         starts: list[int] = []
         base: set[str] = set()
-        other: set[str] = set()
+        longest: dict[int, tuple[int, str]] = {}  # of the notices that begin at a place
         tags = 0
         for end, (kind, label, size) in self.automaton.iter(joined):
             if kind == "base":
                 starts.append(end - size + 1)
                 base.add(label)
             elif kind == "notice":
-                other.add(label)
+                longest[end - size] = max((size, label), longest.get(end - size, (0, "")))
             else:
                 tags += 1
         read = []
         if tags:
             lowered = text.translate(ASCII_LOWER)
             read = [e for m in TAG_RAW.finditer(lowered) if (e := evaluate(m[1]))]
+        other = {label for _, label in longest.values()}
         labels = base | other | {x for e in read for x in e.labels}
         # each independent kind of evidence halves the doubt
         evidence = 2 * len(read) + len(base) + len(other)

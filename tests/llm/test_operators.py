@@ -144,6 +144,8 @@ def test_license_expressions(text, labels, permissive):
 def test_license_tags():
     found = licenses.Scanner()("// SPDX-License-Identifier: Apache-2.0 OR BSD-3-Clause\ncode")
     assert found[5] == "apache,bsd" and found[6] > 0.5
+    assert licenses.Scanner()("Licensed under CC BY-NC 4.0; parts CC BY 4.0.")[5] == "cc-by,cc-by-nc"
+    assert licenses.Scanner()("Licensed under CC BY-NC 4.0.")[5] == "cc-by-nc"
 
 
 @pytest.mark.parametrize("shape", [(1, 1), (3, 5), (20, 37)])
