@@ -76,7 +76,9 @@ def test_stages_on_empty_and_odd_tables(spark, corpus):
         for df in (odd.where("false"), odd):
             out = stage(spark, df, path)
             rows = out.collect()
-            if name != "packing":
+            if name == "packing":
+                rows = [r for r in rows if r["start"] == 0]  # the last windows of a partition may cut a document
+            else:
                 assert out.columns == df.columns
             assert len(rows) == (0 if df is not odd else {"quality_rules": 0, "simhash_near_dedup": 3}.get(name, 4)), name
 
