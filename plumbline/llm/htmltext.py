@@ -252,10 +252,16 @@ def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = M
     # a host can't have more than 1 / min_share times its subtrees per page of such templates
     common = counts.where("shape IS NOT NULL").join(sizes, "host").where(F.col("n") >= F.lit(min_share) * F.col("pages"))
     templates = common.groupBy("host").agg(F.collect_list("shape").alias("templates"))
+    # hosts with a thousandth of the pages or more (so a thousand at most) are dealt in slices of a 4096th
+    total = sizes.agg(F.sum("pages")).first()[0] or 0
+    hot = [(r["host"], -(-r["pages"] * 4096 // total)) for r in sizes.where(F.col("pages") * 1000 >= total).collect()]
+    hot = F.broadcast(pages.sparkSession.createDataFrame(hot, "host string, slices long"))
+    templates = templates.join(hot, "host", "left").withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("slices", F.lit(1)) - 1)))
+    pages = pages.join(hot, "host", "left").withColumn("slice", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("slices", F.lit(1))))
 
     def pull(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [extract(trim(parse(source.as_py() or "")), set(shapes.as_py() or ())) for source, shapes in zip(batch.column("html"), batch.column("templates"))]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return pages.join(templates, "host", "left").select("page_id", "url", "html", "templates").mapInArrow(pull, "page_id long, url string, text string, n_chars long")
+    return pages.join(templates.select("host", "slice", "templates"), ["host", "slice"], "left").select("page_id", "url", "html", "templates").mapInArrow(pull, "page_id long, url string, text string, n_chars long")
