@@ -92,8 +92,21 @@ def intervals(starts: np.ndarray, width: int) -> list[tuple[int, int]]:
     return list(zip(first.tolist(), last.tolist()))
 
 
+def keep_words(words: list[str], copy: bool, starts: pa.Scalar, window: int) -> tuple[list[str] | None, list[tuple[int, int]]]:
+    """The words left (None: all of them) and the intervals removed."""
+    if copy:
+        gone = [(0, len(words))] if len(words) >= window else []
+    else:
+        gone = intervals(np.asarray(starts.values), window) if starts.is_valid else []
+    kept, at = [], 0
+    for a, b in gone:
+        kept += words[at:a]
+        at = b
+    return (kept + words[at:] if gone else None), gone
+
+
 def repeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, text, starts, copy: the documents with the starts of their windows to remove.
+    """doc_id, text, starts, copy (and ``row`` where given): the documents with the starts of their windows to remove.
 
     ``copy``: the whole text is that of a document with a smaller id; ``starts`` is then null.
     """
@@ -101,12 +114,12 @@ def repeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     bounded_batches(spark)
     gram, span = (window + 1) // 2, window - (window + 1) // 2 + 1
     # a row is known by its id and its text's hash, so that rows which share an id don't mix
-    docs = slim(docs).withColumn("tk", F.xxhash64("text"))
+    docs = (docs if "row" in docs.columns else slim(docs)).withColumn("tk", F.xxhash64("text"))
     # exact copies: the smallest id of each text stands for all
     keys = docs.where("doc_id IS NOT NULL").select("doc_id", "tk", F.hash("text").alias("g"))
     first = keys.groupBy("tk", "g").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
     copies = written(keys.join(first, ["tk", "g"]).where("first < doc_id").select("doc_id", "tk", F.lit(True).alias("copy")).distinct(), "copies")
-    work = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").join(copies, ["doc_id", "tk"], "left_anti")
+    work = docs.select("doc_id", "tk", "text").where("doc_id IS NOT NULL AND text IS NOT NULL").join(copies, ["doc_id", "tk"], "left_anti")
 
     def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, roll = WordHashes(), RabinKarp(BASES[0])
@@ -122,6 +135,8 @@ def repeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     marks = written(work.mapInArrow(anchored, "anchor long, doc_id long"), "anchors")
     shared = marks.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
+    # written first: between two exchanges a join can be split where one anchor holds very many rows
+    shared = written(shared, "shared_anchors")
     per_doc = marks.join(shared, "anchor", "left_semi").groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))
     per_doc = written(per_doc, "shared")
 
@@ -139,9 +154,10 @@ def repeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     candidates = work.join(per_doc, "doc_id").select("doc_id", "tk", "text", "anchors").mapInArrow(windows, "h long, g long, doc_id long, tk long, at int")
     candidates = written(candidates, "windows")
     least = candidates.groupBy("h", "g").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h", "g", "lo")
+    least = written(least, "shared_windows")
     starts = candidates.join(least, ["h", "g"]).where("lo < doc_id").groupBy("doc_id", "tk").agg(F.array_sort(F.collect_set("at")).alias("starts"))
     starts = written(starts, "starts")
-    return docs.join(starts, ["doc_id", "tk"], "left").join(copies, ["doc_id", "tk"], "left").select("doc_id", "text", "starts", F.coalesce("copy", F.lit(False)).alias("copy"))
+    return docs.join(starts, ["doc_id", "tk"], "left").join(copies, ["doc_id", "tk"], "left").withColumn("copy", F.coalesce("copy", F.lit(False))).drop("tk")
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = False) -> DataFrame:
@@ -155,15 +171,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = Fals
             rows = []
             for doc, text, starts, copy in zip(batch.column("doc_id").to_pylist(), texts(batch), batch.column("starts"), batch.column("copy").to_pylist()):
                 words = WORDS.findall(text)
-                if copy:
-                    gone = [(0, len(words))] if len(words) >= window else []
-                else:
-                    gone = intervals(np.asarray(starts.values), window) if starts.is_valid else []
-                kept, at = [], 0
-                for a, b in gone:
-                    kept += words[at:a]
-                    at = b
-                kept += words[at:]
+                kept, gone = keep_words(words, copy, starts, window)
+                kept = words if kept is None else kept
                 joined = " ".join(kept)
                 row = (doc, len(words), len(words) - len(kept), hashlib.sha256(joined.encode()).hexdigest())
                 rows.append((*row, joined, [{"first": a, "last": b} for a, b in gone]) if with_text else row)
@@ -172,3 +181,25 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = Fals
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[c.split()[0] for c in schema.split(", ")])
 
     return marked.mapInArrow(cut, schema)
+
+
+def cut_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows with all their columns; ``text`` is what is left (as it was where nothing goes), ``n_chars`` follows."""
+    carried = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*[F.col(c) for c in docs.columns if c != "text"]).alias("row"))
+    marked = repeated(carried, window)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text, starts, copy in zip(batch.column("text").to_pylist(), batch.column("starts"), batch.column("copy").to_pylist()):
+                if copy or starts.is_valid:
+                    kept = keep_words(WORDS.findall(text), copy, starts, window)[0]
+                    out.append(" ".join(kept) if kept is not None else text)
+                else:
+                    out.append(text)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, pa.string())], names=["row", "text"])
+
+    row = next(f for f in marked.schema if f.name == "row")
+    done = marked.select("row", "text", "starts", "copy").mapInArrow(cut, f"row {row.dataType.simpleString()}, text string")
+    changed = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return done.select(*[changed[c].alias(c) if c in changed else F.col(f"row.{c}") for c in docs.columns])
