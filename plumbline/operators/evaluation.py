@@ -8,14 +8,17 @@ from pyspark.sql import functions as F
 from ..functions import stats
 
 
-def per_query(ranking: DataFrame, relevant: DataFrame, ks: tuple[int, ...] = (1, 3, 10)) -> DataFrame:
-    """(query_id[, arm, trial], rr, recall_k..): queries without a hit keep 0."""
+def per_query(ranking: DataFrame, relevant: DataFrame, ks: tuple[int, ...] = (1, 3, 10), shown: DataFrame | None = None) -> DataFrame:
+    """(query_id[, arm, trial], rr, recall_k..): queries without a hit keep 0.
+
+    ``shown`` has the queries to answer for where the ranking holds relevant rows only.
+    """
     keys = [c for c in ("arm", "trial", "query_id") if c in ranking.columns]
     rel = relevant.select("query_id", "path", F.lit(1).alias("rel")).distinct()
     hits = ranking.join(rel, ["query_id", "path"])
     total = rel.groupBy("query_id").agg(F.count("*").alias("n_rel"))
     found = hits.groupBy(*keys).agg(F.max(1 / F.col("rank")).alias("rr"), *[F.sum((F.col("rank") <= k).cast("int")).alias(f"h{k}") for k in ks])
-    shown = ranking.select(*keys).distinct().join(total, "query_id").join(found, keys, "left")
+    shown = (ranking if shown is None else shown).select(*keys).distinct().join(total, "query_id").join(found, keys, "left")
     return shown.select(*keys, F.coalesce("rr", F.lit(0.0)).alias("rr"), *[(F.coalesce(f"h{k}", F.lit(0)) / F.col("n_rel")).alias(f"recall_{k}") for k in ks])
 
 

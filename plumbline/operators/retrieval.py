@@ -21,6 +21,21 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def in_blocks(queries: DataFrame, cands: DataFrame, rows: int = 5_000) -> DataFrame:
+    """Every query with every candidate of its tree, a block of queries at a time.
+
+    Up to ``rows`` queries are sent to every executor.  More are cut into blocks of that size; queries go to
+    every salt and candidates to every block, so that no tree meets in one task.
+    """
+    n = queries.count()
+    if n <= rows:
+        return F.broadcast(queries).join(cands, "tree")
+    salts, blocks = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // rows)
+    q = queries.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    c = cands.withColumn("_s", F.pmod(F.xxhash64(*cands.columns), F.lit(salts)).cast("int")).withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    return q.join(c, ["tree", "_b", "_s"]).drop("_b", "_s")
+
+
 def token_table(docs: DataFrame, tokens: Column, *keys: str) -> DataFrame:
     """(keys, tok, tf): tokens (with repeats) of each document, counted."""
     return docs.select(*keys, F.explode(tokens).alias("tok")).groupBy(*keys, "tok").agg(F.count("*").alias("tf"))
@@ -60,7 +75,7 @@ def score_paths(queries: DataFrame, pool: DataFrame, doc_path: str = "doc_path")
     q = queries.select("query_id", "tree", paths.path_tokens(F.col(doc_path)).alias("qa"), paths.stem_tokens(F.col(doc_path)).alias("qs"))
     c = pool.select("tree", "path", paths.path_tokens(F.col("path")).alias("ca"), paths.stem_tokens(F.col("path")).alias("cs"))
     hits = F.array_union(F.array_intersect("qa", "cs"), F.array_intersect("qs", "ca"))
-    return small(q).join(c, "tree").select("query_id", "tree", "path", F.round(F.when(F.size("ca") > 0, F.size(hits) / F.sqrt(F.size("ca"))).otherwise(0.0), 9).alias("score"))
+    return in_blocks(q, c).select("query_id", "tree", "path", F.round(F.when(F.size("ca") > 0, F.size(hits) / F.sqrt(F.size("ca"))).otherwise(0.0), 9).alias("score"))
 
 
 def score_shuffle(pairs: DataFrame, seed: Column) -> DataFrame:
@@ -74,7 +89,7 @@ def dot(a: Column, b: Column) -> Column:
 
 def score_maxsim(query_chunks: DataFrame, chunks: DataFrame) -> DataFrame:
     """(query_id, path, score): the best dot product of a chunk of the query with one of the candidate."""
-    pairs = small(query_chunks, 5_000).join(chunks, "tree")
+    pairs = in_blocks(query_chunks, chunks)
     return pairs.groupBy("query_id", "tree", "path").agg(F.round(F.max(dot(F.col("qv"), F.col("cv"))), 5).alias("score"))
 
 
@@ -88,6 +103,18 @@ def rank(scores: DataFrame, pairs: DataFrame | None = None, arm: str | None = No
     return out.withColumn("arm", F.lit(arm)) if arm else out
 
 
+def ranks_of(scores: DataFrame, relevant: DataFrame) -> DataFrame:
+    """The ranks of relevant candidates alone: 1 + the number that stand before each.
+
+    A count with map-side combine; nobody sorts a query's candidates or brings them to one task.  ``scores``
+    is read twice, so hand in a cached or written table.
+    """
+    keys = [c for c in ("arm", "trial", "query_id") if c in scores.columns]
+    own = scores.join(relevant.select("query_id", "path").distinct(), ["query_id", "path"]).select(*keys, F.col("path").alias("own"), F.col("score").alias("s"))
+    before = (F.col("score") > F.col("s")) | ((F.col("score") == F.col("s")) & (F.col("path") < F.col("own")))
+    return scores.join(small(own), keys).groupBy(*keys, "own").agg((F.count_if(before) + 1).alias("rank")).withColumnRenamed("own", "path")
+
+
 def rerank(base: DataFrame, pair_scores: DataFrame, top_n: int = 20) -> DataFrame:
     """The first ``top_n`` of a ranking ordered anew by pair score; a missing score goes last, the tail stays."""
     if top_n < 2:

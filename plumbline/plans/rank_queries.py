@@ -152,7 +152,7 @@ FROM a JOIN n USING (query_id) LEFT JOIN h USING (arm, query_id) GROUP BY arm"""
 
 @query(_metrics_sql({"lexical": LEX, "lexical_ablated": LEX_ABLATED, "tf": TF}))
 def recall_mrr(spark: SparkSession, sf: str) -> DataFrame:
-    """All arms in one long table: one window and one pair of aggregations serve every ranker."""
+    """All arms in one long table: one count of ranks and one pair of aggregations serve every ranker."""
     pool, cand = candidates(spark, sf)
     cand = cand.cache()
     weights, q = rt.idf(cand, pool), query_tokens(spark, sf)
@@ -161,15 +161,15 @@ def recall_mrr(spark: SparkSession, sf: str) -> DataFrame:
     for arm, scores in arms.items():
         part = scores.select(F.lit(arm).alias("arm"), "query_id", "path", "score")
         long = part if long is None else long.unionByName(part)
-    w = Window.partitionBy("arm", "query_id").orderBy(F.desc("score"), "path")
-    ranked = long.withColumn("rank", F.row_number().over(w))
-    return ev.macro(ev.per_query(ranked, relevant(spark, sf)), "arm")
+    long, rel = long.cache(), relevant(spark, sf).cache()
+    return ev.macro(ev.per_query(rt.ranks_of(long, rel), rel, shown=long), "arm")
 
 
 @query(_metrics_sql({"lexical": LEX}))
 def retrieval_lexical(spark: SparkSession, sf: str) -> DataFrame:
     """The flagship: tokens, idf, lexical score, rank, recall and reciprocal rank."""
-    return ev.macro(ev.per_query(rt.rank(lexical(spark, sf), arm="lexical"), relevant(spark, sf)), "arm")
+    scores, rel = lexical(spark, sf).withColumn("arm", F.lit("lexical")).cache(), relevant(spark, sf).cache()
+    return ev.macro(ev.per_query(rt.ranks_of(scores, rel), rel, shown=scores), "arm")
 
 
 @query(f"""WITH p AS (SELECT t.trial, b.item_id AS query_id, l.path, {UNIFORM_SQL.format("t.trial || ':' || b.item_id || ':' || l.path")} AS score FROM benchmark b, (SELECT DISTINCT lang || '/' || source AS path FROM documents) l, unnest(range(0, {TRIALS})) AS t(trial)),
@@ -227,8 +227,9 @@ SELECT query_id, max((a.rank <= 10)::INT) AS x, (SELECT max((b.rank <= 10)::INT)
 SELECT count_if(x = 1 AND y = 1)::BIGINT AS both_arms, count_if(x = 1 AND y = 0)::BIGINT AS lexical_only, count_if(x = 0 AND y = 1)::BIGINT AS tf_only, count_if(x = 0 AND y = 0)::BIGINT AS neither, count_if(x2 = 1)::BIGINT AS lexical_20, count_if(x = 1 OR y = 1)::BIGINT AS union_10 FROM f""")
 def rank_fusion_cells(spark: SparkSession, sf: str) -> DataFrame:
     pool, cand = candidates(spark, sf)
-    weights, q, rel = rt.idf(cand, pool), query_tokens(spark, sf), relevant(spark, sf)
-    arm = lambda k1, c: rt.rank(rt.score_tokens(q, cand, weights, k1)).join(rel, ["query_id", "path"]).groupBy("query_id").agg(F.min("rank").alias(c))
+    cand = cand.cache()
+    weights, q, rel = rt.idf(cand, pool), query_tokens(spark, sf), relevant(spark, sf).cache()
+    arm = lambda k1, c: rt.ranks_of(rt.score_tokens(q, cand, weights, k1).cache(), rel).groupBy("query_id").agg(F.min("rank").alias(c))
     j = arm(None, "a").join(arm(K1, "b"), "query_id")
     x, y = F.col("a") <= 10, F.col("b") <= 10
     return j.agg(F.count_if(x & y).alias("both_arms"), F.count_if(x & ~y).alias("lexical_only"), F.count_if(~x & y).alias("tf_only"), F.count_if(~x & ~y).alias("neither"), F.count_if(F.col("a") <= 20).alias("lexical_20"), F.count_if(x | y).alias("union_10"))
@@ -265,7 +266,7 @@ def context_coverage(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(BASE_SQL + f", r AS ({sql_rank(LEX_ABLATED)}), o AS (SELECT query_id, min(rank) AS rank FROM r JOIN rel USING (query_id, path) GROUP BY query_id) SELECT count(*)::BIGINT AS n, round(avg((rank <= 1)::INT), 6) AS hit_1, round(avg((rank <= 5)::INT), 6) AS hit_5, round(avg((rank <= 20)::INT), 6) AS hit_20, median(rank) AS median_rank FROM o")
 def oracle_rank(spark: SparkSession, sf: str) -> DataFrame:
-    o = rt.rank(lexical(spark, sf, ablated=True)).join(relevant(spark, sf), ["query_id", "path"]).groupBy("query_id").agg(F.min("rank").alias("rank"))
+    o = rt.ranks_of(lexical(spark, sf, ablated=True).cache(), relevant(spark, sf)).groupBy("query_id").agg(F.min("rank").alias("rank"))
     hit = lambda k: F.round(F.avg((F.col("rank") <= k).cast("int")), 6).alias(f"hit_{k}")
     return o.agg(F.count("*").alias("n"), hit(1), hit(5), hit(20), F.percentile("rank", 0.5).alias("median_rank"))
 

@@ -47,10 +47,8 @@ def evaluate(queries: DataFrame, blobs: DataFrame, ks: tuple[int, ...] = (1, 3,
         long = part if long is None else long.unionByName(part)
     every = pairs.select("query_id", "path").withColumn("arm", F.explode(F.array(*map(F.lit, arms))))
     scored = every.join(long, ["arm", "query_id", "path"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("arm", "query_id").orderBy(F.desc("score"), "path")
-    metrics = ev.per_query(scored.withColumn("rank", F.row_number().over(w)), present, ks)
+    scored = scored.cache()
+    metrics = ev.per_query(rt.ranks_of(scored, present), present, ks, shown=scored)
     keyed = metrics.join(wanted.select("query_id", "repo"), "query_id").join(lost, "query_id", "left")
     names = [c for c in metrics.columns if c == "rr" or c.startswith("recall_")]
     trial = keyed.groupBy("repo", "arm").agg(F.count("*").alias("n"), F.coalesce(F.sum("lost"), F.lit(0)).alias("lost"), *[F.avg(c).alias(c) for c in names])

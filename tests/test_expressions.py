@@ -209,3 +209,17 @@ def test_mining_guards(spark):
     got = mining.mine(spark.createDataFrame(rows, files), diffs).collect()
     assert sorted((r["shape"], r["fix_sha"], r["label"]) for r in got) == [("A", "4", "drift"), ("B", "1", "drift"), ("negative", "1", "clean"), ("negative", "4", "clean")]
     assert {r["code_path"] for r in got if r["shape"] == "A"} == {"src/pool.py"}
+
+
+def test_counted_ranks_equal_sorted_ranks(spark):
+    scores = spark.createDataFrame([(q, f"p{i}", float((i * 7 + q) % 5)) for q in range(3) for i in range(20)], "query_id long, path string, score double")
+    rel = scores.where("path IN ('p3', 'p11')").select("query_id", "path")
+    ranked = {(r["query_id"], r["path"]): r["rank"] for r in rt.rank(scores).collect() if r["path"] in ("p3", "p11")}
+    assert {(r["query_id"], r["path"]): r["rank"] for r in rt.ranks_of(scores, rel).collect()} == ranked
+
+
+def test_blocks_give_every_pair(spark):
+    q = spark.createDataFrame([(i, "t") for i in range(7)], "query_id long, tree string")
+    c = spark.createDataFrame([(f"p{i}", "t") for i in range(9)], "path string, tree string")
+    for rows in (100, 2):
+        assert rt.in_blocks(q, c, rows).distinct().count() == 63 == rt.in_blocks(q, c, rows).count()
