@@ -24,13 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, slim, texts, written
+from .common import bounded_batches, slim, texts
 
 WORD = re.compile(r"\w+|[^\w\s]")
 VOCABULARY, BITS, DISCOUNT = 20_000, 20, 0.75
 SCHEMA = "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
 #: Words counted in a task before its partial counts are passed on.
 SPILL_WORDS = 400_000
+#: Cells in a slice of the count table on its way to the driver.
+SLICE = 1 << 15
 
 
 class Vocabulary:
@@ -55,10 +57,11 @@ def cells(ids: np.ndarray, bits: int) -> np.ndarray:
 class Bigrams:
     """Interpolated bigram losses from unigram and hashed bigram counts."""
 
-    def __init__(self, unigrams: np.ndarray, pairs: np.ndarray, bits: int):
-        self.bits, self.pairs = bits, pairs.astype(np.float32)
+    def __init__(self, counts: np.ndarray, size: int, bits: int):
+        unigrams = counts[:size].astype(np.float64)
+        self.bits, self.pairs = bits, counts[size:].astype(np.float32)
         self.before = (unigrams + 1).astype(np.float32)  # how often a word can be followed
-        self.unigram = ((unigrams + 1) / (unigrams.sum() + len(unigrams))).astype(np.float32)
+        self.unigram = ((unigrams + 1) / (unigrams.sum() + size)).astype(np.float32)
 
     def loss(self, ids: np.ndarray) -> np.ndarray:
         before = np.concatenate([[0], ids[:-1]])
@@ -86,21 +89,53 @@ def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> Vocabulary:
     return Vocabulary([r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(size).select("word").collect()])
 
 
-def count_models(docs: DataFrame, target: DataFrame, vocab: Vocabulary, bits: int = BITS) -> tuple[Bigrams, Bigrams]:
-    """Target and background models.  ``target`` has the doc_id of every target document."""
+class Counts:
+    """Unigram and bigram counts of both corpora as compressed slices: what the driver holds and sends."""
+
+    def __init__(self, slices: list[tuple[int, int, bytes]], size: int, bits: int):
+        self.slices, self.size, self.bits = slices, size, bits
+        self.made: tuple[Bigrams, Bigrams] | None = None
+
+    def models(self) -> tuple[Bigrams, Bigrams]:
+        """Target and background, built once in a process."""
+        if self.made is None:
+            held = {k: np.zeros(-(-(self.size + (1 << self.bits)) // SLICE) * SLICE, np.int64) for k in (0, 1)}
+            for good, nr, payload in self.slices:
+                held[good][nr * SLICE : (nr + 1) * SLICE] = np.frombuffer(pa.decompress(payload, 8 * SLICE, "zstd", asbytes=True), "<i8")
+            width = self.size + (1 << self.bits)
+            every = (held[0] + held[1])[:width]
+            good = held[1][:width] if held[1].any() else every
+            self.made = Bigrams(good, self.size, self.bits), Bigrams(every, self.size, self.bits)
+        return self.made
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"made": None}
+
+
+def count_models(docs: DataFrame, target: DataFrame, vocab: Vocabulary, bits: int = BITS) -> Counts:
+    """Counts of target and other documents.  ``target`` has the doc_id of every target document."""
     marks = target.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(1).alias("good")).where("doc_id IS NOT NULL").distinct()
-    marked = slim(docs).join(marks, "doc_id", "left").select(F.coalesce("good", F.lit(0)).alias("good"), "text")
     size = vocab.size
+    kind = "<u2" if size < 1 << 16 else "<u4"
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = [vocab.encode(t).astype(kind).tobytes() for t in texts(batch)]
+            packed = [pa.compress(r, "zstd", asbytes=True) if r else b"" for r in raw]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary()), pa.array(list(map(len, raw)), pa.int64())], names=["doc_id", "ids", "size"])
+
+    # documents meet their mark as word numbers, a fraction of their text; merged at any size of the marks
+    marked = slim(docs).mapInArrow(encode, "doc_id long, ids binary, size long").where("size > 0")
+    marked = marked.join(marks.hint("merge"), "doc_id", "left").select(F.coalesce("good", F.lit(0)).alias("good"), "ids", "size")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = size + (1 << bits)
         held = {k: np.zeros(width, np.int32) for k in (0, 1)}
         for batch in batches:
             pending: dict[int, list[np.ndarray]] = {0: [], 1: []}
-            for good, text in zip(batch.column("good").to_pylist(), texts(batch)):
-                ids = vocab.encode(text)
-                if len(ids):
-                    pending[good] += [ids, size + cells(ids, bits)]
+            for good, packed, n in zip(*(batch.column(c).to_pylist() for c in ("good", "ids", "size"))):
+                ids = np.frombuffer(pa.decompress(packed, n, "zstd", asbytes=True), kind).astype(np.int64)
+                pending[good] += [ids, size + cells(ids, bits)]
             for k, parts in pending.items():
                 if parts:
                     held[k] += np.bincount(np.concatenate(parts), minlength=width).astype(np.int32)
@@ -109,25 +144,26 @@ def count_models(docs: DataFrame, target: DataFrame, vocab: Vocabulary, bits: in
             for cut in np.array_split(at, max(1, len(at) // 100_000)):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cut), k, np.int32)), pa.array(cut), pa.array(counts[cut].astype(np.int64))], names=["good", "cell", "n"])
 
+    def pack(group: pa.Table) -> pa.Table:
+        dense = np.zeros(SLICE, "<i8")
+        dense[group.column("cell").to_numpy() % SLICE] = group.column("n").to_numpy()
+        return pa.table({"good": group.column("good")[:1], "slice": group.column("slice")[:1], "payload": pa.array([pa.compress(dense.tobytes(), "zstd", asbytes=True)], pa.binary())})
+
     sums = marked.mapInArrow(count, "good int, cell long, n long").groupBy("good", "cell").agg(F.sum("n").alias("n"))
-    held = {k: np.zeros(size + (1 << bits), np.float64) for k in (0, 1)}
-    # at most two numbers a cell come to the driver, in Arrow form
-    for k, part in written(sums, "counts").toPandas().groupby("good"):
-        held[k][part["cell"].to_numpy()] = part["n"].to_numpy()
-    good, every = held[1], held[0] + held[1]
-    if not good.any():
-        good = every
-    return tuple(Bigrams(c[:size], c[size:], bits) for c in (good, every))
+    sums = sums.withColumn("slice", F.floor(F.col("cell") / SLICE).cast("int"))
+    slices = sums.groupBy("good", "slice").applyInArrow(pack, "good int, slice int, payload binary").collect()
+    return Counts([(r["good"], r["slice"], bytes(r["payload"])) for r in slices], size, bits)
 
 
 def score(docs: DataFrame, target: DataFrame, size: int = VOCABULARY, bits: int = BITS) -> DataFrame:
     spark = docs.sparkSession
     bounded_batches(spark)
     vocab = vocabulary(docs, size)
-    sent = spark.sparkContext.broadcast((vocab, *count_models(docs, target, vocab, bits)))  # bounded by size and bits
+    sent = spark.sparkContext.broadcast((vocab, count_models(docs, target, vocab, bits)))  # bounded by size and bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, good, every = sent.value
+        vocab, counts = sent.value
+        good, every = counts.models()
         for batch in batches:
             rows = []
             for text in texts(batch):
