@@ -11,7 +11,7 @@ for each sampled document, the chosen words of its sentences.  Every document is
 
 Defined results: null and empty texts have one empty sentence and get the prior's score; rows with null
 labels are no training rows; rows with a null id are never held out; with no labelled documents of both
-kinds every score is 0; repeated rows are scored alike; other columns are ignored.
+kinds every score is 0 but for rounding; repeated rows are scored alike; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, slim, texts
+from .common import bounded_batches, slim, texts, written
 
 SENTENCES, WORD = re.compile(r"[.!?\n]+"), re.compile(r"\w+")
 SAMPLE_DOCS, VOCABULARY, THRESHOLD = 12_000, 1_000, 0.3
@@ -99,7 +99,9 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, vo
     n = max(rows.count(), 1)
     share = min(1.0, sample_docs / n)
     rows = rows.where(F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1_000_000)) < F.lit(int(share * 1_000_000))).dropDuplicates(["doc_id"])
-    sample = slim(docs).where("text IS NOT NULL").join(rows, "doc_id").select("text", "toxic")
+    # the hash takes about sample_docs rows; the limit, twice that, is what proves that they can be broadcast
+    rows = F.broadcast(rows.limit(2 * sample_docs))
+    sample = written(slim(docs).where("text IS NOT NULL").join(rows, "doc_id").select("text", "toxic"), "sample")
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,3 +155,14 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, locate: b
     extra = ", offending array<struct<sentence:long,text:string,score:double>>" if locate else ""
     out = slim(docs).mapInArrow(run, "doc_id long, score double" + extra)
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *(["offending"] if locate else []))
+
+
+def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows, with all their columns, that score below the threshold; no join."""
+    bounded_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([model.score(t) < threshold for t in texts(batch)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
