@@ -1,6 +1,13 @@
+import os
+import sys
+
 import pytest
 from pyspark.sql import SparkSession
 
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+sys.path.insert(0, ROOT)
+os.environ["PYTHONPATH"] = os.pathsep.join([ROOT, os.environ.get("PYTHONPATH", "")])  # for Python workers
+
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
