@@ -17,17 +17,19 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .common import bounded_batches, slim, texts
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-#: Chunks whose ids one worker remembers before it starts anew; texts encoded together.
+#: Chunks whose ids a task remembers before it starts anew; texts encoded together.
 CACHE_WORDS, GROUP = 600_000, 500
 PUNCTUATION = ".,;:!?|%*&#$"
 
@@ -82,24 +84,31 @@ class LevelArray:
         return self.capacity if left >= self.capacity else 1 << max(left.bit_length() - 1, 0)
 
 
+@lru_cache(maxsize=2)
+def _loaded(path: str) -> tuple:
+    """The tokenizer of a file, loaded once a process, and which of its ids end a word."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True
+    vocabulary = tokenizer.get_vocab()
+    ends = np.zeros(max(vocabulary.values()) + 1, bool)
+    ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+    return tokenizer, ends
+
+
 class WordTokenizer:
     """Token ids of whole texts from a tokenizer that never joins across white space.
 
     A text's ids are those of its chunks between spaces and line ends, one after the other, so each
-    chunk is encoded once per worker and then looked up.  Most chunks are letters with punctuation
-    behind; their lower-cased words are encoded together, as one text, and told apart by the tokens
-    that end a word.  All others go to the tokenizer one by one.
+    chunk is encoded once per task and then looked up; a worker keeps nothing of it for other tasks.
+    Most chunks are letters with punctuation behind; their lower-cased words are encoded together, as
+    one text, and told apart by the tokens that end a word.  All others go to the tokenizer one by one.
     """
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.tokenizer, self.ends = _loaded(path)
         # ids as bytes: joining them is one copy, and Python's collector never walks over them
         self.chunks: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
@@ -120,19 +129,21 @@ class WordTokenizer:
             self.words.update((w, self._encode(w)) for w in words)
 
     def _learn(self, new: set[str]) -> None:
-        chunks, lows, tails = [], [], []
-        for c in new:
-            word = c.rstrip(PUNCTUATION)
-            low = word.lower()
-            # letters only, in the normal form, and no letter whose lower case depends on its place
-            if low.isalpha() and word.isalpha() and (word.isascii() or "\u03a3" not in word and is_normalized("NFC", word)):
-                chunks.append(c)
-                lows.append(low)
-                tails.append(c[len(word) :])
-            else:
-                self.chunks[c] = self._encode(c)
+        given = pa.array(list(new), pa.string())
+        word = pc.utf8_rtrim(given, PUNCTUATION)
+        low = pc.utf8_lower(word)
+        # letters only and in the normal form; the dotted capital I becomes two characters elsewhere
+        normal = pc.string_is_ascii(word).to_numpy(zero_copy_only=False).copy()
+        other = np.flatnonzero(~normal)
+        normal[other] = [is_normalized("NFC", w) for w in word.take(pa.array(other)).to_pylist()]
+        plain = pc.and_(pc.and_(pc.utf8_is_alpha(word), pc.utf8_is_alpha(low)), pa.array(normal))
+        plain = pc.and_not(plain, pc.match_substring(word, "\u0130"))
+        chunks, lows = given.filter(plain).to_pylist(), low.filter(plain).to_pylist()
+        for c in given.filter(pc.invert(plain)).to_pylist():
+            self.chunks[c] = self._encode(c)
         if fresh := set(lows) - self.words.keys():
             self._learn_words(list(fresh))
+        tails = [c[len(w) :] for c, w in zip(chunks, lows)]
         for tail in set(tails) - self.tails.keys():
             self.tails[tail] = self._encode(tail)
         words, ends = self.words, self.tails
