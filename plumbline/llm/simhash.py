@@ -117,7 +117,7 @@ def links(classes: DataFrame, radius: int = 2, tile: int = 2048) -> DataFrame:
     signed = lambda m: m - (1 << 64) if m >> 63 else m
     slots = F.array(*[F.struct(F.lit(k).alias("slot"), F.col("fp").bitwiseAND(F.lit(signed(m)).cast("long")).alias("value")) for k, m in enumerate(_keys(radius))])
     rows = classes.select("rep", "fp", F.explode(slots).alias("k")).select("rep", "fp", F.xxhash64("k.slot", "k.value").alias("bucket"))
-    sizes = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    sizes = written(rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
     rows = rows.join(sizes, "bucket")
     # a large bucket's fingerprints are spread over tiles, and every pair of tiles is a task
     rows = rows.withColumn("tiles", F.ceil(F.col("n") / tile).cast("int")).withColumn("mine", F.pmod(F.xxhash64("fp", "bucket"), F.col("tiles")).cast("int"))

@@ -118,6 +118,7 @@ def repeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     # exact copies: the smallest id of each text stands for all
     keys = docs.where("doc_id IS NOT NULL").select("doc_id", "tk", F.hash("text").alias("g"))
     first = keys.groupBy("tk", "g").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
+    first = written(first, "first")
     copies = written(keys.join(first, ["tk", "g"]).where("first < doc_id").select("doc_id", "tk", F.lit(True).alias("copy")).distinct(), "copies")
     work = docs.select("doc_id", "tk", "text").where("doc_id IS NOT NULL AND text IS NOT NULL").join(copies, ["doc_id", "tk"], "left_anti")
 
