@@ -87,9 +87,9 @@ class BitReader:
         return int.from_bytes(self.data[k : k + 4], "little") >> (self.at & 7)
 
     def get(self, bits: int) -> int:
-        value = self.peek() & ((1 << bits) - 1)
-        self.at += bits
-        return value
+        at, k = self.at, self.at >> 3
+        self.at = at + bits
+        return int.from_bytes(self.data[k : k + 4], "little") >> (at & 7) & ((1 << bits) - 1)
 
 
 def code_lengths(counts: Sequence[int], longest: int) -> list[int]:
@@ -100,17 +100,21 @@ def code_lengths(counts: Sequence[int], longest: int) -> list[int]:
         lengths[used[0][1]] = 1
     floor = 1
     while len(used) > 1:
-        heap = [(max(c, floor), s, (s,)) for c, s in used]
+        # leaves are numbered from 0, joined nodes from there on; a node's number is above its children's
+        heap = [(max(c, floor), k) for k, (c, _) in enumerate(used)]
         heapq.heapify(heap)
+        above = [0] * (2 * len(used) - 1)
+        for k in range(len(used), len(above)):
+            a = heapq.heappop(heap)
+            b = heapq.heapreplace(heap, (a[0] + heap[0][0], k))
+            above[a[1]] = above[b[1]] = k
+        depth = [0] * len(above)
+        for k in range(len(above) - 2, -1, -1):
+            depth[k] = depth[above[k]] + 1
         lengths = [0] * len(counts)
-        while len(heap) > 1:
-            a, b = heapq.heappop(heap), heapq.heappop(heap)
-            for s in a[2]:
-                lengths[s] += 1
-            for s in b[2]:
-                lengths[s] += 1
-            heapq.heappush(heap, (a[0] + b[0], min(a[1], b[1]), a[2] + b[2]))
-        if max(lengths) <= longest:
+        for k, (_, s) in enumerate(used):
+            lengths[s] = depth[k]
+        if max(depth) <= longest:
             break
         floor = max(2 * floor, 2 + sum(c for c, _ in used) >> longest)  # rare symbols count as if more frequent
     return lengths
@@ -122,7 +126,7 @@ def canonical(lengths: Sequence[int]) -> dict[int, tuple[int, int]]:
     for n, s in sorted((n, s) for s, n in enumerate(lengths) if n):
         code <<= n - before
         before = n
-        out[s] = (int(f"{code:0{n}b}"[::-1], 2), n)
+        out[s] = (_reversed_list(n)[code], n)
         code += 1
     return out
 
@@ -153,6 +157,11 @@ def _reversed(bits: int) -> np.ndarray:
     return out
 
 
+@lru_cache(maxsize=16)
+def _reversed_list(bits: int) -> list[int]:
+    return _reversed(bits).tolist()
+
+
 def _run_lengths(lengths: Sequence[int]) -> list[tuple[int, int, int]]:
     """Code lengths as (symbol, extra, extra bits), runs of zeros and of repeats joined."""
     out, i, before = [], 0, 8
