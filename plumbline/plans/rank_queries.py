@@ -22,7 +22,7 @@ PATH = "concat_ws('/', lang, source, concat(lpad(cast(doc_id as string), 8, '0')
 def candidates(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """(pool, cand): paths, and their distinct tokens with counts."""
     docs = table(spark, sf, "documents").select(F.lit("all").alias("tree"), F.expr(PATH).alias("path"), "text")
-    return docs.select("tree", "path"), rt.token_table(docs, tokens.occurrences(F.col("text")), "tree", "path")
+    return docs.select("tree", "path"), rt.token_table(docs, tokens.occurrences(F.col("text")), "tree", "path").cache()
 
 
 def query_tokens(spark: SparkSession, sf: str) -> DataFrame:
