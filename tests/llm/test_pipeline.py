@@ -91,3 +91,21 @@ def test_clean_documents_stay(spark, corpus):
     calm = {r["doc_id"] for r in corpus_pipeline.STAGES[1][1](spark, docs, path).collect()}
     assert calm == {i for i, t in rows if "grumblewort" not in (t or "")}
     assert Counter(r["doc_id"] for r in corpus_pipeline.STAGES[2][1](spark, docs, path).collect())[3] == 1
+
+
+def test_near_copies_at_similarity_of_four_fifths(spark):
+    rng, docs = random.Random(12), []
+    for i in range(12):
+        words = [f"w{rng.randrange(5000)}" for _ in range(150)]
+        docs.append((10 * i, " ".join(words)))
+        for k in range(1, 4):  # one to three words replaced: the last stay under the threshold with each other
+            for _ in range(k):
+                words[rng.randrange(150)] = f"v{rng.randrange(5000)}"
+            docs.append((10 * i + k, " ".join(words)))
+    rows = lambda t: {tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)}
+    held = {i: rows(t) for i, t in docs}
+    similar = lambda a, b: len(held[a] & held[b]) / len(held[a] | held[b]) >= 0.8
+    truth = components_of(list(held), similar)
+    frame = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in docs], SCHEMA)
+    kept = {r["doc_id"] for r in corpus_pipeline.STAGES[2][1](spark, frame, "").collect()}
+    assert kept == {i for i in held if truth[i] == i} and 12 <= len(kept) < 24
