@@ -1,7 +1,9 @@
 """Toxicity by multiple-instance learning: sentences are scored, documents are labelled.
 
 A sentence's probability is a logistic function of the vocabulary words it holds; a document's is the
-noisy-or of its sentences, 1 - prod(1 - p).  Weights follow the gradient of the documents' log loss, so
+noisy-or of its sentences, 1 - prod(1 - p), where p counts from the probability that the bias alone
+gives: a sentence without a known word, or with words of no weight, adds nothing, so no document is
+toxic by its length.  Weights follow the gradient of the documents' log loss, so
 labels of documents teach which sentences offend, and the same scores locate them.
 
 The classifier is fitted on a sample of labelled documents bounded by ``sample_docs`` (chosen by a hash
@@ -9,7 +11,7 @@ of the id) and a vocabulary of ``vocabulary`` words with the largest association
 are parameters.  Word counts for the choice are made in Spark; the driver gets the chosen words and,
 for each sampled document, the chosen words of its sentences.  Every document is scored whole.
 
-Defined results: null and empty texts have one empty sentence and get the prior's score; rows with null
+Defined results: null and empty texts score 0, as all texts without a known word; rows with null
 labels are no training rows; rows with a null id are never held out; with no labelled documents of both
 kinds every score is 0 but for rounding; repeated rows are scored alike; other columns are ignored.
 """
@@ -33,6 +35,11 @@ SAMPLE_DOCS, VOCABULARY, THRESHOLD = 12_000, 1_000, 0.3
 MIN_GAIN = 10.8
 
 
+def beyond(logit, bias: float):
+    """-log(1 - p), less that of the bias alone."""
+    return np.logaddexp(0, logit) - np.logaddexp(0, bias)
+
+
 @dataclass
 class Model:
     words: dict[str, int]
@@ -41,23 +48,20 @@ class Model:
 
     def sentences(self, text: str) -> list[float]:
         """The probability of each sentence, in order."""
-        return [1 / (1 + np.exp(-self._logit(s))) for s in SENTENCES.split(text)]
+        return [float(-np.expm1(-beyond(self._logit(s), self.bias))) for s in SENTENCES.split(text)]
 
     def _logit(self, sentence: str) -> float:
         words, weights = self.words, self.weights
         return self.bias + sum(weights[i] for i in {words[w] for w in WORD.findall(sentence.lower()) if w in words})
 
     def score(self, text: str) -> float:
-        """Noisy-or over the sentences; those without a known word share the bias's probability."""
-        n, logits = 0, []
+        """Noisy-or over the sentences with a known word; the others add nothing."""
+        logits = []
         known = self.words.keys()
         for s in SENTENCES.split(text.lower()):
-            n += 1
             if hit := known & set(WORD.findall(s)):
                 logits.append(sum(self.weights[self.words[w]] for w in hit))
-        quiet = n - len(logits)
-        log_none = -quiet * np.logaddexp(0, self.bias) - np.logaddexp(0, self.bias + np.array(logits)).sum()
-        return float(-np.expm1(log_none))
+        return float(-np.expm1(-beyond(self.bias + np.array(logits), self.bias).sum()))
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -69,8 +73,8 @@ def fit_noisy_or(bags: list[list[list[int]]], toxic: np.ndarray, size: int, roun
     """Weights and bias from documents given as lists of sentences of word numbers (Adam on the log loss).
 
     The words were chosen because they speak for toxicity, so no weight falls below zero.  Only
-    sentences with a known word are listed; the bias is fixed and low, so that the many others of
-    a long document don't add up.
+    sentences with a known word are listed; the bias is fixed, and a sentence counts by what its words
+    add to it.
     """
     doc = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
     flat = [s for b in bags for s in b]
@@ -80,7 +84,7 @@ def fit_noisy_or(bags: list[list[list[int]]], toxic: np.ndarray, size: int, roun
     share = np.where(toxic == 1, 0.5 / max(toxic.sum(), 1), 0.5 / max((toxic == 0).sum(), 1)) * len(toxic)
     for t in range(1, rounds + 1):
         z = quiet_bias + np.bincount(sent, w[word], len(flat))
-        none = np.bincount(doc, np.logaddexp(0, z), len(bags)) + 1e-9  # -log of no sentence offending
+        none = np.bincount(doc, beyond(z, quiet_bias), len(bags)) + 1e-9  # -log of no sentence offending
         # d loss / d none: 1 for clean documents, -e^-none / (1 - e^-none) for toxic ones
         slope = share * np.where(toxic == 1, -1 / np.expm1(np.minimum(none, 50)), 1.0)
         slope = np.clip(slope, -1e3, 1e3)

@@ -453,3 +453,11 @@ def test_filters_keep_whole_rows(spark):
         if truth[r["doc_id"]][2]:
             assert hashlib.sha256(r["text"].encode()).hexdigest() == truth[r["doc_id"]][3] and r["n_chars"] == len(r["text"])
     assert by_row([r for r in cut.collect() if r["doc_id"] in (0, None, 9)], "doc_id", "text") == by_row([r for r in df.collect() if r["doc_id"] in (0, None, 9)], "doc_id", "text")
+
+
+def test_clean_texts_are_not_toxic_by_length():
+    model = toxicity.Model({"alpha": 0, "grumblewort": 1}, np.array([0.0, 20.0]), -9.0)
+    clean = "A calm line of words. " * 10_000
+    assert model.score(clean) == 0 and model.score(clean.replace("calm", "alpha")) < 1e-9
+    assert model.score(clean + "Such a grumblewort.") > 0.99
+    assert abs(model.score("alpha. grumblewort! b") - (1 - np.prod([1 - p for p in model.sentences("alpha. grumblewort! b")]))) < 1e-12
