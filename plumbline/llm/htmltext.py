@@ -3,8 +3,9 @@
 A page becomes a tree.  Parts that are no article by their element, role or class (menus, headers,
 footers, sidebars, notices, adverts, forms, scripts, styles, comments of readers) are cut.  Site
 templates are found by counting: each remaining subtree is hashed, (host, hash) pairs are counted in
-Spark once per page, and subtrees that recur on many pages of their host are deleted.  An article that
-two addresses share stays: a template must be on ``MIN_PAGES`` pages and on a ``MIN_SHARE`` of its host's.
+Spark once per distinct article, and subtrees that recur in many articles of their host are deleted.  An
+article that many addresses share counts once and stays: a template must be in ``MIN_PAGES`` different
+articles and in a ``MIN_SHARE`` of its host's.
 
 Where the page has an article or main element, that is the article; else what is left of the body.
 
@@ -155,7 +156,8 @@ def article(root: Node) -> Node:
 def shapes_of(root: Node) -> set[int]:
     """Hashes, by tags and text, of the block subtrees with text; every node keeps its own in ``shape``.
 
-    The root itself is left out: a page whose whole article recurs is a copy, not a template.
+    The root itself is left out: a page whose whole article recurs is a copy, not a template.  Its hash
+    is left in ``digest``.
     """
     import xxhash
 
@@ -235,22 +237,27 @@ def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = M
 
     def shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, hashes, counts = [], [], {}
+            found: dict[tuple[str, int], list] = {}
+            pages_of: dict[tuple[str, int], int] = {}
             for host, source in zip(batch.column("host").to_pylist(), batch.column("html")):
-                for h in shapes_of(article(trim(parse(source.as_py() or "")))):
-                    counts[host, h] = counts.get((host, h), 0) + 1
-                counts[host, None] = counts.get((host, None), 0) + 1
-            for host, h in counts:
-                hosts.append(host)
-                hashes.append(h)
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64()), pa.array(list(counts.values()), pa.int64())], names=["host", "shape", "n"])
-
-    counts = pages.select("host", "html").mapInArrow(shapes, "host string, shape long, n long").groupBy("host", "shape").agg(F.sum("n").alias("n")).where(F.col("n") >= min_pages)
+                top = article(trim(parse(source.as_py() or "")))
+                held = shapes_of(top)
+                key = host, top.digest - (1 << 63)
+                found[key] = [None, *held]  # null stands for the article itself
+                pages_of[key] = pages_of.get(key, 0) + 1
+            hosts, articles = zip(*found) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(articles, pa.int64()), pa.array(list(found.values()), pa.list_(pa.int64())), pa.array(list(pages_of.values()), pa.int64())], names=["host", "article", "shapes", "pages"])
+
+    # copies of an article are one row of their host before its subtrees are counted
+    articles = pages.select("host", "html").mapInArrow(shapes, "host string, article long, shapes array<long>, pages long")
+    articles = articles.groupBy("host", "article").agg(F.first("shapes").alias("shapes"), F.sum("pages").alias("pages"))
+    rows = articles.select("host", F.explode("shapes").alias("shape"), "pages")
+    counts = rows.groupBy("host", "shape").agg(F.count("*").alias("n"), F.sum("pages").alias("pages")).where(F.col("shape").isNull() | (F.col("n") >= min_pages))
 
     counts = written(counts, "shapes")
-    sizes = counts.where("shape IS NULL").select("host", F.col("n").alias("pages"))
-    # a host can't have more than 1 / min_share times its subtrees per page of such templates
-    common = counts.where("shape IS NOT NULL").join(sizes, "host").where(F.col("n") >= F.lit(min_share) * F.col("pages"))
+    sizes = counts.where("shape IS NULL").select("host", F.col("n").alias("articles"), "pages")
+    # a host can't have more than 1 / min_share times its subtrees per article of such templates
+    common = counts.where("shape IS NOT NULL").join(sizes.select("host", "articles"), "host").where(F.col("n") >= F.lit(min_share) * F.col("articles"))
     templates = common.groupBy("host").agg(F.collect_list("shape").alias("templates"))
     # hosts with a thousandth of the pages or more (so a thousand at most) are dealt in slices of a 4096th
     total = sizes.agg(F.sum("pages")).first()[0] or 0

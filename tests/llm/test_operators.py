@@ -461,3 +461,14 @@ def test_clean_texts_are_not_toxic_by_length():
     assert model.score(clean) == 0 and model.score(clean.replace("calm", "alpha")) < 1e-9
     assert model.score(clean + "Such a grumblewort.") > 0.99
     assert abs(model.score("alpha. grumblewort! b") - (1 - np.prod([1 - p for p in model.sentences("alpha. grumblewort! b")]))) < 1e-12
+
+
+def test_html_copies_of_an_article_keep_their_text(spark):
+    page = lambda x: f"<html><body><nav>Menu</nav><article>{x}</article></body></html>"
+    copy = "<h1>One story</h1><p>First part</p><div>Second part</div>"
+    rows = [(k, f"http://a.org/{k}", page(copy if k < 10 else f"<h1>Head {k}</h1><p>Own {k}</p>")) for k in range(20)]
+    rows += [(k, f"http://b.org/{k}", page(f"<p>Own {k}</p><p>Site wide promise</p>" if k < 40 else copy)) for k in range(30, 60)]
+    got = {r["page_id"]: r["text"] for r in htmltext.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k in [*range(10), *range(40, 60)]:
+        assert got[k] == "One story\nFirst part\nSecond part"
+    assert got[15] == "Head 15\nOwn 15" and got[33] == "Own 33"
