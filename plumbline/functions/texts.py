@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import tokens
+from .tokens import let
 
 
 def stable_id(*parts: Column) -> Column:
@@ -27,16 +28,19 @@ def chunks(text: Column, size: int, overlap: int) -> Column:
 
 def redact(text: Column, words: Column) -> Column:
     """Every occurrence of a word, the longest first and in any case, becomes a space."""
-    quoted = F.transform(tokens.longest_first(words), lambda w: F.concat(F.lit("\\Q"), w, F.lit("\\E")))
+    literal = lambda w: F.concat(F.lit("\\Q"), F.replace(w, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    quoted = F.transform(tokens.longest_first(words), literal)
     return F.when(F.size(words) > 0, F.regexp_replace(text, F.concat(F.lit("(?i)"), F.array_join(quoted, "|")), F.lit(" "))).otherwise(text)
 
 
 def truncate(text: Column, budget: int) -> Column:
-    """The head within the budget and a mark that says how much was shown."""
-    cut = F.concat(F.substring(text, 1, budget), F.lit("\n[cut: "), F.lit(str(budget)), F.lit(" of "), F.length(text).cast("string"), F.lit(" characters]"))
+    """The head within the budget and a mark (fixed wording) that says how much is not shown."""
+    hidden = (F.length(text) - budget).cast("string")
+    cut = F.concat(F.substring(text, 1, budget), F.lit("\n\n... [truncated: "), hidden, F.lit(" of "), F.length(text).cast("string"), F.lit(" characters not shown]"))
     return F.when(F.length(text) > budget, cut).otherwise(text)
 
 
+#: Fixed value: lines that are markup, not prose.
 NOT_PROSE = r"^\s*(?:\.\.\s|```|~~~|\||[-=~^\"'+*#]{3,}\s*$|>>>|\$\s)|^\s{4,}\S"
 
 
@@ -67,11 +71,6 @@ def claim_units(text: Column) -> Column:
     return F.filter(prose_sentences(text), lambda s: F.size(tokens.extract(tokens.literal_spans(s), with_versions=False)) > 0)
 
 
-def let(value: Column, body) -> Column:
-    """``body`` of a value computed once a row; named in a lambda directly, it would be computed per element."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def batches(items: Column, size: int) -> Column:
     """Neighbouring groups of ``size`` items."""
     if size < 1:
@@ -109,10 +108,20 @@ def defines(text: Column, name: Column) -> Column:
     return F.regexp_like(text, F.concat(F.lit(r"(?m)^\s*(?:async\s+def|def|class)\s+"), quoted, F.lit(r"\b|(?m)^\s*"), quoted, F.lit(r"\s*(?::[^=\n]+)?=(?!=)")))
 
 
+#: Words of a reply that are verdicts; "unclear" is one and abstains.
+REPLY_VERDICTS = ("false", "not-false", "unclear")
+
+
+def reply_word(reply: Column) -> Column:
+    """The verdict word of the JSON object in a reply (first brace to last); null if there is none that is known."""
+    said = F.lower(F.trim(F.get_json_object(F.regexp_extract(reply, r"(?s)\{.*\}", 0), "$.verdict")))
+    return F.when(said.isin(*REPLY_VERDICTS), said)
+
+
 def reply_verdict(reply: Column) -> Column:
-    """true, false or null (abstained) from the JSON object in a reply: first brace to last."""
-    said = F.lower(F.get_json_object(F.regexp_extract(reply, r"(?s)\{.*\}", 0), "$.verdict"))
-    return F.when(said == "false", True).when(said.isin("not-false", "true"), False)
+    """true (the document is false), false, or null: abstained or not to be read."""
+    said = reply_word(reply)
+    return F.when(said == "false", True).when(said == "not-false", False)
 
 
 def reply_reason(reply: Column, truncated: Column) -> Column:

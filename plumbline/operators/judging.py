@@ -19,7 +19,7 @@ LEAKING = ("subject", "shared_identifiers", "fix_sha", "diff", "verdict", "targe
 def render_page(doc: Column, files: Column) -> Column:
     """A prompt of the document and its code files (array of path, text, truncated); nothing else goes in."""
     shown = F.transform(files, lambda f: F.concat(F.lit("### "), f["path"], F.when(f["truncated"], " (excerpt)").otherwise(""), F.lit("\n"), f["text"]))
-    return F.concat_ws("\n\n", F.lit("Document:"), doc, F.lit("Code:"), F.array_join(shown, "\n\n"), F.lit('Reply as JSON: {"verdict": "false" | "not-false" | "unsure"}'))
+    return F.concat_ws("\n\n", F.lit("Document:"), doc, F.lit("Code:"), F.array_join(shown, "\n\n"), F.lit('Reply as JSON: {"verdict": "false" | "not-false" | "unclear"}'))
 
 
 def render_claims(claims: Column, files: Column) -> Column:
@@ -40,9 +40,7 @@ def reply_key(model: str, request: str, arm: Column, prompt: Column) -> Column:
 def judge_pages(requests: DataFrame, replies: DataFrame) -> DataFrame:
     """requests(case_id, key) with ``answer``; a reply that can't be read is ``unparsed`` and abstains, a missing one has no row."""
     j = requests.join(replies.select("key", "reply", "truncated").dropDuplicates(["key"]), "key")
-    said = F.lower(F.get_json_object(F.regexp_extract("reply", r"(?s)\{.*\}", 0), "$.verdict"))
-    unparsed = said.isNull() | ~said.isin("false", "not-false", "true", "unsure")
-    return j.select("case_id", "key", texts.reply_verdict(F.col("reply")).alias("answer"), unparsed.alias("unparsed"), "truncated")
+    return j.select("case_id", "key", texts.reply_verdict(F.col("reply")).alias("answer"), texts.reply_word(F.col("reply")).isNull().alias("unparsed"), "truncated")
 
 
 def missing_replies(requests: DataFrame, replies: DataFrame) -> DataFrame:

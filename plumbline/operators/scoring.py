@@ -75,9 +75,9 @@ def spend(prompts: DataFrame, key: str, system: int = 400, per_token: float = 2.
 
 
 def distribution(rows: DataFrame, key: str) -> DataFrame:
-    """n, mean, upper median, p90 (floor index) and maximum of ``v``, from counts of equal values."""
+    """n, mean, upper median, p90 (position int(0.9 n)) and maximum of ``v``, from counts of equal values."""
     c = rows.groupBy(key, "v").agg(F.count("*").alias("c"))
     upto = Window.partitionBy(key).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     c = c.withColumns({"upto": F.sum("c").over(upto), "n": F.sum("c").over(Window.partitionBy(key))})
     at = lambda i: F.min(F.when(F.col("upto") > i, F.col("v"))).cast("long")
-    return c.groupBy(key).agg(F.max("n").alias("n"), F.round(F.sum(F.col("v") * F.col("c")) / F.max("n"), 6).alias("mean"), at(F.floor(F.col("n") / 2)).alias("median"), at(F.floor(F.lit(0.9) * (F.col("n") - 1))).alias("p90"), F.max("v").cast("long").alias("longest"))
+    return c.groupBy(key).agg(F.max("n").alias("n"), F.round(F.sum(F.col("v") * F.col("c")) / F.max("n"), 6).alias("mean"), at(F.floor(F.col("n") / 2)).alias("median"), at(F.floor(F.lit(0.9) * F.col("n"))).alias("p90"), F.max("v").cast("long").alias("longest"))

@@ -11,7 +11,7 @@ from .registry import query, table
 from .text_queries import sql_extract
 
 # Events stand for replies: a request is a user, its reply the first event of the user.
-REPLY = "CASE event_type WHEN 'error' THEN '{\"verdict\": \"false\"}' WHEN 'click' THEN 'ok {\"verdict\": \"not-false\"}' WHEN 'view' THEN 'garbled' ELSE '{\"verdict\": \"unsure\"}' END"
+REPLY = "CASE event_type WHEN 'error' THEN '{\"verdict\": \"false\"}' WHEN 'click' THEN 'ok {\"verdict\": \"not-false\"}' WHEN 'view' THEN 'garbled' ELSE '{\"verdict\": \"unclear\"}' END"
 
 
 @query("""WITH f AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS nr FROM events),
@@ -49,7 +49,7 @@ def measured_spend(spark: SparkSession, sf: str) -> DataFrame:
     return judging.measured_spend(e, "event_type")
 
 
-@query("""SELECT conv_id, turn, md5('Document:' || chr(10) || chr(10) || text || chr(10) || chr(10) || 'Code:' || chr(10) || chr(10) || '### ' || role || '.py' || CASE WHEN length(text) > 200 THEN ' (excerpt)' ELSE '' END || chr(10) || substr(text, 1, 200) || chr(10) || chr(10) || 'Reply as JSON: {"verdict": "false" | "not-false" | "unsure"}') AS prompt_md5 FROM conversations""")
+@query("""SELECT conv_id, turn, md5('Document:' || chr(10) || chr(10) || text || chr(10) || chr(10) || 'Code:' || chr(10) || chr(10) || '### ' || role || '.py' || CASE WHEN length(text) > 200 THEN ' (excerpt)' ELSE '' END || chr(10) || substr(text, 1, 200) || chr(10) || chr(10) || 'Reply as JSON: {"verdict": "false" | "not-false" | "unclear"}') AS prompt_md5 FROM conversations""")
 def rendered_prompts(spark: SparkSession, sf: str) -> DataFrame:
     t = table(spark, sf, "conversations")
     judging.check_leaks(t.columns)

@@ -261,7 +261,7 @@ def duplicate_prompts(spark: SparkSession, sf: str) -> DataFrame:
     return per.agg(F.sum("n").alias("prompts"), F.sum(F.col("n") - 1).alias("duplicates"))
 
 
-@query("SELECT role, count(*)::BIGINT AS n, round(avg(length(text)), 6) AS mean, list_sort(list(length(text)))[count(*) // 2 + 1]::BIGINT AS median, list_sort(list(length(text)))[floor(0.9 * (count(*) - 1))::INT + 1]::BIGINT AS p90, max(length(text))::BIGINT AS longest FROM conversations GROUP BY role")
+@query("SELECT role, count(*)::BIGINT AS n, round(avg(length(text)), 6) AS mean, list_sort(list(length(text)))[count(*) // 2 + 1]::BIGINT AS median, list_sort(list(length(text)))[floor(0.9 * count(*))::INT + 1]::BIGINT AS p90, max(length(text))::BIGINT AS longest FROM conversations GROUP BY role")
 def output_distribution(spark: SparkSession, sf: str) -> DataFrame:
     """Order statistics by position; equal lengths are counted first, so no list of all values is built."""
     return scoring.distribution(table(spark, sf, "conversations").select("role", F.length("text").alias("v")), "role")

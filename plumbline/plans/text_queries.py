@@ -303,7 +303,7 @@ def shingle_overlap(spark: SparkSession, sf: str) -> DataFrame:
     return t.select("conv_id", "turn", F.size("s").cast("long").alias("n"), F.round(texts.containment(F.col("s"), F.col("b")), 6).alias("overlap"))
 
 
-@query("SELECT doc_id, md5(CASE WHEN length(text) > 500 THEN substr(text, 1, 500) || chr(10) || '[cut: 500 of ' || length(text) || ' characters]' ELSE text END) AS cut_md5 FROM documents")
+@query("SELECT doc_id, md5(CASE WHEN length(text) > 500 THEN substr(text, 1, 500) || chr(10) || chr(10) || '... [truncated: ' || (length(text) - 500) || ' of ' || length(text) || ' characters not shown]' ELSE text END) AS cut_md5 FROM documents")
 def truncate_budget(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.md5(texts.truncate(F.col("text"), 500)).alias("cut_md5"))
 

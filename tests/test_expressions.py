@@ -1,5 +1,7 @@
 """Small literal cases for the Column expressions, and laws that need no gold data."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -128,11 +130,47 @@ def test_order_statistics(spark):
     assert spark.range(1).select(stats.upper_median(v), stats.at_floor(v, 0.9)).first() == (3, 3)
 
 
-def test_select_relevant_stays_close_to_the_budget():
-    text = "".join(f"def fn{i}():\n    return helper_{i}\n\n" for i in range(300))
-    out, cut = select_relevant(text, 800, frozenset({"helper_250", "fn250"}))
-    assert cut and "helper_250" in out and "def fn0" in out and len(out) < 1200
-    assert select_relevant("short", 10, frozenset()) == ("short", False)
+def cut_by_hand(text, budget, wanted):
+    """The lines that stay, by the rules: head first, then neighbourhoods by falling score while they fit."""
+    rows = text.splitlines(keepends=True)
+    named = lambda x: {w.lower() for w in re.findall(r"[A-Za-z_]\w*", x)} & wanted
+    score = [len(named(x)) * (10 if re.match(r"\s*(def|class)\s", x) else 0 if re.match(r"\s*(from|import)\s", x) else 1) for x in rows]
+    at, spent = set(range(12)), sum(map(len, rows[:12]))
+    for i in sorted((i for i in range(len(rows)) if score[i]), key=lambda i: (-score[i], i)):
+        owner = [d for d in range(max(i - 59, 0), i + 1) if re.match(r"\s*(def|class)\s", rows[d])][-1:]
+        new = {*range(max(i - 5, 0), min(i + 6, len(rows))), *owner} - at
+        if spent + sum(len(rows[k]) for k in new) <= budget:
+            at |= new
+            spent += sum(len(rows[k]) for k in new)
+    return "".join(rows[k] for k in sorted(at)), len(at)
+
+
+def test_select_relevant_equals_the_rules(spark):
+    import random
+
+    rng = random.Random(3)
+    words = ["alphaword", "bravoword", "charlieword", "deltaword", "filler", "x"]
+    cases = []
+    for _ in range(25):
+        lines = [rng.choice(["def {}():", "    call({})", "import {}", "{} = 1", ""]).format(rng.choice(words)) for _ in range(rng.randrange(40, 160))]
+        cases.append(("\n".join(lines) + rng.choice(["", "\n"]), {"alphaword", rng.choice(words[1:4])}))
+    df = spark.createDataFrame([(i, t, sorted(w)) for i, (t, w) in enumerate(cases)], "id long, t string, w array<string>")
+    got = {r["id"]: r["r"] for r in df.select("id", select_relevant(C("t"), 600, C("w")).alias("r")).collect()}
+    shown = 0
+    for i, (text, wanted) in enumerate(cases):
+        kept, n = cut_by_hand(text, 600, wanted)
+        if not got[i]["cut"]:
+            assert got[i]["text"] == text
+        elif "[truncated: " in got[i]["text"]:
+            assert got[i]["text"].startswith(text[:600]) and len(re.findall("|".join(wanted), text[:600])) > 0
+        else:
+            body = re.sub(r"\n\[This file is .*\]\n$", "", got[i]["text"])
+            assert re.sub(r"\n\.\.\. \[\d+ line\(s\) elided\] \.\.\.\n\n?", "", body) == kept and f"The {n} line(s) shown" in got[i]["text"]
+            shown += 1
+    assert shown > 5
+    odd = spark.createDataFrame([(None, None), ("short", ["alphaword"]), ("y" * 900, [])], "t string, w array<string>")
+    got = [r["r"] for r in odd.select(select_relevant(C("t"), 600, C("w")).alias("r")).collect()]
+    assert got == [("", False), ("short", False), ("y" * 900, False)]  # a head of one long line is all there is
 
 
 @pytest.fixture(scope="module")
