@@ -19,7 +19,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import bounded_batches, slim, texts
+from .common import WORD_BYTES, bounded_batches, slim, texts
 
 #: Base phrases, fixed by the contract.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -49,9 +49,6 @@ TAG_RAW = re.compile(r"(?:spdx-license-identifier|license-expression)[ \t]*:[ \t
 FAMILIES = (("lgpl", "lgpl"), ("agpl", "agpl"), ("gpl", "gpl"), ("apache", "apache"), ("mit", "mit"), ("bsd", "bsd"), ("mpl", "mpl"), ("epl", "epl"), ("isc", "isc"), ("cc0", "cc0"), ("cc-by-nc", "cc-by-nc"), ("cc-by-sa", "cc-by-sa"), ("cc-by", "cc-by"), ("unlicense", "unlicense"), ("bsl", "bsl"))
 PERMISSIVE = {"mit", "apache", "bsd", "isc", "cc0", "cc-by", "bsl", "unlicense", "public-domain"}
 
-#: Bytes of words as they are (A-Z lower-cased), all others to a space.
-WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-
 
 @dataclass(frozen=True)
 class Expression:

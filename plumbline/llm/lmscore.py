@@ -1,179 +1,200 @@
-"""Cross-entropy difference between a target and a background n-gram model.
+"""Cross-entropy difference between a target and a background bigram model.
 
-Both models are bigram models with the same vocabulary (the ``vocabulary`` most frequent words of the
-whole corpus plus one unknown word) and the same smoothing; the target model is counted over documents
-whose label says good quality, the background model over all documents.  A document's score is the
-mean over its tokens of background loss minus target loss: higher means closer to the target.
+Both models share one vocabulary, all words of the corpus, and one smoothing; the target model is counted
+over documents whose label says good quality, the background model over all documents.  A document's
+score is the mean over its tokens of background loss minus target loss: higher means closer to the target.
 
-Word counts and bigram counts cover every token of every document: tasks add up what they hold, Spark
-adds up the tasks.  Bigrams are counted in 2^``bits`` hashed cells, so a model has a fixed size (two
-arrays of 4 bytes a cell, 8 MB at 20 bits) and can be sent to every executor at any corpus size.
+Nothing is cut off or hashed into cells.  With counts c, a discount D, the number of different successors s(u)
+of a word u, N tokens and V words,
 
-Defined results: null and empty texts have no tokens and score 0 with null losses; with no target
-documents both models are the background; repeated rows count and score each; other columns are ignored.
+    P(w | u) = (c(u, w) - D) / c(u) + D s(u) / c(u) P(w),    P(w) = (c(w) + 1) / (N + V),
+
+where the first term is 0 for pairs not seen and P(w) alone is left for a u not seen; the start of a document
+is a u like any other.  The probabilities of all words after any u add up to one.
+
+1. Documents meet their mark by id; tasks gather blocks of documents, number each block's words and pairs, and
+   write the pairs (with their counts in the block), the words, and the documents as sequences of pair numbers.
+2. Spark adds the counts of each pair over all blocks, and the pairs of each u.  A pair comes once a block, so
+   the most frequent one has no more rows than there are blocks.
+3. Counts go back to the blocks by pair number, and each block scores its documents.
+
+Words are told apart by 64-bit hashes, pairs by two of them.  Written blocks are never computed again, so
+block numbers hold whatever executor is lost.
+
+Defined results: words are runs of letters, digits and characters beyond ASCII, A-Z lower-cased; null and empty
+texts have no tokens and score 0 with null losses; with no target documents both models are the background;
+repeated rows count and score each; rows with a null id are never target documents; very long texts are
+whole; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, slim, texts
-
-WORD = re.compile(r"\w+|[^\w\s]")
-VOCABULARY, BITS, DISCOUNT = 20_000, 20, 0.75
-SCHEMA = "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
-#: Words counted in a task before its partial counts are passed on.
-SPILL_WORDS = 400_000
-#: Cells in a slice of the count table on its way to the driver.
-SLICE = 1 << 15
-
-
-class Vocabulary:
-    """Word numbers; 0 is the start of a document, 1 any unknown word."""
-
-    def __init__(self, words: list[str]):
-        self.index = {w: i + 2 for i, w in enumerate(words)}
-        self.size = len(words) + 2
-
-    def encode(self, text: str) -> np.ndarray:
-        get = self.index.get
-        return np.fromiter((get(w, 1) for w in WORD.findall(text.lower())), np.int64)
-
-
-def cells(ids: np.ndarray, bits: int) -> np.ndarray:
-    """The hashed cell of every (previous, current) pair; the first word follows the start."""
-    before = np.concatenate([[0], ids[:-1]]).astype(np.uint64)
-    h = (before * np.uint64(0x9E3779B97F4A7C15) + ids.astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
-    return (h >> np.uint64(64 - bits)).astype(np.int64)
-
-
-class Bigrams:
-    """Interpolated bigram losses from unigram and hashed bigram counts."""
-
-    def __init__(self, counts: np.ndarray, size: int, bits: int):
-        unigrams = counts[:size].astype(np.float64)
-        self.bits, self.pairs = bits, counts[size:].astype(np.float32)
-        self.before = (unigrams + 1).astype(np.float32)  # how often a word can be followed
-        self.unigram = ((unigrams + 1) / (unigrams.sum() + size)).astype(np.float32)
-
-    def loss(self, ids: np.ndarray) -> np.ndarray:
-        before = np.concatenate([[0], ids[:-1]])
-        seen = self.before[before]
-        back = self.unigram[ids]
-        weight = DISCOUNT * seen / (seen + 50.0)
-        p = weight * np.minimum(self.pairs[cells(ids, self.bits)] / seen, 1.0) + (1 - weight) * back
-        return -np.log(p)
-
-
-def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> Vocabulary:
-    """The most frequent words over all documents, ties by the word."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[str] = Counter()
-        for batch in batches:
-            for text in texts(batch):
-                held.update(WORD.findall(text.lower()))
-            if len(held) > SPILL_WORDS:
-                yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
-                held = Counter()
-        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
-
-    counts = slim(docs).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return Vocabulary([r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(size).select("word").collect()])
-
-
-class Counts:
-    """Unigram and bigram counts of both corpora as compressed slices: what the driver holds and sends."""
-
-    def __init__(self, slices: list[tuple[int, int, bytes]], size: int, bits: int):
-        self.slices, self.size, self.bits = slices, size, bits
-        self.made: tuple[Bigrams, Bigrams] | None = None
-
-    def models(self) -> tuple[Bigrams, Bigrams]:
-        """Target and background, built once in a process."""
-        if self.made is None:
-            held = {k: np.zeros(-(-(self.size + (1 << self.bits)) // SLICE) * SLICE, np.int64) for k in (0, 1)}
-            for good, nr, payload in self.slices:
-                held[good][nr * SLICE : (nr + 1) * SLICE] = np.frombuffer(pa.decompress(payload, 8 * SLICE, "zstd", asbytes=True), "<i8")
-            width = self.size + (1 << self.bits)
-            every = (held[0] + held[1])[:width]
-            good = held[1][:width] if held[1].any() else every
-            self.made = Bigrams(good, self.size, self.bits), Bigrams(every, self.size, self.bits)
-        return self.made
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"made": None}
-
-
-def count_models(docs: DataFrame, target: DataFrame, vocab: Vocabulary, bits: int = BITS) -> Counts:
-    """Counts of target and other documents.  ``target`` has the doc_id of every target document."""
-    marks = target.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(1).alias("good")).where("doc_id IS NOT NULL").distinct()
-    size = vocab.size
-    kind = "<u2" if size < 1 << 16 else "<u4"
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw = [vocab.encode(t).astype(kind).tobytes() for t in texts(batch)]
-            packed = [pa.compress(r, "zstd", asbytes=True) if r else b"" for r in raw]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary()), pa.array(list(map(len, raw)), pa.int64())], names=["doc_id", "ids", "size"])
-
-    # documents meet their mark as word numbers, a fraction of their text; merged at any size of the marks
-    marked = slim(docs).mapInArrow(encode, "doc_id long, ids binary, size long").where("size > 0")
-    marked = marked.join(marks.hint("merge"), "doc_id", "left").select(F.coalesce("good", F.lit(0)).alias("good"), "ids", "size")
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width = size + (1 << bits)
-        held = {k: np.zeros(width, np.int32) for k in (0, 1)}
-        for batch in batches:
-            pending: dict[int, list[np.ndarray]] = {0: [], 1: []}
-            for good, packed, n in zip(*(batch.column(c).to_pylist() for c in ("good", "ids", "size"))):
-                ids = np.frombuffer(pa.decompress(packed, n, "zstd", asbytes=True), kind).astype(np.int64)
-                pending[good] += [ids, size + cells(ids, bits)]
-            for k, parts in pending.items():
-                if parts:
-                    held[k] += np.bincount(np.concatenate(parts), minlength=width).astype(np.int32)
-        for k, counts in held.items():  # cells of a task, in slices of neighbours
-            at = np.flatnonzero(counts)
-            for cut in np.array_split(at, max(1, len(at) // 100_000)):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cut), k, np.int32)), pa.array(cut), pa.array(counts[cut].astype(np.int64))], names=["good", "cell", "n"])
-
-    def pack(group: pa.Table) -> pa.Table:
-        dense = np.zeros(SLICE, "<i8")
-        dense[group.column("cell").to_numpy() % SLICE] = group.column("n").to_numpy()
-        return pa.table({"good": group.column("good")[:1], "slice": group.column("slice")[:1], "payload": pa.array([pa.compress(dense.tobytes(), "zstd", asbytes=True)], pa.binary())})
-
-    sums = marked.mapInArrow(count, "good int, cell long, n long").groupBy("good", "cell").agg(F.sum("n").alias("n"))
-    sums = sums.withColumn("slice", F.floor(F.col("cell") / SLICE).cast("int"))
-    slices = sums.groupBy("good", "slice").applyInArrow(pack, "good int, slice int, payload binary").collect()
-    return Counts([(r["good"], r["slice"], bytes(r["payload"])) for r in slices], size, bits)
-
-
-def score(docs: DataFrame, target: DataFrame, size: int = VOCABULARY, bits: int = BITS) -> DataFrame:
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    vocab = vocabulary(docs, size)
-    sent = spark.sparkContext.broadcast((vocab, count_models(docs, target, vocab, bits)))  # bounded by size and bits
+from .common import WORD_BYTES, bounded_batches, slim, written
+
+DISCOUNT = 0.75
+#: Bytes of text in a block.
+BLOCK_BYTES = 24_000_000
+#: Kinds of rows that blocks write: documents, pairs of words, words.
+DOCS, PAIR, WORD = 0, 1, 2
+BLOCKS = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("u", pa.int64()), ("w", pa.int64()), ("idx", pa.int32()), ("n", pa.int64()), ("t", pa.int64()), ("payload", pa.binary()), ("size", pa.int64())])
+BLOCKS_SQL = "block long, kind int, u long, w long, idx int, n long, t long, payload binary, size long"
+SCORED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("target_loss", pa.float64()), ("background_loss", pa.float64()), ("score", pa.float64())])
+SCORED_SQL = "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
+
+
+def words_of(text: str) -> list[bytes]:
+    return text.encode().translate(WORD_BYTES).split()
+
+
+class Block:
+    """Documents of one block: word numbers (0 is the start of a document), and what is written of them."""
+
+    def __init__(self, number: int):
+        self.number, self.bytes = number, 0
+        self.numbers: dict[bytes, int] = {}
+        self.docs: list[int | None] = []
+        self.seqs: list[np.ndarray] = []
+        self.good: list[bool] = []
+
+    def add(self, doc: int | None, text: str, good: bool) -> None:
+        numbers, words = self.numbers, words_of(text)
+        for w in set(words) - numbers.keys():
+            numbers[w] = len(numbers) + 1
+        self.docs.append(doc)
+        self.seqs.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
+        self.good.append(good)
+        self.bytes += len(text)
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        lengths = np.array([len(s) for s in self.seqs], np.int64)
+        seq = np.concatenate(self.seqs).astype(np.int64)
+        before = np.concatenate([[0], seq[:-1]])[: len(seq)]
+        before[(np.cumsum(lengths) - lengths)[lengths > 0]] = 0
+        pairs, place = np.unique(before << 32 | seq, return_inverse=True)
+        good = np.repeat(np.array(self.good, bool), lengths)
+        size = len(self.numbers) + 1
+        hashes = np.zeros(size, np.int64)  # of the start: 0
+        hashes[1:] = np.fromiter((xxhash.xxh64_intdigest(w) - (1 << 63) for w in self.numbers), np.int64, size - 1)
+        u, w = (pairs >> 32).astype(np.int32), (pairs & 0xFFFFFFFF).astype(np.int32)
+        parts = [np.array([d or 0 for d in self.docs], np.int64), np.array([d is None for d in self.docs], np.int8), lengths, u, w, place.astype(np.int32)]
+        raw = b"".join(len(p).to_bytes(8, "little") + p.tobytes() for p in parts)
+        yield self._rows(DOCS, payload=pa.array([pa.compress(raw, "zstd", asbytes=True)], pa.binary()), size=pa.array([len(raw)], pa.int64()))
+        counts = lambda at, least: [np.bincount(x, minlength=least) for x in (at, at[good])]
+        for kind, first, second, (n, t) in ((PAIR, hashes[u], hashes[w], counts(place, len(pairs))), (WORD, np.zeros(size, np.int64), hashes, counts(seq, size))):
+            for at in range(0, len(n), 200_000):
+                cut = slice(at, at + 200_000)
+                yield self._rows(kind, u=pa.array(first[cut]), w=pa.array(second[cut]), idx=pa.array(np.arange(at, at + len(n[cut]), dtype=np.int32)), n=pa.array(n[cut].astype(np.int64)), t=pa.array(t[cut].astype(np.int64)))
+
+    def _rows(self, kind: int, **columns: pa.Array) -> pa.RecordBatch:
+        size = len(next(iter(columns.values())))
+        columns |= {"block": pa.array(np.full(size, self.number)), "kind": pa.array(np.full(size, kind, np.int32))}
+        return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(size, f.type)) for f in BLOCKS], schema=BLOCKS)
+
+
+def _unpack(payload: bytes, size: int) -> list[np.ndarray]:
+    raw, at, out = pa.decompress(payload, size, "zstd", asbytes=True), 0, []
+    for kind in ("<i8", "i1", "<i8", "<i4", "<i4", "<i4"):
+        n = int.from_bytes(raw[at : at + 8], "little")
+        out.append(np.frombuffer(raw, kind, n, at + 8))
+        at += 8 + n * np.dtype(kind).itemsize
+    return out
+
+
+def blocks_of(docs: DataFrame, target: DataFrame) -> DataFrame:
+    """Rows of all blocks.  ``target`` has the doc_id of every target document, of any number."""
+    marks = target.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(True).alias("good")).where("doc_id IS NOT NULL").distinct()
+    # a hash join keeps texts unsorted; adaptive execution may cut a partition of texts that is too large
+    marked = slim(docs).join(marks.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", F.coalesce("good", F.lit(False)).alias("good"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, counts = sent.value
-        good, every = counts.models()
+        base, nr = TaskContext.get().partitionId() << 32, 0
+        block = Block(base)
         for batch in batches:
-            rows = []
-            for text in texts(batch):
-                ids = vocab.encode(text)
-                if len(ids):
-                    a, b = float(good.loss(ids).mean(dtype=np.float64)), float(every.loss(ids).mean(dtype=np.float64))
-                    rows.append((len(ids), a, b, b - a))
-                else:
-                    rows.append((0, None, None, 0.0))
-            columns = list(zip(*rows)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, [pa.int64()] + [pa.float64()] * 3))], names=[c.split()[0] for c in SCHEMA.split(", ")])
-
-    return slim(docs).mapInArrow(run, SCHEMA)
+            for doc, text, good in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+                block.add(doc, text.as_py() or "", good)
+                if block.bytes >= BLOCK_BYTES:
+                    yield from block.batches()
+                    nr += 1
+                    block = Block(base + nr)
+        if block.docs:
+            yield from block.batches()
+
+    return written(marked.mapInArrow(run, BLOCKS_SQL), "blocks")
+
+
+def counted(blocks: DataFrame) -> DataFrame:
+    """The rows of pairs and words with their counts over all blocks: n_all, n_target, and whether this is a pair's first row."""
+    same = Window.partitionBy("kind", "u", "w")
+    rows = blocks.where(F.col("kind") != DOCS).select("block", "kind", "u", "w", "idx", F.sum("n").over(same).alias("n_all"), F.sum("t").over(same).alias("n_target"), (F.col("block") == F.min("block").over(same)).alias("first"))
+    return written(rows, "counts")
+
+
+def successors(counts: DataFrame) -> DataFrame:
+    """(u, follows): how often each word is followed, by how many different words, in both corpora."""
+    rows = counts.where((F.col("kind") == PAIR) & F.col("first"))
+    sums = rows.groupBy("u").agg(F.sum("n_all").alias("ca"), F.sum("n_target").alias("ct"), F.count("*").alias("sa"), F.count_if(F.col("n_target") > 0).alias("st"))
+    return sums.select("u", F.array("ca", "ct", "sa", "st").alias("follows"))
+
+
+def losses(pair: np.ndarray, word: np.ndarray, follow: np.ndarray, kinds: np.ndarray, u: np.ndarray, w: np.ndarray, total: int, size: int) -> np.ndarray:
+    """-log P(w | u) of each pair from counts of pairs, words, successions and different successors."""
+    back = (word[w] + 1) / (total + size)
+    c = follow[u]
+    seen = np.maximum(c, 1)
+    p = np.where(c > 0, np.maximum(pair - DISCOUNT, 0) / seen + DISCOUNT * kinds[u] / seen * back, back)
+    return -np.log(p)
+
+
+def score(docs: DataFrame, target: DataFrame) -> DataFrame:
+    """doc_id, n_tokens, target_loss, background_loss, score."""
+    bounded_batches(docs.sparkSession)
+    blocks = blocks_of(docs, target)
+    counts = counted(blocks)
+    words = counts.where(F.col("kind") == WORD)
+    total = words.where("first").agg(F.coalesce(F.sum("n_all"), F.lit(0)), F.coalesce(F.sum("n_target"), F.lit(0)), F.count_if(F.col("n_all") > 0)).first()
+    n_all, n_target, size = (int(x) for x in total)
+    follows = successors(counts).withColumnRenamed("u", "w")
+    back = ["block", "kind", "idx", "n_all", "n_target", "follows"]
+    answers = counts.where(F.col("kind") == PAIR).withColumn("follows", F.lit(None).cast("array<long>")).select(*back).unionByName(words.join(follows, "w", "left").select(*back))
+
+    def run(held: pa.Table, answer: pa.Table) -> pa.Table:
+        doc_ids, nulls, lengths, u, w, place = _unpack(held.column("payload")[0].as_py(), held.column("size")[0].as_py())
+        is_word = answer.column("kind").to_numpy() == WORD
+        idx, a, t = (answer.column(c).to_numpy() for c in ("idx", "n_all", "n_target"))
+        at = np.argsort(idx[~is_word], kind="stable")
+        if len(at) != len(u):
+            raise ValueError("a block lacks counts")
+        pairs = [x[~is_word][at] for x in (a, t)]
+        order = np.argsort(idx[is_word], kind="stable")
+        word = [x[is_word][order] for x in (a, t)]
+        follow = np.zeros((len(order), 4), np.int64)
+        given = answer.column("follows").filter(pa.array(is_word)).take(pa.array(order)).combine_chunks()
+        has = np.flatnonzero(given.is_valid().to_numpy(zero_copy_only=False))
+        follow[has] = given.drop_null().flatten().to_numpy().reshape(-1, 4)
+        every = losses(pairs[0], word[0], follow[:, 0], follow[:, 2], u, w, n_all, size)
+        good = losses(pairs[1], word[1], follow[:, 1], follow[:, 3], u, w, n_target, size) if n_target else every
+        some = np.flatnonzero(lengths)
+        starts = (np.cumsum(lengths) - lengths)[some]
+        ids = pa.array(doc_ids, mask=nulls.astype(bool))
+        out = []
+        for loss in (good, every):
+            mean = np.full(len(lengths), np.nan)
+            if len(some):
+                mean[some] = np.add.reduceat(loss[place], starts) / lengths[some]
+            out.append(mean)
+        none = lengths == 0
+        apart = np.where(none, 0.0, out[1] - out[0])
+        return pa.Table.from_arrays([ids, pa.array(lengths), pa.array(out[0], mask=none), pa.array(out[1], mask=none), pa.array(apart)], schema=SCORED)
+
+    held = blocks.where(F.col("kind") == DOCS).select("block", "payload", "size")
+    return held.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, SCORED_SQL)

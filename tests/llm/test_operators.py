@@ -305,23 +305,45 @@ def test_toxicity_learns_and_locates(spark):
     assert toxicity.train(docs, marks.where("toxic = 0")).score("anything") < 1e-9
 
 
-def test_lm_scores_separate_target_from_rest(spark):
-    rows = [(i, "the clear river runs over stones " * 10 if i % 2 else "zorp blat quux flim " * 12) for i in range(60)] + [(60, None), (61, "")]
-    target = spark.createDataFrame([(i,) for i in range(1, 60, 4)], "doc_id long")
-    got = {r["doc_id"]: r for r in lmscore.score(frame(spark, rows), target, size=50, bits=12).collect()}
-    assert min(got[i]["score"] for i in range(1, 60, 2)) > max(got[i]["score"] for i in range(0, 60, 2))
-    assert got[60]["score"] == 0 and got[61]["target_loss"] is None and got[3]["n_tokens"] == 60
-    again = lmscore.score(frame(spark, rows), target.limit(0), size=50, bits=12).collect()
-    assert all(r["score"] == 0 for r in again)
-
-
-def test_lm_counts_are_exact(spark):
-    docs = frame(spark)
-    vocab = lmscore.vocabulary(docs, 10)
-    counts = Counter(w for _, t in docs_of() for w in lmscore.WORD.findall(t.lower()))
-    assert list(vocab.index) == [w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:10]]
-    every = lmscore.count_models(docs, docs.select("doc_id").limit(0), vocab, 12).models()[1]
-    assert every.pairs.sum() == sum(counts.values())
+def lm_by_hand(rows, target, discount=0.75):
+    """Losses of every document from plain dictionaries, and the two models as functions."""
+    cut = {k: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(simhash.LOWER)) for k, (_, t) in enumerate(rows)}
+    models = []
+    for keep in (lambda i: i is not None and i in target, lambda i: True):
+        pairs = Counter(p for k, (i, _) in enumerate(rows) if keep(i) for p in zip(["", *cut[k]], cut[k]))
+        models.append((pairs, Counter(w for (_, w), n in pairs.items() for _ in range(n)), Counter(u for (u, _), n in pairs.items() for _ in range(n)), Counter(u for u, _ in pairs)))
+    vocabulary = sorted(models[1][1])
+
+    def probability(model, u, w):
+        pairs, words, follows, kinds = model
+        back = (words[w] + 1) / (sum(words.values()) + len(vocabulary))
+        return max(pairs[u, w] - discount, 0) / follows[u] + discount * kinds[u] / follows[u] * back if follows[u] else back
+
+    loss = lambda m, k: np.mean([-np.log(probability(models[m], u, w)) for u, w in zip(["", *cut[k]], cut[k])]) if cut[k] else None
+    return cut, vocabulary, models, probability, loss
+
+
+@pytest.mark.parametrize("size", [24_000_000, 200])
+def test_lm_scores_equal_brute_force(spark, monkeypatch, size):
+    rng = random.Random(14)
+    rows = [(i, " ".join(rng.choice(["red", "Blue", "green", "the", "the", f"w{rng.randrange(30)}", "é"]) for _ in range(rng.randrange(0, 40)))) for i in range(40)]
+    rows += ROWS + rows[:3]
+    target = {1, 3, 5, 8, 9, 11, 20, 30}
+    cut, vocabulary, models, probability, loss = lm_by_hand(rows, target)
+    for m in (0, 1):
+        for u in ["", "the", "red", vocabulary[-1], "never seen"]:
+            assert abs(sum(probability(models[m], u, w) for w in vocabulary) - 1) < 1e-9
+    monkeypatch.setattr(lmscore, "BLOCK_BYTES", size)
+    marks = spark.createDataFrame([(i,) for i in target] + [(None,), (3,), (777,)], "doc_id long")
+    got = lmscore.score(frame(spark, rows), marks).collect()
+    shown = lambda x: None if x is None else round(float(x), 7)
+    expected = Counter()
+    for k, (i, _) in enumerate(rows):
+        t, a = loss(0, k), loss(1, k)
+        expected[i, len(cut[k]), shown(t), shown(a), 0.0 if a is None else shown(a - t)] += 1
+    assert Counter((r["doc_id"], r["n_tokens"], shown(r["target_loss"]), shown(r["background_loss"]), shown(r["score"])) for r in got) == expected
+    again = lmscore.score(frame(spark, rows), marks.limit(0)).collect()
+    assert len(again) == len(rows) and all(r["score"] == 0 for r in again)
 
 
 def removed(rows, window):
@@ -426,7 +448,7 @@ def test_one_of_each_keeps_all_columns(spark):
         lambda d: packing.pack(d, packing.word_bpe(public.path("word_bpe_49k.json"))),
         lambda d: quality.apply_policy(quality.ledger(d)),
         lambda d: toxicity.score(d, toxicity.train(d, d.selectExpr("doc_id", "1 AS toxic"))),
-        lambda d: lmscore.score(d, d.select("doc_id"), 20, 10),
+        lambda d: lmscore.score(d, d.select("doc_id")),
         substring.remove_repeats,
         simhash.groups,
     ],
