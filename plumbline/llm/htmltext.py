@@ -31,11 +31,15 @@ MIN_PAGES, MIN_SHARE = 8, 0.3
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
-DROPPED = frozenset("head nav header footer aside form script style noscript template iframe object embed svg math canvas audio video button select option textarea input label fieldset dialog menu map xmp noembed noframes title".split())
+DROPPED = frozenset("head nav header footer aside form script style noscript template iframe object embed svg canvas audio video button select option textarea input label fieldset dialog menu map xmp noembed noframes title".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
-#: Words in class names and ids that mark parts which are no article.
+#: Words of class names and ids that mark parts which are no article.
 DROPPED_WORDS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert popup modal overlay nav navbar navigation menu breadcrumb breadcrumbs sidebar aside widget related recommended share sharing social footer header masthead comment comments disqus replies respondents newsletter subscribe subscription signup login search pagination pager toolbar skip copyright legal disclaimer".split())
-#: Of these, the words that speak against an article element itself.
+#: Words that say where or what shape such a part is; a name with any other word is not judged.
+QUALIFIERS = frozenset("site page global top bottom left right primary secondary sticky fixed mobile inner outer box block bar area zone slot unit strip wrapper wrap container list links items buttons icons".split())
+#: Elements whose names are judged: containers, never headings, paragraphs or what stands inside a line.
+CONTAINERS = frozenset("div section ul ol dl table details article main".split())
+#: Of the words, those that speak against an article element itself.
 REMARKS = frozenset("comment comments reply replies ad ads advert advertisement sponsored promo related teaser".split())
 #: Elements that an opening tag of the first kind ends.
 CLOSES_P = BLOCKS - frozenset("body html dd dt li td th tr tbody thead tfoot caption".split()) | frozenset(["p"])
@@ -108,10 +112,22 @@ def attributes(node: Node) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(node.attrs)}
 
 
-def boilerplate(node: Node) -> bool:
-    """Whether element, role or class says that this is no part of an article."""
+def named_boilerplate(names: list[str], marks: frozenset[str]) -> bool:
+    """Whether a name consists of marking words and qualifiers alone: "cookie-notice" does, "related-work" doesn't."""
+    for name in names:
+        words = set(re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", name).lower())) - {""}
+        if words & marks and words <= marks | QUALIFIERS:
+            return True
+    return False
+
+
+def boilerplate(node: Node, inside: bool = False) -> bool:
+    """Whether element, role or name says that this is no part of an article; ``inside``: within an article or main element.
+
+    An article's own header, which holds its heading, stays; there, sections keep their ids, which are anchors.
+    """
     if node.tag in DROPPED:
-        return True
+        return not (inside and node.tag == "header" and _has_heading(node))
     if not node.attrs or node.tag in ("body", "html"):
         return False
     attrs = attributes(node)
@@ -119,19 +135,30 @@ def boilerplate(node: Node) -> bool:
         return True
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", ""), re.I):
         return True
-    # "with-sidebar" and the like describe the page, not the part
-    names = [t for t in f"{attrs.get('class', '')} {attrs.get('id', '')}".split() if not re.match(r"(?i)(with|without|has|no)[-_]", t)]
-    words = re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", " ".join(names)).lower())
-    return not (REMARKS if node.tag in ("article", "main") else DROPPED_WORDS).isdisjoint(words)
+    if node.tag not in CONTAINERS:
+        return False
+    names = attrs.get("class", "").split() + ([] if inside and node.tag == "section" else attrs.get("id", "").split())
+    return named_boilerplate(names, REMARKS if node.tag in ("article", "main") else DROPPED_WORDS)
+
+
+def _has_heading(node: Node) -> bool:
+    todo = [node]
+    while todo:
+        item = todo.pop()
+        if item.tag in HEADINGS:
+            return True
+        todo += [c for c in item.children if not isinstance(c, str)]
+    return False
 
 
 def trim(root: Node) -> Node:
     """Delete boilerplate below a node."""
-    todo = [root]
+    todo = [(root, False)]
     while todo:
-        node = todo.pop()
-        node.children = [c for c in node.children if isinstance(c, str) or not boilerplate(c)]
-        todo += [c for c in node.children if not isinstance(c, str)]
+        node, inside = todo.pop()
+        inside = inside or node.tag in ("article", "main")
+        node.children = [c for c in node.children if isinstance(c, str) or not boilerplate(c, inside)]
+        todo += [(c, inside) for c in node.children if not isinstance(c, str)]
     return root
 
 

@@ -494,3 +494,41 @@ def test_html_copies_of_an_article_keep_their_text(spark):
     for k in [*range(10), *range(40, 60)]:
         assert got[k] == "One story\nFirst part\nSecond part"
     assert got[15] == "Head 15\nOwn 15" and got[33] == "Own 33"
+
+
+@pytest.mark.parametrize(
+    "part, said",
+    [
+        ('<h2 id="related-work">Related work</h2><p>x</p>', "Related work\nx"), ('<h2 id="search-algorithms">Search</h2>', "Search"), ('<section id="legal-basis"><p>Law</p></section>', "Law"),
+        ('<p class="share-price">Up</p>', "Up"), ("<header><h1>Headline</h1></header><p>x</p>", "Headline\nx"), ("<p>so <math><mi>x</mi>=<mn>2</mn></math> holds</p>", "so x=2 holds"),
+        ('<section id="comments"><p>kept anchor</p></section>', "kept anchor"), ('<div class="content-header"><p>kept</p></div>', "kept"), ('<p class="notice">kept</p>', "kept"),
+        ('<div class="ad">Buy</div><p>x</p>', "x"), ('<div class="cookie-notice">We</div><p>x</p>', "x"), ('<div id="comments"><p>R</p></div><p>x</p>', "x"), ('<div class="siteFooter">F</div><p>x</p>', "x"),
+        ("<header>Top</header><p>x</p>", "x"), ("<footer>End</footer><p>x</p>", "x"), ("<aside>Side</aside><p>x</p>", "x"), ('<ul class="share-buttons"><li>S</li></ul><p>x</p>', "x"),
+    ],
+)
+@pytest.mark.parametrize("tag", ["article", "main"])
+def test_html_keeps_what_is_the_articles(part, said, tag):
+    page = f"<html><body><nav>Menu</nav><{tag}>{part}</{tag}></body></html>"
+    assert htmltext.extract(htmltext.trim(htmltext.parse(page)), set()) == said
+
+
+def test_html_templates_equal_a_plain_count(spark):
+    """Leaf blocks counted by hand: gone where 8 or more different articles and 3 in 10 of the host's hold them."""
+    from pyspark.sql import functions as F
+
+    rng, rows, held = random.Random(15), [], {}
+    for k in range(120):
+        host = rng.choice(["a.org", "b.org", "c.org"])
+        parts = [f"Own {rng.randrange(60)}"] + [s for s, p in (("Promise", 0.8), ("Sometimes", 0.33), ("Rare", 0.12)) if rng.random() < p]
+        held[k] = host, tuple(parts)
+        rows.append((k, f"https://{host}/{k}?q=1", "<body><nav>M</nav><article>" + "".join(f"<p>{p}</p>" for p in parts) + "</article></body>"))
+    rows += [rows[3], rows[3], (300, "https://a.org/long", "<body><article>" + "<p>Long part here</p>" * 20_000 + "</article></body>")]
+    held[300] = "a.org", ("Long part here",) * 20_000
+    articles = {(h, p) for h, p in held.values()}
+    hosts = Counter(h for h, _ in articles)
+    pages = Counter((h, x) for h, p in articles for x in set(p))
+    gone = {k for k, n in pages.items() if n >= 8 and n >= 0.3 * hosts[k[0]]}
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit("x") for c in ("host", "text", "templates", "slices", "slice", "shape", "n")})
+    got = htmltext.main_text(df).collect()
+    expected = Counter((k, "\n".join(x for x in held[k][1] if (held[k][0], x) not in gone)) for k, _, _ in rows)
+    assert by_row(got, "page_id", "text") == expected and gone
