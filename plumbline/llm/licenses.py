@@ -3,9 +3,13 @@
 One automaton runs over the normalised words of a text (joined by single spaces), so a phrase matches
 wherever its words stand one after the other, whatever stood between them.  Where the words of an
 identifier tag are found, the raw line behind the tag is parsed as a licence expression with the
-operators AND, OR and WITH (WITH binds tightest, then AND, then OR) and evaluated.
+operators AND, OR and WITH (WITH binds tightest, then AND, then OR) and evaluated: of OR, the side that
+permissive terms suffice for is taken, so only its labels count; AND needs both.
 
-Defined results: null and empty texts have no words, no labels and score 0; unbalanced or unreadable
+``verdict`` is "permissive" if every licence that was found is, "restricted" if one is not, "" for none; an
+evaluated expression is one of them.  ``score`` says how sure it is that the text carries licence terms.
+
+Defined results: null and empty texts have no words, no labels, no verdict and score 0; unbalanced or unreadable
 expressions yield the identifiers that can be read; repeated rows repeat; whole texts are scanned,
 however long; other columns are ignored.
 """
@@ -60,7 +64,8 @@ class Expression:
 
 
 def label_of(identifier: str) -> str | None:
-    return next((label for prefix, label in FAMILIES if identifier.startswith(prefix)), None)
+    """The label of an identifier: a family's name, alone or with a version behind it ("gpl-2.0", "gplv3", "apache2")."""
+    return next((label for prefix, label in FAMILIES if re.match(rf"{prefix}(?:$|[^a-z]|v?[0-9])", identifier)), None)
 
 
 PRECEDENCE = {"or": 1, "and": 2, "with": 3}
@@ -110,7 +115,11 @@ def evaluate(text: str) -> Expression | None:
                 stack.append(Expression(a.labels, a.permissive, f"{a.text} with {b.text}"))
             else:
                 free = a.permissive or b.permissive if t == "or" else a.permissive and b.permissive
-                stack.append(Expression(a.labels | b.labels, free, f"({' '.join(sorted([a.text, b.text])[:1])} {t} {sorted([a.text, b.text])[1]})"))
+                labels = a.labels | b.labels
+                if t == "or" and a.permissive != b.permissive:
+                    labels = a.labels if a.permissive else b.labels
+                first, second = sorted([a.text, b.text])
+                stack.append(Expression(labels, free, f"({first} {t} {second})"))
     return stack[0] if stack else None
 
 
@@ -128,7 +137,7 @@ class Scanner:
         self.automaton.make_automaton()
 
     def __call__(self, text: str) -> tuple:
-        """n_words, n_base, first_word, last_word, base_labels, labels, score, expression."""
+        """n_words, n_base, first_word, last_word, base_labels, labels, score, expression, verdict."""
         words = text.encode().translate(WORD_BYTES).split(b" ")
         words = [w for w in words if w]
         joined = f" {b' '.join(words).decode()} "
@@ -150,14 +159,16 @@ class Scanner:
             read = [e for m in TAG_RAW.finditer(lowered) if (e := evaluate(m[1]))]
         other = {label for _, label in longest.values()}
         labels = base | other | {x for e in read for x in e.labels}
-        # each independent kind of evidence halves the doubt
-        evidence = 2 * len(read) + len(base) + len(other)
+        # each independent kind of evidence halves the doubt, an expression with a known licence twice
+        evidence = 2 * sum(bool(e.labels) for e in read) + len(base) + len(other)
+        found = [x in PERMISSIVE for x in base | other] + [e.permissive for e in read]
+        verdict = ("permissive" if all(found) else "restricted") if found else ""
         first, last = (joined.count(" ", 0, f(starts)) if starts else None for f in (min, max))
-        return (len(words), len(starts), first, last, ",".join(sorted(base)), ",".join(sorted(labels)), 1 - 0.5**evidence, " ; ".join(e.text for e in read))
+        return (len(words), len(starts), first, last, ",".join(sorted(base)), ",".join(sorted(labels)), 1 - 0.5**evidence, " ; ".join(e.text for e in read), verdict)
 
 
 ASCII_LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
-SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, expression string"
+SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, expression string, verdict string"
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -165,9 +176,9 @@ def scan(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner()
-        kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), pa.string()]
+        kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), pa.string(), pa.string()]
         for batch in batches:
-            columns = list(zip(*(scanner(t) for t in texts(batch)))) or [[]] * 8
+            columns = list(zip(*(scanner(t) for t in texts(batch)))) or [[]] * 9
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=[c.split()[0] for c in SCHEMA.split(", ")])
 
     return slim(docs).mapInArrow(run, SCHEMA)

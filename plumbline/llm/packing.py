@@ -4,8 +4,9 @@ A window holds ``capacity`` tokens.  N[h] counts the open windows filled to leve
 tokens goes to the level whose choice makes the sum of N[h]^2 smallest: moving a window from h to
 h + s changes it by 2 (N[h+s] - N[h]) + 2, a new window by 2 N[s] + 1, filling one up by 1 - 2 N[h].
 Ties go to the fullest level.  Each partition packs its own documents, so nothing is shuffled and a
-lost task repeats alone.  What is open when a partition ends is laid out again, cut into full windows
-and, for the rest, windows of a power of two, which need no padding.
+lost task repeats alone.  When a partition ends, the fuller of its open windows stay as the method filled them,
+and the emptiest give up their pieces, cut where needed, to fill these; what is left of the last one goes to
+windows of a power of two, so nothing is padded.  ``relaid`` marks the pieces that were given up.
 
 Defined results: a null or empty text is the single end id; long documents are cut at ``capacity``;
 repeated rows are packed as separate documents; an empty table gives no pieces; other columns are
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from collections import deque
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from unicodedata import is_normalized
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame
 
 from .common import bounded_batches, slim, texts
 
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, relaid boolean"
 #: Chunks whose ids a task remembers before it starts anew; texts encoded together.
 CACHE_WORDS, GROUP = 600_000, 500
 PUNCTUATION = ".,;:!?|%*&#$"
@@ -66,22 +68,39 @@ class LevelArray:
         return None
 
     def drain(self) -> Iterator[list]:
-        """Lay the open windows' pieces out again without padding: full windows, then powers of two."""
-        pieces = [p for level in range(self.capacity, 0, -1) for w in self.open[level] for p in w]
-        left = sum(len(p[2]) for p in pieces)
-        room, window = self._room(left), []
-        for doc, start, ids, total in pieces:
-            at = 0
-            while at < len(ids):
-                take = min(room, len(ids) - at)
-                window.append((doc, start + at, ids[at : at + take], total))
-                at, room, left = at + take, room - take, left - take
-                if not room:
-                    yield window
-                    room, window = self._room(left), []
-
-    def _room(self, left: int) -> int:
-        return self.capacity if left >= self.capacity else 1 << max(left.bit_length() - 1, 0)
+        """The open windows without padding: the emptiest give their pieces to fill the fuller ones.
+
+        Pieces that moved carry a fifth field, true.
+        """
+        held = deque(w for level in range(self.capacity, 0, -1) for w in self.open[level])
+        loose: deque[tuple] = deque()  # pieces of the window that is being given up
+
+        def taken(room: int) -> Iterator[tuple]:
+            """Pieces of ``room`` tokens, or all there are."""
+            while room:
+                if not loose:
+                    if not held:
+                        return
+                    loose.extend(held.pop())
+                doc, start, ids, total, *_ = loose.popleft()
+                if len(ids) > room:
+                    loose.appendleft((doc, start + room, ids[room:], total))
+                yield doc, start, ids[:room], total, True
+                room -= min(room, len(ids))
+
+        while held:
+            window = held.popleft()
+            window += taken(self.capacity - sum(len(p[2]) for p in window))
+            left = sum(len(p[2]) for p in window)
+            if left == self.capacity:
+                yield window
+            else:
+                loose.extend(window)
+        left = sum(len(p[2]) for p in loose)
+        while left:
+            room = 1 << (left.bit_length() - 1)
+            yield list(taken(room))
+            left -= room
 
 
 @lru_cache(maxsize=2)
@@ -195,8 +214,8 @@ def pack(docs: DataFrame, tokenizer: Callable[[], WordTokenizer], end_id: int =
         rows: list[tuple] = []
         for k, window in enumerate(pack_partition(encoded(), capacity)):
             at = 0
-            for doc, start, ids, total in window:
-                rows.append((doc, start, len(ids), zlib.crc32(ids.tobytes()), total, base + k, at))
+            for doc, start, ids, total, *moved in window:
+                rows.append((doc, start, len(ids), zlib.crc32(ids.tobytes()), total, base + k, at, bool(moved)))
                 at += len(ids)
             if len(rows) > 20_000:
                 yield _batch(rows)
@@ -209,7 +228,8 @@ def pack(docs: DataFrame, tokenizer: Callable[[], WordTokenizer], end_id: int =
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     names = [c.split()[0] for c in SCHEMA.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=names)
+    kinds = [pa.int64()] * 7 + [pa.bool_()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
 
 def word_bpe(path: str) -> Callable[[], WordTokenizer]:

@@ -44,13 +44,18 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed")
 
 
+def quality_rule_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the strictest policy rejects, and what it alone rejects."""
+    return quality.ablation(quality.ledger(table(spark, sf_dir, "documents")), "strict")
+
+
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.main_text(table(spark, sf_dir, "pages"))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")), locate=True)
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +80,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_byte_bpe, op2_license_scan, op3_media_webp, op4_packing, op5_quality_rules, op6_html_extraction, op7_toxicity, op8_lm_scoring, op9_substring_dedup, op10_simhash, pipeline)
+    own = (op1_byte_bpe, op2_license_scan, op3_media_webp, op4_packing, op5_quality_rules, op6_html_extraction, op7_toxicity, op8_lm_scoring, op9_substring_dedup, op10_simhash, pipeline, quality_rule_ablation)
     return {f.__name__: f for f in own}
 
 
@@ -123,6 +128,12 @@ SELECT d.doc_id, len(d.words)::BIGINT AS n_words, (len(d.words) - coalesce(kept.
 FROM d LEFT JOIN kept USING (doc_id)
 """
 
+_RULES = "(VALUES " + ", ".join(f"({b}, '{name}')" for b, (name, _) in quality.RULES.items()) + ") AS r(bit, rule)"
+_ABLATION = _OP5[: _OP5.rindex("SELECT doc_id, n_words::BIGINT")] + f"""
+SELECT 'strict' AS policy, bit, rule, count_if(failed & (1 << bit) <> 0)::BIGINT AS n_failed, count_if(failed = 1 << bit)::BIGINT AS n_only, count(*)::BIGINT AS n_docs
+FROM b, {_RULES} GROUP BY bit, rule
+"""
+
 _OP8 = r"""
 WITH d AS (
   SELECT row_number() OVER () AS row, doc_id, doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL) AS good,
@@ -144,4 +155,4 @@ FROM d LEFT JOIN s USING (row)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality_rules": _OP5, "op8_lm_scoring": _OP8, "op9_substring_dedup": _OP9}
+    return {"op5_quality_rules": _OP5, "quality_rule_ablation": _ABLATION, "op8_lm_scoring": _OP8, "op9_substring_dedup": _OP9}

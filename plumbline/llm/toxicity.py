@@ -6,14 +6,15 @@ gives: a sentence without a known word, or with words of no weight, adds nothing
 toxic by its length.  Weights follow the gradient of the documents' log loss, so
 labels of documents teach which sentences offend, and the same scores locate them.
 
-The classifier is fitted on a sample of labelled documents bounded by ``sample_docs`` (chosen by a hash
-of the id) and a vocabulary of ``vocabulary`` words with the largest association with toxicity; both
-are parameters.  Word counts for the choice are made in Spark; the driver gets the chosen words and,
-for each sampled document, the chosen words of its sentences.  Every document is scored whole.
+The classifier is fitted on the first ``sample_docs`` labelled ids in the order of their hash, a documented
+parameter; its words are all words of the sample that speak for toxicity beyond chance.  Word counts for the
+choice are made in Spark; the driver gets the chosen words and, for each sampled document, the chosen words
+of its sentences, which the sample bounds.  Every document is scored whole.
 
 Defined results: null and empty texts score 0, as all texts without a known word; rows with null
-labels are no training rows; rows with a null id are never held out; with no labelled documents of both
-kinds every score is 0 but for rounding; repeated rows are scored alike; other columns are ignored.
+labels are no training rows; an id with labels of both kinds is toxic; rows with a null id are never held
+out; with no labelled documents of both kinds every score is 0 but for rounding; repeated rows are scored
+alike; very long texts are whole; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +31,11 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, slim, texts, written
 
 SENTENCES, WORD = re.compile(r"[.!?\n]+"), re.compile(r"\w+")
-SAMPLE_DOCS, VOCABULARY, THRESHOLD = 12_000, 1_000, 0.3
+SAMPLE_DOCS, THRESHOLD = 12_000, 0.3
+#: Weight decay of the fit: what keeps a word seen a few times from condemning a document alone.
+DECAY = 1e-3
+#: The bias that the fit is drawn to, and how strongly.
+QUIET, PULL = -4.0, 0.02
 #: The least likelihood-ratio statistic of a chosen word (one in a thousand by chance).
 MIN_GAIN = 10.8
 
@@ -50,6 +55,12 @@ class Model:
         """The probability of each sentence, in order."""
         return [float(-np.expm1(-beyond(self._logit(s), self.bias))) for s in SENTENCES.split(text)]
 
+    def offending(self, text: str, threshold: float) -> list[dict]:
+        """The sentences that reach the threshold, or else the worst."""
+        said = self.sentences(text)
+        level = min(threshold, max(said))
+        return [{"sentence": i, "text": s, "score": p} for i, (s, p) in enumerate(zip(SENTENCES.split(text), said)) if p >= level]
+
     def _logit(self, sentence: str) -> float:
         words, weights = self.words, self.weights
         return self.bias + sum(weights[i] for i in {words[w] for w in WORD.findall(sentence.lower()) if w in words})
@@ -69,42 +80,52 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
 
 
-def fit_noisy_or(bags: list[list[list[int]]], toxic: np.ndarray, size: int, rounds: int = 400, l2: float = 1e-5, quiet_bias: float = -9.0) -> tuple[np.ndarray, float]:
-    """Weights and bias from documents given as lists of sentences of word numbers (Adam on the log loss).
+def loss_of(weights: np.ndarray, bias: float, bags: list[list[list[int]]], toxic: np.ndarray, decay: float = DECAY) -> float:
+    """Half the mean log loss of the toxic documents, half that of the others, the decay of the weights and the pull of the bias."""
+    none = np.array([sum(beyond(bias + weights[s].sum(), bias) for s in b) for b in bags]) + 1e-9
+    said = np.where(toxic == 1, -np.log(-np.expm1(-none)), none)
+    return float(sum(said[toxic == k].mean() for k in (0, 1) if (toxic == k).any()) / 2 + decay / 2 * (weights**2).sum() + PULL / 2 * (bias - QUIET) ** 2)
+
+
+def fit_noisy_or(bags: list[list[list[int]]], toxic: np.ndarray, size: int, rounds: int = 1000, decay: float = DECAY) -> tuple[np.ndarray, float]:
+    """Weights and bias from documents given as lists of sentences of word numbers (Adam on ``loss_of``).
 
-    The words were chosen because they speak for toxicity, so no weight falls below zero.  Only
-    sentences with a known word are listed; the bias is fixed, and a sentence counts by what its words
-    add to it.
+    The words were chosen because they speak for toxicity, so no weight falls below zero.  Only sentences with a
+    known word are listed, and a sentence counts by what its words add to the bias, which is fitted, too.
     """
     doc = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
     flat = [s for b in bags for s in b]
     sent = np.repeat(np.arange(len(flat)), [len(s) for s in flat])
     word = np.array([w for s in flat for w in s], dtype=np.int64)
-    w, m, v = np.zeros(size), np.zeros(size), np.zeros(size)
-    share = np.where(toxic == 1, 0.5 / max(toxic.sum(), 1), 0.5 / max((toxic == 0).sum(), 1)) * len(toxic)
+    x = np.append(np.zeros(size), QUIET)  # the weights, then the bias
+    best, least = x, np.inf
+    m, v = np.zeros(size + 1), np.zeros(size + 1)
+    share = np.where(toxic == 1, 0.5 / max((toxic == 1).sum(), 1), 0.5 / max((toxic == 0).sum(), 1))
     for t in range(1, rounds + 1):
-        z = quiet_bias + np.bincount(sent, w[word], len(flat))
-        none = np.bincount(doc, beyond(z, quiet_bias), len(bags)) + 1e-9  # -log of no sentence offending
+        w, bias = x[:-1], x[-1]
+        z = bias + np.bincount(sent, w[word], len(flat))
+        none = np.bincount(doc, beyond(z, bias), len(bags)) + 1e-9  # -log of no sentence offending
+        now = (share * np.where(toxic == 1, -np.log(-np.expm1(-none)), none)).sum() + decay / 2 * (w * w).sum() + PULL / 2 * (bias - QUIET) ** 2
+        if now < least:
+            best, least = x, now
         # d loss / d none: 1 for clean documents, -e^-none / (1 - e^-none) for toxic ones
-        slope = share * np.where(toxic == 1, -1 / np.expm1(np.minimum(none, 50)), 1.0)
-        slope = np.clip(slope, -1e3, 1e3)
-        p = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
-        g = np.bincount(word, (slope[doc] * p)[sent], size) / len(toxic) + l2 * w
+        slope = share * np.clip(np.where(toxic == 1, -1 / np.expm1(np.minimum(none, 50)), 1.0), -1e3, 1e3)
+        p, quiet = 1 / (1 + np.exp(-np.clip(z, -50, 50))), 1 / (1 + np.exp(-bias))
+        g = np.append(np.bincount(word, (slope[doc] * p)[sent], size) + decay * w, (slope[doc] * (p - quiet)).sum() + PULL * (bias - QUIET))
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w = np.maximum(w - 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8), 0.0)
-    return w, quiet_bias
+        x = x - 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        x[:-1] = np.maximum(x[:-1], 0.0)
+    return best[:-1], float(best[-1])
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, vocabulary: int = VOCABULARY) -> Model:
+def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     spark = docs.sparkSession
     bounded_batches(spark)
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     rows = rows.where(F.col("toxic").isin(0, 1) & ~held_out() & F.col("doc_id").isNotNull())
-    n = max(rows.count(), 1)
-    share = min(1.0, sample_docs / n)
-    rows = rows.where(F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1_000_000)) < F.lit(int(share * 1_000_000))).dropDuplicates(["doc_id"])
-    # the hash takes about sample_docs rows; the limit, twice that, is what proves that they can be broadcast
-    rows = F.broadcast(rows.limit(2 * sample_docs))
+    # one row an id, the first in the order of a hash: what bounds them is what proves that they can be broadcast
+    rows = rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
+    rows = F.broadcast(rows)
     sample = written(slim(docs).where("text IS NOT NULL").join(rows, "doc_id").select("text", "toxic"), "sample")
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,7 +149,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, vo
     cells = ((bad, seen * share), (F.col("clean"), seen * (1 - share)), (n_bad - bad, (n_bad + n_clean - seen) * share), (n_clean - F.col("clean"), (n_bad + n_clean - seen) * (1 - share)))
     gain = 2 * sum((term(o, e) for o, e in cells), F.lit(0.0))
     counts = counts.where((seen >= 3) & (bad > seen * share)).withColumn("gain", gain).where(F.col("gain") >= MIN_GAIN)
-    chosen = [r["word"] for r in counts.orderBy(F.desc("gain"), "word").limit(vocabulary).select("word").collect()]
+    chosen = [r["word"] for r in counts.orderBy(F.desc("gain"), "word").select("word").collect()]
     index = {w: i for i, w in enumerate(chosen)}
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +164,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, vo
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, locate: bool = False) -> DataFrame:
-    """doc_id, held_out, score, predicted; ``locate`` adds the numbers and texts of sentences over the threshold."""
+    """doc_id, held_out, score, predicted; ``locate`` adds ``offending``: of predicted documents the sentences at the
+    threshold or over it, or the worst one where only several together reach it (number, text, score)."""
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,7 +174,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, locate: b
             scores = np.array([model.score(t) for t in texts(batch)])
             out = [batch.column(0), pa.array(scores, pa.float64())]
             if locate:
-                spots = [[{"sentence": i, "text": s, "score": float(p)} for i, (s, p) in enumerate(zip(SENTENCES.split(t), model.sentences(t))) if p >= threshold] for t in texts(batch)]
+                spots = [model.offending(t, threshold) if s >= threshold else [] for t, s in zip(texts(batch), scores)]
                 out.append(pa.array(spots, where))
             yield pa.RecordBatch.from_arrays(out, names=["doc_id", "score", "offending"][: len(out)])
 

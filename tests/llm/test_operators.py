@@ -86,26 +86,11 @@ def test_merger_on_random_words():
         assert merge(word) == own._encode_single_piece(word)
 
 
-def test_blocks_of_any_size_give_the_same(spark, monkeypatch):
+@pytest.mark.parametrize("chars", [1, 300])
+def test_blocks_of_any_size_give_the_same(spark, monkeypatch, chars):
     whole = by_row(bpe.encode_decode(frame(spark), ranks_path(), public.PATTERN).collect(), "doc_id", "ids_sha256")
-    monkeypatch.setattr(bpe, "BLOCK_CHARS", 1)
-    run = bpe._split_blocks(public.PATTERN, 3)
-    import pyarrow as pa
-
-    batch = pa.RecordBatch.from_pydict({"doc_id": [i for i, _ in ROWS], "text": [t for _, t in ROWS]})
-    rows = [r for b in run(iter([batch])) for r in b.to_pylist()]
-    merged = [r for b in bpe._merge_words(ranks_path())(iter([pa.RecordBatch.from_pylist(rows, schema=batch_schema())])) for r in b.to_pylist()]
-    out = Counter()
-    for key in {r["block"] for r in merged}:
-        group = pa.Table.from_pylist([r for r in merged if r["block"] == key], schema=batch_schema())
-        out += by_row(bpe._reassemble(ranks_path(), False)(group).to_pylist(), "doc_id", "ids_sha256")
-    assert set(out) == set(whole)
-
-
-def batch_schema():
-    import pyarrow as pa
-
-    return pa.schema([("block", pa.int64()), ("part", pa.int64()), ("kind", pa.int32()), ("payload", pa.binary()), ("size", pa.int64())])
+    monkeypatch.setattr(bpe, "BLOCK_CHARS", chars)
+    assert by_row(bpe.encode_decode(frame(spark), ranks_path(), public.PATTERN).collect(), "doc_id", "ids_sha256") == whole
 
 
 def test_license_words_and_places(spark):
@@ -126,9 +111,11 @@ def test_license_words_and_places(spark):
     "text, labels, permissive",
     [
         ("MIT", {"mit"}, True),
-        ("GPL-2.0-only OR MIT", {"gpl", "mit"}, True),
+        ("GPL-2.0-only OR MIT", {"mit"}, True),
         ("GPL-2.0 AND MIT", {"gpl", "mit"}, False),
-        ("(GPL-2.0 OR MIT) AND Apache-2.0", {"gpl", "mit", "apache"}, True),
+        ("(GPL-2.0 OR MIT) AND Apache-2.0", {"mit", "apache"}, True),
+        ("Mitre-1.0", set(), False),
+        ("GPLv3 AND Apache2", {"gpl", "apache"}, False),
         ("GPL-2.0 OR MIT AND LGPL-2.1", {"gpl", "mit", "lgpl"}, False),
         ("GPL-2.0 WITH Classpath-exception-2.0", {"gpl"}, False),
         ("((MIT", {"mit"}, True),
@@ -148,6 +135,17 @@ def test_license_tags():
     assert licenses.Scanner()("Licensed under CC BY-NC 4.0.")[5] == "cc-by-nc"
 
 
+def test_license_expressions_bear_on_the_rows(spark):
+    rows = [
+        (0, "SPDX-License-Identifier: GPL-2.0-only OR MIT", "mit", "permissive", 0.75), (1, "SPDX-License-Identifier: GPL-2.0-only AND MIT", "gpl,mit", "restricted", 0.75),
+        (2, "License-Expression: (LGPL-2.1 OR Apache-2.0) AND BSD-3-Clause\nMIT License", "apache,bsd,mit", "permissive", 0.875), (3, "SPDX-License-Identifier: NONE-OF-THESE", "", "restricted", 0.0),
+        (4, "a GNU General Public License and SPDX-License-Identifier: MIT", "gpl,mit", "restricted", 0.875), (5, "no licence here", "", "", 0.0), (6, None, "", "", 0.0), (5, "no licence here", "", "", 0.0),
+        (7, "word " * 50_000 + "\nSPDX-License-Identifier: GPL-2.0 WITH Classpath-exception-2.0", "gpl", "restricted", 0.75),
+    ]
+    got = licenses.scan(frame(spark, [r[:2] for r in rows])).collect()
+    assert by_row(got, "doc_id", "labels", "verdict", "score") == Counter((i, *rest) for i, _, *rest in rows)
+
+
 @pytest.mark.parametrize("shape", [(1, 1), (3, 5), (20, 37)])
 @pytest.mark.parametrize("transforms", [(), (0,), (1,), (2,), (3,), (0, 1, 2), (3, 0)])
 @pytest.mark.parametrize("cache_bits, references", [(0, False), (4, True), (10, False)])
@@ -161,6 +159,45 @@ def test_webp_round_trip(shape, transforms, cache_bits, references):
         assert (webp.argb(webp.decode(webp.encode_argb(image, transforms, cache_bits, references))) == image).all()
 
 
+def bits(*fields):
+    """Bytes of (value, width) fields, lowest bit first: streams written by hand from the format's description."""
+    n = sum(v << sum(w for _, w in fields[:k]) for k, (v, _) in enumerate(fields))
+    return n.to_bytes(-(-sum(w for _, w in fields) // 8), "little")
+
+
+def container(stream):
+    stream = b"\x2f" + stream
+    chunk = b"VP8L" + len(stream).to_bytes(4, "little") + stream + b"\0" * (len(stream) % 2)
+    return b"RIFF" + (4 + len(chunk)).to_bytes(4, "little") + b"WEBP" + chunk
+
+
+def one(symbol):
+    """A prefix code of one symbol of eight bits."""
+    return [(1, 1), (0, 1), (1, 1), (symbol, 8)]
+
+
+NO_DISTANCE = [(1, 1), (0, 1), (0, 1), (0, 1)]
+
+
+def test_webp_reads_streams_written_by_hand():
+    size = lambda w, h: [(w - 1, 14), (h - 1, 14), (1, 1), (0, 3)]
+    plain = bits(*size(2, 1), (0, 1), (0, 1), (0, 1), *one(0x22), *one(0x11), *one(0x33), *one(0xFF), *NO_DISTANCE)
+    assert webp.argb(webp.decode(container(plain))).tolist() == [[0xFF112233, 0xFF112233]]
+    # subtract green: red and blue are stored less green
+    green = bits(*size(1, 1), (1, 1), (2, 2), (0, 1), (0, 1), (0, 1), *one(0x10), *one(0x01), *one(0xFF), *one(0xFF), *NO_DISTANCE)
+    assert webp.argb(webp.decode(container(green))).tolist() == [[0xFF11100F]]
+    # predictor: mode 1 (left) for one block; the first pixel is stored less opaque black, the next less its left one
+    mode = [(0, 1), *one(1), *one(0), *one(0), *one(0xFF), *NO_DISTANCE]
+    left = bits(*size(3, 1), (1, 1), (0, 2), (0, 3), *mode, (0, 1), (0, 1), (0, 1), *one(0x05), *one(0), *one(0x02), *one(0), *NO_DISTANCE)
+    assert webp.argb(webp.decode(container(left))).tolist() == [[0xFF000502, 0xFF000A04, 0xFF000F06]]
+    # two greens of one bit each, told apart pixel by pixel
+    pair = bits(*size(4, 1), (0, 1), (0, 1), (0, 1), (1, 1), (1, 1), (1, 1), (7, 8), (9, 8), *one(0), *one(0), *one(0xFF), *NO_DISTANCE, (0, 1), (1, 1), (1, 1), (0, 1))
+    assert webp.argb(webp.decode(container(pair))).tolist() == [[0xFF000700, 0xFF000900, 0xFF000900, 0xFF000700]]
+    # the published one-pixel file by which browsers are asked for lossless support
+    known = base64.b64decode("UklGRhoAAABXRUJQVlA4TA0AAAAvAAAAEAcQERGIiP4HAA==")
+    assert webp.decode(known).shape[:2] == (1, 1)
+
+
 def test_webp_neighbours_are_the_formats():
     near = webp.neighbours()
     assert len(near) == 120 and near[:8] == [(0, 1), (1, 0), (1, 1), (-1, 1), (0, 2), (2, 0), (1, 2), (-1, 2)] and near[-1] == (8, 7)
@@ -243,6 +280,18 @@ def test_tokenizer_cache_is_exact():
         assert cached(s).tolist() == own.encode(s, add_special_tokens=False).ids
 
 
+def test_packing_keeps_what_the_method_placed():
+    rng = random.Random(16)
+    docs = [(i, np.arange(rng.randrange(1, 1500), dtype="<u4")) for i in range(1500)]
+    windows = list(packing.pack_partition(iter(docs), 2048))
+    pieces = [p for w in windows for p in w]
+    sizes = [sum(len(p[2]) for p in w) for w in windows]
+    assert sum(s == 2048 for s in sizes) >= len(sizes) - 11 and all(s & (s - 1) == 0 for s in sizes)
+    for i, ids in docs:
+        assert np.concatenate([p[2] for p in sorted((p for p in pieces if p[0] == i), key=lambda p: p[1])]).tolist() == ids.tolist()
+    assert sum(len(p[2]) for p in pieces if len(p) == 5) < 0.2 * sum(sizes)
+
+
 def measured(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
@@ -305,6 +354,50 @@ def test_toxicity_learns_and_locates(spark):
     assert toxicity.train(docs, marks.where("toxic = 0")).score("anything") < 1e-9
 
 
+def test_toxicity_equals_brute_force(spark):
+    """The words by a plain likelihood ratio, the fit by its loss, and every score by the noisy-or of its sentences."""
+    rng, rows, labels = random.Random(17), [], []
+    for i in range(300):
+        rows.append((i, ". ".join(prose(3000 + 7 * i + k, 6).replace("\n", " ") + (" Grumblewort" if i % 3 == 0 and k == 1 and rng.random() < 0.9 else " snark" if rng.random() < (0.2 if i % 3 else 0.45) else "") for k in range(3))))
+        labels.append((i, 1, int(i % 3 == 0)))
+    rows += [rows[5], (None, "grumblewort"), (400, "calm words here " * 30_000)]
+    labels += [(7, 1, 1), (7, 1, 0), (None, 1, 1), (12, 1, None)]
+    model = toxicity.train(frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    truth = {}
+    for i, _, t in labels:
+        if i is not None and t is not None and zlib.crc32(str(i).encode()) % 4 != 2:
+            truth[i] = max(t, truth.get(i, 0))
+    seen = [(set(re.findall(r"\w+", t.lower())), truth[i]) for i, t in rows if i in truth]
+    n = Counter(t for _, t in seen)
+    chosen = set()
+    for w in set().union(*(s for s, _ in seen)):
+        table = np.array([[sum(w in s for s, t in seen if t == k), sum(w not in s for s, t in seen if t == k)] for k in (1, 0)], float)
+        expected = table.sum(1, keepdims=True) * table.sum(0, keepdims=True) / table.sum()
+        gain = 2 * sum(o * np.log(o / e) for o, e in zip(table.ravel(), expected.ravel()) if o)
+        if table[:, 0].sum() >= 3 and table[0, 0] > expected[0, 0] and gain >= toxicity.MIN_GAIN:
+            chosen.add(w)
+    assert set(model.words) == chosen and {"grumblewort", "snark"} <= chosen and n[1] and n[0]
+    bags = [[s for s in ([model.words[w] for w in set(re.findall(r"\w+", x)) if w in model.words] for x in re.split(r"[.!?\n]+", t.lower())) if s] for i, t in rows if i in truth]
+    toxic = np.array([truth[i] for i, _ in rows if i in truth])
+    least = toxicity.loss_of(model.weights, model.bias, bags, toxic)
+    for _ in range(30):
+        moved = np.maximum(model.weights + np.random.default_rng(rng.randrange(999)).normal(0, 0.3, len(model.weights)), 0)
+        assert toxicity.loss_of(moved, model.bias + rng.uniform(-0.3, 0.3), bags, toxic) > least - 5e-3
+    got = toxicity.score(frame(spark, rows), model, locate=True).collect()
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    by_hand = Counter()
+    for i, t in rows:
+        clean = 1.0
+        for x in re.split(r"[.!?\n]+", t.lower()):
+            p = sigmoid(model.bias + sum(model.weights[model.words[w]] for w in set(re.findall(r"\w+", x)) if w in model.words))
+            clean *= (1 - p) / (1 - sigmoid(model.bias))
+        by_hand[i, round(1 - clean, 6)] += 1
+    assert Counter((r["doc_id"], round(r["score"], 6) + 0.0) for r in got) == by_hand
+    for r in got:
+        assert bool(r["offending"]) == bool(r["predicted"])
+        assert all("grumblewort" in s["text"].lower() or "snark" in s["text"] for s in r["offending"])
+
+
 def lm_by_hand(rows, target, discount=0.75):
     """Losses of every document from plain dictionaries, and the two models as functions."""
     cut = {k: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(simhash.LOWER)) for k, (_, t) in enumerate(rows)}
@@ -449,6 +542,7 @@ def test_one_of_each_keeps_all_columns(spark):
         lambda d: quality.apply_policy(quality.ledger(d)),
         lambda d: toxicity.score(d, toxicity.train(d, d.selectExpr("doc_id", "1 AS toxic"))),
         lambda d: lmscore.score(d, d.select("doc_id")),
+        quality.ledger,
         substring.remove_repeats,
         simhash.groups,
     ],
