@@ -1,15 +1,15 @@
 """Byte-level BPE over a global shuffle of distinct words.
 
-1. Tasks split texts into pre-tokens.  A block of documents explodes into its distinct words (word, block,
-   number); the documents themselves become sequences of word numbers, a position for each pre-token.
-2. Words are grouped over all blocks; each distinct word of the corpus is merged once.  Decoding joins its ids
-   with the token-byte table (id, bytes), which the vocabulary bounds.
-3. Ids and bytes are joined back on the word, come together with the sequences of their block, and documents are
-   reassembled by position.
+1. Every partition splits its texts into pre-tokens and numbers the distinct words of a block of
+   documents; a document becomes the sequence of its word numbers, a position for each pre-token.
+2. The blocks' words are dealt to buckets by hash, so all copies of a word in the corpus meet in one task,
+   once per block however often it occurs there; that task merges each distinct word once.  Words travel
+   packed, a row a block and bucket: a row a block and word took more than the disk allows (see the README).
+3. The ids go back to the blocks, and documents are reassembled by position.  Decoding joins the ids
+   with the token-byte table, which the vocabulary bounds (about 50,000 rows, under 1 MB).
 
-A word has at most one row a block, so the most frequent one has no more rows than there are blocks.  A block's
-key hashes its place and content, so a block that a recomputed task cut differently can't meet the words of
-another one: it raises instead.
+A block's key hashes its place and content, so a block that a recomputed task cut differently can't meet the
+ids of another one: it raises instead.
 
 Defined results: null texts are empty, an empty text has no ids and the hash of no bytes; repeated
 rows give repeated results; very long texts and very long single words are whole; an empty table
@@ -21,19 +21,21 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, slim, texts
+from .common import bounded_batches, pack, slim, texts, unpack
 
-#: Characters of text in a block; rows of words passed on together.
-BLOCK_CHARS, ROWS = 24_000_000, 100_000
+#: Characters of text in a block, and distinct words a merging worker remembers.
+BLOCK_CHARS, MEMO_WORDS = 24_000_000, 1_000_000
+ROUTED = "block long, part long, kind int, payload binary, size long"
+RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_words long"
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -85,154 +87,144 @@ class Numbering(dict):
         return n
 
 
-def pack(*arrays: np.ndarray) -> tuple[bytes, int]:
-    """Arrays in compressed form; the bytes of a number stand in planes, so that high bytes compress away."""
-    raw = b"".join(len(a).to_bytes(8, "little") + np.ascontiguousarray(a.view("u1").reshape(len(a), -1).T).tobytes() for a in arrays)
-    return pa.compress(raw, "zstd", asbytes=True), len(raw)
+def _rows(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string()}
+    fields = [c.split() for c in schema.split(", ")]
+    columns = list(zip(*rows)) or [[] for _ in fields]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields)], names=[n for n, _ in fields])
 
 
-def unpack(payload: bytes, size: int, *kinds: str) -> list[np.ndarray]:
-    raw, at, out = pa.decompress(payload, size, "zstd", asbytes=True), 0, []
-    for kind in kinds:
-        n, item = int.from_bytes(raw[at : at + 8], "little"), np.dtype(kind).itemsize
-        planes = np.frombuffer(raw, "u1", n * item, at + 8).reshape(item, n)
-        out.append(np.ascontiguousarray(planes.T).view(kind).reshape(n))
-        at += 8 + n * item
-    return out
-
-
-class Block:
-    """Documents of one block as sequences of the numbers of their pre-tokens."""
-
-    def __init__(self):
-        self.docs: list[int | None] = []
-        self.seqs: list[np.ndarray] = []
-        self.numbers = Numbering()
-        self.chars = 0
-
-    def add(self, doc: int | None, text: str, found: list[str]) -> None:
-        self.docs.append(doc)
-        self.seqs.append(np.fromiter(map(self.numbers.__getitem__, found), "<i4", len(found)))
-        self.chars += len(text)
-
-    def words(self) -> list[bytes]:
-        return [w.encode() for w in self.numbers]
-
-    def sequences(self) -> tuple[bytes, int]:
-        """Ids of documents, which of them are null, lengths and word numbers, in compressed form."""
-        return pack(np.array([d or 0 for d in self.docs], "<i8"), np.array([d is None for d in self.docs], "u1"), np.array([len(s) for s in self.seqs], "<i8"), np.concatenate(self.seqs))
-
-
-def blocks(pattern: str, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Block]]:
-    """The blocks of a task and their keys, which hash place and content: equal blocks of different places stay apart."""
-    import regex
-    import xxhash
-
-    find = regex.compile(pattern).findall
-    task = TaskContext.get()
-    mark, nr = task.partitionId() if task else 0, 0
-    block, seal = Block(), xxhash.xxh64(f"{mark}/{nr}")
-    for batch in batches:
-        for doc, text in zip(batch.column(0).to_pylist(), texts(batch)):
-            block.add(doc, text, find(text))
-            seal.update(f"{doc}\0{len(text)}\0".encode())
-            seal.update(text.encode())
-            if block.chars >= BLOCK_CHARS:
-                yield seal.intdigest() - (1 << 63), block
-                nr += 1
-                block, seal = Block(), xxhash.xxh64(f"{mark}/{nr}")
-    if block.docs:
-        yield seal.intdigest() - (1 << 63), block
-
-
-def distinct_words(docs: DataFrame, pattern: str) -> DataFrame:
-    """(word, block, number): each distinct pre-token of a block once."""
-
+def _split_blocks(pattern: str, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, block in blocks(pattern, batches):
-            words = block.words()
-            for at in range(0, len(words), ROWS):
-                cut = pa.array(words[at : at + ROWS], pa.binary())
-                yield pa.RecordBatch.from_arrays([cut, pa.array(np.full(len(cut), key)), pa.array(np.arange(at, at + len(cut), dtype=np.int32))], names=["word", "block", "number"])
-
-    return docs.mapInArrow(run, "word binary, block long, number int")
+        import regex
+        import xxhash
+
+        find = regex.compile(pattern).findall
+
+        def block() -> Iterator[pa.RecordBatch]:
+            key = seal.intdigest() - (1 << 63)
+            # frequent words get small numbers
+            seq, words = np.concatenate(seqs), [w.encode() for w in numbers]
+            often = np.argsort(-np.bincount(seq, minlength=len(words)), kind="stable")
+            number = np.empty(len(words), "<i4")
+            number[often] = np.arange(len(words))
+            words = [words[i] for i in often.tolist()]
+            payload, size = pack(np.array([d or 0 for d in docs], "<i8"), np.array([d is None for d in docs], "u1"), np.array([len(s) for s in seqs], "<i8"), number[seq])
+            yield _rows([(key, key, 0, payload, size)], ROUTED)
+            part = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))
+            order = np.argsort(part, kind="stable")
+            cuts = np.flatnonzero(np.diff(part[order], prepend=-1, append=buckets))
+            rows = []
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                mine = [words[i] for i in order[a:b].tolist()]
+                payload, size = pack(np.diff(order[a:b], prepend=0).astype("<i4"), np.array([len(w) for w in mine], "<i4"), np.frombuffer(b"".join(mine), "u1"))
+                rows.append((key, int(part[order[a]]), 1, payload, size))
+            if rows:
+                yield _rows(rows, ROUTED)
+
+        task = TaskContext.get()
+        mark, nr = f"{task.partitionId() if task else 0}", 0  # equal blocks of different places stay apart
+        docs, seqs, numbers, chars, seal = [], [], Numbering(), 0, xxhash.xxh64(f"{mark}/{nr}")
+        for batch in batches:
+            for doc, text in zip(batch.column(0).to_pylist(), texts(batch)):
+                found = find(text)
+                docs.append(doc)
+                seqs.append(np.fromiter(map(numbers.__getitem__, found), "<i4", len(found)))
+                seal.update(f"{doc}\0{len(text)}\0".encode())
+                seal.update(text.encode())
+                chars += len(text)
+                if chars >= BLOCK_CHARS:
+                    yield from block()
+                    nr += 1
+                    docs, seqs, numbers, chars, seal = [], [], Numbering(), 0, xxhash.xxh64(f"{mark}/{nr}")
+        if docs:
+            yield from block()
 
+    return run
 
-def sequences(docs: DataFrame, pattern: str) -> DataFrame:
-    """(block, payload, size): the documents of each block as word numbers, a position for each pre-token."""
 
+def _merge_words(ranks_path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, block in blocks(pattern, batches):
-            payload, size = block.sequences()
-            yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([payload], pa.binary()), pa.array([size])], names=["block", "payload", "size"])
-
-    return docs.mapInArrow(run, "block long, payload binary, size long")
+        merge, known = Merger(load_ranks(ranks_path)), {}
+        for batch in batches:
+            for block, part, kind, payload, size in zip(*(c.to_pylist() for c in batch.columns)):
+                if kind == 0:
+                    yield _rows([(block, part, 0, payload, size)], ROUTED)
+                    continue
+                where, lengths, joined = unpack(payload, size, "<i4", "<i4", "u1")
+                joined, at, ids, counts = joined.tobytes(), 0, [], []
+                for n in lengths.tolist():
+                    word = joined[at : at + n]
+                    at += n
+                    got = known.get(word)
+                    if got is None:
+                        if len(known) >= MEMO_WORDS:
+                            known.clear()
+                        got = known[word] = merge(word)
+                    ids += got
+                    counts.append(len(got))
+                # word numbers go back as they came, as steps from one to the next
+                yield _rows([(block, part, 1, *pack(where, np.array(counts, "<i4"), np.array(ids, "<u4")))], ROUTED)
 
-
-@lru_cache(maxsize=2)
-def _merger(ranks_path: str) -> Merger:
-    return Merger(load_ranks(ranks_path))
-
-
-def encoder(ranks_path: str):
-    """Ids of words, as a function over Arrow batches."""
-
-    @F.arrow_udf("array<int>")
-    def encode(words: pa.Array) -> pa.Array:
-        merge = _merger(ranks_path)
-        ids = [merge(w) for w in words.to_pylist()]
-        ends = np.cumsum([0, *map(len, ids)])
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array([i for x in ids for i in x], pa.int32()))
-
-    return encode
-
-
-def token_table(spark: SparkSession, ranks_path: str) -> DataFrame:
-    """(id, token): the bytes of every id; as many rows as the vocabulary has."""
-    return spark.createDataFrame([(rank, token) for token, rank in load_ranks(ranks_path).items()], "id int, token binary")
-
-
-def encoded_words(words: DataFrame, ranks_path: str) -> DataFrame:
-    """(word, ids, bytes): every distinct word of the corpus merged once, and its ids joined with the token table.
-
-    ``words`` is partitioned by word, and so is all that follows; the table, which the vocabulary bounds, is sent
-    to every executor.
-    """
-    known = words.groupBy("word").agg(F.count("*").alias("blocks")).withColumn("ids", encoder(ranks_path)(F.col("word")))
-    tokens = known.select("word", F.posexplode("ids").alias("pos", "id")).join(F.broadcast(token_table(words.sparkSession, ranks_path)), "id")
-    back = tokens.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("pos", "id", "token"))).alias("held"))
-    return back.select("word", F.col("held.id").alias("ids"), F.aggregate("held", F.lit(b""), lambda s, t: F.concat(s, t["token"])).alias("bytes"))
+    return run
 
 
-def _reassemble(with_ids: bool):
-    def run(held: pa.Table, answers: pa.Table) -> pa.Table:
-        docs, nulls, lengths, seq = unpack(held.column("payload")[0].as_py(), held.column("size")[0].as_py(), "<i8", "u1", "<i8", "<i4")
-        order = np.argsort(answers.column("number").to_numpy(), kind="stable")
-        if len(order) != (int(seq.max()) + 1 if len(seq) else 0):
-            raise ValueError("a block lacks words or met those of another one; the task must run again")
-        place = pa.array(order)
-        ids, said = (answers.column(c).take(place).to_pylist() for c in ("ids", "bytes"))
-        shown = [",".join(map(str, x)) for x in ids]
-        counts = np.array([len(x) for x in ids], np.int64)
-        at, rows = 0, []
-        for doc, null, n in zip(docs.tolist(), nulls.tolist(), lengths.tolist()):
-            mine, at = seq[at : at + n].tolist(), at + n
-            row = (None if null else doc, int(counts[mine].sum()) if n else 0, hashlib.sha256(",".join(map(shown.__getitem__, mine)).encode()).hexdigest(), hashlib.sha256(b"".join(map(said.__getitem__, mine))).hexdigest(), n)
-            rows.append((*row, np.array([i for w in mine for i in ids[w]], "<u4").tobytes()) if with_ids else row)
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
-        return pa.table([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[c.split()[0] for c in _result(with_ids).split(", ")])
+def decode_ids(ids: list[int], token_bytes: list[bytes]) -> bytes:
+    """The bytes of an id sequence, by a join with the token-byte table."""
+    return b"".join(map(token_bytes.__getitem__, ids))
+
+
+def _reassemble(ranks_path: str, with_ids: bool):
+    tables: dict[str, list[bytes]] = {}
+
+    def run(group: pa.Table) -> pa.Table:
+        if not tables:  # once per worker
+            ranks = load_ranks(ranks_path)
+            table = [b""] * (max(ranks.values(), default=0) + 1)
+            for token, rank in ranks.items():
+                table[rank] = token
+            tables["bytes"] = table
+        token_bytes = tables["bytes"]
+        kinds, payloads, sizes = (group.column(c).to_pylist() for c in ("kind", "payload", "size"))
+        parts = [unpack(p, s, "<i4", "<i4", "<u4") for k, p, s in zip(kinds, payloads, sizes) if k == 1]
+        n_words = sum(len(p[0]) for p in parts)
+        by_word: list[list[int] | None] = [None] * n_words
+        for where, counts, ids in parts:
+            ends, ids = np.cumsum(counts).tolist(), ids.tolist()
+            begin = 0
+            for w, end in zip(np.cumsum(where).tolist(), ends):
+                if w >= n_words:
+                    raise ValueError("a block met the words of another one; the task must run again")
+                by_word[w] = ids[begin:end]
+                begin = end
+        said = [",".join(map(str, x)) for x in by_word]
+        rows = []
+        for kind, payload, size in zip(kinds, payloads, sizes):
+            if kind:
+                continue
+            docs, nulls, lengths, seq = unpack(payload, size, "<i8", "u1", "<i8", "<i4")
+            if len(seq) and int(seq.max()) >= n_words:
+                raise ValueError("a block lacks words; the task must run again")
+            at, seq = 0, seq.tolist()
+            for doc, null, n in zip(docs.tolist(), nulls.tolist(), lengths.tolist()):
+                mine = seq[at : at + n]
+                at += n
+                ids: list[int] = []
+                for w in mine:
+                    ids += by_word[w]
+                row = (None if null else doc, len(ids), hashlib.sha256(",".join([said[w] for w in mine]).encode()).hexdigest(), hashlib.sha256(decode_ids(ids, token_bytes)).hexdigest(), n)
+                rows.append((*row, np.array(ids, "<u4").tobytes()) if with_ids else row)
+        return pa.Table.from_batches([_rows(rows, RESULT + (", ids binary" if with_ids else ""))])
 
     return run
 
 
-def _result(with_ids: bool) -> str:
-    return "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_words long" + (", ids binary" if with_ids else "")
-
-
 def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = False) -> DataFrame:
     """Token count and digests of ids and decoded bytes per document; ``with_ids`` adds the ids (uint32, little-endian)."""
-    bounded_batches(docs.sparkSession)
-    docs = slim(docs)
-    words = distinct_words(docs, pattern).repartition("word")  # one exchange, read by the count of words and by the join
-    answers = words.join(encoded_words(words, ranks_path), "word").select("block", "number", "ids", "bytes")
-    return sequences(docs, pattern).groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_reassemble(with_ids), _result(with_ids))
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = slim(docs).mapInArrow(_split_blocks(pattern, buckets), ROUTED)
+    # documents of a block travel with its key, words with their bucket: one exchange serves both
+    merged = blocks.repartition(buckets, F.col("part")).mapInArrow(_merge_words(ranks_path), ROUTED)
+    return merged.groupBy("block").applyInArrow(_reassemble(ranks_path, with_ids), RESULT + (", ids binary" if with_ids else ""))

@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,6 +71,22 @@ def dropped(*tables: DataFrame) -> None:
         files.delete(place, True)
 
 
+def pack(*arrays: np.ndarray) -> tuple[bytes, int]:
+    """Arrays in compressed form; the bytes of a number stand in planes, so that high bytes compress away."""
+    raw = b"".join(len(a).to_bytes(8, "little") + np.ascontiguousarray(a.view("u1").reshape(len(a), a.itemsize).T).tobytes() for a in arrays)
+    return pa.compress(raw, "zstd", asbytes=True), len(raw)
+
+
+def unpack(payload: bytes, size: int, *kinds: str) -> list[np.ndarray]:
+    raw, at, out = pa.decompress(payload, size, "zstd", asbytes=True), 0, []
+    for kind in kinds:
+        n, item = int.from_bytes(raw[at : at + 8], "little"), np.dtype(kind).itemsize
+        planes = np.frombuffer(raw, "u1", n * item, at + 8).reshape(item, n)
+        out.append(np.ascontiguousarray(planes.T).view(kind).reshape(n))
+        at += 8 + n * item
+    return out
+
+
 def texts(batch: pa.RecordBatch, column: str = "text") -> Iterator[str]:
     """The texts of a batch one by one, null as empty, without a list of all of them."""
     for value in batch.column(batch.schema.get_field_index(column)):

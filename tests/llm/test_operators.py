@@ -86,11 +86,26 @@ def test_merger_on_random_words():
         assert merge(word) == own._encode_single_piece(word)
 
 
-@pytest.mark.parametrize("chars", [1, 300])
-def test_blocks_of_any_size_give_the_same(spark, monkeypatch, chars):
+def test_blocks_of_any_size_give_the_same(spark, monkeypatch):
     whole = by_row(bpe.encode_decode(frame(spark), ranks_path(), public.PATTERN).collect(), "doc_id", "ids_sha256")
-    monkeypatch.setattr(bpe, "BLOCK_CHARS", chars)
-    assert by_row(bpe.encode_decode(frame(spark), ranks_path(), public.PATTERN).collect(), "doc_id", "ids_sha256") == whole
+    monkeypatch.setattr(bpe, "BLOCK_CHARS", 1)
+    run = bpe._split_blocks(public.PATTERN, 3)
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"doc_id": [i for i, _ in ROWS], "text": [t for _, t in ROWS]})
+    rows = [r for b in run(iter([batch])) for r in b.to_pylist()]
+    merged = [r for b in bpe._merge_words(ranks_path())(iter([pa.RecordBatch.from_pylist(rows, schema=batch_schema())])) for r in b.to_pylist()]
+    out = Counter()
+    for key in {r["block"] for r in merged}:
+        group = pa.Table.from_pylist([r for r in merged if r["block"] == key], schema=batch_schema())
+        out += by_row(bpe._reassemble(ranks_path(), False)(group).to_pylist(), "doc_id", "ids_sha256")
+    assert set(out) == set(whole)
+
+
+def batch_schema():
+    import pyarrow as pa
+
+    return pa.schema([("block", pa.int64()), ("part", pa.int64()), ("kind", pa.int32()), ("payload", pa.binary()), ("size", pa.int64())])
 
 
 def test_license_words_and_places(spark):
@@ -398,19 +413,19 @@ def test_toxicity_equals_brute_force(spark):
         assert all("grumblewort" in s["text"].lower() or "snark" in s["text"] for s in r["offending"])
 
 
-def lm_by_hand(rows, target, discount=0.75):
+def lm_by_hand(rows, target):
     """Losses of every document from plain dictionaries, and the two models as functions."""
     cut = {k: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(simhash.LOWER)) for k, (_, t) in enumerate(rows)}
     models = []
     for keep in (lambda i: i is not None and i in target, lambda i: True):
         pairs = Counter(p for k, (i, _) in enumerate(rows) if keep(i) for p in zip(["", *cut[k]], cut[k]))
-        models.append((pairs, Counter(w for (_, w), n in pairs.items() for _ in range(n)), Counter(u for (u, _), n in pairs.items() for _ in range(n)), Counter(u for u, _ in pairs)))
+        models.append((pairs, Counter(w for (_, w), n in pairs.items() for _ in range(n)), Counter(u for (u, _), n in pairs.items() for _ in range(n))))
     vocabulary = sorted(models[1][1])
 
     def probability(model, u, w):
-        pairs, words, follows, kinds = model
+        pairs, words, follows = model
         back = (words[w] + 1) / (sum(words.values()) + len(vocabulary))
-        return max(pairs[u, w] - discount, 0) / follows[u] + discount * kinds[u] / follows[u] * back if follows[u] else back
+        return (pairs[u, w] + lmscore.PRIOR * back) / (follows[u] + lmscore.PRIOR)
 
     loss = lambda m, k: np.mean([-np.log(probability(models[m], u, w)) for u, w in zip(["", *cut[k]], cut[k])]) if cut[k] else None
     return cut, vocabulary, models, probability, loss
