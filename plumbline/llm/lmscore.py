@@ -4,22 +4,21 @@ Both models share one vocabulary, all words of the corpus, and one smoothing; th
 over documents whose label says good quality, the background model over all documents.  A document's
 score is the mean over its tokens of background loss minus target loss: higher means closer to the target.
 
-Nothing is cut off or hashed into cells.  With counts c, a discount D, the number of different successors s(u)
-of a word u, N tokens and V words,
+Nothing is cut off.  With counts c, a prior M (``PRIOR``), N tokens and V words,
 
-    P(w | u) = (c(u, w) - D) / c(u) + D s(u) / c(u) P(w),    P(w) = (c(w) + 1) / (N + V),
+    P(w | u) = (c(u, w) + M P(w)) / (c(u) + M),    P(w) = (c(w) + 1) / (N + V),
 
-where the first term is 0 for pairs not seen and P(w) alone is left for a u not seen; the start of a document
-is a u like any other.  The probabilities of all words after any u add up to one.
+so the probabilities of all words after any u, seen or not, add up to one; the start of a document is a u like
+any other, and c(u) counts how often u is followed.
 
-1. Documents meet their mark by id; tasks gather blocks of documents, number each block's words and pairs, and
-   write the pairs (with their counts in the block), the words, and the documents as sequences of pair numbers.
-2. Spark adds the counts of each pair over all blocks, and the pairs of each u.  A pair comes once a block, so
-   the most frequent one has no more rows than there are blocks.
-3. Counts go back to the blocks by pair number, and each block scores its documents.
+1. Documents meet their mark by id.  Tasks gather blocks of documents and write them as sequences of word numbers
+   with the hashes of the block's words.
+2. Each block sends its words and its pairs of words, each once with its counts in the block, to buckets by
+   hash, sorted and packed, a row a block and bucket.  A bucket adds up all blocks and answers each in its order.
+3. The answers go back to the blocks, which score their documents.
 
-Words are told apart by 64-bit hashes, pairs by two of them.  Written blocks are never computed again, so
-block numbers hold whatever executor is lost.
+Buckets are even whatever words are frequent: a word or pair comes once a block.  Words and pairs are told apart by
+64-bit hashes.  Written blocks are never computed again, so block numbers hold whatever executor is lost.
 
 Defined results: words are runs of letters, digits and characters beyond ASCII, A-Z lower-cased; null and empty
 texts have no tokens and score 0 with null losses; with no target documents both models are the background;
@@ -30,171 +29,229 @@ whole; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES, bounded_batches, slim, written
+from .common import WORD_BYTES, bounded_batches, pack, slim, texts, unpack, written
 
-DISCOUNT = 0.75
+PRIOR = 20.0
 #: Bytes of text in a block.
 BLOCK_BYTES = 24_000_000
-#: Kinds of rows that blocks write: documents, pairs of words, words.
-DOCS, PAIR, WORD = 0, 1, 2
-BLOCKS = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("u", pa.int64()), ("w", pa.int64()), ("idx", pa.int32()), ("n", pa.int64()), ("t", pa.int64()), ("payload", pa.binary()), ("size", pa.int64())])
-BLOCKS_SQL = "block long, kind int, u long, w long, idx int, n long, t long, payload binary, size long"
-SCORED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("target_loss", pa.float64()), ("background_loss", pa.float64()), ("score", pa.float64())])
+BLOCKS_SQL = "block long, payload binary, size long, n_all long, n_target long"
+PARTS_SQL = "block long, bucket int, payload binary, size long"
+ANSWERS_SQL = "block long, bucket int, payload binary, size long, words long"
 SCORED_SQL = "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
+ARROW = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "double": pa.float64()}
 
 
-def words_of(text: str) -> list[bytes]:
-    return text.encode().translate(WORD_BYTES).split()
+def _batch(schema: str, *columns) -> pa.RecordBatch:
+    fields = [c.split() for c in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, ARROW[k]) for c, (_, k) in zip(columns, fields)], names=[n for n, _ in fields])
+
+
+def words_of(text: bytes) -> list[bytes]:
+    return text.translate(WORD_BYTES).split()
+
+
+class Numbering(dict):
+    """Numbers words from 1 in the order they first come; 0 is the start of a document."""
+
+    def __missing__(self, key):
+        self[key] = n = len(self) + 1
+        return n
 
 
 class Block:
-    """Documents of one block: word numbers (0 is the start of a document), and what is written of them."""
+    """Documents of a block on the way to being written."""
 
-    def __init__(self, number: int):
-        self.number, self.bytes = number, 0
-        self.numbers: dict[bytes, int] = {}
+    def __init__(self):
+        self.bytes, self.numbers = 0, Numbering()
         self.docs: list[int | None] = []
         self.seqs: list[np.ndarray] = []
         self.good: list[bool] = []
 
-    def add(self, doc: int | None, text: str, good: bool) -> None:
-        numbers, words = self.numbers, words_of(text)
-        for w in set(words) - numbers.keys():
-            numbers[w] = len(numbers) + 1
+    def add(self, doc: int | None, text: bytes, good: bool) -> None:
+        words = words_of(text)
         self.docs.append(doc)
-        self.seqs.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
+        self.seqs.append(np.fromiter(map(self.numbers.__getitem__, words), np.int32, len(words)))
         self.good.append(good)
         self.bytes += len(text)
 
-    def batches(self) -> Iterator[pa.RecordBatch]:
+    def row(self, number: int) -> pa.RecordBatch:
         import xxhash
 
-        lengths = np.array([len(s) for s in self.seqs], np.int64)
-        seq = np.concatenate(self.seqs).astype(np.int64)
-        before = np.concatenate([[0], seq[:-1]])[: len(seq)]
-        before[(np.cumsum(lengths) - lengths)[lengths > 0]] = 0
-        pairs, place = np.unique(before << 32 | seq, return_inverse=True)
-        good = np.repeat(np.array(self.good, bool), lengths)
+        lengths, seq = np.array([len(s) for s in self.seqs], np.int64), np.concatenate(self.seqs)
         size = len(self.numbers) + 1
-        hashes = np.zeros(size, np.int64)  # of the start: 0
-        hashes[1:] = np.fromiter((xxhash.xxh64_intdigest(w) - (1 << 63) for w in self.numbers), np.int64, size - 1)
-        u, w = (pairs >> 32).astype(np.int32), (pairs & 0xFFFFFFFF).astype(np.int32)
-        parts = [np.array([d or 0 for d in self.docs], np.int64), np.array([d is None for d in self.docs], np.int8), lengths, u, w, place.astype(np.int32)]
-        raw = b"".join(len(p).to_bytes(8, "little") + p.tobytes() for p in parts)
-        yield self._rows(DOCS, payload=pa.array([pa.compress(raw, "zstd", asbytes=True)], pa.binary()), size=pa.array([len(raw)], pa.int64()))
-        counts = lambda at, least: [np.bincount(x, minlength=least) for x in (at, at[good])]
-        for kind, first, second, (n, t) in ((PAIR, hashes[u], hashes[w], counts(place, len(pairs))), (WORD, np.zeros(size, np.int64), hashes, counts(seq, size))):
-            for at in range(0, len(n), 200_000):
-                cut = slice(at, at + 200_000)
-                yield self._rows(kind, u=pa.array(first[cut]), w=pa.array(second[cut]), idx=pa.array(np.arange(at, at + len(n[cut]), dtype=np.int32)), n=pa.array(n[cut].astype(np.int64)), t=pa.array(t[cut].astype(np.int64)))
-
-    def _rows(self, kind: int, **columns: pa.Array) -> pa.RecordBatch:
-        size = len(next(iter(columns.values())))
-        columns |= {"block": pa.array(np.full(size, self.number)), "kind": pa.array(np.full(size, kind, np.int32))}
-        return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(size, f.type)) for f in BLOCKS], schema=BLOCKS)
-
-
-def _unpack(payload: bytes, size: int) -> list[np.ndarray]:
-    raw, at, out = pa.decompress(payload, size, "zstd", asbytes=True), 0, []
-    for kind in ("<i8", "i1", "<i8", "<i4", "<i4", "<i4"):
-        n = int.from_bytes(raw[at : at + 8], "little")
-        out.append(np.frombuffer(raw, kind, n, at + 8))
-        at += 8 + n * np.dtype(kind).itemsize
-    return out
+        hashes = np.zeros(size, np.uint64)  # of the start: 0
+        hashes[1:] = np.fromiter(map(xxhash.xxh64_intdigest, self.numbers), np.uint64, size - 1)
+        # frequent words get small numbers, which pack well
+        order = np.append(0, 1 + np.argsort(-np.bincount(seq, minlength=size)[1:], kind="stable"))
+        number_of = np.empty(size, np.int32)
+        number_of[order] = np.arange(size)
+        payload, packed = pack(np.array([d or 0 for d in self.docs], np.int64), np.array([d is None for d in self.docs], np.int8), lengths, np.array(self.good, np.int8), number_of[seq], hashes[order])
+        return _batch(BLOCKS_SQL, [number], [payload], [packed], [len(seq)], [int(lengths[np.array(self.good, bool)].sum())])
+
+
+@dataclass
+class Counted:
+    """A block as read back: its documents, and its words and pairs with their counts in all and in target documents."""
+
+    docs: np.ndarray
+    nulls: np.ndarray
+    lengths: np.ndarray
+    place: np.ndarray  # of each token: the number of its pair
+    u: np.ndarray
+    w: np.ndarray
+    pair_keys: np.ndarray
+    pairs: list[np.ndarray]
+    word_keys: np.ndarray
+    words: list[np.ndarray]  # occurrences, then how often followed
+
+    @classmethod
+    def read(cls, payload: bytes, size: int) -> Counted:
+        docs, nulls, lengths, good, seq, hashes = unpack(payload, size, "<i8", "i1", "<i8", "i1", "<i4", "<u8")
+        before = np.concatenate([[0], seq[:-1]])[: len(seq)].astype(np.int64)
+        before[(np.cumsum(lengths) - lengths)[lengths > 0]] = 0
+        codes, place = np.unique(before << 32 | seq, return_inverse=True)
+        u, w = codes >> 32, codes & 0xFFFFFFFF
+        marked = np.repeat(good.astype(bool), lengths)
+        counts = lambda at, n: [np.bincount(x, minlength=n).astype("<u4") for x in (at, at[marked])]
+        return cls(docs, nulls, lengths, place, u, w, mixed(hashes[u], hashes[w]), counts(place, len(codes)), hashes, counts(seq, len(hashes)) + counts(before, len(hashes)))
+
+
+def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """64-bit hashes of ordered pairs of hashes."""
+    x = a * np.uint64(0x9E3779B97F4A7C15) + b
+    for _ in range(2):
+        x = (x ^ x >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ x >> np.uint64(32)
+
+
+def cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Where each bucket begins in sorted keys; buckets are even ranges of the hash."""
+    return np.searchsorted((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
 
 
 def blocks_of(docs: DataFrame, target: DataFrame) -> DataFrame:
-    """Rows of all blocks.  ``target`` has the doc_id of every target document, of any number."""
+    """A row a block.  ``target`` has the doc_id of every target document, of any number."""
     marks = target.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(True).alias("good")).where("doc_id IS NOT NULL").distinct()
+
+    def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = [t.encode() for t in texts(batch)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pa.compress(t, "zstd", asbytes=True) if t else b"" for t in raw], pa.binary()), pa.array(list(map(len, raw)), pa.int64())], names=["doc_id", "packed", "size"])
+
     # a hash join keeps texts unsorted; adaptive execution may cut a partition of texts that is too large
-    marked = slim(docs).join(marks.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", F.coalesce("good", F.lit(False)).alias("good"))
+    small = slim(docs).mapInArrow(shrink, "doc_id long, packed binary, size long")
+    marked = small.join(marks.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "packed", "size", F.coalesce("good", F.lit(False)).alias("good"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, nr = TaskContext.get().partitionId() << 32, 0
-        block = Block(base)
+        number, block = TaskContext.get().partitionId() << 32, Block()
         for batch in batches:
-            for doc, text, good in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
-                block.add(doc, text.as_py() or "", good)
+            for doc, packed, size, good in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                block.add(doc, pa.decompress(packed.as_py(), size, "zstd", asbytes=True) if size else b"", good)
                 if block.bytes >= BLOCK_BYTES:
-                    yield from block.batches()
-                    nr += 1
-                    block = Block(base + nr)
+                    yield block.row(number)
+                    number, block = number + 1, Block()
         if block.docs:
-            yield from block.batches()
+            yield block.row(number)
 
     return written(marked.mapInArrow(run, BLOCKS_SQL), "blocks")
 
 
-def counted(blocks: DataFrame) -> DataFrame:
-    """The rows of pairs and words with their counts over all blocks: n_all, n_target, and whether this is a pair's first row."""
-    same = Window.partitionBy("kind", "u", "w")
-    rows = blocks.where(F.col("kind") != DOCS).select("block", "kind", "u", "w", "idx", F.sum("n").over(same).alias("n_all"), F.sum("t").over(same).alias("n_target"), (F.col("block") == F.min("block").over(same)).alias("first"))
-    return written(rows, "counts")
-
+def parts_of(blocks: DataFrame, buckets: int) -> DataFrame:
+    """What each block sends to each bucket: sorted keys and counts of pairs, then of words."""
 
-def successors(counts: DataFrame) -> DataFrame:
-    """(u, follows): how often each word is followed, by how many different words, in both corpora."""
-    rows = counts.where((F.col("kind") == PAIR) & F.col("first"))
-    sums = rows.groupBy("u").agg(F.sum("n_all").alias("ca"), F.sum("n_target").alias("ct"), F.count("*").alias("sa"), F.count_if(F.col("n_target") > 0).alias("st"))
-    return sums.select("u", F.array("ca", "ct", "sa", "st").alias("follows"))
-
-
-def losses(pair: np.ndarray, word: np.ndarray, follow: np.ndarray, kinds: np.ndarray, u: np.ndarray, w: np.ndarray, total: int, size: int) -> np.ndarray:
-    """-log P(w | u) of each pair from counts of pairs, words, successions and different successors."""
-    back = (word[w] + 1) / (total + size)
-    c = follow[u]
-    seen = np.maximum(c, 1)
-    p = np.where(c > 0, np.maximum(pair - DISCOUNT, 0) / seen + DISCOUNT * kinds[u] / seen * back, back)
-    return -np.log(p)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, payload, size in zip(*(batch.column(c).to_pylist() for c in (0, 1, 2))):
+                held, rows = Counted.read(payload, size), []
+                sides = []
+                for keys, counts in ((held.pair_keys, held.pairs), (held.word_keys, held.words)):
+                    order = np.argsort(keys)
+                    sides.append((keys[order], [c[order] for c in counts], cuts(keys[order], buckets)))
+                for b in range(buckets):
+                    arrays = []
+                    for keys, counts, at in sides:
+                        arrays += [x[at[b] : at[b + 1]] for x in (keys, *counts)]
+                    if len(arrays[0]) or len(arrays[3]):
+                        for k in (0, 3):
+                            arrays[k] = np.diff(arrays[k], prepend=np.uint64(0))
+                        rows.append((block, b, *pack(*arrays)))
+                if rows:
+                    yield _batch(PARTS_SQL, *zip(*rows))
+
+    return blocks.select("block", "payload", "size").mapInArrow(run, PARTS_SQL)
+
+
+PART = ("<u8", "<u4", "<u4", "<u8", "<u4", "<u4", "<u4", "<u4")
+
+
+def answered(parts: DataFrame) -> DataFrame:
+    """The counts of all blocks together, for each block in the order it sent; ``words`` adds up to the vocabulary."""
+
+    def run(group: pa.Table) -> pa.Table:
+        blocks, sizes = group.column("block").to_pylist(), group.column("size").to_pylist()
+        held = [unpack(p.as_py(), n, *PART) for p, n in zip(group.column("payload"), sizes)]
+        answers: list[list[np.ndarray]] = [[] for _ in held]
+        for first, width in ((0, 2), (3, 4)):
+            keys, back = np.unique(np.concatenate([np.cumsum(h[first], dtype=np.uint64) for h in held]), return_inverse=True)
+            ends = np.cumsum([0, *(len(h[first]) for h in held)])
+            for c in range(width):
+                sums = np.bincount(back, np.concatenate([h[first + 1 + c] for h in held]), len(keys)).astype("<i8")
+                if first and not c:
+                    words = int((sums > 0).sum())
+                for k, a in enumerate(answers):
+                    a.append(sums[back[ends[k] : ends[k + 1]]])
+        packed = [pack(*a) for a in answers]
+        rows = [(b, group.column("bucket")[0].as_py(), *p, words if k == 0 else 0) for k, (b, p) in enumerate(zip(blocks, packed))]
+        return pa.Table.from_batches([_batch(ANSWERS_SQL, *zip(*rows))])
+
+    return written(parts.groupBy("bucket").applyInArrow(run, ANSWERS_SQL), "answers")
+
+
+def losses(pair: np.ndarray, word: np.ndarray, follow: np.ndarray, held: Counted, total: int, size: int) -> np.ndarray:
+    """-log P(w | u) of each pair of a block."""
+    back = (word[held.w] + 1) / (total + size)
+    return -np.log((pair + PRIOR * back) / (follow[held.u] + PRIOR))
 
 
 def score(docs: DataFrame, target: DataFrame) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss, score."""
-    bounded_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    bounded_batches(spark)
     blocks = blocks_of(docs, target)
-    counts = counted(blocks)
-    words = counts.where(F.col("kind") == WORD)
-    total = words.where("first").agg(F.coalesce(F.sum("n_all"), F.lit(0)), F.coalesce(F.sum("n_target"), F.lit(0)), F.count_if(F.col("n_all") > 0)).first()
-    n_all, n_target, size = (int(x) for x in total)
-    follows = successors(counts).withColumnRenamed("u", "w")
-    back = ["block", "kind", "idx", "n_all", "n_target", "follows"]
-    answers = counts.where(F.col("kind") == PAIR).withColumn("follows", F.lit(None).cast("array<long>")).select(*back).unionByName(words.join(follows, "w", "left").select(*back))
-
-    def run(held: pa.Table, answer: pa.Table) -> pa.Table:
-        doc_ids, nulls, lengths, u, w, place = _unpack(held.column("payload")[0].as_py(), held.column("size")[0].as_py())
-        is_word = answer.column("kind").to_numpy() == WORD
-        idx, a, t = (answer.column(c).to_numpy() for c in ("idx", "n_all", "n_target"))
-        at = np.argsort(idx[~is_word], kind="stable")
-        if len(at) != len(u):
-            raise ValueError("a block lacks counts")
-        pairs = [x[~is_word][at] for x in (a, t)]
-        order = np.argsort(idx[is_word], kind="stable")
-        word = [x[is_word][order] for x in (a, t)]
-        follow = np.zeros((len(order), 4), np.int64)
-        given = answer.column("follows").filter(pa.array(is_word)).take(pa.array(order)).combine_chunks()
-        has = np.flatnonzero(given.is_valid().to_numpy(zero_copy_only=False))
-        follow[has] = given.drop_null().flatten().to_numpy().reshape(-1, 4)
-        every = losses(pairs[0], word[0], follow[:, 0], follow[:, 2], u, w, n_all, size)
-        good = losses(pairs[1], word[1], follow[:, 1], follow[:, 3], u, w, n_target, size) if n_target else every
-        some = np.flatnonzero(lengths)
-        starts = (np.cumsum(lengths) - lengths)[some]
-        ids = pa.array(doc_ids, mask=nulls.astype(bool))
-        out = []
+    answers = answered(parts_of(blocks, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    n_all, n_target = (int(x or 0) for x in blocks.agg(F.sum("n_all"), F.sum("n_target")).first())
+    size = int(answers.agg(F.sum("words")).first()[0] or 0)
+
+    def run(mine: pa.Table, given: pa.Table) -> pa.Table:
+        held = Counted.read(mine.column("payload")[0].as_py(), mine.column("size")[0].as_py())
+        order = np.argsort(given.column("bucket").to_numpy())
+        got = [unpack(given.column("payload")[int(k)].as_py(), given.column("size")[int(k)].as_py(), *["<i8"] * 6) for k in order]
+        sums = [np.concatenate(x) for x in zip(*got)]
+        if len(sums[0]) != len(held.pair_keys) or len(sums[2]) != len(held.word_keys):
+            raise ValueError("a block lacks answers")
+        for keys, columns in ((held.pair_keys, sums[:2]), (held.word_keys, sums[2:])):
+            at = np.argsort(keys)
+            for c in columns:
+                c[at] = c.copy()
+        every = losses(sums[0], sums[2], sums[4], held, n_all, size)
+        good = losses(sums[1], sums[3], sums[5], held, n_target, size) if n_target else every
+        some, none = np.flatnonzero(held.lengths), held.lengths == 0
+        starts = (np.cumsum(held.lengths) - held.lengths)[some]
+        means = []
         for loss in (good, every):
-            mean = np.full(len(lengths), np.nan)
+            mean = np.zeros(len(held.lengths))
             if len(some):
-                mean[some] = np.add.reduceat(loss[place], starts) / lengths[some]
-            out.append(mean)
-        none = lengths == 0
-        apart = np.where(none, 0.0, out[1] - out[0])
-        return pa.Table.from_arrays([ids, pa.array(lengths), pa.array(out[0], mask=none), pa.array(out[1], mask=none), pa.array(apart)], schema=SCORED)
-
-    held = blocks.where(F.col("kind") == DOCS).select("block", "payload", "size")
-    return held.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, SCORED_SQL)
+                mean[some] = np.add.reduceat(loss[held.place], starts) / held.lengths[some]
+            means.append(mean)
+        columns = [pa.array(held.docs, mask=held.nulls.astype(bool)), pa.array(held.lengths), *(pa.array(m, mask=none) for m in means), pa.array(means[1] - means[0])]
+        return pa.table(columns, names=[c.split()[0] for c in SCORED_SQL.split(", ")])
+
+    return blocks.select("block", "payload", "size").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, SCORED_SQL)

@@ -140,13 +140,11 @@ WITH d AS (
     regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
 p AS (SELECT row, coalesce(good, false) AS good, CASE WHEN i > 1 THEN words[i - 1] ELSE '' END AS u, words[i] AS w FROM d, unnest(range(1, len(words) + 1)) AS x(i)),
 c AS (SELECT u, w, count(*) AS a, count_if(good) AS t FROM p GROUP BY u, w),
-f AS (SELECT u, sum(a) AS ca, sum(t) AS ct, count(*) AS sa, count_if(t > 0) AS st FROM c GROUP BY u),
+f AS (SELECT u, sum(a) AS a, sum(t) AS t FROM c GROUP BY u),
 g AS (SELECT w, sum(a) AS a, sum(t) AS t FROM c GROUP BY w),
 n AS (SELECT sum(a) AS a, sum(t) AS t, count(*) AS v FROM g),
 l AS (
-  SELECT c.u, c.w,
-    -ln((c.a - 0.75) / f.ca + 0.75 * f.sa / f.ca * ((g.a + 1) / (n.a + n.v))) AS la,
-    -ln(CASE WHEN f.ct > 0 THEN greatest(c.t - 0.75, 0) / f.ct + 0.75 * f.st / f.ct * ((g.t + 1) / (n.t + n.v)) ELSE (g.t + 1) / (n.t + n.v) END) AS lt
+  SELECT c.u, c.w, -ln((c.a + 20 * (g.a + 1) / (n.a + n.v)) / (f.a + 20)) AS la, -ln((c.t + 20 * (g.t + 1) / (n.t + n.v)) / (f.t + 20)) AS lt
   FROM c JOIN f USING (u) JOIN g USING (w), n),
 s AS (SELECT row, avg(la) AS la, avg(lt) AS lt FROM p JOIN l USING (u, w) GROUP BY row)
 SELECT doc_id, len(words)::BIGINT AS n_tokens, round(lt, 9) AS target_loss, round(la, 9) AS background_loss, coalesce(round(la - lt, 9), 0) AS score
