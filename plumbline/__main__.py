@@ -28,14 +28,24 @@ def _cases(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     return _verdicts(spark, a.sheets).join(sheets.labels(spark, a.labels).drop("verdict"), "example_id")
 
 
+def _revs(a: argparse.Namespace) -> str:
+    """Pins (name=sha, comma-separated) as the revisions of their repositories; one of no repository is refused."""
+    pins = dict(p.split("=", 1) for p in a.pin.split(",") if p)
+    if unknown := sorted(pins.keys() - {p.split("=", 1)[0] for p in a.repos.split(",")}):
+        raise sheets.Refusal(f"pins of no repository: {unknown}")
+    return ",".join(f"{k}={v}" for k, v in pins.items())
+
+
 def mine(spark, a) -> int:
-    limits = {"limit": str(a.limit)} if a.limit else {}
+    limits = {k: v for k, v in (("limit", str(a.limit) if a.limit else ""), ("since", a.since), ("rev", a.rev), ("revs", _revs(a))) if v}
     commits = _git(spark, a.repos, "commits", **limits)
     files = commits.select("repo", "sha", F.get("parents", F.lit(0)).alias("parent_sha"), F.size("parents").alias("n_parents"), "committed_at", "subject", F.explode("files").alias("f"))
     files = files.select("repo", "sha", "parent_sha", "n_parents", "committed_at", "subject", "f.path", "f.old_path", "f.status")
-    found = mining.mine(files, _git(spark, a.repos, "diffs", **limits), mining.MineConfig(max_files=a.max_files))
+    cfg = mining.MineConfig(max_files=a.max_files, min_doc_lines=a.min_doc_lines, min_shared=a.min_shared, literals_only=bool(a.literals_only), require_withdrawn=bool(a.require_withdrawn), require_symbol=bool(a.require_symbol))
+    found = mining.mine(files, _git(spark, a.repos, "diffs", **limits), cfg)
     if a.easy:
-        found = mining.dedupe(found.unionByName(mining.easy_negatives(_git(spark, a.repos, "tree"), mining.cochanged(files), a.easy, a.seed)))
+        tree = _git(spark, a.repos, "tree", **{k: v for k, v in limits.items() if k in ("rev", "revs")})
+        found = mining.dedupe(found.unionByName(mining.easy_negatives(tree, mining.cochanged(files), a.easy, a.seed)))
     manifest = sheets.write_labels(found, a.out, vars(a) | {"run": None})
     print(manifest["counts"])
     return 0
@@ -56,11 +66,20 @@ def sample(spark, a) -> int:
         rows = rows.join(_verdicts(spark, a.sheets), "example_id", "left_anti")
     ids = scoring.sample(rows.withColumn("all", F.lit("all")), "example_id", "all", a.n, a.seed)
     picked = rows.join(ids.select("example_id"), "example_id", "left_semi")
-    empty = spark.createDataFrame([], "example_id string, diff string")
-    sheets.review_sheet(picked, empty).select("block").write.mode("errorifexists").text(a.out)
+    diffs = spark.createDataFrame([], "example_id string, doc_diff string, code_diff string")
+    if a.repos:
+        held = _git(spark, a.repos, "diffs").select("repo", F.col("sha").alias("fix_sha"), "path", "diff")
+        of = lambda path, name: picked.select("example_id", "repo", "fix_sha", F.col(path).alias("path")).join(held, ["repo", "fix_sha", "path"]).select("example_id", F.col("diff").alias(name))
+        diffs = of("doc_path", "doc_diff").join(of("code_path", "code_diff"), "example_id", "left")
+    _text(sheets.review_sheet(picked, diffs, a.seed), a.out)
     return 0
 
 
+def _text(blocks: DataFrame, out: str) -> None:
+    """Write (nr, block) as one text in order: a sheet for a person."""
+    blocks.repartition(1).sortWithinPartitions("nr").select("block").write.mode("errorifexists").text(out)
+
+
 def score(spark, a) -> int:
     cases = _cases(spark, a).withColumn("hit", F.col("verdict") == "drift")
     for key in ("shape", "label_basis"):
@@ -89,7 +108,7 @@ def _blobs(spark, repos: str, queries: DataFrame) -> DataFrame:
 
 def retrieve_eval(spark, a) -> int:
     queries = retrieval_eval.queries_of(sheets.labels(spark, a.labels))
-    print(reports.table_text(retrieval_eval.evaluate(queries, _blobs(spark, a.repos, queries)), ["repo", "arm"]))
+    print(reports.table_text(retrieval_eval.evaluate(queries, _blobs(spark, a.repos, queries), a.ks, a.tf_k1, a.trials), ["repo", "arm"]))
     return 0
 
 
@@ -97,20 +116,25 @@ def doc_sample(spark, a) -> int:
     from .functions import paths
 
     blobs = _git(spark, a.repos, "blobs", rev=a.rev)
-    docs = blobs.where((paths.kind(F.col("path")) == "doc") & (F.length("text") >= 400))
+    docs = blobs.where((paths.kind(F.col("path")) == "doc") & paths.documents_code(F.col("path")) & (F.length("text") >= 400))
     picked = scoring.sample(docs.withColumnRenamed("path", "doc_path"), "doc_path", "repo", a.n, a.seed)
-    pool = blobs.where(paths.kind(F.col("path")) == "code").select("repo", "path")
-    reports.checklist(picked.select("repo", "doc_path"), pool).select("block").write.mode("errorifexists").text(a.out)
+    pool = blobs.where(paths.kind(F.col("path")) == "code").select("repo", "sha", "path")
+    _text(reports.checklist(picked.select("repo", "doc_path"), pool), a.out)
     return 0
 
 
 def doc_eval(spark, a) -> int:
-    ticked = sheets.checklist(sheets.sheets(spark, a.sheets)).where(F.size("marked") > 0)
+    """Sheets against the trees that they name; a document is asked only of its own repository."""
+    ticked = sheets.checklist(sheets.sheets(spark, a.sheets)).where("answered AND NOT none")
     blobs = _git(spark, a.repos, "blobs", rev=a.rev)
     trees = blobs.select("repo", "sha").distinct()
     empty = F.array().cast("array<string>")
-    queries = ticked.crossJoin(trees).select(F.concat_ws(":", "repo", "doc_path").alias("query_id"), "repo", F.concat_ws("@", "repo", "sha").alias("tree"), "doc_path", F.array_union("marked", "extra").alias("relevant"), empty.alias("evidence"))
-    rows = retrieval_eval.evaluate(queries, blobs).where("arm <> 'lexical-ablated'")
+    named = ticked.join(trees, "repo").where(F.expr("startswith(sha, sha_prefix)"))
+    lost = ticked.count() - named.count()
+    if lost:
+        raise sheets.Refusal(f"{lost} cases name a tree that was not read")
+    queries = named.select(F.concat_ws(":", "repo", "doc_path").alias("query_id"), "repo", F.concat_ws("@", "repo", "sha").alias("tree"), "doc_path", F.array_union("marked", "extra").alias("relevant"), empty.alias("evidence"))
+    rows = retrieval_eval.evaluate(queries, blobs, a.ks, a.tf_k1, a.trials).where("arm <> 'lexical-ablated'")
     print(reports.table_text(rows, ["repo", "arm"]))
     return 0
 
@@ -143,14 +167,19 @@ def judge_null_run(spark, a) -> int:
 
 
 def bench(spark, a) -> int:
-    cases = _cases(spark, a).where("target IS NOT NULL").select("example_id", "repo", "shape", "target")
-    n = cases.count()
-    recorded = sheets.bars(spark, a.bars, {"scoreable": n})
+    """The scoreable cases with a code path, against floors that were recorded on the same corpus."""
+    every = _cases(spark, a)
+    cases = every.where("target IS NOT NULL AND code_path IS NOT NULL").select("example_id", "repo", "shape", "target")
+    size = every.agg(F.count("*").alias("verdicts"), F.count("target").alias("scoreable"), F.count_if(F.col("target").isNotNull() & F.col("code_path").isNotNull()).alias("with_code_path")).first().asDict()
+    recorded = sheets.bars(spark, a.bars, size)
+    free = [(k, float(v["f1"]), float(v["accuracy_all"])) for k, v in recorded["judges"].items() if k.startswith(("always-", "lexical-absence"))]
+    if "always-not-false" not in dict((f[0], f) for f in free):
+        raise sheets.Refusal(f"{a.bars}: the constant judge was not recorded")
     said = sheets.predictions(spark, a.predictions)
     states = {r["state"]: r["count"] for r in ev.decompose(said.withColumnRenamed("example_id", "case_id"), cases.withColumnRenamed("example_id", "case_id")).groupBy("state").count().collect()}
     judged = cases.join(said, "example_id", "left").withColumn("judge", F.lit("submission"))
-    free = scoring.free_judges(cases, F.col("example_id"), 0.3, "0").where("judge LIKE 'always%'")
-    verdict = ev.gate(ev.rates(ev.confusion(judged, "judge")), ev.rates(ev.confusion(free, "judge")), recorded["mde"], recorded["chance_f1_p95"]).first()
+    floors = spark.createDataFrame(free, "judge string, f1 double, accuracy_all double")
+    verdict = ev.gate(ev.rates(ev.confusion(judged, "judge")), floors, recorded["mde"], recorded["chance_f1_p95"]).first()
     print(states, verdict["reasons"])
     return 0 if verdict["admissible"] and not states.get("unknown") else 1
 
@@ -161,7 +190,11 @@ COMMANDS = {
     "doc-eval": (doc_eval, ["sheets", "repos"]), "judge-cases": (judge_cases, ["labels", "sheets"]), "judge-freeze": (judge_freeze, ["labels", "sheets", "out"]),
     "judge-eval": (judge_eval, ["labels", "sheets"]), "judge-null-run": (judge_null_run, ["labels", "sheets"]), "bench": (bench, ["labels", "sheets", "bars", "predictions"]),
 }
-OPTIONAL = {"limit": 0, "easy": 0, "max-files": 20, "n": 20, "trials": 3, "rate": 0.3, "seed": "0", "shape": "A", "rev": "HEAD", "sheets": ""}
+OPTIONAL = {"limit": 0, "easy": 0, "max-files": 20, "n": 20, "trials": 3, "rate": 0.3, "seed": "0", "shape": "A", "rev": "HEAD", "sheets": "", "repos": "", "since": "", "pin": "", "min-doc-lines": 2, "min-shared": 1, "literals-only": 0, "require-withdrawn": 1, "require-symbol": 1, "ks": (1, 5, 10), "tf-k1": 1.2}
+
+
+def _numbers(text: str) -> tuple[int, ...]:
+    return tuple(map(int, text.split(",")))
 
 
 def parser() -> argparse.ArgumentParser:
@@ -173,7 +206,7 @@ def parser() -> argparse.ArgumentParser:
             p.add_argument(f"--{option}", required=True)
         for option, default in OPTIONAL.items():
             if option not in needed:
-                p.add_argument(f"--{option}", type=type(default), default=default)
+                p.add_argument(f"--{option}", type=_numbers if isinstance(default, tuple) else type(default), default=default)
     return top
 
 

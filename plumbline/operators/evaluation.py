@@ -70,7 +70,7 @@ def page_answer(answer: Column) -> Column:
 
 def gate(scores: DataFrame, floors: DataFrame, width: float, chance_f1: float) -> DataFrame:
     """A submission passes if all answered, and it beats the best free floor, the constant and chance; ties fail."""
-    best = floors.agg(F.max("f1").alias("best_f1"), F.max_by("judge", "f1").alias("best_judge"), F.max("accuracy_all").alias("constant_accuracy"))
+    best = floors.agg(F.max("f1").alias("best_f1"), F.max_by("judge", "f1").alias("best_judge"), F.max(F.when(F.col("judge").startswith("always-"), F.col("accuracy_all"))).alias("constant_accuracy"))
     reason = lambda bad, name: F.when(bad, F.lit(name))
     out = scores.crossJoin(F.broadcast(best))  # one row
     reasons = F.array_compact(F.array(

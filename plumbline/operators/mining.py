@@ -35,7 +35,8 @@ BASIS = {
     "easy": "pair_never_cochanged_in_mined_history",
     "related": "pair_never_cochanged_but_path_related",
 }
-COLUMNS = ("example_id", "repo", "label", "label_basis", "shape", "doc_path", "code_path", "at_sha", "fix_sha", "n_doc_lines", "shared_identifiers")
+#: Draws that an arm of easy negatives may take for each pair it wants, and at least.
+DRAWS, LEAST_DRAWS = 50, 1000
 
 
 def eligible(files: DataFrame, cfg: MineConfig = MineConfig()) -> DataFrame:
@@ -46,52 +47,66 @@ def eligible(files: DataFrame, cfg: MineConfig = MineConfig()) -> DataFrame:
     return rows.where((F.col("n_files") <= cfg.max_files) & (F.col("n_docs") > 0))
 
 
-def _example(rows: DataFrame, label: str, shape: str, basis: str, at: Column, fix: Column, code: Column, shared: Column, lines: Column) -> DataFrame:
+def _example(rows: DataFrame, label: str, shape: str, basis: str, at: Column, code: Column, shared: Column) -> DataFrame:
+    """The sixteen fields of an example; ``rows`` has the commit's and the document's own."""
     key = texts.stable_id(F.col("repo"), at, F.col("doc_path"), code, F.lit(label))
-    return rows.select(key.alias("example_id"), "repo", F.lit(label).alias("label"), F.lit(basis).alias("label_basis"), F.lit(shape).alias("shape"), "doc_path", code.alias("code_path"), at.alias("at_sha"), fix.alias("fix_sha"), lines.alias("n_doc_lines"), shared.alias("shared_identifiers"))
+    return rows.select(
+        key.alias("example_id"), "repo", F.lit(label).alias("label"), F.lit(basis).alias("label_basis"), F.lit(shape).alias("shape"), "doc_path", code.alias("code_path"), at.alias("at_sha"),
+        "fix_sha", "parent_sha", F.col("committed_at").cast("long").alias("committed_at"), "subject", F.col("doc_lines_added").cast("long").alias("doc_lines_added"),
+        F.col("doc_lines_removed").cast("long").alias("doc_lines_removed"), F.col("files_in_commit").cast("long").alias("files_in_commit"), shared.alias("shared_identifiers"))
+
+
+COMMIT = ("repo", "fix_sha", "parent_sha", "committed_at", "subject", "files_in_commit")
 
 
 def _doc_sides(rows: DataFrame, diffs: DataFrame) -> DataFrame:
-    docs = rows.where("kind = 'doc' AND status = 'M'").select("repo", "sha", "parent_sha", F.col("path").alias("doc_path"), "n_files", "n_docs", "n_code")
-    docs = docs.join(diffs.withColumnRenamed("path", "doc_path"), ["repo", "sha", "doc_path"])
-    return docs.withColumns({"added": tokens.changed_text(F.col("diff"), "+"), "removed": tokens.changed_text(F.col("diff"), "-"), "n_lines": F.size(tokens.changed(F.col("diff")))})
+    docs = rows.where("kind = 'doc' AND status = 'M'").select("repo", F.col("sha").alias("fix_sha"), "parent_sha", "committed_at", "subject", F.col("n_files").alias("files_in_commit"), F.col("path").alias("doc_path"))
+    docs = docs.join(diffs.select("repo", F.col("sha").alias("fix_sha"), F.col("path").alias("doc_path"), "diff"), ["repo", "fix_sha", "doc_path"])
+    sides = {"added": "+", "removed": "-"}
+    docs = docs.withColumns({name: tokens.changed(F.col("diff"), mark) for name, mark in sides.items()})
+    return docs.withColumns({f"doc_lines_{name}": F.size(name) for name in sides} | {name: F.array_join(name, "\n") for name in sides})
+
+
+
+def _long_enough(cfg: MineConfig) -> Column:
+    return F.col("doc_lines_added") + F.col("doc_lines_removed") >= cfg.min_doc_lines
 
 
 def shape_b(rows: DataFrame, diffs: DataFrame, cfg: MineConfig = MineConfig()) -> DataFrame:
     """Commits of documents alone that withdraw tokens from existing prose."""
     docs = _doc_sides(rows.where("n_code = 0 AND n_docs = n_files"), diffs)
-    docs = docs.where((F.col("n_lines") >= cfg.min_doc_lines) & ~F.concat_ws("\n", "added", "removed").rlike(r"tutorial\d+|docs_src"))
+    docs = docs.where(_long_enough(cfg) & ~F.concat_ws("\n", "added", "removed").rlike(r"tutorial\d+|docs_src"))
     docs = docs.withColumn("gone", tokens.delta(F.col("added"), F.col("removed"), literals_only=cfg.literals_only)["removed_only"])
     if cfg.require_withdrawn:
         docs = docs.where(F.size("gone") > 0)
     if cfg.require_symbol:
         docs = docs.where(F.exists("gone", lambda t: ~t.startswith("ver:")))
-    return _example(docs, "drift", "B", BASIS["B"], F.col("parent_sha"), F.col("sha"), F.lit(None).cast("string"), F.slice("gone", 1, cfg.keep_tokens), F.col("n_lines"))
+    return _example(docs, "drift", "B", BASIS["B"], F.col("parent_sha"), F.lit(None).cast("string"), F.slice("gone", 1, cfg.keep_tokens))
 
 
 def shape_a(rows: DataFrame, diffs: DataFrame, cfg: MineConfig = MineConfig()) -> DataFrame:
     """Modified documents with modified code of the same commit that share tokens, withdrawn on both sides."""
-    docs = _doc_sides(rows, diffs).where(F.col("n_lines") >= cfg.min_doc_lines)
+    docs = _doc_sides(rows, diffs).where(_long_enough(cfg))
     side = lambda text: tokens.extract(tokens.strip_urls(text))
-    docs = docs.select("repo", "sha", "parent_sha", "doc_path", "n_lines", side(F.concat_ws("\n", "added", "removed")).alias("all"), F.array_except(side(F.col("removed")), side(F.col("added"))).alias("gone"))
+    docs = docs.select(*COMMIT, "doc_path", "doc_lines_added", "doc_lines_removed", side(F.concat_ws("\n", "added", "removed")).alias("all"), F.array_except(side(F.col("removed")), side(F.col("added"))).alias("gone"))
     code = rows.where("kind = 'code' AND status = 'M'").select("repo", "sha", F.col("path").alias("code_path")).join(diffs.withColumnRenamed("path", "code_path"), ["repo", "sha", "code_path"])
     bare = lambda marks: tokens.strip_comment_lines(tokens.changed_text(F.col("diff"), marks))
-    code = code.select("repo", "sha", "code_path", side(bare("+-")).alias("all"), F.array_except(side(bare("-")), side(bare("+"))).alias("gone"))
-    flat = lambda t, path: t.select("repo", "sha", path, F.explode("all").alias("tok"), "gone").withColumn("gone", F.array_contains("gone", F.col("tok")))
-    pairs = flat(docs, "doc_path").withColumnRenamed("gone", "dg").join(flat(code, "code_path").withColumnRenamed("gone", "cg"), ["repo", "sha", "tok"])
-    pairs = pairs.groupBy("repo", "sha", "doc_path", "code_path").agg(F.collect_set("tok").alias("toks"), F.count_if(F.col("dg") & F.col("cg")).alias("both"))
+    code = code.select("repo", F.col("sha").alias("fix_sha"), "code_path", side(bare("+-")).alias("all"), F.array_except(side(bare("-")), side(bare("+"))).alias("gone"))
+    flat = lambda t, path: t.select("repo", "fix_sha", path, F.explode("all").alias("tok"), "gone").withColumn("gone", F.array_contains("gone", F.col("tok")))
+    pairs = flat(docs, "doc_path").withColumnRenamed("gone", "dg").join(flat(code, "code_path").withColumnRenamed("gone", "cg"), ["repo", "fix_sha", "tok"])
+    pairs = pairs.groupBy("repo", "fix_sha", "doc_path", "code_path").agg(F.collect_set("tok").alias("toks"), F.count_if(F.col("dg") & F.col("cg")).alias("both"))
     pairs = pairs.where(F.size("toks") >= cfg.min_shared)
     if cfg.claim_from_both:
         pairs = pairs.where("both > 0")
-    w = Window.partitionBy("repo", "sha", "doc_path").orderBy("code_path")
+    w = Window.partitionBy("repo", "fix_sha", "doc_path").orderBy("code_path")
     pairs = pairs.withColumn("nr", F.row_number().over(w)).where(F.col("nr") <= cfg.max_code_per_doc)
-    pairs = pairs.join(docs.select("repo", "sha", "doc_path", "parent_sha", "n_lines"), ["repo", "sha", "doc_path"])
-    return _example(pairs, "drift", "A", BASIS["A"], F.col("parent_sha"), F.col("sha"), F.col("code_path"), F.slice(tokens.longest_first(F.col("toks")), 1, cfg.keep_tokens), F.col("n_lines"))
+    pairs = pairs.join(docs.drop("all", "gone"), ["repo", "fix_sha", "doc_path"])
+    return _example(pairs, "drift", "A", BASIS["A"], F.col("parent_sha"), F.col("code_path"), F.slice(tokens.longest_first(F.col("toks")), 1, cfg.keep_tokens))
 
 
 def matched_negatives(positives: DataFrame) -> DataFrame:
     """The same pairs right after the fix, labelled clean."""
-    return _example(positives, "clean", "negative", BASIS["negative"], F.col("fix_sha"), F.col("fix_sha"), F.col("code_path"), F.col("shared_identifiers"), F.col("n_doc_lines"))
+    return _example(positives, "clean", "negative", BASIS["negative"], F.col("fix_sha"), F.col("code_path"), F.col("shared_identifiers"))
 
 
 def cochanged(files: DataFrame) -> DataFrame:
@@ -102,40 +117,52 @@ def cochanged(files: DataFrame) -> DataFrame:
     return docs.join(code, ["repo", "sha"]).select("repo", "doc_path", "code_path").distinct()
 
 
-def related_pairs(tree: DataFrame) -> DataFrame:
+def related_pairs(docs: DataFrame, code: DataFrame) -> DataFrame:
     """Docs and code of a tree whose stems or path words meet, through an inverted index of words and stems."""
     keys = lambda p: F.array_union(F.transform(paths.words(p), lambda w: F.concat(F.lit("w:"), w)), F.array(F.concat(F.lit("s:"), paths.stem(p))))
-    kinds = tree.withColumn("kind", paths.kind(F.col("path"))).where(paths.documents_code(F.col("path")))
-    docs = kinds.where("kind = 'doc'").select("repo", F.col("path").alias("doc_path"), F.explode(keys(F.col("path"))).alias("k"))
-    code = kinds.where("kind = 'code'").select("repo", F.col("path").alias("code_path"), F.explode(keys(F.col("path"))).alias("k"))
-    return docs.join(code, ["repo", "k"]).select("repo", "doc_path", "code_path").distinct()
+    flat = lambda t, c: t.select("repo", c, F.explode(keys(F.col(c))).alias("k"))
+    return flat(docs, "doc_path").join(flat(code, "code_path"), ["repo", "k"]).select("repo", "doc_path", "code_path").distinct()
 
 
 def easy_negatives(tree: DataFrame, together: DataFrame, target: int, seed: str = "0") -> DataFrame:
     """Pairs that never changed together: half of path-related ones, the rest uniform; a shortfall stays one.
 
-    The uniform arm draws, for every doc, code by hashed rank; it never builds the product of docs and code.
+    ``tree(repo, sha, committed_at, path)``.  An arm that wants n pairs of a repository may draw 50 n times, a
+    thousand at least.  Draws are numbered: each takes the doc and the code at hashed places of the first so many in
+    hash order, which tasks cut down before anything is shuffled; the product of docs and code is never built.
+    The related arm takes a code file of each of these docs, then a second one, and so on.
     """
-    related = related_pairs(tree).join(together, ["repo", "doc_path", "code_path"], "left_anti")
-    kinds = tree.withColumn("kind", paths.kind(F.col("path")))
-    order = lambda *c: F.md5(F.concat_ws(":", F.lit(seed), *c))
-    draws = Window.partitionBy("repo").orderBy(order(F.col("path")), "path")
-    code = kinds.where("kind = 'code'").select("repo", F.col("path").alias("code_path"), "path", F.row_number().over(draws).alias("slot")).drop("path")
-    size = code.groupBy("repo").agg(F.count("*").alias("n"))
-    docs = kinds.where((F.col("kind") == "doc") & paths.documents_code(F.col("path"))).select("repo", F.col("path").alias("doc_path")).join(size, "repo")
-    tries = docs.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(7))))
-    tries = tries.withColumn("slot", (F.conv(F.substring(order(F.col("doc_path"), F.col("t").cast("string")), 1, 8), 16, 10).cast("long") % F.col("n") + 1).cast("int"))
-    uniform = tries.join(code, ["repo", "slot"]).select("repo", "doc_path", "code_path").distinct().where(~paths.related(F.col("doc_path"), F.col("code_path")))
-    uniform = uniform.join(together, ["repo", "doc_path", "code_path"], "left_anti")
     half = target // 2
+    order = lambda *c: F.md5(F.concat_ws(":", F.lit(seed), *c))
+    tree = tree.withColumn("kind", paths.kind(F.col("path")))
+    budget = max(DRAWS * (target - half), LEAST_DRAWS)
+
+    def first(rows: DataFrame, name: str) -> DataFrame:
+        slot = F.row_number().over(Window.partitionBy("repo").orderBy(order(F.col("path")), "path"))
+        return rows.select("repo", F.col("path").alias(name), slot.alias("slot")).where(F.col("slot") <= budget)
+
+    docs = first(tree.where((F.col("kind") == "doc") & paths.documents_code(F.col("path"))), "doc_path")
+    all_code = tree.where("kind = 'code'")
+    code = first(all_code, "code_path")
+    size = docs.groupBy("repo").agg(F.count("*").alias("nd")).join(code.groupBy("repo").agg(F.count("*").alias("nc")), "repo")
+    place = lambda side, n: (F.conv(F.substring(order(F.lit(side), F.col("t").cast("string")), 1, 8), 16, 10).cast("long") % F.col(n) + 1).cast("int")
+    draws = size.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(budget - 1)))).select("repo", "t", place("doc", "nd").alias("d"), place("code", "nc").alias("c"))
+    uniform = draws.join(docs.withColumnRenamed("slot", "d"), ["repo", "d"]).join(code.withColumnRenamed("slot", "c"), ["repo", "c"]).where(~paths.related(F.col("doc_path"), F.col("code_path")))
+    uniform = uniform.groupBy("repo", "doc_path", "code_path").agg(F.min("t").alias("t"))
+    near = related_pairs(docs.drop("slot"), all_code.select("repo", F.col("path").alias("code_path")))
+    never = lambda pairs: pairs.join(together, ["repo", "doc_path", "code_path"], "left_anti")
+    w = Window.partitionBy("repo", "doc_path").orderBy(order(F.col("doc_path"), F.col("code_path")), "code_path")
+    near = never(near).withColumn("t", F.row_number().over(w)).where(F.col("t") <= max(half, 1))
+    head = tree.groupBy("repo").agg(F.max("sha").alias("sha"), F.max("committed_at").alias("committed_at"))
 
     def draw(pairs: DataFrame, n: int, basis: str) -> DataFrame:
-        w = Window.partitionBy("repo").orderBy(order(F.col("doc_path"), F.col("code_path")), "doc_path", "code_path")
-        kept = pairs.withColumn("nr", F.row_number().over(w)).where(F.col("nr") <= n)
-        empty = F.array().cast("array<string>")
-        return _example(kept, "clean", "negative_easy", basis, F.lit("head"), F.lit(""), F.col("code_path"), empty, F.lit(0))
+        by = Window.partitionBy("repo").orderBy("t", order(F.col("doc_path")), "doc_path", "code_path")
+        kept = pairs.withColumn("nr", F.row_number().over(by)).where(F.col("nr") <= n).join(head, "repo")
+        none = F.concat(F.lit("(no commit: "), "doc_path", F.lit(" and "), "code_path", F.lit(" never co-changed)"))
+        kept = kept.select("repo", "doc_path", "code_path", "sha", "committed_at", none.alias("subject"), *[F.lit("").alias(c) for c in ("fix_sha", "parent_sha")], *[F.lit(0).alias(c) for c in ("doc_lines_added", "doc_lines_removed", "files_in_commit")])
+        return _example(kept, "clean", "negative_easy", basis, F.col("sha"), F.col("code_path"), F.array().cast("array<string>"))
 
-    return draw(related, half, BASIS["related"]).unionByName(draw(uniform, target - half, BASIS["easy"]))
+    return draw(near, half, BASIS["related"]).unionByName(draw(never(uniform), target - half, BASIS["easy"]))
 
 
 def dedupe(examples: DataFrame) -> DataFrame:

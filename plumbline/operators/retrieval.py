@@ -103,16 +103,21 @@ def rank(scores: DataFrame, pairs: DataFrame | None = None, arm: str | None = No
     return out.withColumn("arm", F.lit(arm)) if arm else out
 
 
-def ranks_of(scores: DataFrame, relevant: DataFrame) -> DataFrame:
+def ranks_of(scores: DataFrame, relevant: DataFrame, step: float = 0.001) -> DataFrame:
     """The ranks of relevant candidates alone: 1 + the number that stand before each.
 
-    A count with map-side combine; nobody sorts a query's candidates or brings them to one task.  ``scores``
-    is read twice, so hand in a cached or written table.
+    Candidates are counted by query and bucket of scores; only those in a relevant candidate's own bucket are
+    compared with it.  Nobody sorts a query's candidates or brings them to one task.  ``scores`` is read three
+    times, so hand in a cached or written table.
     """
     keys = [c for c in ("arm", "trial", "query_id") if c in scores.columns]
-    own = scores.join(relevant.select("query_id", "path").distinct(), ["query_id", "path"]).select(*keys, F.col("path").alias("own"), F.col("score").alias("s"))
+    cut = scores.select(*keys, "path", "score", F.floor(F.col("score") / step).alias("bucket"))
+    own = cut.join(relevant.select("query_id", "path").distinct(), ["query_id", "path"]).select(*keys, "bucket", F.col("path").alias("own"), F.col("score").alias("s"))
+    upto = Window.partitionBy(*keys).orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    above = cut.groupBy(*keys, "bucket").agg(F.count("*").alias("n")).select(*keys, "bucket", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("above"))
     before = (F.col("score") > F.col("s")) | ((F.col("score") == F.col("s")) & (F.col("path") < F.col("own")))
-    return scores.join(small(own), keys).groupBy(*keys, "own").agg((F.count_if(before) + 1).alias("rank")).withColumnRenamed("own", "path")
+    inside = cut.join(small(own), [*keys, "bucket"]).groupBy(*keys, "bucket", "own").agg(F.count_if(before).alias("inside"))
+    return inside.join(above, [*keys, "bucket"]).select(*keys, F.col("own").alias("path"), (F.col("above") + F.col("inside") + 1).alias("rank"))
 
 
 def rerank(base: DataFrame, pair_scores: DataFrame, top_n: int = 20) -> DataFrame:
@@ -126,9 +131,14 @@ def rerank(base: DataFrame, pair_scores: DataFrame, top_n: int = 20) -> DataFram
     return head.select("query_id", "path", "score", F.col("new").alias("rank")).unionByName(base.where(F.col("rank") > top_n).select("query_id", "path", "score", "rank"))
 
 
-def context_top_k(ranking: DataFrame, seeds: DataFrame, texts: DataFrame, k: int = 5) -> DataFrame:
-    """The seed file first (rank 0), then the best others, k in all; files without text are passed over."""
-    seeded = seeds.select("query_id", "path", F.lit(0).alias("rank")).unionByName(ranking.select("query_id", "path", "rank"))
-    first = seeded.groupBy("query_id", "path").agg(F.min("rank").alias("rank")).join(texts, "path", "left_semi")
-    w = Window.partitionBy("query_id").orderBy("rank", "path")
-    return first.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+def context_top_k(scores: DataFrame, seeds: DataFrame, texts: DataFrame, k: int = 5) -> DataFrame:
+    """The seed file first (rank 0), then the best scored others, k in all; files without text are passed over.
+
+    Tasks cut a query's candidates down to k + 1 before they are shuffled.
+    """
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "path")
+    best = scores.join(texts, "path", "left_semi").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k + 1)
+    seeded = seeds.join(texts, "path", "left_semi").select("query_id", "path", F.lit(0).alias("rank")).unionByName(best.select("query_id", "path", "rank"))
+    first = seeded.groupBy("query_id", "path").agg(F.min("rank").alias("rank"))
+    places = Window.partitionBy("query_id").orderBy("rank", "path")
+    return first.withColumn("place", F.row_number().over(places)).where(F.col("place") <= k)

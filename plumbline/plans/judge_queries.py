@@ -103,20 +103,39 @@ def case_tally(spark: SparkSession, sf: str) -> DataFrame:
     return judging.case_tally(v, labels)
 
 
-SHEET = "Legend\n# `0123456789abcdef`\nnote\nverdict: drift\n# `fedcba9876543210`\nverdict: ?\n# `00000000000000aa`\nverdict: unclear\n"
+# Labels fill sheets of fifty ids: a verdict by the label's cells, some open, some in an unknown word.
+WORD_SQL = "CASE doc_id % 7 WHEN 0 THEN '?' WHEN 1 THEN '`new`' WHEN 2 THEN '`cosmetic`' WHEN 3 THEN '`unrelated`' WHEN 4 THEN '`dunno`' WHEN 5 THEN '`unclear`' ELSE '`drift`' END"
+CASES_SQL = f"""b AS (SELECT doc_id // 50 AS sheet, doc_id, '## Case ' || (doc_id % 50 + 1) || ' — `id' || doc_id || '`' || chr(10) || chr(10) || '- **basis** `drift`, see `VERDICT: ?`' || chr(10) || chr(10) || '**VERDICT: ' || {WORD_SQL} || '**' || chr(10) || chr(10) AS block FROM labels),
+s AS (SELECT sheet, 'Replace `VERDICT: ?` with `drift` or `new`.' || chr(10) || string_agg(block, '' ORDER BY doc_id) AS content FROM b GROUP BY sheet)"""
 
 
-@query("SELECT * FROM (VALUES ('0123456789abcdef', 'drift', true), ('00000000000000aa', 'unclear', NULL)) AS v(example_id, verdict, target)")
+def filled_sheets(spark: SparkSession, sf: str) -> DataFrame:
+    head = F.concat(F.lit("## Case "), (F.col("doc_id") % 50 + 1).cast("string"), F.lit(" — `id"), F.col("doc_id").cast("string"), F.lit("`\n\n- **basis** `drift`, see `VERDICT: ?`\n\n**VERDICT: "), F.expr(WORD_SQL), F.lit("**\n\n"))
+    rows = table(spark, sf, "labels").select(F.floor(F.col("doc_id") / 50).alias("sheet"), F.struct("doc_id", head.alias("block")).alias("b"))
+    sheet = rows.groupBy("sheet").agg(F.array_join(F.transform(F.array_sort(F.collect_list("b")), lambda b: b["block"]), "").alias("blocks"))  # fifty ids a sheet
+    return sheet.select(F.lpad(F.col("sheet").cast("string"), 12, "0").alias("sheet"), F.concat(F.lit("Replace `VERDICT: ?` with `drift` or `new`.\n"), "blocks").alias("content"))
+
+
+@query(f"""WITH {CASES_SQL}, p AS (SELECT unnest(string_split(content, '## Case ')[2:]) AS p FROM s), v AS (SELECT regexp_extract(p, '— `([^`]+)`', 1) AS example_id, regexp_extract(p, '[*][*]VERDICT: `([a-z]+)`[*][*]', 1) AS verdict FROM p)
+SELECT DISTINCT example_id, verdict, CASE verdict WHEN 'drift' THEN true WHEN 'unclear' THEN NULL ELSE false END AS target FROM v WHERE verdict IN ('drift', 'new', 'cosmetic', 'unrelated', 'unclear')""")
 def sheet_verdicts(spark: SparkSession, sf: str) -> DataFrame:
-    rows = sheets.scoped(spark.createDataFrame([("s", SHEET)], "sheet string, content string"))
-    return sheets.first_verdicts(rows).select("example_id", "verdict", "target")
+    """Sheets filled from the labels, read back case by case."""
+    return sheets.first_verdicts(sheets.scoped(filled_sheets(spark, sf))).select("example_id", "verdict", "target")
+
+
+TICKS_SQL = """t AS (SELECT conv_id, string_agg('- [' || CASE WHEN turn % 3 = 0 AND conv_id % 4 > 0 THEN 'x' ELSE ' ' END || '] src/' || role || turn || '.py' || chr(10), '' ORDER BY turn) AS ticks FROM conversations GROUP BY conv_id)"""
 
 
-@query("SELECT 'docs/a.md' AS doc_path, 'src/one.py' AS marked, 'lib/three.py' AS extra, false AS none UNION ALL SELECT 'docs/b.md', '', '', true")
+@query(f"""WITH {TICKS_SQL}, l AS (SELECT conv_id, unnest(string_split(ticks, chr(10))) AS line FROM t)
+SELECT 'r' || (conv_id % 5) AS repo, 'docs/' || conv_id || '.md' AS doc_path, coalesce(string_agg(substr(line, 7), ',' ORDER BY substr(line, 7)) FILTER (WHERE starts_with(line, '- [x] ')), '') AS marked, CASE WHEN conv_id % 9 = 1 THEN 'lib/a.py,lib/b.py' ELSE '' END AS extra,
+ conv_id % 4 = 0 AS none, conv_id % 4 = 0 OR conv_id % 9 = 1 OR count_if(starts_with(line, '- [x] ')) > 0 AS answered FROM l GROUP BY conv_id""")
 def sheet_checklist(spark: SparkSession, sf: str) -> DataFrame:
-    text = "## docs/a.md\n- [x] src/one.py\n- [ ] src/two.py\nEXTRA: lib/three.py\n\n## docs/b.md\n- [X] NONE\n"
-    c = sheets.checklist(spark.createDataFrame([("s", text)], "sheet string, content string"))
-    return c.select("doc_path", F.array_join("marked", ",").alias("marked"), F.array_join("extra", ",").alias("extra"), "none")
+    """A sheet a conversation: its turns are the files to tick."""
+    tick = F.concat(F.lit("- ["), F.expr("IF(turn % 3 = 0 AND conv_id % 4 > 0, 'x', ' ')"), F.lit("] src/"), "role", F.col("turn").cast("string"), F.lit(".py\n"))
+    t = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", tick.alias("b")))), lambda b: b["b"]), "").alias("ticks"))
+    content = F.concat(F.expr("concat('Legend\n\n## Case 1 — `r', conv_id % 5, '` · `docs/', conv_id, '.md`\n\n- **tree** `0a1b2c`\n\n')"), "ticks", F.expr("concat('\n**NONE:** [', IF(conv_id % 4 = 0, 'X', ' '), ']\n\n**EXTRA:** ', IF(conv_id % 9 = 1, '`lib/a.py`, lib/b.py', ''), '\n')"))
+    c = sheets.checklist(t.select(F.col("conv_id").cast("string").alias("sheet"), content.alias("content")))
+    return c.select("repo", "doc_path", F.array_join(F.array_sort("marked"), ",").alias("marked"), F.array_join("extra", ",").alias("extra"), "none", "answered")
 
 
 @query("SELECT (SELECT count(DISTINCT text) FROM documents WHERE text IN (SELECT text FROM documents WHERE doc_id % 2 = 0))::BIGINT AS hits, (SELECT count(DISTINCT text) FROM documents WHERE text NOT IN (SELECT text FROM documents WHERE doc_id % 2 = 0))::BIGINT AS misses")

@@ -273,9 +273,9 @@ FILES_SQL = f"""{TURNS_SQL},
 files AS (
   SELECT 'r' || (conv_id % 5) AS repo, 'c' || conv_id AS sha, 'c' || (conv_id - 1) AS parent_sha, CASE WHEN conv_id % 11 = 0 THEN 2 ELSE 1 END AS n_parents,
     CASE WHEN conv_id % 7 = 3 THEN 'fix typo' ELSE 'turn ' || conv_id END AS subject,
-    CASE role WHEN 'user' THEN 'docs/guide' || (conv_id % 7) || '_' || turn || '.md' WHEN 'assistant' THEN 'src/mod' || (conv_id % 7) || '/part' || turn || '.py' ELSE 'misc/' || turn || '.txt' END AS path,
+    CASE WHEN role = 'user' OR conv_id % 3 = 0 THEN 'docs/guide' || (conv_id % 7) || '_' || turn || '.md' WHEN role = 'assistant' THEN 'src/mod' || (conv_id % 7) || '/part' || turn || '.py' ELSE 'misc/' || turn || '.txt' END AS path,
     CASE WHEN (conv_id + turn) % 17 = 0 THEN 'src/old/part' || turn || '.py' END AS old_path, CASE WHEN (conv_id + turn) % 13 = 0 THEN 'A' ELSE 'M' END AS status, added, removed, all_lines
-  FROM sides WHERE conv_id % 3 > 0 OR role = 'user'),
+  FROM sides),
 k AS (SELECT *, {sql_kind('path')} AS kind FROM files WHERE n_parents = 1 AND NOT {sql_any('lower(subject)', paths.COSMETIC)}),
 rows AS (SELECT * FROM (SELECT *, count(*) OVER w AS n_files, count_if(kind = 'doc') OVER w AS n_docs, count_if(kind = 'code') OVER w AS n_code FROM k WINDOW w AS (PARTITION BY repo, sha)) WHERE n_files <= 20 AND n_docs > 0),
 e AS (SELECT *, {sql_extract(sql_urls(f"array_to_string(added, {NL})"))} AS ta, {sql_extract(sql_urls(f"array_to_string(removed, {NL})"))} AS tr, {sql_extract(sql_urls(f"array_to_string(list_concat(added, removed), {NL})"))} AS tb FROM rows WHERE status = 'M'),
@@ -291,17 +291,17 @@ ID_SQL = "substr(sha256(repo || chr(0) || {at} || chr(0) || doc_path || chr(0) |
 
 def history(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """(files, diffs): conversations as commits, turns as the files they changed."""
-    t = turns(spark, sf).where("conv_id % 3 > 0 OR role = 'user'")
+    t = turns(spark, sf)  # every third commit changes documents alone
     files = t.select(
         F.expr("concat('r', conv_id % 5)").alias("repo"), F.expr("concat('c', conv_id)").alias("sha"), F.expr("concat('c', conv_id - 1)").alias("parent_sha"),
         F.expr("if(conv_id % 11 = 0, 2, 1)").alias("n_parents"), F.col("conv_id").alias("committed_at"), F.expr("if(conv_id % 7 = 3, 'fix typo', concat('turn ', conv_id))").alias("subject"),
-        F.expr("CASE role WHEN 'user' THEN concat('docs/guide', conv_id % 7, '_', turn, '.md') WHEN 'assistant' THEN concat('src/mod', conv_id % 7, '/part', turn, '.py') ELSE concat('misc/', turn, '.txt') END").alias("path"),
+        F.expr("CASE WHEN role = 'user' OR conv_id % 3 = 0 THEN concat('docs/guide', conv_id % 7, '_', turn, '.md') WHEN role = 'assistant' THEN concat('src/mod', conv_id % 7, '/part', turn, '.py') ELSE concat('misc/', turn, '.txt') END").alias("path"),
         F.expr("CASE WHEN (conv_id + turn) % 17 = 0 THEN concat('src/old/part', turn, '.py') END").alias("old_path"), F.expr("if((conv_id + turn) % 13 = 0, 'A', 'M')").alias("status"), "diff")
     return files.drop("diff"), files.select("repo", "sha", "path", "diff")
 
 
 def _shown(examples: DataFrame) -> DataFrame:
-    return examples.select("example_id", "repo", "doc_path", "code_path", F.col("n_doc_lines").cast("long").alias("n_doc_lines"), F.array_join("shared_identifiers", " ").alias("shared"))
+    return examples.select("example_id", "repo", "doc_path", "code_path", (F.col("doc_lines_added") + F.col("doc_lines_removed")).alias("n_doc_lines"), F.array_join("shared_identifiers", " ").alias("shared"))
 
 
 @query(f"WITH {FILES_SQL} SELECT {ID_SQL.format(at='parent_sha', label='drift')} AS example_id, repo, doc_path, code_path, n_doc_lines, array_to_string(shared, ' ') AS shared FROM shape_b")
@@ -331,16 +331,17 @@ def mine_cochanged(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""WITH {FILES_SQL}, tree AS (SELECT DISTINCT repo, path, {sql_kind('path')} AS kind FROM files), n AS (SELECT repo, sha, path FROM files UNION SELECT repo, sha, old_path FROM files WHERE old_path IS NOT NULL), kk AS (SELECT *, {sql_kind('path')} AS kind FROM n),
 tg AS (SELECT DISTINCT d.repo, d.path AS doc_path, c.path AS code_path FROM kk d JOIN kk c USING (repo, sha) WHERE d.kind = 'doc' AND c.kind = 'code'),
-cd AS (SELECT repo, path, row_number() OVER (PARTITION BY repo ORDER BY md5('5:' || path), path) AS slot, count(*) OVER (PARTITION BY repo) AS n FROM tree WHERE kind = 'code'),
-tr AS (SELECT DISTINCT d.repo, d.path AS doc_path, c.path AS code_path FROM (SELECT repo, path, t FROM tree, unnest(range(0, 8)) AS u(t) WHERE kind = 'doc') d JOIN cd c ON d.repo = c.repo AND c.slot = CAST('0x' || substr(md5('5:' || d.path || ':' || d.t), 1, 8) AS BIGINT) % c.n + 1),
-un AS (SELECT * FROM tr ANTI JOIN tg USING (repo, doc_path, code_path) WHERE NOT {sql_related('doc_path', 'code_path')}),
-re AS (SELECT d.repo, d.path AS doc_path, c.path AS code_path FROM tree d JOIN tree c USING (repo) WHERE d.kind = 'doc' AND c.kind = 'code' AND {sql_related('d.path', 'c.path')}),
-ra AS (SELECT * FROM re ANTI JOIN tg USING (repo, doc_path, code_path)),
-o AS (SELECT repo, doc_path, code_path, 'related' AS arm, row_number() OVER (PARTITION BY repo ORDER BY md5('5:' || doc_path || ':' || code_path), doc_path, code_path) AS nr, 10 AS lim FROM ra UNION ALL SELECT repo, doc_path, code_path, 'easy', row_number() OVER (PARTITION BY repo ORDER BY md5('5:' || doc_path || ':' || code_path), doc_path, code_path), 10 FROM un)
-SELECT repo, doc_path, code_path, arm FROM o WHERE nr <= lim""")
+sl AS (SELECT * FROM (SELECT repo, path, kind, row_number() OVER (PARTITION BY repo, kind ORDER BY md5('5:' || path), path) AS slot FROM tree WHERE kind = 'code' OR (kind = 'doc' AND NOT {sql_any('lower(path)', [*paths.TEST_DIRS, '.github/'])})) WHERE slot <= 1000),
+sz AS (SELECT repo, count_if(kind = 'doc') AS nd, count_if(kind = 'code') AS nc FROM sl GROUP BY repo HAVING nd > 0 AND nc > 0),
+tr AS (SELECT z.repo, t, d.path AS doc_path, c.path AS code_path FROM sz z, unnest(range(0, 1000)) AS u(t) JOIN sl d ON d.repo = z.repo AND d.kind = 'doc' AND d.slot = CAST('0x' || substr(md5('5:doc:' || t), 1, 8) AS BIGINT) % z.nd + 1 JOIN sl c ON c.repo = z.repo AND c.kind = 'code' AND c.slot = CAST('0x' || substr(md5('5:code:' || t), 1, 8) AS BIGINT) % z.nc + 1),
+un AS (SELECT repo, doc_path, code_path, min(t) AS t FROM tr ANTI JOIN tg USING (repo, doc_path, code_path) WHERE NOT {sql_related('doc_path', 'code_path')} GROUP BY ALL),
+re AS (SELECT d.repo, d.path AS doc_path, c.path AS code_path FROM sl d JOIN tree c USING (repo) WHERE d.kind = 'doc' AND c.kind = 'code' AND {sql_related('d.path', 'c.path')}),
+ra AS (SELECT repo, doc_path, code_path, row_number() OVER (PARTITION BY repo, doc_path ORDER BY md5('5:' || doc_path || ':' || code_path), code_path) AS t FROM re ANTI JOIN tg USING (repo, doc_path, code_path)),
+o AS (SELECT *, row_number() OVER (PARTITION BY repo, arm ORDER BY t, md5('5:' || doc_path), doc_path, code_path) AS nr FROM (SELECT repo, doc_path, code_path, t, 'related' AS arm FROM ra UNION ALL SELECT repo, doc_path, code_path, t, 'easy' FROM un))
+SELECT repo, doc_path, code_path, arm FROM o WHERE nr <= 10""")
 def mine_easy_negative(spark: SparkSession, sf: str) -> DataFrame:
     """Twenty pairs a repository that never changed together, half of them path-related if there are."""
     files, _ = history(spark, sf)
-    tree = files.select("repo", "path").distinct()
+    tree = files.select("repo", F.lit("head").alias("sha"), F.lit(0).alias("committed_at"), "path").distinct()
     e = mining.easy_negatives(tree, mining.cochanged(files), 20, "5")
     return e.select("repo", "doc_path", "code_path", F.when(F.col("label_basis") == mining.BASIS["related"], "related").otherwise("easy").alias("arm"))

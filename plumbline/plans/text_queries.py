@@ -95,41 +95,49 @@ def strip_html_urls(spark: SparkSession, sf: str) -> DataFrame:
     return s.select("page_id", F.md5("s").alias("text_md5"), F.length("s").cast("long").alias("n"))
 
 
-MARKED = [
-    (1, "Call `fetch_rows` with ``page_size`` before closing."),
-    (2, "Plain words only, nothing marked."),
-    (3, "Intro `alpha_one`\n```\nresult = run_job(limit=3)\n```\nthen `betaTwo` 3.10"),
-    (4, "~~~ text\nopen fence never ends\n`inside_fence`"),
-    (5, ""),
-    (6, "Use `read_page`. It returns `None`!\n\n    indented code `skip_me`\n\nPass `timeoutSeconds` now? Yes."),
-]
-MARKED_SQL = "(VALUES " + ", ".join(f"({i}, '{t.replace(chr(10), '~NL~')}')" for i, t in MARKED) + ") AS v(id, raw)"
+# Marks by rule, for the texts hold none: words of five letters between spaces in backticks, those of six in two; some lines open or close a fence.
+MARK_SQL = [(" ([A-Za-z]{5}) ", r" `\1` "), (" ([A-Za-z]{6}) ", r" ``\1`` "), (r"\n([A-Z])", "\n```\n\\1")]
+
+
+def marked(spark: SparkSession, sf: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    for pattern, into in MARK_SQL:
+        text = F.regexp_replace(text, pattern, into.replace("\\1", "$1"))
+    return table(spark, sf, "documents").select("doc_id", text.alias("text"))
+
+
+def _marked_sql() -> str:
+    text = "coalesce(text, '')"
+    for pattern, into in MARK_SQL:
+        into = "'" + into.replace("\n", "' || chr(10) || '") + "'"
+        text = f"regexp_replace({text}, '{pattern}', {into}, 'g')"
+    return text
+
+
 #: Where a fence's state matters, DuckDB carries it by a running count of fence lines.
 SPANS_SQL = rf"""
-WITH v AS (SELECT id::BIGINT AS id, replace(raw, '~NL~', chr(10)) AS text FROM {MARKED_SQL}),
-l AS (SELECT id, i, string_split(text, chr(10))[i] AS line FROM v, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS u(i)),
-f AS (SELECT *, regexp_matches(line, '^\s*(?:```|~~~)') AS fence, sum(regexp_matches(line, '^\s*(?:```|~~~)')::INT) OVER (PARTITION BY id ORDER BY i) % 2 = 1 AS inside FROM l),
+WITH v AS (SELECT doc_id, string_split(rtrim(replace(replace({_marked_sql()}, chr(13) || chr(10), chr(10)), chr(13), chr(10)), ''), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, i, ls[i] AS line FROM v, unnest(range(1, len(ls) + 1)) AS u(i)),
+f AS (SELECT *, regexp_matches(line, '^\s*(?:```|~~~)') AS fence, sum(regexp_matches(line, '^\s*(?:```|~~~)')::INT) OVER (PARTITION BY doc_id ORDER BY i) % 2 = 1 AS inside FROM l),
 p AS (
-  SELECT id, i, 0 AS j, line AS part FROM f WHERE inside AND NOT fence
+  SELECT doc_id, i, 0 AS j, line AS part FROM f WHERE inside AND NOT fence AND NOT (line = '' AND i = (SELECT len(ls) FROM v WHERE v.doc_id = f.doc_id))
   UNION ALL
-  SELECT id, i, j, trim(regexp_extract_all(line, '``[^`\n]+``|`[^`\n]+`')[j], '`') FROM f, unnest(range(1, len(regexp_extract_all(line, '``[^`\n]+``|`[^`\n]+`')) + 1)) AS u(j) WHERE NOT inside AND NOT fence)
-SELECT v.id, coalesce(string_agg(part, chr(10) ORDER BY i, j), '') AS literals FROM v LEFT JOIN p USING (id) GROUP BY v.id
+  SELECT doc_id, i, j, trim(regexp_extract_all(line, '``[^`\n]+``|`[^`\n]+`')[j], '`') FROM f, unnest(range(1, len(regexp_extract_all(line, '``[^`\n]+``|`[^`\n]+`')) + 1)) AS u(j) WHERE NOT inside AND NOT fence)
+SELECT v.doc_id, md5(coalesce(string_agg(part, chr(10) ORDER BY i, j), '')) AS literals_md5, count(part)::BIGINT AS n FROM v LEFT JOIN p USING (doc_id) GROUP BY v.doc_id
 """
 
 
-def marked(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(MARKED, "id long, text string")
-
-
 @query(SPANS_SQL)
 def literal_spans(spark: SparkSession, sf: str) -> DataFrame:
-    return marked(spark).select("id", tokens.literal_spans(F.col("text")).alias("literals"))
+    t = marked(spark, sf).select("doc_id", tokens.literal_spans(F.col("text")).alias("s"))
+    return t.select("doc_id", F.md5("s").alias("literals_md5"), F.when(F.col("s") == "", 0).otherwise(F.size(F.split("s", "\n", -1))).cast("long").alias("n"))
 
 
-@query("SELECT id::BIGINT AS id, n::BIGINT AS n, said FROM (VALUES (1, 1, 'Call `fetch_rows` with ``page_size`` before closing.'), (2, 0, ''), (3, 2, 'Intro `alpha_one`|then `betaTwo` 3.10'), (4, 0, ''), (5, 0, ''), (6, 2, 'Use `read_page`.|Pass `timeoutSeconds` now?')) AS v(id, n, said)")
+@query()
 def claim_units(spark: SparkSession, sf: str) -> DataFrame:
-    found = marked(spark).select("id", texts.claim_units(F.col("text")).alias("c"))
-    return found.select("id", F.size("c").cast("long").alias("n"), F.array_join("c", "|").alias("said"))
+    """Claims of every document, its marks made by rule; tests compare with a plain reading of hand-made texts."""
+    found = marked(spark, sf).select("doc_id", texts.claim_units(F.col("text")).alias("c"))
+    return found.select("doc_id", F.size("c").cast("long").alias("n"), F.md5(F.array_join("c", "|")).alias("claims_md5"))
 
 
 # ---------------------------------------------------------------- paths

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -19,10 +19,16 @@ def table_text(rows: DataFrame, order: list[str], most: int = 500) -> str:
 
 
 def checklist(cases: DataFrame, pool: DataFrame) -> DataFrame:
-    """cases(repo, doc_path), pool(repo, path): a checklist block for each document, its tree's files to tick."""
-    files = pool.groupBy("repo").agg(F.array_sort(F.collect_set("path")).alias("files"))
+    """cases(repo, doc_path), pool(repo, sha, path): (nr, block), a case for each document with its tree's files to tick.
+
+    A sheet is what one person reads: some documents of trees of some dozen files.
+    """
+    files = pool.groupBy("repo").agg(F.max("sha").alias("sha"), F.array_sort(F.collect_set("path")).alias("files"))
     ticks = F.array_join(F.transform("files", lambda p: F.concat(F.lit("- [ ] "), p)), "\n")
-    return cases.join(files, "repo").select("repo", "doc_path", F.concat_ws("\n", F.concat(F.lit("## "), "doc_path"), ticks, F.lit("- [ ] NONE"), F.lit("EXTRA:"), F.lit("")).alias("block"))
+    rows = cases.join(files, "repo").withColumn("nr", F.row_number().over(Window.orderBy("repo", "doc_path")))
+    head = F.format_string("## Case %d — `%s` · `%s`\n", "nr", "repo", "doc_path")
+    tree = F.concat(F.lit("- **tree** `"), F.substring("sha", 1, 12), F.lit("`\n"))
+    return rows.select("nr", F.concat_ws("\n", head, tree, ticks, F.lit("\n**NONE:** [ ]\n"), F.lit("**EXTRA:**\n"), F.lit("**NOTES:**\n"), F.lit("---\n")).alias("block"))
 
 
 def answer_matrix(trials: DataFrame) -> DataFrame:

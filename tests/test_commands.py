@@ -27,6 +27,9 @@ def repo(tmp_path_factory):
     put(doc, "poolLimit = 3\n", "start")
     put(doc.replace("poolLimit", "poolSize"), "poolSize = 3\n", "rename the setting")
     put(doc.replace("poolLimit", "poolBound"), "poolSize = 3\n", "correct the page")
+    (path / "src/lonely.py").write_text("nothing = 0\n")
+    run("add", ".")
+    run("commit", "-qm", "code alone")
     return path
 
 
@@ -37,29 +40,43 @@ def mined(spark, repo, tmp_path_factory):
     return out
 
 
-def test_mined_labels(spark, mined):
+def test_mined_labels(spark, mined, repo):
     rows = spark.read.json(mined).collect()
     assert {(r["shape"], r["label"]) for r in rows} >= {("A", "drift"), ("B", "drift"), ("negative", "clean")}
     assert [r["code_path"] for r in rows if r["shape"] == "A"] == ["src/pool.py"]
+    fields = {"subject", "parent_sha", "committed_at", "doc_lines_added", "doc_lines_removed", "files_in_commit"}
+    fix = next(r for r in rows if r["shape"] == "A")
+    assert fields <= set(fix.asDict()) and (fix["subject"], fix["doc_lines_added"], fix["doc_lines_removed"], fix["files_in_commit"]) == ("rename the setting", 2, 2, 2)
+    head = subprocess.run(["git", "rev-parse", "HEAD"], cwd=repo, capture_output=True, text=True).stdout.strip()
+    easy = [r for r in rows if r["shape"] == "negative_easy"]
+    assert easy and all(r["at_sha"] == head and r["fix_sha"] == "" and r["code_path"] == "src/lonely.py" for r in easy)
 
 
 def test_commands_run(spark, mined, repo, tmp_path, capsys):
     ids = [r["example_id"] for r in spark.read.json(mined).where("label = 'drift'").orderBy("example_id").collect()]
     (tmp_path / "sheets").mkdir()
-    (tmp_path / "sheets/s.md").write_text("".join(f"# `{i}`\nverdict: {v}\n" for i, v in zip(ids, ("drift", "clean"))))
+    (tmp_path / "sheets/s.md").write_text("".join(f"## Case {n} — `{i}`\n\n**VERDICT: `{v}`**\n\n" for n, (i, v) in enumerate(zip(ids, ("drift", "cosmetic")), 1)))
     base = ["--labels", mined, "--sheets", str(tmp_path / "sheets")]
-    for command in (["stats", "--labels", mined], ["score", *base], ["retention", "--old", mined, *base], ["judge-cases", *base], ["judge-eval", *base], ["judge-null-run", *base], ["judge-freeze", *base, "--out", str(tmp_path / "frozen")], ["sample", "--labels", mined, "--out", str(tmp_path / "sheet")], ["retrieve-eval", "--labels", mined, "--repos", f"r={repo}"], ["doc-sample", "--repos", f"r={repo}", "--out", str(tmp_path / "check")]):
+    for command in (["stats", "--labels", mined], ["score", *base], ["retention", "--old", mined, *base], ["judge-cases", *base], ["judge-eval", *base], ["judge-null-run", *base], ["judge-freeze", *base, "--out", str(tmp_path / "frozen")], ["sample", "--labels", mined, "--repos", f"r={repo}", "--out", str(tmp_path / "sheet")], ["retrieve-eval", "--labels", mined, "--repos", f"r={repo}"], ["doc-sample", "--repos", f"r={repo}", "--out", str(tmp_path / "check")]):
         assert main(command, spark) == 0, command
     assert "lexical-ablated" in capsys.readouterr().out
     (tmp_path / "c").mkdir()
-    (tmp_path / "c/c.md").write_text("## docs/pool.md\n- [x] src/pool.py\n")
+    (tmp_path / "c/c.md").write_text("## Case 1 — `r` · `docs/pool.md`\n\n- [x] src/pool.py\n")
     assert main(["doc-eval", "--sheets", str(tmp_path / "c"), "--repos", f"r={repo}"], spark) == 0
-    (tmp_path / "p.jsonl").write_text("".join(json.dumps({"example_id": i, "answer": a}) + "\n" for i, a in zip(ids, (True, False))))
-    (tmp_path / "b.json").write_text(json.dumps({"corpus": {"scoreable": 2}, "mde": 0.1, "chance_f1_p95": 0.5}))
+    assert "poolSize" in spark.read.text(str(tmp_path / "sheet"), wholetext=True).first()[0]
+    held = {r["example_id"]: r["code_path"] for r in spark.read.json(mined).collect()}
+    verdict = dict(zip(ids, (True, False)))
+    n = sum(held[i] is not None for i in ids)
+    (tmp_path / "p.jsonl").write_text("".join(json.dumps({"example_id": i, "answer": verdict[i]}) + "\n" for i in ids if held[i]))
+    judges = {"always-false": {"f1": 0.1, "accuracy_all": 0.1}, "always-not-false": {"f1": 0.0, "accuracy_all": 0.2}, "lexical-absence": {"f1": 0.3, "accuracy_all": 0.9}, "paid": {"f1": 1.0, "accuracy_all": 1.0}}
+    bars = {"corpus": {"verdicts": 2, "scoreable": 2, "with_code_path": n}, "judges": judges, "mde": 0.1, "chance_f1_p95": 0.5}
     bench = ["bench", *base, "--bars", str(tmp_path / "b.json"), "--predictions", str(tmp_path / "p.jsonl")]
-    assert main(bench, spark) == 0
-    (tmp_path / "b.json").write_text(json.dumps({"corpus": {"scoreable": 3}, "mde": 0.1, "chance_f1_p95": 0.5}))
-    assert main(bench, spark) == 2
+    (tmp_path / "b.json").write_text(json.dumps(bars))
+    assert main(bench, spark) == (0 if verdict[next(i for i in ids if held[i])] else 1)
+    for key in bars["corpus"]:
+        (tmp_path / "b.json").write_text(json.dumps(bars | {"corpus": bars["corpus"] | {key: 7}}))
+        assert main(bench, spark) == 2
+    assert main(["mine", "--repos", f"r={repo}", "--out", str(tmp_path / "again"), "--pin", "x=HEAD"], spark) == 2
 
 
 def test_every_command_parses():

@@ -181,6 +181,19 @@ def pool(spark):
     return docs.select("tree", "path"), cand, queries, rt.idf(cand, docs)
 
 
+def test_ranks_by_buckets_equal_a_sort(spark):
+    import random
+
+    rng = random.Random(9)
+    rows = [(q, f"p{k:03}", rng.choice([0.0, 0.0005, 0.5, 0.5001, round(rng.random() * 3, 4), -0.25])) for q in range(4) for k in range(80)]
+    scores = spark.createDataFrame(rows, "query_id long, path string, score double")
+    rel = [(q, f"p{rng.randrange(80):03}") for q in range(4) for _ in range(15)]
+    got = {(r["query_id"], r["path"]): r["rank"] for r in rt.ranks_of(scores, spark.createDataFrame(rel, "query_id long, path string")).collect()}
+    for q, p in set(rel):
+        order = [x[1] for x in sorted((r for r in rows if r[0] == q), key=lambda r: (-r[2], r[1]))]
+        assert got[q, p] == order.index(p) + 1
+
+
 def test_k1_zero_is_the_plain_score(pool):
     _, cand, queries, weights = pool
     a, b = (sorted(map(tuple, rt.score_tokens(queries, cand, weights, k).collect())) for k in (None, 0.0))

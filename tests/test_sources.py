@@ -27,7 +27,11 @@ def repo(tmp_path):
     run("commit", "-qm", "first")
     (tmp_path / "a.md").write_bytes(b"one\nthree \xff\n")
     run("mv", "b.py", "c.py")
+    (tmp_path / "é.md").write_text("accents\n")
+    run("add", ".")
     run("commit", "-qam", "second | odd")
+    run("update-index", "--add", "--cacheinfo", f"160000,{'1' * 40},module")  # a submodule's entry: no file of this repository
+    run("commit", "-qm", "third")
     return tmp_path
 
 
@@ -35,39 +39,77 @@ def test_git_source(spark, repo):
     spark.dataSource.register(GitSource)
     read = lambda **o: spark.read.format("plumb_git").options(repos=f"r={repo}", **o).load()
     commits = read().orderBy(F.desc("committed_at"), F.size("parents").desc()).collect()
-    assert {c["subject"] for c in commits} == {"first", "second | odd"}
-    second = next(c for c in commits if c["parents"])
-    assert {(f["status"], f["path"], f["old_path"]) for f in second["files"]} == {("M", "a.md", None), ("R", "c.py", "b.py")}
-    assert {r["path"] for r in read(table="tree").collect()} == {"a.md", "c.py"}
-    assert {r["path"]: r["text"] for r in read(table="blobs").collect()}["a.md"] == "one\nthree �\n"
-    assert "-two" in {r["path"]: r["diff"] for r in read(table="diffs").collect()}["a.md"]
+    assert {c["subject"] for c in commits} == {"first", "second | odd", "third"}
+    second = next(c for c in commits if c["subject"].startswith("second"))
+    assert {(f["status"], f["path"], f["old_path"]) for f in second["files"]} == {("M", "a.md", None), ("R", "c.py", "b.py"), ("A", "é.md", None)}
+    assert {r["path"] for r in read(table="tree").collect()} == {"a.md", "c.py", "é.md", "module"}
+    held = {r["path"]: r["text"] for r in read(table="blobs").collect()}
+    assert held == {"a.md": "one\nthree �\n", "c.py": "x = 1\n" * 20, "é.md": "accents\n"}
+    changes = {(r["sha"], r["path"]): r["diff"] for r in read(table="diffs").collect()}
+    assert {p for s, p in changes if s == second["sha"]} == {"a.md", "c.py", "é.md"} and "-two" in changes[second["sha"], "a.md"]
+    assert {r["path"] for r in read(table="tree", revs=f"r={second['sha']}").collect()} == {"a.md", "c.py", "é.md"}
     assert read(limit="1").count() == 1
 
 
+LEGEND = "# Review (seed 11)\n\nFor each case, replace `VERDICT: ?` with one of:\n\n- `drift` — the doc said something untrue\n- `new` — documented something new\n\n---\n\n"
+
+
+def case(n, example, verdict):
+    return f"## Case {n} — `{example}`\n\n- **repo** `a/b` · **shape** A\n- **shared identifiers** `building`, `open`\n\n**VERDICT: {verdict}**\n\n<details><summary>doc diff</summary>\n\n```diff\n-old\n+new\n```\n\n</details>\n\n"
+
+
 def test_sheets(spark, tmp_path):
-    put(tmp_path / "s1.md", f"Legend\nverdict: drift\n\n# `{A}`\ntext\nverdict: drift\n\n# `{B}`\nverdict: ?\n")
-    put(tmp_path / "s2.md", f"# `{A}`\nverdict: clean\n# `{B}`\nverdict: unclear\n")
+    more = [f"{k:016x}" for k in range(5)]
+    put(tmp_path / "s1.md", LEGEND + case(1, A, "`drift`") + case(2, B, "?") + "".join(case(k + 3, x, f"`{v}`") for k, (x, v) in enumerate(zip(more, ("new", "cosmetic", "unrelated", "unclear", "perhaps")))))
+    put(tmp_path / "s2.md", LEGEND + case(1, A, "`new`") + case(2, B, "`unclear`"))
     rows = sheets.scoped(sheets.sheets(spark, str(tmp_path)))
     got = {r["example_id"]: r for r in sheets.first_verdicts(rows).collect()}
     assert (got[A]["verdict"], got[A]["target"], got[A]["n_seen"]) == ("drift", True, 2)
     assert (got[B]["verdict"], got[B]["target"]) == ("unclear", None)
+    assert {x: (got[x]["verdict"], got[x]["target"]) for x in more[:4]} == {more[0]: ("new", False), more[1]: ("cosmetic", False), more[2]: ("unrelated", False), more[3]: ("unclear", None)} and more[4] not in got
     only = sheets.sheets(spark, str(tmp_path / "s2.md"))
-    assert [(r["pos"], r["verdict"]) for r in sheets.positional(only).orderBy("pos").collect()] == [(0, "clean"), (1, "unclear")]
-    with pytest.raises(Exception, match="headings"):
-        sheets.positional(sheets.sheets(spark, str(tmp_path / "s1.md"))).collect()
+    assert [(r["pos"], r["example_id"], r["verdict"]) for r in sheets.positional(only).orderBy("pos").collect()] == [(0, A, "new"), (1, B, "unclear")]
+    odd = spark.createDataFrame([("x", LEGEND + case(1, A, "`drift`") + f"## Case 2 — `{B}`\n\nno verdict\n")], "sheet string, content string")
+    empty = spark.createDataFrame([("x", LEGEND)], "sheet string, content string")
+    for wrong in (odd, empty):
+        with pytest.raises(Exception, match="headings"):
+            sheets.positional(wrong).collect()
+    with pytest.raises(Exception, match="no case"):
+        sheets.scoped(empty).collect()
+    for style in ("drift", "`drift`", "DRIFT"):
+        one = spark.createDataFrame([("x", case(1, A, style))], "sheet string, content string")
+        assert [r["verdict"] for r in sheets.positional(one).collect()] == ["drift"]
+
+
+def test_a_written_sheet_is_read_back(spark):
+    row = {"example_id": A, "repo": "a/b", "label": "drift", "label_basis": "x", "shape": "A", "doc_path": "d.md", "code_path": "c.py", "at_sha": "1", "fix_sha": "2", "parent_sha": "1", "committed_at": 3, "subject": "s", "doc_lines_added": 1, "doc_lines_removed": 1, "files_in_commit": 2, "shared_identifiers": ["tok"]}
+    examples = spark.createDataFrame([tuple(row.values()), tuple((row | {"example_id": B}).values())], sheets.EXAMPLE)
+    diffs = spark.createDataFrame([(A, "-a\n+b", "-c\n+d")], "example_id string, doc_diff string, code_diff string")
+    text = "\n".join(r["block"] for r in sheets.review_sheet(examples, diffs).orderBy("nr").collect())
+    assert "-c\n+d" in text and "shared identifiers** `tok`" in text
+    filled = text.replace("**VERDICT: ?**", "**VERDICT: `cosmetic`**")
+    got = sheets.scoped(spark.createDataFrame([("x", filled)], "sheet string, content string")).collect()
+    assert {(r["example_id"], r["verdict"]) for r in got} == {(A, "cosmetic"), (B, "cosmetic")}
+    assert sheets.scoped(spark.createDataFrame([("x", text)], "sheet string, content string")).collect() == []
 
 
 def test_checklist(spark, tmp_path):
-    path = put(tmp_path / "c.md", "## docs/a.md\n- [x] src/one.py\n- [ ] src/two.py\nEXTRA: lib/three.py\n\n## docs/b.md\n- [X] NONE\n")
+    head = lambda n, doc: f"## Case {n} — `a/b` · `{doc}`\n\n- **read** `x/{doc}` (900 chars)\n- **tree** `0123456789ab`\n\n"
+    path = put(tmp_path / "c.md", "Legend\n\n" + head(1, "docs/a.md") + "- [x] src/one.py\n- [ ] src/two.py\n\n**NONE:** [ ]\n\n**EXTRA:** `lib/three.py`, lib/four.py\n\n**NOTES:** - [x] no\n\n---\n\n" + head(2, "docs/b.md") + "- [ ] src/one.py\n\n**NONE:** [X]\n\n**EXTRA:**\n\n" + head(3, "docs/c.md") + "- [ ] src/one.py\n\n**NONE:** [ ]\n\n**EXTRA:**\n")
     got = {r["doc_path"]: r for r in sheets.checklist(sheets.sheets(spark, path)).collect()}
-    assert (got["docs/a.md"]["marked"], got["docs/a.md"]["extra"], got["docs/a.md"]["none"]) == (["src/one.py"], ["lib/three.py"], False)
-    assert got["docs/b.md"]["none"] and got["docs/b.md"]["marked"] == []
+    a = got["docs/a.md"]
+    assert (a["repo"], a["sha_prefix"], a["marked"], a["extra"], a["none"], a["answered"]) == ("a/b", "0123456789ab", ["src/one.py"], ["lib/three.py", "lib/four.py"], False, True)
+    assert got["docs/b.md"]["none"] and got["docs/b.md"]["answered"] and got["docs/b.md"]["marked"] == []
+    assert not got["docs/c.md"]["answered"]
 
 
 def test_predictions(spark, tmp_path):
-    good = put(tmp_path / "p.jsonl", f'# note\n\n{{"example_id": "{A}", "answer": true}}\n{{"example_id": "{B}", "answer": null}}\n')
-    assert {r["example_id"]: r["answer"] for r in sheets.predictions(spark, good).collect()} == {A: True, B: None}
-    for name, text in {"no json": "nope", "no id": '{"answer": true}', "word": f'{{"example_id": "{A}", "answer": "perhaps"}}', "twice": f'{{"example_id": "{A}", "answer": true}}\n' * 2, "empty": "# nothing", "missing": f'{{"example_id": "{A}"}}'}.items():
+    answers = {"a": "true", "b": "false", "c": "null", "d": '"false"', "e": '"Stale "', "f": '"not-false"', "g": '"fresh"', "h": '"abstain"', "i": '""', "j": '"true"'}
+    good = put(tmp_path / "p.jsonl", "# note\n\n" + "".join(f'{{"example_id": "{k}", "answer": {v}}}\n' for k, v in answers.items()) + '{"example_id": "k"}\n')
+    got = {r["example_id"]: r["answer"] for r in sheets.predictions(spark, good).collect()}
+    assert got == {"a": True, "b": False, "c": None, "d": True, "e": True, "f": False, "g": False, "h": None, "i": None, "j": True, "k": None}
+    wrong = {"no json": "nope", "no object": "[1]", "no id": '{"answer": true}', "empty id": '{"example_id": "", "answer": true}', "word": '{"example_id": "x", "answer": "perhaps"}', "drift": '{"example_id": "x", "answer": "drift"}', "number": '{"example_id": "x", "answer": 1}', "twice": '{"example_id": "x", "answer": true}\n' * 2, "empty": "# nothing"}
+    for name, text in wrong.items():
         with pytest.raises(sheets.Refusal):
             sheets.predictions(spark, put(tmp_path / f"{name}.jsonl", text))
 
