@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import evaluation as ev
-from .operators import judging, mining, scoring
+from .operators import contexts, judging, mining, scoring
 from .plans import retrieval_eval
 from .sources import reports, sheets
 from .sources.git import GitSource
@@ -155,8 +155,44 @@ def _judged(spark, a) -> DataFrame:
     return scoring.free_judges(cases, F.col("example_id"), a.rate, a.seed)
 
 
+def _shown(spark, a, cases: DataFrame) -> DataFrame:
+    """What judges see of the cases in the arm asked for, read from the trees that the cases name."""
+    trees = cases.select(F.concat_ws("@", "repo", "at_sha").alias("tree"))
+    return contexts.build(cases, _blobs(spark, a.repos, trees), a.arm, a.k, a.doc_budget, a.code_budget)
+
+
+def _chosen(spark, a) -> DataFrame:
+    """Scoreable cases, those that --only names (ids or @file), the first --limit of them; with a code path where the arm needs one."""
+    cases = _cases(spark, a).where("target IS NOT NULL")
+    if a.repos and a.arm != "retrieved":
+        cases = cases.where("code_path IS NOT NULL")
+    only = sheets.id_list(spark, a.only.split(",")) if a.only else None
+    return sheets.select_cases(cases, only, a.limit or None)
+
+
 def judge_eval(spark, a) -> int:
-    print(reports.table_text(ev.rates(ev.confusion(_judged(spark, a), "judge")), ["judge"]))
+    """Free judges; with --repos also the absence of marked identifiers from the code shown, over the same cases."""
+    cases = _chosen(spark, a)
+    judged = scoring.free_judges(cases.select("example_id", "target"), F.col("example_id"), a.rate, a.seed)
+    if a.repos:
+        shown = _shown(spark, a, cases).cache()
+        if unusable := shown.where(~F.col("usable")).count():
+            print(f"{unusable} cases without a document or code to show are left out")
+        usable = shown.where("usable")
+        judged = judged.join(usable.select("example_id"), "example_id", "left_semi")
+        absence = contexts.absence_judges(usable, a.lexical_thresholds).join(cases.select("example_id", "target"), "example_id")
+        judged = judged.unionByName(absence.select("example_id", "target", "judge", "answer"))
+    print(reports.table_text(ev.rates(ev.confusion(judged, "judge")), ["judge"]))
+    return 0
+
+
+def judge_prompts(spark, a) -> int:
+    """Write (example_id, key, prompt) of an arm; refused before anything is written if the estimate exceeds --max-tokens."""
+    shown = _shown(spark, a, _chosen(spark, a)).where("usable")
+    prompt = judging.render_page(F.col("doc_text"), F.col("files"))
+    rows = shown.select("example_id", judging.reply_key(a.model, "page", F.col("arm"), prompt).alias("key"), prompt.alias("prompt")).cache()
+    print(judging.check_spend(rows, a.max_tokens), "tokens, estimated")
+    rows.write.mode("errorifexists").json(a.out)
     return 0
 
 
@@ -188,9 +224,10 @@ COMMANDS = {
     "mine": (mine, ["repos", "out"]), "stats": (stats, ["labels"]), "sample": (sample, ["labels", "out"]), "score": (score, ["labels", "sheets"]),
     "retention": (retention, ["old", "labels", "sheets"]), "retrieve-eval": (retrieve_eval, ["labels", "repos"]), "doc-sample": (doc_sample, ["repos", "out"]),
     "doc-eval": (doc_eval, ["sheets", "repos"]), "judge-cases": (judge_cases, ["labels", "sheets"]), "judge-freeze": (judge_freeze, ["labels", "sheets", "out"]),
-    "judge-eval": (judge_eval, ["labels", "sheets"]), "judge-null-run": (judge_null_run, ["labels", "sheets"]), "bench": (bench, ["labels", "sheets", "bars", "predictions"]),
+    "judge-eval": (judge_eval, ["labels", "sheets"]), "judge-prompts": (judge_prompts, ["labels", "sheets", "repos", "out"]), "judge-null-run": (judge_null_run, ["labels", "sheets"]), "bench": (bench, ["labels", "sheets", "bars", "predictions"]),
 }
-OPTIONAL = {"limit": 0, "easy": 0, "max-files": 20, "n": 20, "trials": 3, "rate": 0.3, "seed": "0", "shape": "A", "rev": "HEAD", "sheets": "", "repos": "", "since": "", "pin": "", "min-doc-lines": 2, "min-shared": 1, "literals-only": 0, "require-withdrawn": 1, "require-symbol": 1, "ks": (1, 5, 10), "tf-k1": 1.2}
+OPTIONAL = {"limit": 0, "easy": 0, "max-files": 20, "n": 20, "trials": 3, "rate": 0.3, "seed": "0", "shape": "A", "rev": "HEAD", "sheets": "", "repos": "", "since": "", "pin": "", "min-doc-lines": 2, "min-shared": 1, "literals-only": 0, "require-withdrawn": 1, "require-symbol": 1, "ks": (1, 5, 10), "tf-k1": 1.2,
+            "arm": "seeded", "k": 5, "doc-budget": contexts.DOC_BUDGET, "code-budget": contexts.CODE_BUDGET, "lexical-thresholds": (1, 3, 6), "only": "", "model": "model", "max-tokens": 1_000_000}
 
 
 def _numbers(text: str) -> tuple[int, ...]:

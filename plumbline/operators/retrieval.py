@@ -41,6 +41,19 @@ def token_table(docs: DataFrame, tokens: Column, *keys: str) -> DataFrame:
     return docs.select(*keys, F.explode(tokens).alias("tok")).groupBy(*keys, "tok").agg(F.count("*").alias("tf"))
 
 
+def tree_tokens(blobs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(held, pool, cand) of ``blobs(repo, sha, path, text)``: texts by tree, code files, and their tokens counted.
+
+    Every distinct text is tokenised once, however many trees hold it.
+    """
+    from ..functions import paths, tokens
+
+    held = blobs.select(F.concat_ws("@", "repo", "sha").alias("tree"), "path", "text", F.md5("text").alias("blob"))
+    pool = held.where(paths.kind(F.col("path")) == "code").select("tree", "path", "blob")
+    by_blob = token_table(held.join(pool.select("blob").distinct(), "blob", "left_semi").dropDuplicates(["blob"]), tokens.occurrences(F.col("text")), "blob")
+    return held, pool, pool.join(by_blob, "blob").select("tree", "path", "tok", "tf").cache()
+
+
 def idf(cand: DataFrame, pool: DataFrame) -> DataFrame:
     """(tree, tok, df, idf): ln(1 + (N - df + 0.5) / (df + 0.5)), N being the pool's files."""
     n = pool.groupBy("tree").agg(F.count("*").alias("n"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import paths, tokens
+from ..functions import tokens
 from ..operators import evaluation as ev
 from ..operators import retrieval as rt
 
@@ -23,10 +23,7 @@ def evaluate(queries: DataFrame, blobs: DataFrame, ks: tuple[int, ...] = (1, 3,
     ``blobs(repo, sha, path, text)``.  Every distinct text is tokenised once, however many trees hold it;
     relevant files that a tree lacks are counted as lost and leave the query.
     """
-    held = blobs.select(F.concat_ws("@", "repo", "sha").alias("tree"), "path", "text", F.md5("text").alias("blob"))
-    pool = held.where(paths.kind(F.col("path")) == "code").select("tree", "path", "blob")
-    by_blob = rt.token_table(held.join(pool.select("blob").distinct(), "blob", "left_semi").dropDuplicates(["blob"]), tokens.occurrences(F.col("text")), "blob")
-    cand = pool.join(by_blob, "blob").select("tree", "path", "tok", "tf").cache()
+    held, pool, cand = rt.tree_tokens(blobs)
     wanted = queries.join(held.select("tree", F.col("path").alias("doc_path"), "text"), ["tree", "doc_path"])
     rel = wanted.select("query_id", "tree", F.explode("relevant").alias("path"))
     present = rel.join(pool, ["tree", "path"], "left_semi")
