@@ -82,3 +82,17 @@ def test_commands_run(spark, mined, repo, tmp_path, capsys):
 def test_every_command_parses():
     for name, (_, needed) in COMMANDS.items():
         assert parser().parse_args([name, *[x for o in needed for x in (f"--{o}", "v")]]).command == name
+
+
+def test_judge_commands_over_trees(spark, mined, repo, tmp_path, capsys):
+    ids = [r["example_id"] for r in spark.read.json(mined).where("shape = 'A' AND label = 'drift'").collect()]
+    (tmp_path / "s.md").write_text("".join(f"## Case {n} — `{i}`\n\n**VERDICT: `drift`**\n\n" for n, i in enumerate(ids, 1)))
+    base = ["--labels", mined, "--sheets", str(tmp_path / "s.md"), "--repos", f"r={repo}", "--arm", "oracle"]
+    assert main(["judge-eval", *base, "--only", ids[0]], spark) == 0
+    assert "lexical-absence(>=3)" in capsys.readouterr().out
+    assert main(["judge-eval", *base, "--only", "nobody"], spark) == 2
+    assert main(["judge-prompts", *base, "--out", str(tmp_path / "p"), "--max-tokens", "1"], spark) == 2
+    assert not (tmp_path / "p").exists()
+    assert main(["judge-prompts", *base, "--out", str(tmp_path / "p")], spark) == 0
+    row = spark.read.json(str(tmp_path / "p")).first()
+    assert "poolLimit" in row["prompt"] and "rename the setting" not in row["prompt"] and len(row["key"]) == 64
