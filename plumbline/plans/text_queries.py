@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths, stats, texts, tokens
+from ..operators import contexts
 from .registry import query, table
 
 NL = "chr(10)"
@@ -133,6 +134,22 @@ def literal_spans(spark: SparkSession, sf: str) -> DataFrame:
     return t.select("doc_id", F.md5("s").alias("literals_md5"), F.when(F.col("s") == "", 0).otherwise(F.size(F.split("s", "\n", -1))).cast("long").alias("n"))
 
 
+_SPANS_OF = SPANS_SQL.rstrip()[: SPANS_SQL.rstrip().rindex("SELECT v.doc_id, md5(")]
+
+
+@query(f"""{_SPANS_OF.rstrip()}, s AS (SELECT v.doc_id, coalesce(string_agg(part, chr(10) ORDER BY i, j), '') AS spans FROM v LEFT JOIN p USING (doc_id) GROUP BY v.doc_id),
+m AS (SELECT s.doc_id, {sql_extract('spans', versions=False)} AS marked, coalesce(d.text, '') AS code FROM s LEFT JOIN documents d ON d.doc_id = s.doc_id + 1),
+c AS (SELECT doc_id, marked, {sql_extract('code', versions=False)} AS present FROM m),
+a AS (SELECT doc_id, list_sort(list_distinct(list_filter(marked, lambda x: NOT list_contains(present, x)))) AS lacks FROM c)
+SELECT doc_id, 'lexical-absence(>=' || t || ')' AS judge, len(lacks) >= t AS answer, nullif(array_to_string(lacks[1:6], ', '), '') AS claim FROM a, (VALUES (1), (3), (6)) AS v(t)""")
+def judge_absence_spans(spark: SparkSession, sf: str) -> DataFrame:
+    """Identifiers that a document marks up and the next document, its stand-in for code, does not name."""
+    docs, code = marked(spark, sf), table(spark, sf, "documents").select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("code"))
+    files = F.array_compact(F.array(F.when(F.col("code").isNotNull(), F.struct(F.col("code").alias("text")))))
+    shown = docs.join(code, "doc_id", "left").select(F.col("doc_id").alias("example_id"), F.lit("seeded").alias("arm"), F.col("text").alias("doc_text"), files.alias("files"))
+    return contexts.absence_judges(shown).select(F.col("example_id").alias("doc_id"), "judge", "answer", "claim")
+
+
 @query()
 def claim_units(spark: SparkSession, sf: str) -> DataFrame:
     """Claims of every document, its marks made by rule; tests compare with a plain reading of hand-made texts."""
