@@ -149,8 +149,16 @@ def hexadecimal(fp: str = "fp"):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
+def once_each(docs: DataFrame) -> DataFrame:
+    """One row for each id and text, so that no text goes because another has its id."""
+    held = "_" * (1 + max(map(len, docs.columns)))  # a name that no column has
+    return docs.withColumn(held, F.coalesce("text", F.lit(""))).dropDuplicates(["doc_id", held]).drop(held)
+
+
 def one_of_each(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
-    """The documents with all their columns, one row for each group: its smallest id, or a row without id."""
+    """The documents with all their columns: of each group the smallest id, and every row without id.
+
+    Repeated rows of one id stay once, rows of one id with different texts all (null counts as empty).
+    """
     found = groups(docs, width, radius).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    joined = docs.join(found, docs["doc_id"].cast("long") == found["_kept"], "left_semi")
-    return joined.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL"))
+    return once_each(docs.join(found, docs["doc_id"].cast("long") == found["_kept"], "left_semi")).unionByName(docs.where("doc_id IS NULL"))

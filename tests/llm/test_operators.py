@@ -10,7 +10,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from plumbline.llm import bpe, htmltext, licenses, lmscore, packing, quality, simhash, substring, toxicity, webp
+from plumbline.llm import bpe, htmltext, licenses, lmscore, nearcopies, packing, quality, simhash, substring, toxicity, webp
 
 public = pytest.importorskip("public_tokenizers")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -547,6 +547,15 @@ def test_one_of_each_keeps_all_columns(spark):
     assert kept.count(0) == 1 and 5 not in kept and 11 not in kept and kept.count(9) == 1 and kept.count(None) == 2
 
 
+@pytest.mark.parametrize("operator", [simhash, nearcopies])
+def test_one_of_each_keeps_different_texts_of_one_id(spark, operator):
+    first, second = prose(1, 80), prose(2, 80)
+    rows = [(7, first, "a"), (7, first, "b"), (7, second, "c"), (8, first, "d"), (9, None, "e"), (9, "", "f")]
+    got = operator.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, _text string")).collect()
+    assert sorted((r["doc_id"], r["text"] or "") for r in got) == sorted([(7, first), (7, second), (9, "")])
+    assert all(r["_text"] for r in got)
+
+
 @pytest.mark.parametrize(
     "run",
     [
