@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, htmltext, licenses, lmscore, packing, quality, simhash, substring, toxicity, webp
+from . import bpe, htmltext, licenses, lmscore, packing, quality, repair, runs, simhash, substring, toxicity, vectors, webp
 from .common import table
 
 
@@ -73,6 +73,18 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexadecimal().alias("fingerprint"), "component_id")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(table(spark, sf_dir, "conversations"))
+
+
+def op12_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.periodic_runs(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -80,7 +92,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_byte_bpe, op2_license_scan, op3_media_webp, op4_packing, op5_quality_rules, op6_html_extraction, op7_toxicity, op8_lm_scoring, op9_substring_dedup, op10_simhash, pipeline, quality_rule_ablation)
+    own = (op1_byte_bpe, op2_license_scan, op3_media_webp, op4_packing, op5_quality_rules, op6_html_extraction, op7_toxicity, op8_lm_scoring, op9_substring_dedup, op10_simhash, op11_conversation_repair, op12_embedding_near_dedup, op13_periodic_runs, pipeline, quality_rule_ablation)
     return {f.__name__: f for f in own}
 
 
