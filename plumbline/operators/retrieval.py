@@ -134,13 +134,16 @@ def ranks_of(scores: DataFrame, relevant: DataFrame, step: float = 0.001) -> Dat
 
 
 def rerank(base: DataFrame, pair_scores: DataFrame, top_n: int = 20) -> DataFrame:
-    """The first ``top_n`` of a ranking ordered anew by pair score; a missing score goes last, the tail stays."""
+    """The first ``top_n`` of a ranking ordered anew by pair score; a missing score goes last, the tail stays.
+
+    A query of which no pair is scored (a page with nothing left to read) keeps its order.
+    """
     if top_n < 2:
         raise ValueError("top_n must be 2 or more")
     head = base.where(F.col("rank") <= top_n).join(pair_scores.select("query_id", "path", F.col("score").alias("pair")), ["query_id", "path"], "left")
     w = Window.partitionBy("query_id").orderBy(F.desc(F.coalesce("pair", F.lit(float("-inf")))), "path")
     few = Window.partitionBy("query_id")
-    head = head.withColumn("new", F.when(F.count("*").over(few) < 2, F.col("rank")).otherwise(F.row_number().over(w)))
+    head = head.withColumn("new", F.when((F.count("*").over(few) < 2) | (F.count("pair").over(few) == 0), F.col("rank")).otherwise(F.row_number().over(w)))
     return head.select("query_id", "path", "score", F.col("new").alias("rank")).unionByName(base.where(F.col("rank") > top_n).select("query_id", "path", "score", "rank"))
 
 

@@ -5,7 +5,7 @@ import os
 
 import pytest
 
-from plumbline.plans import judge_queries, label_queries, rank_queries, text_queries  # noqa: F401  (they register)
+from plumbline.plans import judge_queries, label_queries, model_queries, rank_queries, text_queries  # noqa: F401  (they register)
 from plumbline.plans.registry import QUERIES, SQL
 
 DIR = "/root/testdata/sf0.001"
