@@ -1,17 +1,23 @@
 """Main text of web pages, with the templates of their sites removed.
 
-A page becomes a tree.  Parts that are no article by their element, role or class (menus, headers,
-footers, sidebars, notices, adverts, forms, scripts, styles, comments of readers) are cut.  Site
-templates are found by counting: each remaining subtree is hashed, (host, hash) pairs are counted in
-Spark once per distinct article, and subtrees that recur in many articles of their host are deleted.  An
-article that many addresses share counts once and stays: a template must be in ``MIN_PAGES`` different
-articles and in a ``MIN_SHARE`` of its host's.
+A page becomes a tree.  Site templates are found by counting: every subtree that may be one is hashed, on the whole
+page as it came, (host, hash, article) triples are made distinct in Spark and their articles counted, and subtrees that
+stand on ``MIN_PAGES`` pages of different articles of their host are deleted.  The bar is a number of pages, whatever
+the size of the host.  An article that many addresses share counts once, so it is a copy and no template.
 
-Where the page has an article or main element, that is the article; else what is left of the body.
+Any block outside an article may be a template; inside one, only containers (a box of a div, a list, a form) may.
+Headings, paragraphs and the like that stand in an article are its content, however many articles repeat them: near
+copies of a text do.  On a page without article or main element all of the body counts as inside, and no
+subtree with more than half of its words may be a template.
+
+Then what is no article by its element, role or class (menus, headers, footers, sidebars, notices, adverts, forms,
+scripts, styles, comments of readers) is cut: sites with few pages have no counts.  Where the page has an article or
+main element, that is the article; else what is left of the body.
 
 Defined results: null or empty html gives an empty text; broken markup is read as browsers do (open
-elements end with their parent, unknown entities stay); a url without a host forms the host ""; rows
-that repeat count as pages of their own; very long pages are whole; other columns are ignored.
+elements end with their parent, unknown entities stay, a tag that never ends hides what follows); a url without a host
+forms the host ""; rows that repeat count once in templates and each get their text; very long pages are whole, and
+parsing takes time in proportion to them whatever they leave open; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +32,8 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, written
 
-MIN_PAGES, MIN_SHARE = 8, 0.3
+#: Pages of different articles of a host on which a template stands at least.
+MIN_PAGES = 8
 #: Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template".split())
@@ -45,69 +52,124 @@ REMARKS = frozenset("comment comments reply replies ad ads advert advertisement
 CLOSES_P = BLOCKS - frozenset("body html dd dt li td th tr tbody thead tfoot caption".split()) | frozenset(["p"])
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-MARKUP = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: Blocks that hold an article's own text; inside an article they are never templates.
+CONTENT = HEADINGS | frozenset("p li dt dd blockquote pre figure figcaption caption td th tr tbody thead tfoot hgroup address".split())
+#: Where markup may begin; a tag's attributes, in which quotes count behind an equals sign only.
+START = re.compile(r"<(?:!--|[!?]|/|[a-zA-Z])")
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+REST = re.compile(r"(?:[^>=]|=\s*+\"[^\"]*\"|=\s*+'[^']*'|=)*+")
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 SPACES = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children", "digest", "shape")
+    __slots__ = ("tag", "attrs", "children", "digest", "shape", "words", "headed")
 
     def __init__(self, tag: str, attrs: str = ""):
-        self.tag, self.attrs, self.children, self.digest, self.shape = tag, attrs, [], 0, None
+        self.tag, self.attrs, self.children, self.digest, self.shape, self.words, self.headed = tag, attrs, [], 0, None, 0, False
+
+
+#: Elements that an opening tag ends, up to walls: kind, what it ends, the walls.
+ENDS = {
+    "p": (frozenset(["p"]), frozenset("button td th li table".split())),
+    **{tag: (frozenset(ended), frozenset("ul ol dl table select menu".split())) for tag, ended in SIBLINGS.items()},
+}
+#: Of each tag the kinds that look for it.
+LOOKED_FOR = {tag: [kind for kind, (ended, walls) in ENDS.items() if tag in ended | walls] for tag in {t for ended, walls in ENDS.values() for t in ended | walls}}
+
+
+class Stack:
+    """Open elements, with the places of each tag and of what each kind looks for, so that no search walks over the others."""
+
+    def __init__(self, root: Node):
+        self.nodes = [root]
+        self.places: dict[str, list[int]] = {}
+        self.marks: dict[str, list[int]] = {kind: [] for kind in ENDS}
+
+    def push(self, node: Node) -> None:
+        at = len(self.nodes)
+        self.nodes.append(node)
+        self.places.setdefault(node.tag, []).append(at)
+        for kind in LOOKED_FOR.get(node.tag, ()):
+            self.marks[kind].append(at)
+
+    def cut(self, at: int) -> None:
+        """Close the elements from ``at`` on."""
+        while len(self.nodes) > at:
+            tag = self.nodes.pop().tag
+            self.places[tag].pop()
+            for kind in LOOKED_FOR.get(tag, ()):
+                self.marks[kind].pop()
+
+    def end(self, tag: str) -> None:
+        if self.places.get(tag):
+            self.cut(self.places[tag][-1])
+
+    def end_kind(self, kind: str) -> None:
+        """End the nearest open element of the kind, unless a wall stands before it."""
+        marks = self.marks[kind]
+        if marks and self.nodes[marks[-1]].tag in ENDS[kind][0]:
+            self.cut(marks[-1])
+
+    def head(self) -> None:
+        """Note in all open elements that they hold a heading."""
+        for node in reversed(self.nodes):
+            if node.headed:
+                break
+            node.headed = True
 
 
 def parse(source: str) -> Node:
     """A tree of elements and strings (entities decoded)."""
     root = Node("#root")
-    stack, at, n = [root], 0, len(source)
+    stack, at, n = Stack(root), 0, len(source)
+    said = 0  # where the text not yet taken begins
     while at < n:
-        found = MARKUP.search(source, at)
-        end = found.start() if found else n
-        if end > at:
-            stack[-1].children.append(html.unescape(source[at:end]))
+        found = START.search(source, at)
+        begin = found.start() if found else n
+        kind = found[0] if found else ""
+        name = NAME.match(source, begin + (kind == "</") + 1) if found else None
+        if kind == "</" and not name and not source.startswith(">", begin + 2):
+            kind = "<!"  # browsers take it for a comment
+        if begin > said:
+            stack.nodes[-1].children.append(html.unescape(source[said:begin]))
         if not found:
             break
-        at = found.end()
-        tag = found[2]
-        if not tag:
+        if kind == "<!--":
+            end = re.compile("--!?>").search(source, begin + 4)
+            at = said = end.end() if end else n
+            continue
+        if not name:
+            end = source.find(">", begin)
+            at = said = end + 1 if end >= 0 else n
             continue
-        tag = tag.lower()
-        if found[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
+        body = REST.match(source, name.end())
+        at = said = body.end() + 1
+        if body.end() >= n:  # the tag never ends
+            break
+        tag = name[0].lower()
+        if kind == "</":
+            stack.end(tag)
             continue
         if tag in CLOSES_P:
-            _end(stack, ("p",), ("button", "td", "th", "li", "table"))
-        if tag in HEADINGS and stack[-1].tag in HEADINGS:
-            stack.pop()
+            stack.end_kind("p")
+        if tag in HEADINGS:
+            if stack.nodes[-1].tag in HEADINGS:
+                stack.cut(len(stack.nodes) - 1)
+            stack.head()
         if tag in SIBLINGS:
-            _end(stack, SIBLINGS[tag], ("ul", "ol", "dl", "table", "select", "menu"))
-        node = Node(tag, found[3] or "")
-        stack[-1].children.append(node)
+            stack.end_kind(tag)
+        node = Node(tag, body[0])
+        stack.nodes[-1].children.append(node)
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(source, at)
             node.children.append(source[at : close.start() if close else n])
-            at = close.end() if close else n
-        elif tag not in VOID and not node.attrs.rstrip().endswith("/"):
-            stack.append(node)
-        elif tag not in VOID and tag in BLOCKS:  # a solidus means nothing on block elements
-            stack.append(node)
+            at = said = close.end() if close else n
+        elif tag not in VOID and (tag in BLOCKS or not node.attrs.rstrip().endswith("/")):  # a solidus means nothing on block elements
+            stack.push(node)
     return root
 
 
-def _end(stack: list[Node], tags: tuple, walls: tuple) -> None:
-    """End the nearest open element of ``tags``, unless a wall stands before it."""
-    for i in range(len(stack) - 1, 0, -1):
-        if stack[i].tag in tags:
-            del stack[i:]
-            return
-        if stack[i].tag in walls:
-            return
-
-
 def attributes(node: Node) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(node.attrs)}
 
@@ -127,7 +189,7 @@ def boilerplate(node: Node, inside: bool = False) -> bool:
     An article's own header, which holds its heading, stays; there, sections keep their ids, which are anchors.
     """
     if node.tag in DROPPED:
-        return not (inside and node.tag == "header" and _has_heading(node))
+        return not (inside and node.tag == "header" and node.headed)
     if not node.attrs or node.tag in ("body", "html"):
         return False
     attrs = attributes(node)
@@ -141,16 +203,6 @@ def boilerplate(node: Node, inside: bool = False) -> bool:
     return named_boilerplate(names, REMARKS if node.tag in ("article", "main") else DROPPED_WORDS)
 
 
-def _has_heading(node: Node) -> bool:
-    todo = [node]
-    while todo:
-        item = todo.pop()
-        if item.tag in HEADINGS:
-            return True
-        todo += [c for c in item.children if not isinstance(c, str)]
-    return False
-
-
 def trim(root: Node) -> Node:
     """Delete boilerplate below a node."""
     todo = [(root, False)]
@@ -162,8 +214,8 @@ def trim(root: Node) -> Node:
     return root
 
 
-def article(root: Node) -> Node:
-    """The articles of the page, or its main element, or what is left of it."""
+def article_nodes(root: Node) -> list[Node]:
+    """The outermost article elements of the page, else the main ones."""
     for tag in ("article", "main"):
         found: list[Node] = []
         todo = [root]
@@ -174,18 +226,21 @@ def article(root: Node) -> Node:
             else:
                 todo += [c for c in reversed(node.children) if not isinstance(c, str)]
         if found:
-            top = Node("#article")
-            top.children = found
-            return top
-    return root
+            return found
+    return []
+
 
+def article(root: Node) -> Node:
+    """The articles of the page, or its main element, or what is left of it."""
+    if found := article_nodes(root):
+        top = Node("#article")
+        top.children = found
+        return top
+    return root
 
-def shapes_of(root: Node) -> set[int]:
-    """Hashes, by tags and text, of the block subtrees with text; every node keeps its own in ``shape``.
 
-    The root itself is left out: a page whose whole article recurs is a copy, not a template.  Its hash
-    is left in ``digest``.
-    """
+def measure(root: Node) -> Node:
+    """Give every node its hash, by tags and text, its words, and its ``shape``, which is null without text."""
     import xxhash
 
     order, todo = [], [root]
@@ -193,31 +248,47 @@ def shapes_of(root: Node) -> set[int]:
         node = todo.pop()
         order.append(node)
         todo += [c for c in node.children if not isinstance(c, str)]
-    out: set[int] = set()
     for node in reversed(order):
-        digest, said = xxhash.xxh64(node.tag), False
+        digest, node.words = xxhash.xxh64(node.tag), 0
         for child in node.children:
             if isinstance(child, str):
-                words = " ".join(child.split())
-                said |= bool(words)
-                digest.update("\0" + words)
+                words = child.split()
+                node.words += len(words)
+                digest.update("\0" + " ".join(words))
             else:
-                said |= child.shape is not None
+                node.words += child.words
                 digest.update((child.digest).to_bytes(8, "little"))
         node.digest = digest.intdigest()
-        node.shape = node.digest - (1 << 63) if said else None
-        if said and node.tag in BLOCKS and node.tag not in ("article", "main", "body", "html"):
-            out.add(node.shape)
-    return out
+        node.shape = node.digest - (1 << 63) if node.words else None
+    return root
+
+
+def may_be_template(root: Node) -> Iterator[tuple[Node, Node]]:
+    """(parent, node) of the subtrees of a measured page that may be templates, outer ones first."""
+    bare, todo = not article_nodes(root), [(root, False)]
+    while todo:
+        parent, inside = todo.pop()
+        inside = inside or parent.tag in ("article", "main")
+        for node in parent.children:
+            if isinstance(node, str) or node.shape is None:
+                continue
+            if node.tag in BLOCKS and node.tag not in ("article", "main", "body", "html") and not ((inside or bare) and node.tag in CONTENT) and not (bare and 2 * node.words > root.words):
+                yield parent, node
+            todo.append((node, inside))
+
+
+def templates_in(root: Node) -> set[int]:
+    return {node.shape for _, node in may_be_template(measure(root))}
 
 
 def without(root: Node, templates: set[int]) -> Node:
-    """Delete block subtrees whose shape is a template's."""
-    if shapes_of(root) & templates:
-        todo = [root]
+    """Delete the subtrees that are templates."""
+    if templates:
+        gone = {id(node) for _, node in may_be_template(measure(root)) if node.shape in templates}
+        todo = [root] if gone else []
         while todo:
             node = todo.pop()
-            node.children = [c for c in node.children if isinstance(c, str) or not (c.shape in templates and c.tag in BLOCKS)]
+            node.children = [c for c in node.children if isinstance(c, str) or id(c) not in gone]
             todo += [c for c in node.children if not isinstance(c, str)]
     return root
 
@@ -252,50 +323,51 @@ def blocks(node: Node) -> list[str]:
 
 
 def extract(root: Node, templates: set[int]) -> str:
-    top = article(root)
-    return "\n".join(blocks(without(top, templates) if templates else top))
+    return "\n".join(blocks(article(trim(without(root, templates)))))
 
 
-def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """page_id, url, text, n_chars of every page."""
-    bounded_batches(pages.sparkSession)
+def hosted(pages: DataFrame) -> DataFrame:
+    """page_id, url, html, host and ``key``, which pages of one host with equal html share."""
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     pages = pages.withColumn("host", F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)))
+    return pages.withColumn("key", F.xxhash64("host", "html"))
+
+
+def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES) -> tuple[DataFrame, DataFrame]:
+    """(candidates, templates) of ``hosted`` pages: (key, spot, shape), and the (spot, articles) that reach the bar.
+
+    ``spot`` is a host and a shape; ``articles`` how many different articles it stands beside.
+    """
+    import xxhash
 
     def shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: dict[tuple[str, int], list] = {}
-            pages_of: dict[tuple[str, int], int] = {}
-            for host, source in zip(batch.column("host").to_pylist(), batch.column("html")):
-                top = article(trim(parse(source.as_py() or "")))
-                held = shapes_of(top)
-                key = host, top.digest - (1 << 63)
-                found[key] = [None, *held]  # null stands for the article itself
-                pages_of[key] = pages_of.get(key, 0) + 1
-            hosts, articles = zip(*found) if found else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(articles, pa.int64()), pa.array(list(found.values()), pa.list_(pa.int64())), pa.array(list(pages_of.values()), pa.int64())], names=["host", "article", "shapes", "pages"])
-
-    # copies of an article are one row of their host before its subtrees are counted
-    articles = pages.select("host", "html").mapInArrow(shapes, "host string, article long, shapes array<long>, pages long")
-    articles = articles.groupBy("host", "article").agg(F.first("shapes").alias("shapes"), F.sum("pages").alias("pages"))
-    rows = articles.select("host", F.explode("shapes").alias("shape"), "pages")
-    counts = rows.groupBy("host", "shape").agg(F.count("*").alias("n"), F.sum("pages").alias("pages")).where(F.col("shape").isNull() | (F.col("n") >= min_pages))
-
-    counts = written(counts, "shapes")
-    sizes = counts.where("shape IS NULL").select("host", F.col("n").alias("articles"), "pages")
-    # a host can't have more than 1 / min_share times its subtrees per article of such templates
-    common = counts.where("shape IS NOT NULL").join(sizes.select("host", "articles"), "host").where(F.col("n") >= F.lit(min_share) * F.col("articles"))
-    templates = common.groupBy("host").agg(F.collect_list("shape").alias("templates"))
-    # hosts with a thousandth of the pages or more (so a thousand at most) are dealt in slices of a 4096th
-    total = sizes.agg(F.sum("pages")).first()[0] or 0
-    hot = [(r["host"], -(-r["pages"] * 4096 // total)) for r in sizes.where(F.col("pages") * 1000 >= total).collect()]
-    hot = F.broadcast(pages.sparkSession.createDataFrame(hot, "host string, slices long"))
-    templates = templates.join(hot, "host", "left").withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("slices", F.lit(1)) - 1)))
-    pages = pages.join(hot, "host", "left").withColumn("slice", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("slices", F.lit(1))))
+            articles, held = [], []
+            for source in batch.column("html"):
+                root = parse(source.as_py() or "")
+                held.append(list(templates_in(root)))
+                articles.append(xxhash.xxh64_intdigest("\n".join(blocks(article(trim(root))))) - (1 << 63))
+            yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("key"), pa.array(articles, pa.int64()), pa.array(held, pa.list_(pa.int64()))], names=["host", "key", "article", "shapes"])
+
+    found = written(pages.select("host", "key", "html").mapInArrow(shapes, "host string, key long, article long, shapes array<long>"), "shapes")
+    spots = found.select("key", "article", F.explode("shapes").alias("shape"), "host").withColumn("spot", F.xxhash64("host", "shape"))
+    # an article counts once a host and shape: distinct first, so that no shape's pages meet in one task
+    counts = spots.select("spot", "article").distinct().groupBy("spot").agg(F.count("*").alias("articles")).where(F.col("articles") >= min_pages)
+    return spots.select("key", "spot", "shape"), written(counts, "templates")
+
+
+def main_text(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
+    """page_id, url, text, n_chars of every page."""
+    bounded_batches(pages.sparkSession)
+    pages = hosted(pages)
+    candidates, templates = site_templates(pages, min_pages)
+    # a page gets its own templates only; pages that repeat share one list, which is no longer than a page
+    mine = candidates.join(templates.select("spot"), "spot", "left_semi").groupBy("key").agg(F.collect_set("shape").alias("templates"))
+    mine = written(mine, "lists")  # between two exchanges joins can be split where a page has very many copies
 
     def pull(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [extract(trim(parse(source.as_py() or "")), set(shapes.as_py() or ())) for source, shapes in zip(batch.column("html"), batch.column("templates"))]
+            out = [extract(parse(source.as_py() or ""), set(shapes.as_py() or ())) for source, shapes in zip(batch.column("html"), batch.column("templates"))]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return pages.join(templates.select("host", "slice", "templates"), ["host", "slice"], "left").select("page_id", "url", "html", "templates").mapInArrow(pull, "page_id long, url string, text string, n_chars long")
+    return pages.join(mine, "key", "left").select("page_id", "url", "html", "templates").mapInArrow(pull, "page_id long, url string, text string, n_chars long")

@@ -6,8 +6,11 @@ identifier tag are found, the raw line behind the tag is parsed as a licence exp
 operators AND, OR and WITH (WITH binds tightest, then AND, then OR) and evaluated: of OR, the side that
 permissive terms suffice for is taken, so only its labels count; AND needs both.
 
-``verdict`` is "permissive" if every licence that was found is, "restricted" if one is not, "" for none; an
-evaluated expression is one of them.  ``score`` says how sure it is that the text carries licence terms.
+Identifiers are looked up whole in a table of licences (a version, "-only" and the like aside), never by how they
+begin: one that the table lacks is neither permissive nor restricted but unknown, and expressions are evaluated in
+three values.  ``verdict`` is "restricted" if a licence that was found is, else "unknown" if one is unknown, else
+"permissive"; "" where there is none.  An evaluated expression counts as one licence.  ``score`` says how sure it is
+that the text carries licence terms.
 
 Defined results: null and empty texts have no words, no labels, no verdict and score 0; unbalanced or unreadable
 expressions yield the identifiers that can be read; repeated rows repeat; whole texts are scanned,
@@ -38,6 +41,9 @@ NOTICES = {
     "boost software license": "bsl",
     "the unlicense": "unlicense",
     "cc by nc": "cc-by-nc",
+    "cc by nd": "cc-by-nd",
+    "cc by nc sa": "cc-by-nc-sa",
+    "cc by nc nd": "cc-by-nc-nd",
     "cc by sa": "cc-by-sa",
     "cc by": "cc-by",
     "cc0": "cc0",
@@ -49,23 +55,46 @@ NOTICES = {
 }
 TAGS = ("spdx license identifier", "license expression")
 TAG_RAW = re.compile(r"(?:spdx-license-identifier|license-expression)[ \t]*:[ \t]*([^\r\n]*)", re.ASCII)
-#: Identifier prefixes and the labels they stand for.
-FAMILIES = (("lgpl", "lgpl"), ("agpl", "agpl"), ("gpl", "gpl"), ("apache", "apache"), ("mit", "mit"), ("bsd", "bsd"), ("mpl", "mpl"), ("epl", "epl"), ("isc", "isc"), ("cc0", "cc0"), ("cc-by-nc", "cc-by-nc"), ("cc-by-sa", "cc-by-sa"), ("cc-by", "cc-by"), ("unlicense", "unlicense"), ("bsl", "bsl"))
-PERMISSIVE = {"mit", "apache", "bsd", "isc", "cc0", "cc-by", "bsl", "unlicense", "public-domain"}
+#: Licences that may be changed and passed on under other terms, by identifier without version, and their labels.
+FREE = {
+    **{x: "mit" for x in ("mit", "mit-0", "expat", "x11")}, "apache": "apache", "isc": "isc", "zlib": "zlib", "postgresql": "postgresql", "ncsa": "ncsa",
+    **{x: "bsd" for x in ("bsd", "bsd-1-clause", "bsd-2-clause", "bsd-3-clause", "bsd-4-clause", "bsd-2-clause-patent", "bsd-3-clause-clear", "bsd-source-code")},
+    "0bsd": "0bsd", "cc0": "cc0", "cc-by": "cc-by", "unlicense": "unlicense", "bsl": "bsl", "wtfpl": "wtfpl", "python": "python", "psf": "python", "blueoak": "blueoak",
+    "public-domain": "public-domain", "boost": "bsl", "upl": "upl", "mulanpsl": "mulanpsl", "artistic": "artistic", "afl": "afl", "ms-pl": "ms-pl", "libpng": "zlib", "openssl": "openssl",
+}
+#: Licences that ask for the same terms, for no trade, for no changes or for more.
+BOUND = {
+    **{x: x for x in ("gpl", "lgpl", "agpl", "mpl", "epl", "cddl", "eupl", "osl", "cpl", "sspl", "gfdl", "cecill", "busl", "bsd-protection", "ms-rl", "odbl", "ofl")},
+    **{x: x for x in ("cc-by-sa", "cc-by-nc", "cc-by-nd", "cc-by-nc-sa", "cc-by-nc-nd", "proprietary")}, "elastic": "elastic",
+}
+#: Whether a label's licence is permissive; what is not here is unknown.
+PERMISSIVE = {label: True for label in FREE.values()} | {label: False for label in BOUND.values()}
+#: All names, longer ones first.
+NAMES = sorted((FREE | BOUND).items(), key=lambda n: -len(n[0]))
+#: What may follow an identifier: a version, and which versions are meant.
+VERSION = re.compile(r"(?:-?v?[0-9]+(?:\.[0-9]+)*)?(?:-(?:only|or-later|clause))?\+?")
 
 
 @dataclass(frozen=True)
 class Expression:
-    """A parsed expression: its identifiers, whether permissive terms suffice, and its canonical text."""
+    """A parsed expression: its labels, whether permissive terms suffice (None: not known), and its canonical text."""
 
     labels: frozenset[str]
-    permissive: bool
+    permissive: bool | None
     text: str
 
 
 def label_of(identifier: str) -> str | None:
-    """The label of an identifier: a family's name, alone or with a version behind it ("gpl-2.0", "gplv3", "apache2")."""
-    return next((label for prefix, label in FAMILIES if re.match(rf"{prefix}(?:$|[^a-z]|v?[0-9])", identifier)), None)
+    """The label of an identifier, which is a licence's name, alone or with a version ("gpl-2.0-only", "gplv3", "apache2")."""
+    return next((label for name, label in NAMES if identifier.startswith(name) and VERSION.fullmatch(identifier[len(name) :])), None)
+
+
+def either(a: bool | None, b: bool | None) -> bool | None:
+    return True if a or b else None if a is None or b is None else False
+
+
+def both(a: bool | None, b: bool | None) -> bool | None:
+    return False if a is False or b is False else None if a is None or b is None else True
 
 
 PRECEDENCE = {"or": 1, "and": 2, "with": 3}
@@ -103,20 +132,20 @@ def postfix(tokens: list[str]) -> list[str]:
 
 
 def evaluate(text: str) -> Expression | None:
-    """The value of an expression: OR needs one permissive side, AND both, WITH its licence."""
+    """The value of an expression, in three values: OR needs one permissive side, AND both, WITH its licence."""
     stack: list[Expression] = []
     for t in postfix(re.findall(r"[()]|[a-z0-9.+\-]+", text.lower())):
         if t not in PRECEDENCE:
             label = label_of(t)
-            stack.append(Expression(frozenset([label] if label else []), label in PERMISSIVE, t))
+            stack.append(Expression(frozenset([label] if label else []), PERMISSIVE.get(label), t))
         elif len(stack) >= 2:
             b, a = stack.pop(), stack.pop()
             if t == "with":
                 stack.append(Expression(a.labels, a.permissive, f"{a.text} with {b.text}"))
             else:
-                free = a.permissive or b.permissive if t == "or" else a.permissive and b.permissive
+                free = (either if t == "or" else both)(a.permissive, b.permissive)
                 labels = a.labels | b.labels
-                if t == "or" and a.permissive != b.permissive:
+                if t == "or" and free and a.permissive is not b.permissive:
                     labels = a.labels if a.permissive else b.labels
                 first, second = sorted([a.text, b.text])
                 stack.append(Expression(labels, free, f"({first} {t} {second})"))
@@ -161,8 +190,8 @@ class Scanner:
         labels = base | other | {x for e in read for x in e.labels}
         # each independent kind of evidence halves the doubt, an expression with a known licence twice
         evidence = 2 * sum(bool(e.labels) for e in read) + len(base) + len(other)
-        found = [x in PERMISSIVE for x in base | other] + [e.permissive for e in read]
-        verdict = ("permissive" if all(found) else "restricted") if found else ""
+        found = [PERMISSIVE.get(x) for x in base | other] + [e.permissive for e in read]
+        verdict = "" if not found else "restricted" if False in found else "unknown" if None in found else "permissive"
         first, last = (joined.count(" ", 0, f(starts)) if starts else None for f in (min, max))
         return (len(words), len(starts), first, last, ",".join(sorted(base)), ",".join(sorted(labels)), 1 - 0.5**evidence, " ; ".join(e.text for e in read), verdict)
 

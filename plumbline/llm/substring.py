@@ -105,8 +105,10 @@ def keep_words(words: list[str], copy: bool, starts: pa.Scalar, window: int) ->
     return (kept + words[at:] if gone else None), gone
 
 
-def repeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, text, starts, copy (and ``row`` where given): the documents with the starts of their windows to remove.
+def repeated(docs: DataFrame, window: int = WINDOW, carried: bool = False) -> DataFrame:
+    """doc_id, text, starts, copy: the documents with the starts of their windows to remove.
+
+    ``carried``: ``docs`` is (doc_id, text, row) already, and ``row`` comes along.
 
     ``copy``: the whole text is that of a document with a smaller id; ``starts`` is then null.
     """
@@ -114,7 +116,7 @@ def repeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     bounded_batches(spark)
     gram, span = (window + 1) // 2, window - (window + 1) // 2 + 1
     # a row is known by its id and its text's hash, so that rows which share an id don't mix
-    docs = (docs if "row" in docs.columns else slim(docs)).withColumn("tk", F.xxhash64("text"))
+    docs = (docs if carried else slim(docs)).withColumn("tk", F.xxhash64("text"))
     # exact copies: the smallest id of each text stands for all
     keys = docs.where("doc_id IS NOT NULL").select("doc_id", "tk", F.hash("text").alias("g"))
     first = keys.groupBy("tk", "g").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
@@ -187,7 +189,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = Fals
 def cut_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows with all their columns; ``text`` is what is left (as it was where nothing goes), ``n_chars`` follows."""
     carried = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*[F.col(c) for c in docs.columns if c != "text"]).alias("row"))
-    marked = repeated(carried, window)
+    marked = repeated(carried, window, carried=True)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
