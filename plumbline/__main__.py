@@ -29,8 +29,14 @@ def _cases(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
 
 
 def _revs(a: argparse.Namespace) -> str:
-    """Pins (name=sha, comma-separated) as the revisions of their repositories; one of no repository is refused."""
-    pins = dict(p.split("=", 1) for p in a.pin.split(",") if p)
+    """Pins (name=sha; comma-separated, options add up) as the revisions of their repositories.
+
+    One of no repository is refused, and so are two of one.
+    """
+    pairs = [p.split("=", 1) for some in a.pin for p in some.split(",") if p]
+    pins = dict(pairs)
+    if len(pins) < len(pairs):
+        raise sheets.Refusal("more than one pin of a repository")
     if unknown := sorted(pins.keys() - {p.split("=", 1)[0] for p in a.repos.split(",")}):
         raise sheets.Refusal(f"pins of no repository: {unknown}")
     return ",".join(f"{k}={v}" for k, v in pins.items())
@@ -226,7 +232,7 @@ COMMANDS = {
     "doc-eval": (doc_eval, ["sheets", "repos"]), "judge-cases": (judge_cases, ["labels", "sheets"]), "judge-freeze": (judge_freeze, ["labels", "sheets", "out"]),
     "judge-eval": (judge_eval, ["labels", "sheets"]), "judge-prompts": (judge_prompts, ["labels", "sheets", "repos", "out"]), "judge-null-run": (judge_null_run, ["labels", "sheets"]), "bench": (bench, ["labels", "sheets", "bars", "predictions"]),
 }
-OPTIONAL = {"limit": 0, "easy": 0, "max-files": 20, "n": 20, "trials": 3, "rate": 0.3, "seed": "0", "shape": "A", "rev": "HEAD", "sheets": "", "repos": "", "since": "", "pin": "", "min-doc-lines": 2, "min-shared": 1, "literals-only": 0, "require-withdrawn": 1, "require-symbol": 1, "ks": (1, 5, 10), "tf-k1": 1.2,
+OPTIONAL = {"limit": 0, "easy": 0, "max-files": 20, "n": 20, "trials": 3, "rate": 0.3, "seed": "0", "shape": "A", "rev": "HEAD", "sheets": "", "repos": "", "since": "", "pin": [], "min-doc-lines": 2, "min-shared": 1, "literals-only": 0, "require-withdrawn": 1, "require-symbol": 1, "ks": (1, 5, 10), "tf-k1": 1.2,
             "arm": "seeded", "k": 5, "doc-budget": contexts.DOC_BUDGET, "code-budget": contexts.CODE_BUDGET, "lexical-thresholds": (1, 3, 6), "only": "", "model": "model", "max-tokens": 1_000_000}
 
 
@@ -243,7 +249,8 @@ def parser() -> argparse.ArgumentParser:
             p.add_argument(f"--{option}", required=True)
         for option, default in OPTIONAL.items():
             if option not in needed:
-                p.add_argument(f"--{option}", type=_numbers if isinstance(default, tuple) else type(default), default=default)
+                many = {"action": "append"} if isinstance(default, list) else {"type": _numbers if isinstance(default, tuple) else type(default)}
+                p.add_argument(f"--{option}", default=list(default) if isinstance(default, list) else default, **many)
     return top
 
 

@@ -16,8 +16,8 @@ from . import retrieval as rt
 ARMS = ("oracle", "seeded", "retrieved")
 #: Characters of a document and of one code file that are shown.
 DOC_BUDGET, CODE_BUDGET = 12_000, 6_000
-#: Judges whose name begins so call a model; all others are functions of what they are shown.
-PAID = ("model",)
+#: Judges whose name begins so call a model; all others are functions of what they are shown.
+PAID = ("model:", "per-claim")
 
 
 def is_paid(judge: Column) -> Column:

@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 import subprocess
 from collections.abc import Iterator
+from itertools import takewhile
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -64,8 +65,9 @@ def diffs(path: str, limit: int | None, since: str | None, rev: str) -> Iterator
 
         def done() -> Iterator[tuple[str, str, str]]:
             if held and len(parents) == 1:
-                names = [x[6:].rstrip("\n").rstrip("\t") for x in held if x.startswith(("--- a/", "+++ b/"))][-1:]
-                names = names or [x.split(" to ", 1)[1].rstrip("\n") for x in held if x.startswith("rename to ")] or [held[0].rstrip("\n").rpartition(" b/")[2]]
+                head = list(takewhile(lambda x: not x.startswith("@@"), held))  # changed lines may look like headers
+                names = [x[6:].rstrip("\n").rstrip("\t") for x in head if x.startswith(("--- a/", "+++ b/"))][-1:]
+                names = names or [x.split(" to ", 1)[1].rstrip("\n") for x in head if x.startswith("rename to ")] or [held[0].rstrip("\n").rpartition(" b/")[2]]
                 yield sha, names[0], "".join(held)
 
         for raw in run.stdout:
@@ -100,7 +102,7 @@ def record(text: str) -> tuple | None:
     fields = head.split(FIELD)
     if len(fields) != 4:
         return None
-    files = [f for x in body.splitlines() if (f := raw_line(x))]
+    files = [f for x in body.split("\n") if (f := raw_line(x))]
     return fields[0], fields[1].split(), int(fields[2]), fields[3], files
 
 

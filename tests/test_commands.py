@@ -79,6 +79,17 @@ def test_commands_run(spark, mined, repo, tmp_path, capsys):
     assert main(["mine", "--repos", f"r={repo}", "--out", str(tmp_path / "again"), "--pin", "x=HEAD"], spark) == 2
 
 
+def test_pins_add_up():
+    from plumbline.__main__ import _revs
+    from plumbline.sources.sheets import Refusal
+
+    read = lambda *pins: _revs(parser().parse_args(["mine", "--repos", "a=x,b=y,c=z", "--out", "o", *[w for p in pins for w in ("--pin", p)]]))
+    assert read("a=1", "b=2,c=3") == "a=1,b=2,c=3" and read() == ""
+    for wrong in (("a=1", "a=2"), ("d=1",)):
+        with pytest.raises(Refusal):
+            read(*wrong)
+
+
 def test_every_command_parses():
     for name, (_, needed) in COMMANDS.items():
         assert parser().parse_args([name, *[x for o in needed for x in (f"--{o}", "v")]]).command == name

@@ -81,5 +81,5 @@ def test_absence(spark):
 def test_names(spark):
     from pyspark.sql import functions as F
 
-    d = spark.createDataFrame([("model:x",), ("always-false",), ("lexical-absence(>=3)",)], "j string")
-    assert [tuple(r) for r in d.select(contexts.is_paid(F.col("j")), contexts.is_deterministic(F.col("j"))).collect()] == [(True, False), (False, True), (False, True)]
+    d = spark.createDataFrame([("model:x",), ("always-false",), ("lexical-absence(>=3)",), ("per-claim:x",), ("modelled",)], "j string")
+    assert [tuple(r) for r in d.select(contexts.is_paid(F.col("j")), contexts.is_deterministic(F.col("j"))).collect()] == [(True, False), (False, True), (False, True), (True, False), (False, True)]

@@ -51,6 +51,22 @@ def test_git_source(spark, repo):
     assert read(limit="1").count() == 1
 
 
+def test_changed_lines_that_look_like_headers(spark, tmp_path):
+    run = lambda *a: subprocess.run(["git", "-c", "user.name=x", "-c", "user.email=x@y", *a], cwd=tmp_path, check=True, capture_output=True)
+    run("init", "-q")
+    (tmp_path / "doc.md").write_text("one\n-- a/old.md\n")
+    run("add", ".")
+    run("commit", "-qm", "first")
+    (tmp_path / "doc.md").write_text("one\n++ b/other.md\nrename to x.md\n")
+    (tmp_path / "v\x0bt.md").write_text("odd name\n")
+    run("add", ".")
+    run("commit", "-qm", "second")
+    spark.dataSource.register(GitSource)
+    read = lambda **o: spark.read.format("plumb_git").options(repos=f"r={tmp_path}", **o).load()
+    found = {r["path"]: r["diff"] for r in read(table="diffs", limit="1").collect()}
+    assert "doc.md" in found and "+++ b/other.md" in found["doc.md"] and len(found) == 2 and "other.md" not in found
+
+
 LEGEND = "# Review (seed 11)\n\nFor each case, replace `VERDICT: ?` with one of:\n\n- `drift` — the doc said something untrue\n- `new` — documented something new\n\n---\n\n"
 
 
