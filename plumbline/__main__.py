@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import evaluation as ev
-from .operators import contexts, judging, mining, scoring
+from .operators import contexts, judging, mining, scoring, trials
 from .plans import retrieval_eval
 from .sources import reports, sheets
 from .sources.git import GitSource
+from .sources.stores import shared_dir
 
 
 def _git(spark: SparkSession, repos: str, table: str, **options: str) -> DataFrame:
@@ -52,7 +53,10 @@ def mine(spark, a) -> int:
     if a.easy:
         tree = _git(spark, a.repos, "tree", **{k: v for k, v in limits.items() if k in ("rev", "revs")})
         found = mining.dedupe(found.unionByName(mining.easy_negatives(tree, mining.cochanged(files), a.easy, a.seed)))
-    manifest = sheets.write_labels(found, a.out, vars(a) | {"run": None})
+    trees = _git(spark, a.repos, "tree", **{k: v for k, v in limits.items() if k in ("rev", "revs")}).select("repo", "sha").distinct()
+    revisions = {r["repo"]: r["sha"] for r in trees.collect()}  # a row a repository
+    replay = ["mine", "--repos", a.repos, "--out", a.out, *[w for k, v in sorted(revisions.items()) for w in ("--pin", f"{k}={v}")]]
+    manifest = sheets.write_labels(found, a.out, {k: v for k, v in vars(a).items() if k != "run"}, revisions, replay)
     print(manifest["counts"])
     return 0
 
@@ -83,7 +87,7 @@ def sample(spark, a) -> int:
 
 def _text(blocks: DataFrame, out: str) -> None:
     """Write (nr, block) as one text in order: a sheet for a person."""
-    blocks.repartition(1).sortWithinPartitions("nr").select("block").write.mode("errorifexists").text(out)
+    blocks.repartition(1).sortWithinPartitions(*[c for c in ("nr", "pos") if c in blocks.columns]).select("block").write.mode("errorifexists").text(out)
 
 
 def score(spark, a) -> int:
@@ -125,7 +129,10 @@ def doc_sample(spark, a) -> int:
     docs = blobs.where((paths.kind(F.col("path")) == "doc") & paths.documents_code(F.col("path")) & (F.length("text") >= 400))
     picked = scoring.sample(docs.withColumnRenamed("path", "doc_path"), "doc_path", "repo", a.n, a.seed)
     pool = blobs.where(paths.kind(F.col("path")) == "code").select("repo", "sha", "path")
-    _text(reports.checklist(picked.select("repo", "doc_path"), pool), a.out)
+    if a.bundle:
+        read = blobs.where(paths.kind(F.col("path")) == "code").unionByName(docs.join(picked.select("repo", F.col("doc_path").alias("path")), ["repo", "path"], "left_semi"))
+        reports.bundle(picked, read.select("repo", "path", "text"), a.bundle)
+    _text(reports.checklist(picked, pool, a.bundle or None), a.out)
     return 0
 
 
@@ -203,8 +210,18 @@ def judge_prompts(spark, a) -> int:
 
 
 def judge_null_run(spark, a) -> int:
-    trials = _judged(spark, a).withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(a.trials - 1)))).withColumnRenamed("example_id", "case_id")
-    print(reports.table_text(ev.stability(trials).groupBy("judge", "state").agg(F.count("*").alias("n")), ["judge", "state"]))
+    """Free judges over --trials passes; with --store answers are kept, and a run that was interrupted goes on."""
+    cases = _cases(spark, a).where("target IS NOT NULL").withColumn("case_id", F.col("example_id"))
+    judged = scoring.free_judges(cases.select("example_id", "target"), F.col("example_id"), a.rate, a.seed).cache()
+    store = trials.trial_store(spark, a.store or shared_dir(spark), f"{a.labels}|{a.sheets}|{a.rate}|{a.seed}")
+    for name in [r[0] for r in judged.select("judge").distinct().orderBy("judge").collect()]:  # a row a judge
+        mine = judged.where(F.col("judge") == name).select(F.col("example_id").alias("case_id"), "answer")
+        found, asked = trials.run_trials(store, cases.select("case_id"), name, a.trials, lambda missing, mine=mine: missing.join(mine, "case_id"))
+        print(f"{name}: {found} answers found, {asked} asked for")
+    lined = trials.align(store.read(), cases.select("case_id", "verdict", "target"), a.trials).cache()
+    print(reports.table_text(trials.stability(lined), ["judge"]))
+    if a.out:
+        trials.write_matrix(lined, a.out)
     return 0
 
 
@@ -213,15 +230,12 @@ def bench(spark, a) -> int:
     every = _cases(spark, a)
     cases = every.where("target IS NOT NULL AND code_path IS NOT NULL").select("example_id", "repo", "shape", "target")
     size = every.agg(F.count("*").alias("verdicts"), F.count("target").alias("scoreable"), F.count_if(F.col("target").isNotNull() & F.col("code_path").isNotNull()).alias("with_code_path")).first().asDict()
-    recorded = sheets.bars(spark, a.bars, size)
-    free = [(k, float(v["f1"]), float(v["accuracy_all"])) for k, v in recorded["judges"].items() if k.startswith(("always-", "lexical-absence"))]
-    if "always-not-false" not in dict((f[0], f) for f in free):
-        raise sheets.Refusal(f"{a.bars}: the constant judge was not recorded")
+    recorded = sheets.bars(spark, a.floors, a.width, size, a.arm)
     said = sheets.predictions(spark, a.predictions)
     states = {r["state"]: r["count"] for r in ev.decompose(said.withColumnRenamed("example_id", "case_id"), cases.withColumnRenamed("example_id", "case_id")).groupBy("state").count().collect()}
     judged = cases.join(said, "example_id", "left").withColumn("judge", F.lit("submission"))
-    floors = spark.createDataFrame(free, "judge string, f1 double, accuracy_all double")
-    verdict = ev.gate(ev.rates(ev.confusion(judged, "judge")), floors, recorded["mde"], recorded["chance_f1_p95"]).first()
+    floors = spark.createDataFrame([(recorded["best_free_name"], recorded["best_free_f1"], None), (sheets.CONSTANT, None, recorded["constant_accuracy"])], "judge string, f1 double, accuracy_all double")
+    verdict = ev.gate(ev.rates(ev.confusion(judged, "judge")), floors, recorded["width_f1"], recorded["chance_f1_p95"]).first()
     print(states, verdict["reasons"])
     return 0 if verdict["admissible"] and not states.get("unknown") else 1
 
@@ -230,10 +244,10 @@ COMMANDS = {
     "mine": (mine, ["repos", "out"]), "stats": (stats, ["labels"]), "sample": (sample, ["labels", "out"]), "score": (score, ["labels", "sheets"]),
     "retention": (retention, ["old", "labels", "sheets"]), "retrieve-eval": (retrieve_eval, ["labels", "repos"]), "doc-sample": (doc_sample, ["repos", "out"]),
     "doc-eval": (doc_eval, ["sheets", "repos"]), "judge-cases": (judge_cases, ["labels", "sheets"]), "judge-freeze": (judge_freeze, ["labels", "sheets", "out"]),
-    "judge-eval": (judge_eval, ["labels", "sheets"]), "judge-prompts": (judge_prompts, ["labels", "sheets", "repos", "out"]), "judge-null-run": (judge_null_run, ["labels", "sheets"]), "bench": (bench, ["labels", "sheets", "bars", "predictions"]),
+    "judge-eval": (judge_eval, ["labels", "sheets"]), "judge-prompts": (judge_prompts, ["labels", "sheets", "repos", "out"]), "judge-null-run": (judge_null_run, ["labels", "sheets"]), "bench": (bench, ["labels", "sheets", "floors", "width", "predictions"]),
 }
 OPTIONAL = {"limit": 0, "easy": 0, "max-files": 20, "n": 20, "trials": 3, "rate": 0.3, "seed": "0", "shape": "A", "rev": "HEAD", "sheets": "", "repos": "", "since": "", "pin": [], "min-doc-lines": 2, "min-shared": 1, "literals-only": 0, "require-withdrawn": 1, "require-symbol": 1, "ks": (1, 5, 10), "tf-k1": 1.2,
-            "arm": "seeded", "k": 5, "doc-budget": contexts.DOC_BUDGET, "code-budget": contexts.CODE_BUDGET, "lexical-thresholds": (1, 3, 6), "only": "", "model": "model", "max-tokens": 1_000_000}
+            "arm": "seeded", "k": 5, "doc-budget": contexts.DOC_BUDGET, "code-budget": contexts.CODE_BUDGET, "lexical-thresholds": (1, 3, 6), "only": "", "model": "model", "max-tokens": 1_000_000, "bundle": "", "store": "", "out": ""}
 
 
 def _numbers(text: str) -> tuple[int, ...]:

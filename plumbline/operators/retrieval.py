@@ -61,19 +61,70 @@ def idf(cand: DataFrame, pool: DataFrame) -> DataFrame:
     return df.join(F.broadcast(n) if n.limit(10_001).count() <= 10_000 else n, "tree").select("tree", "tok", "df", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
 
 
-def score_tokens(queries: DataFrame, cand: DataFrame, weights: DataFrame, k1: float | None = None) -> DataFrame:
-    """(query_id, tree, path, score): idf of shared tokens over the root of the candidate's distinct tokens.
+#: Rows of candidates that hold a token in one tree, beyond which they are cut into slices of that size.
+SLICE_ROWS = 100_000
 
-    With ``k1`` each idf is multiplied by tf / (tf + k1); k1 = 0 is the plain score.
+
+def sliced(wanted: DataFrame, cand: DataFrame, rows: int = SLICE_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Both sides with ``slice``: a token in more than ``rows`` candidates is dealt out by path, its queries go to every slice.
+
+    ``wanted`` has ``df``, the candidates that hold a token, so how many slices it needs is known before the join; no
+    task gets more than a slice of a token, however common it is.
+    """
+    hot = wanted.where(F.col("df") > rows).select("tree", "tok", F.ceil(F.col("df") / rows).cast("int").alias("slices")).distinct()
+    mine = F.pmod(F.xxhash64("path"), F.coalesce("slices", F.lit(1))).cast("int")
+    c = cand.join(small(hot), ["tree", "tok"], "left").withColumn("slice", mine).drop("slices")
+    last = F.greatest(F.ceil(F.col("df") / rows).cast("int"), F.lit(1)) - 1
+    return wanted.withColumn("slice", F.explode(F.sequence(F.lit(0), last))), c
+
+
+def score_arms(queries: DataFrame, cand: DataFrame, weights: DataFrame, arms: dict[str, Column], broadcast: int = BROADCAST_ROWS, rows: int = SLICE_ROWS) -> DataFrame:
+    """(query_id, tree, path, one column an arm): all arms' scores from one join of tokens.
+
+    An arm is an expression over a shared token's ``idf``, ``tf`` and the columns of ``queries(query_id, tree, tok, ..)``; it is
+    summed and divided by the root of the candidate's distinct tokens, null where every token of it is null.
     """
-    if k1 is not None and k1 < 0:
-        raise ValueError("k1 must not be negative")
     sizes = cand.groupBy("tree", "path").agg(F.count("*").alias("size"))
     # only the queries' tokens matter: their rows of the candidates are a small part of all
     wanted = queries.join(weights, ["tree", "tok"])
-    part = F.col("idf") if k1 is None else F.col("idf") * F.col("tf") / (F.col("tf") + F.lit(k1))
-    summed = cand.join(small(wanted), ["tree", "tok"]).groupBy("query_id", "tree", "path").agg(F.sum(part).alias("s"))
-    return summed.join(sizes, ["tree", "path"]).select("query_id", "tree", "path", F.round(F.col("s") / F.sqrt("size"), 9).alias("score"))
+    keys = ["tree", "tok"]
+    if wanted.limit(broadcast + 1).count() <= broadcast:
+        wanted = F.broadcast(wanted)
+    else:
+        wanted, cand = sliced(wanted, cand, rows)
+        keys = [*keys, "slice"]
+    summed = cand.join(wanted, keys).groupBy("query_id", "tree", "path").agg(*[F.sum(part).alias(arm) for arm, part in arms.items()])
+    return summed.join(sizes, ["tree", "path"]).select("query_id", "tree", "path", *[F.round(F.col(arm) / F.sqrt("size"), 9).alias(arm) for arm in arms])
+
+
+def long(scores: DataFrame, arms: list[str]) -> DataFrame:
+    """(arm, query_id, path, score) of ``score_arms``, a row for each arm that scores the candidate."""
+    each = F.explode(F.array(*[F.struct(F.lit(a).alias("arm"), F.col(a).alias("score")) for a in arms]))
+    return scores.select("query_id", "path", each.alias("s")).select("s.arm", "query_id", "path", "s.score").where("score IS NOT NULL")
+
+
+def lexical_part() -> Column:
+    return F.col("idf")
+
+
+def tf_part(k1: float) -> Column:
+    if k1 < 0:
+        raise ValueError("k1 must not be negative")
+    return F.col("idf") * F.col("tf") / (F.col("tf") + F.lit(k1))
+
+
+def score_tokens(queries: DataFrame, cand: DataFrame, weights: DataFrame, k1: float | None = None) -> DataFrame:
+    """(query_id, tree, path, score): idf of shared tokens over the root of the candidate's distinct tokens.
+
+    With ``k1`` each idf is multiplied by tf / (tf + k1); k1 = 0 is the plain score.
+    """
+    return score_arms(queries, cand, weights, {"score": lexical_part() if k1 is None else tf_part(k1)})
+
+
+def marked(queries: DataFrame, evidence: DataFrame) -> DataFrame:
+    """The queries' tokens with ``evidence``, whether a token is among ``evidence(query_id, tok)``."""
+    marks = evidence.select("query_id", "tok").distinct().withColumn("evidence", F.lit(True))
+    return queries.join(marks, ["query_id", "tok"], "left").withColumn("evidence", F.coalesce("evidence", F.lit(False)))
 
 
 def ablate(queries: DataFrame, evidence: DataFrame) -> DataFrame:

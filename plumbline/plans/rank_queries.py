@@ -160,16 +160,12 @@ FROM a JOIN n USING (query_id) LEFT JOIN h USING (arm, query_id) GROUP BY arm"""
 
 @query(_metrics_sql({"lexical": LEX, "lexical_ablated": LEX_ABLATED, "tf": TF}))
 def recall_mrr(spark: SparkSession, sf: str) -> DataFrame:
-    """All arms in one long table: one count of ranks and one pair of aggregations serve every ranker."""
+    """All arms from one join of tokens, in one long table: one count of ranks and one pair of aggregations serve every ranker."""
     pool, cand = candidates(spark, sf)
-    cand = cand.cache()
     weights, q = rt.idf(cand, pool), query_tokens(spark, sf)
-    arms = {"lexical": rt.score_tokens(q, cand, weights), "lexical_ablated": rt.score_tokens(rt.ablate(q, evidence_of(q, weights)), cand, weights), "tf": rt.score_tokens(q, cand, weights, K1)}
-    long = None
-    for arm, scores in arms.items():
-        part = scores.select(F.lit(arm).alias("arm"), "query_id", "path", "score")
-        long = part if long is None else long.unionByName(part)
-    long, rel = long.cache(), relevant(spark, sf).cache()
+    arms = {"lexical": rt.lexical_part(), "lexical_ablated": F.when(~F.col("evidence"), rt.lexical_part()), "tf": rt.tf_part(K1)}
+    scores = rt.score_arms(rt.marked(q, evidence_of(q, weights)), cand, weights, arms)
+    long, rel = rt.long(scores, list(arms)).cache(), relevant(spark, sf).cache()
     return ev.macro(ev.per_query(rt.ranks_of(long, rel), rel, shown=long), "arm")
 
 
@@ -235,10 +231,10 @@ SELECT query_id, max((a.rank <= 10)::INT) AS x, (SELECT max((b.rank <= 10)::INT)
 SELECT count_if(x = 1 AND y = 1)::BIGINT AS both_arms, count_if(x = 1 AND y = 0)::BIGINT AS lexical_only, count_if(x = 0 AND y = 1)::BIGINT AS tf_only, count_if(x = 0 AND y = 0)::BIGINT AS neither, count_if(x2 = 1)::BIGINT AS lexical_20, count_if(x = 1 OR y = 1)::BIGINT AS union_10 FROM f""")
 def rank_fusion_cells(spark: SparkSession, sf: str) -> DataFrame:
     pool, cand = candidates(spark, sf)
-    cand = cand.cache()
     weights, q, rel = rt.idf(cand, pool), query_tokens(spark, sf), relevant(spark, sf).cache()
-    arm = lambda k1, c: rt.ranks_of(rt.score_tokens(q, cand, weights, k1).cache(), rel).groupBy("query_id").agg(F.min("rank").alias(c))
-    j = arm(None, "a").join(arm(K1, "b"), "query_id")
+    scores = rt.long(rt.score_arms(q, cand, weights, {"a": rt.lexical_part(), "b": rt.tf_part(K1)}), ["a", "b"]).cache()
+    best = lambda arm: F.min(F.when(F.col("arm") == arm, F.col("rank"))).alias(arm)
+    j = rt.ranks_of(scores, rel).groupBy("query_id").agg(best("a"), best("b")).where("a IS NOT NULL AND b IS NOT NULL")
     x, y = F.col("a") <= 10, F.col("b") <= 10
     return j.agg(F.count_if(x & y).alias("both_arms"), F.count_if(x & ~y).alias("lexical_only"), F.count_if(~x & y).alias("tf_only"), F.count_if(~x & ~y).alias("neither"), F.count_if(F.col("a") <= 20).alias("lexical_20"), F.count_if(x | y).alias("union_10"))
 

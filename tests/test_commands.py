@@ -69,13 +69,20 @@ def test_commands_run(spark, mined, repo, tmp_path, capsys):
     n = sum(held[i] is not None for i in ids)
     (tmp_path / "p.jsonl").write_text("".join(json.dumps({"example_id": i, "answer": verdict[i]}) + "\n" for i in ids if held[i]))
     judges = {"always-false": {"f1": 0.1, "accuracy_all": 0.1}, "always-not-false": {"f1": 0.0, "accuracy_all": 0.2}, "lexical-absence": {"f1": 0.3, "accuracy_all": 0.9}, "paid": {"f1": 1.0, "accuracy_all": 1.0}}
-    bars = {"corpus": {"verdicts": 2, "scoreable": 2, "with_code_path": n}, "judges": judges, "mde": 0.1, "chance_f1_p95": 0.5}
-    bench = ["bench", *base, "--bars", str(tmp_path / "b.json"), "--predictions", str(tmp_path / "p.jsonl")]
-    (tmp_path / "b.json").write_text(json.dumps(bars))
+    corpus = {"verdicts": 2, "scoreable": 2, "with_code_path": n}
+    floors = {"provenance": {"corpus": corpus}, "arms": {"seeded": {"judges": judges}}}
+    width = {"provenance": {"corpus": corpus}, "judges": {"paid": {"minimum_detectable_effect_f1": 0.1, "chance_range": {"f1": [0.1, 0.3, 0.5]}}}}
+    bench = ["bench", *base, "--floors", str(tmp_path / "f.json"), "--width", str(tmp_path / "w.json"), "--predictions", str(tmp_path / "p.jsonl")]
+    (tmp_path / "f.json").write_text(json.dumps(floors))
+    (tmp_path / "w.json").write_text(json.dumps(width))
     assert main(bench, spark) == (0 if verdict[next(i for i in ids if held[i])] else 1)
-    for key in bars["corpus"]:
-        (tmp_path / "b.json").write_text(json.dumps(bars | {"corpus": bars["corpus"] | {key: 7}}))
+    for key in corpus:
+        (tmp_path / "w.json").write_text(json.dumps(width | {"provenance": {"corpus": corpus | {key: 7}}}))
         assert main(bench, spark) == 2
+    matrix = ["judge-null-run", *base, "--store", str(tmp_path / "trials"), "--out", str(tmp_path / "matrix"), "--trials", "2"]
+    assert main(matrix, spark) == 0 and "0 answers found, 4 asked for" in capsys.readouterr().out
+    assert main([*matrix[:-3], str(tmp_path / "matrix3"), "--trials", "3"], spark) == 0 and "4 answers found, 2 asked for" in capsys.readouterr().out
+    assert "not-false" in spark.read.text(str(tmp_path / "matrix3")).first()[0]
     assert main(["mine", "--repos", f"r={repo}", "--out", str(tmp_path / "again"), "--pin", "x=HEAD"], spark) == 2
 
 

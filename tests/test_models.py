@@ -248,3 +248,30 @@ def test_texts_are_encoded_once_and_blocks_equal_plain_products(spark, tmp_path,
     again, counts = dense.text_vectors(spark.createDataFrame(code, "tree string, path string, text string"), store, model, make, 30, 10)
     assert counts == (len(distinct), 0) and again.count() == c.count() and len(seen(folder)) == encoded
     assert encoded == sum(len(cut(t)) for t in distinct | {d for _, _, d in docs})
+
+
+# ------------------------------------------------------------------ tokens
+
+
+def test_hot_tokens_are_sliced_and_scores_stay(spark):
+    """Joined in slices or whole, in one pass or an arm at a time: equal scores, and no slice above its size."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(6)
+    cand = [("t", f"p{n}", tok, rng.randint(1, 5)) for n in range(300) for tok in {"hot", *rng.sample("abcdefghij", 3)}]
+    queries = [(q, "t", tok) for q in range(6) for tok in {"hot", *rng.sample("abcdefghijkl", 4)}]
+    cand, queries = spark.createDataFrame(cand, "tree string, path string, tok string, tf int"), spark.createDataFrame(queries, "query_id int, tree string, tok string")
+    weights = rt.idf(cand, cand.select("tree", "path").distinct())
+    evidence = spark.createDataFrame([(q, "a") for q in range(6)], "query_id int, tok string")
+    arms = {"lexical": rt.lexical_part(), "ablated": F.when(~F.col("evidence"), rt.lexical_part()), "tf": rt.tf_part(1.2)}
+    got = {}
+    for name, options in (("sent", {}), ("sliced", {"broadcast": 0, "rows": 16})):
+        scores = rt.score_arms(rt.marked(queries, evidence), cand, weights, arms, **options)
+        got[name] = sorted(map(tuple, rt.long(scores, list(arms)).collect()))
+    assert got["sent"] == got["sliced"]
+    for arm, alone in (("lexical", rt.score_tokens(queries, cand, weights)), ("ablated", rt.score_tokens(rt.ablate(queries, evidence), cand, weights)), ("tf", rt.score_tokens(queries, cand, weights, 1.2))):
+        assert sorted((arm, r["query_id"], r["path"], r["score"]) for r in alone.collect()) == [r for r in got["sent"] if r[0] == arm]
+    wanted, salted = rt.sliced(queries.join(weights, ["tree", "tok"]), cand, 16)
+    asked = salted.join(wanted.select("tree", "tok").distinct(), ["tree", "tok"], "left_semi")
+    sizes = asked.groupBy("tree", "tok", "slice").count().agg(F.max("count")).first()[0]
+    assert sizes <= 2.5 * 16 and wanted.where("tok = 'hot'").count() == 6 * 19

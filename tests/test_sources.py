@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.operators import caching
-from plumbline.sources import sheets
+from plumbline.sources import digests, reports, sheets
 from plumbline.sources.git import GitSource
 from plumbline.streaming import counters
 
@@ -130,20 +130,73 @@ def test_predictions(spark, tmp_path):
             sheets.predictions(spark, put(tmp_path / f"{name}.jsonl", text))
 
 
-def test_bars(spark, tmp_path):
-    path = put(tmp_path / "b.json", json.dumps({"corpus": {"scoreable": 5}, "f1": 0.4}))
-    assert sheets.bars(spark, path, {"scoreable": 5})["f1"] == 0.4
-    with pytest.raises(sheets.Refusal):
-        sheets.bars(spark, path, {"scoreable": 6})
+CORPUS = {"verdicts": 9, "scoreable": 7, "with_code_path": 5}
+FLOORS = {"provenance": {"corpus": CORPUS | {"sheets": 2}}, "generated_at": "x", "arms": {"seeded": {"judges": {"always-not-false": {"f1": 0.0, "accuracy_all": 0.6, "n": 5}, "lexical-absence(>=3)": {"f1": 0.4, "accuracy_all": 0.5, "confusion": {"tp": 1}}, "always-false": {"f1": 0.4, "accuracy_all": 0.3}, "model:x": {"f1": 0.9, "accuracy_all": 0.9}}}}}
+WIDTH = {"provenance": {"corpus": CORPUS}, "judges": {"model:x": {"minimum_detectable_effect_f1": 0.11, "chance_range": {"f1": [0.1, 0.2, 0.33]}, "n": 5}}}
+
+
+def test_bars_from_two_reports(spark, tmp_path):
+    place = lambda name, report: put(tmp_path / f"{name}.json", json.dumps(report, indent=1))
+    read = lambda f=FLOORS, w=WIDTH, c=CORPUS, **o: sheets.bars(spark, place("f", f), place("w", w), c, **o)
+    assert read() == {"best_free_name": "always-false", "best_free_f1": 0.4, "constant_accuracy": 0.6, "chance_f1_p95": 0.33, "width_f1": 0.11}
+    for key in CORPUS:
+        with pytest.raises(sheets.Refusal, match=f"CORPUS_MISMATCH.*floors.*{key} was {CORPUS[key]} and is now 99"):
+            read(c=CORPUS | {key: 99})
+    with pytest.raises(sheets.Refusal, match="CORPUS_MISMATCH.*width"):
+        read(w=WIDTH | {"provenance": {"corpus": CORPUS | {"scoreable": 1}}})
+    judges = FLOORS["arms"]["seeded"]["judges"]
+    only = lambda *names: FLOORS | {"arms": {"seeded": {"judges": {k: v for k, v in judges.items() if k in names}}}}
+    for wrong, why in (({"f": {"arms": {}}}, "names no corpus"), ({"arm": "oracle"}, "has no arm"), ({"f": only("model:x", "always-not-false") | {}}, None), ({"f": only("model:x")}, "free floors"), ({"f": only("always-false")}, "always-not-false"),
+                       ({"w": WIDTH | {"judges": {}}}, "records no judges"), ({"w": WIDTH | {"judges": {"x": {"chance_range": {"f1": [1, 2, 3]}}}}}, "minimum_detectable"), ({"w": WIDTH | {"judges": {"x": {"minimum_detectable_effect_f1": 0.1}}}}, "chance range")):
+        if why is None:
+            assert read(**wrong)["best_free_name"] == "always-not-false"
+            continue
+        with pytest.raises(sheets.Refusal, match=why):
+            read(**wrong)
 
 
 def test_labels_writer_refuses_and_digests(spark, tmp_path):
-    rows = spark.createDataFrame([(A, "r", "drift", "A"), (B, "r", "clean", "negative")], "example_id string, repo string, label string, shape string")
-    m = sheets.write_labels(rows, str(tmp_path / "out"), {"k": 1})
-    assert m["counts"] == {"r/drift/A": 1, "r/clean/negative": 1} and m["output"]["digest"] == sheets.digest(rows.orderBy(F.desc("example_id")))
+    rows = spark.createDataFrame([(f"{k:03d}", "r", "drift" if k % 2 else "clean", "A") for k in range(50)] + [("dup", "r", "clean", "A")] * 3, "example_id string, repo string, label string, shape string")
+    m = sheets.write_labels(rows.repartition(1), str(tmp_path / "out"), {"k": 1}, {"r": "abc"}, ["mine"])
+    again = sheets.write_labels(rows.repartition(40), str(tmp_path / "many"), {"k": 1}, {"r": "abc"}, ["mine"])
+    assert m["counts"] == {"r/drift/A": 25, "r/clean/A": 28} and m["output"]["digest"] == again["output"]["digest"] and m["repos"] == {"r": "abc"}
+    assert set(m["code"]) == {"files", "commit", "dirty"} and len(m["code"]["files"]) == 64
     with pytest.raises(Exception, match="(?i)exists"):
         sheets.write_labels(rows, str(tmp_path / "out"), {})
-    assert sheets.labels(spark, str(tmp_path / "out")).count() == 2
+    assert sheets.labels(spark, str(tmp_path / "out")).count() == 53
+    assert digests.check_manifest(spark, str(tmp_path / "many"), str(tmp_path / "out.manifest"))["output"]["examples"] == 53
+    for change in (lambda t: t.replace("drift", "drifT", 1), lambda t: t + t.splitlines()[0] + "\n", lambda t: "\n".join(t.splitlines()[1:]) + "\n"):
+        (part,) = (tmp_path / "out").glob("part-*")
+        was = part.read_text()
+        part.write_text(change(was))
+        (tmp_path / "out" / f".{part.name}.crc").unlink(missing_ok=True)
+        with pytest.raises(sheets.Refusal, match="digest"):
+            digests.check_manifest(spark, str(tmp_path / "out"), str(tmp_path / "out.manifest"))
+        part.write_text(was)
+    assert digests.tree_digest(spark.createDataFrame([], "value string")) != digests.tree_digest(spark.createDataFrame([(None,)], "value string"))
+
+
+def test_bundles_are_linked_by_the_sheet(spark, tmp_path):
+    import re
+
+    held = [("a/b", f"src/{n} x.py" if n == 3 else f"src/m{n}.py", f"text {n}\nline") for n in range(5)] + [("a/b", "src/m_1.py", "other"), ("a/b", "docs/p.md", "page"), ("c", "x.py", None), ("c", "d.md", "doc"), ("z", "unasked.py", "no")]
+    held = spark.createDataFrame(held, "repo string, path string, text string")
+    cases = spark.createDataFrame([("a/b", "docs/p.md"), ("c", "d.md")], "repo string, doc_path string")
+    pool = held.where("path LIKE '%.py'").withColumn("sha", F.lit("f" * 40))
+    root = str(tmp_path / "bundle")
+    reports.bundle(cases, held, root)
+    sheet = reports.checklist(cases, pool, root).orderBy("nr", "pos").collect()
+    text = "\n".join(r["block"] for r in sheet)
+    links = re.findall(r"\[text\]\((.*?)\)", text)
+    assert len(links) == len(set(links)) == 9
+    said = {spark.read.text(link, wholetext=True).first()[0].rstrip("\n") for link in links}
+    assert said == {*(f"text {n}\nline" for n in range(5)), "other", "page", "", "doc"}
+    (tmp_path / "s").mkdir()
+    put(tmp_path / "s/s.md", text.replace("- [ ] src/m2.py", "- [x] src/m2.py"))
+    got = {r["doc_path"]: r for r in sheets.checklist(sheets.sheets(spark, str(tmp_path / "s"))).collect()}
+    assert got["docs/p.md"]["marked"] == ["src/m2.py"] and got["docs/p.md"]["sha_prefix"] == "f" * 12 and not got["d.md"]["answered"]
+    with pytest.raises(Exception, match="(?i)exists"):
+        reports.bundle(cases, held, root)
 
 
 def test_case_selection(spark, tmp_path):
