@@ -9,11 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import evaluation as ev
-from .operators import contexts, judging, mining, scoring, trials
+from .operators import contexts, dense, judging, mining, pairs, scoring, trials
 from .plans import retrieval_eval
-from .sources import reports, sheets
+from .sources import digests, reports, sheets, stores
 from .sources.git import GitSource
-from .sources.stores import shared_dir
 
 
 def _git(spark: SparkSession, repos: str, table: str, **options: str) -> DataFrame:
@@ -66,7 +65,7 @@ def stats(spark, a) -> int:
     keys = ["repo", "label", "shape", "label_basis"]
     g = rows.groupingSets([[k] for k in keys], *keys).agg(F.count("*").alias("n"), *[F.grouping(k).alias(f"g_{k}") for k in keys])
     by = F.coalesce(*[F.when(F.col(f"g_{k}") == 0, k) for k in keys])
-    print(reports.table_text(g.select(by.alias("by"), F.coalesce(*keys).alias("value"), "n"), ["by", "value"]))
+    print(reports.table_text(g.select(by.alias("by"), F.coalesce(*keys).alias("value"), "n"), ["by", F.desc("n"), "value"]))
     return 0
 
 
@@ -98,8 +97,12 @@ def score(spark, a) -> int:
 
 
 def retention(spark, a) -> int:
-    verdicts = _verdicts(spark, a.sheets).select("example_id", (F.col("verdict") == "drift").alias("hit"))
-    print(reports.table_text(scoring.retention(sheets.labels(spark, a.old), sheets.labels(spark, a.labels), verdicts, "example_id", "shape"), ["shape"]))
+    """What the new labels keep of the judged ones, with the positives that they lose."""
+    verdicts, old, new = _verdicts(spark, a.sheets).select("example_id", "verdict"), sheets.labels(spark, a.old), sheets.labels(spark, a.labels)
+    report = scoring.retention_report(old, new, verdicts, "example_id", "shape")
+    print(reports.table_text(report.select("shape", "retained_n", "retained_hits", "positives_before", "precision", "lo", "hi", F.to_json("kept").alias("kept"), F.to_json("dropped").alias("dropped")), ["shape"]))
+    print(scoring.not_in_old(old, verdicts, "example_id").count(), "verdicts of cases that the old labels lack")
+    print(reports.table_text(scoring.lost_positives(old, new, verdicts, "example_id").select("example_id", "repo", "shape", "doc_path", "code_path", "fix_sha"), ["example_id"]))
     return 0
 
 
@@ -116,9 +119,41 @@ def _blobs(spark, repos: str, queries: DataFrame) -> DataFrame:
     return out
 
 
+def _named(path: str):
+    """What ``module:name`` names; imported where it is called, so that workers load their own."""
+
+    def build():
+        from importlib import import_module
+
+        module, _, name = path.partition(":")
+        return getattr(import_module(module), name)()
+
+    return build
+
+
+def _models(spark, a) -> dict:
+    """The arms that --encoder and --scorer (module:factory) ask for, with stores by model and windows."""
+    out = {}
+    if a.encoder:
+        root = a.vector_store or stores.default_root(stores.shared_dir(spark), a.encoder, dense.SIZE, dense.OVERLAP)
+        out["encoding"] = retrieval_eval.Encoding(dense.vector_store(spark, root, a.encoder), a.encoder, _named(a.encoder))
+    if a.scorer:
+        root = a.pair_store or stores.default_root(stores.shared_dir(spark), a.scorer, pairs.SIZE, pairs.OVERLAP)
+        out["reranking"] = retrieval_eval.Reranking(pairs.pair_store(spark, root, a.scorer), a.scorer, _named(a.scorer), a.top_n)
+    return out
+
+
+def _report(spark, a, rows: DataFrame) -> None:
+    """Print the rows; with --out also write them as one JSON text, how they came about first."""
+    print(reports.table_text(rows, ["repo", "arm"]))
+    if a.out:
+        made = {"command": a.command, "config": {k: v for k, v in vars(a).items() if k != "out"}, "code": digests.code_revision()}
+        sheets.results_json(rows, made).coalesce(1).write.mode("errorifexists").text(a.out)
+
+
 def retrieve_eval(spark, a) -> int:
     queries = retrieval_eval.queries_of(sheets.labels(spark, a.labels))
-    print(reports.table_text(retrieval_eval.evaluate(queries, _blobs(spark, a.repos, queries), a.ks, a.tf_k1, a.trials), ["repo", "arm"]))
+    _report(spark, a, retrieval_eval.evaluate(queries, _blobs(spark, a.repos, queries), a.ks, a.tf_k1, a.trials, **_models(spark, a)).cache())
     return 0
 
 
@@ -147,8 +182,8 @@ def doc_eval(spark, a) -> int:
     if lost:
         raise sheets.Refusal(f"{lost} cases name a tree that was not read")
     queries = named.select(F.concat_ws(":", "repo", "doc_path").alias("query_id"), "repo", F.concat_ws("@", "repo", "sha").alias("tree"), "doc_path", F.array_union("marked", "extra").alias("relevant"), empty.alias("evidence"))
-    rows = retrieval_eval.evaluate(queries, blobs, a.ks, a.tf_k1, a.trials).where("arm <> 'lexical-ablated'")
-    print(reports.table_text(rows, ["repo", "arm"]))
+    rows = retrieval_eval.evaluate(queries, blobs, a.ks, a.tf_k1, a.trials, **_models(spark, a)).where("NOT endswith(arm, '-ablated')")
+    _report(spark, a, rows.cache())
     return 0
 
 
@@ -213,7 +248,7 @@ def judge_null_run(spark, a) -> int:
     """Free judges over --trials passes; with --store answers are kept, and a run that was interrupted goes on."""
     cases = _cases(spark, a).where("target IS NOT NULL").withColumn("case_id", F.col("example_id"))
     judged = scoring.free_judges(cases.select("example_id", "target"), F.col("example_id"), a.rate, a.seed).cache()
-    store = trials.trial_store(spark, a.store or shared_dir(spark), f"{a.labels}|{a.sheets}|{a.rate}|{a.seed}")
+    store = trials.trial_store(spark, a.store or stores.shared_dir(spark), f"{a.labels}|{a.sheets}|{a.rate}|{a.seed}")
     for name in [r[0] for r in judged.select("judge").distinct().orderBy("judge").collect()]:  # a row a judge
         mine = judged.where(F.col("judge") == name).select(F.col("example_id").alias("case_id"), "answer")
         found, asked = trials.run_trials(store, cases.select("case_id"), name, a.trials, lambda missing, mine=mine: missing.join(mine, "case_id"))
@@ -247,7 +282,8 @@ COMMANDS = {
     "judge-eval": (judge_eval, ["labels", "sheets"]), "judge-prompts": (judge_prompts, ["labels", "sheets", "repos", "out"]), "judge-null-run": (judge_null_run, ["labels", "sheets"]), "bench": (bench, ["labels", "sheets", "floors", "width", "predictions"]),
 }
 OPTIONAL = {"limit": 0, "easy": 0, "max-files": 20, "n": 20, "trials": 3, "rate": 0.3, "seed": "0", "shape": "A", "rev": "HEAD", "sheets": "", "repos": "", "since": "", "pin": [], "min-doc-lines": 2, "min-shared": 1, "literals-only": 0, "require-withdrawn": 1, "require-symbol": 1, "ks": (1, 5, 10), "tf-k1": 1.2,
-            "arm": "seeded", "k": 5, "doc-budget": contexts.DOC_BUDGET, "code-budget": contexts.CODE_BUDGET, "lexical-thresholds": (1, 3, 6), "only": "", "model": "model", "max-tokens": 1_000_000, "bundle": "", "store": "", "out": ""}
+            "arm": "seeded", "k": 5, "doc-budget": contexts.DOC_BUDGET, "code-budget": contexts.CODE_BUDGET, "lexical-thresholds": (1, 3, 6), "only": "", "model": "model", "max-tokens": 1_000_000, "bundle": "", "store": "", "out": "",
+            "encoder": "", "scorer": "", "vector-store": "", "pair-store": "", "top-n": pairs.TOP_N}
 
 
 def _numbers(text: str) -> tuple[int, ...]:

@@ -34,11 +34,19 @@ def noise(trials: DataFrame, value: str, *keys: str) -> DataFrame:
 
 
 def confusion(judged: DataFrame, *keys: str) -> DataFrame:
-    """Counts over rows (target, answer[, unparsed, truncated]); a null answer abstains, a null target is held out."""
+    """Counts over rows (target, answer[, unparsed, truncated]); a null answer abstains, a null target is held out.
+
+    With the two flags also: unparsed, those of them that were not cut (unparsed_only), truncated, and truncated_answered, a
+    verdict of a reply that was cut.
+    """
     t, a = F.col("target"), F.col("answer")
+    extra = []
+    if {"unparsed", "truncated"} <= set(judged.columns):
+        odd, cut = F.coalesce("unparsed", F.lit(False)), F.coalesce("truncated", F.lit(False))
+        extra = [F.count_if(odd).alias("unparsed"), F.count_if(odd & ~cut).alias("unparsed_only"), F.count_if(cut).alias("truncated"), F.count_if(cut & a.isNotNull()).alias("truncated_answered")]
     return judged.where("target IS NOT NULL").groupBy(*keys).agg(
         F.count("*").alias("n"), F.count("answer").alias("answered"), F.count_if(a.isNull()).alias("abstained"),
-        F.count_if(t & a).alias("tp"), F.count_if(~t & a).alias("fp"), F.count_if(t & ~a).alias("fn"), F.count_if(~t & ~a).alias("tn"),
+        F.count_if(t & a).alias("tp"), F.count_if(~t & a).alias("fp"), F.count_if(t & ~a).alias("fn"), F.count_if(~t & ~a).alias("tn"), *extra,
     )
 
 

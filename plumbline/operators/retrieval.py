@@ -184,6 +184,36 @@ def ranks_of(scores: DataFrame, relevant: DataFrame, step: float = 0.001) -> Dat
     return inside.join(above, [*keys, "bucket"]).select(*keys, F.col("own").alias("path"), (F.col("above") + F.col("inside") + 1).alias("rank"))
 
 
+def ranks_with_tail(scores: DataFrame, relevant: DataFrame, pool: DataFrame, step: float = 0.001) -> DataFrame:
+    """Ranks of relevant candidates in whole rankings, in which a candidate without a score has 0 and ties go by path.
+
+    ``scores([arm,] query_id, path, score)`` of the scored candidates, ``relevant([arm,] query_id, tree, path)`` with the arms
+    to answer for, ``pool(tree, path)``.  Those without a score are counted, never listed.
+    """
+    keys = [*[c for c in ("arm",) if c in scores.columns], "query_id"]
+    places = pool.withColumn("pos", F.row_number().over(Window.partitionBy("tree").orderBy("path"))).withColumn("n_pool", F.count("*").over(Window.partitionBy("tree")))
+    own = relevant.select(*keys, "tree", "path").distinct().join(scores.select(*keys, "path", F.col("score").alias("s")), [*keys, "path"], "left")
+    first = ranks_of(scores, relevant, step)
+    rest = own.where("s IS NULL OR s <= 0").join(places, ["tree", "path"]).select(*keys, F.col("path").alias("own"), "s", "pos", "n_pool")
+    s, score, earlier = F.col("s"), F.col("score"), F.col("path") < F.col("own")
+    counted = rest.join(scores.select(*keys, "path", "score"), keys, "left").groupBy(*keys, "own", "s", "pos", "n_pool").agg(
+        F.count("path").alias("scored"), F.count_if(earlier).alias("before"), F.count_if((score > 0) | ((score == 0) & earlier)).alias("above"), F.count_if((score > s) | ((score == s) & earlier)).alias("below"))
+    rank_of = F.when(s < 0, F.col("below") + F.col("n_pool") - F.col("scored")).otherwise(F.col("above") + F.col("pos") - 1 - F.col("before")) + 1
+    kept = first.join(own.where("s > 0").select(*keys, "path"), [*keys, "path"], "left_semi")
+    return kept.select(*keys, "path", "rank").unionByName(counted.select(*keys, F.col("own").alias("path"), rank_of.alias("rank")))
+
+
+def shuffled_ranks(queries: DataFrame, relevant: DataFrame, pool: DataFrame, trials: int) -> DataFrame:
+    """(arm, query_id, path, rank) of relevant candidates in rankings by seeded hashes; candidates are counted as they pass."""
+    seed = F.explode(F.sequence(F.lit(0), F.lit(trials - 1))).alias("trial")
+    own = relevant.select("query_id", F.col("path").alias("own")).distinct()
+    value = lambda path: stats.uniform(F.col("trial").cast("string"), F.col("query_id"), F.col(path))
+    asked = own.join(queries.select("query_id", "tree"), "query_id").select("query_id", "tree", "own", seed).withColumn("s", value("own"))
+    score = value("path")
+    before = (score > F.col("s")) | ((score == F.col("s")) & (F.col("path") < F.col("own")))
+    return asked.join(pool, "tree").groupBy("trial", "query_id", "own").agg((F.count_if(before) + 1).alias("rank")).select(F.concat(F.lit("shuffle-"), "trial").alias("arm"), "query_id", F.col("own").alias("path"), "rank")
+
+
 def rerank(base: DataFrame, pair_scores: DataFrame, top_n: int = 20) -> DataFrame:
     """The first ``top_n`` of a ranking ordered anew by pair score; a missing score goes last, the tail stays.
 

@@ -25,6 +25,38 @@ def retention(old: DataFrame, new: DataFrame, verdicts: DataFrame, id_col: str,
     return j.rollup(key).agg(F.count("*").alias("judged"), F.count_if(k).alias("kept"), F.count_if(~k).alias("dropped"), F.count_if(k & h).alias("kept_hits"), F.count_if(~k & h).alias("lost_hits")).withColumn(key, F.coalesce(key, F.lit("all")))
 
 
+def _judged_old(old: DataFrame, new: DataFrame, verdicts: DataFrame, id_col: str) -> DataFrame:
+    kept = new.select(id_col).distinct().withColumn("kept", F.lit(True))
+    return verdicts.join(old, id_col).join(kept, id_col, "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
+
+
+def retention_report(old: DataFrame, new: DataFrame, verdicts: DataFrame, id_col: str, key: str, positive: str = "drift") -> DataFrame:
+    """What a rebuilt label set keeps of ``verdicts(id, verdict)``, by key and blended ("all").
+
+    Precision is the share of positive verdicts among the kept ones, with its Wilson interval; it holds for rules that only
+    remove.  ``kept`` and ``dropped`` count by verdict.  Verdicts whose case the old set lacks are not in here: see
+    ``not_in_old``.
+    """
+    j = _judged_old(old.select(id_col, key), new, verdicts.select(id_col, "verdict"), id_col)
+    by = j.groupBy(key, "verdict").agg(F.count_if("kept").alias("k"), F.count_if(~F.col("kept")).alias("d"))
+    both = by.unionByName(by.groupBy("verdict").agg(F.sum("k").alias("k"), F.sum("d").alias("d")).withColumn(key, F.lit("all")))
+    hit = F.col("verdict") == positive
+    counts = lambda c: F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col(c) > 0, F.struct("verdict", c)))))
+    g = both.groupBy(key).agg(F.sum("k").alias("retained_n"), F.sum(F.when(hit, F.col("k")).otherwise(0)).alias("retained_hits"), F.sum(F.when(hit, F.col("k") + F.col("d")).otherwise(0)).alias("positives_before"), counts("k").alias("kept"), counts("d").alias("dropped"))
+    lo, hi = stats.wilson(F.col("retained_hits"), F.col("retained_n"))
+    return g.withColumns({"precision": F.when(F.col("retained_n") > 0, F.round(F.col("retained_hits") / F.col("retained_n"), 4)), "lo": F.round(lo, 4), "hi": F.round(hi, 4)})
+
+
+def lost_positives(old: DataFrame, new: DataFrame, verdicts: DataFrame, id_col: str, positive: str = "drift") -> DataFrame:
+    """The rows of the old set, judged positive, that the new one lacks: what to read before a rule is made stricter."""
+    return old.join(verdicts.where(F.col("verdict") == positive).select(id_col).distinct(), id_col, "left_semi").join(new.select(id_col), id_col, "left_anti")
+
+
+def not_in_old(old: DataFrame, verdicts: DataFrame, id_col: str) -> DataFrame:
+    """Verdicts that can't be scored, for the old set never held their case."""
+    return verdicts.join(old.select(id_col), id_col, "left_anti")
+
+
 def prefer_version(rows: DataFrame, id_col: str, file_col: str, preferred: list[str], fields: list[str], ties: list[str]) -> DataFrame:
     """One row an id: preferred files first, then the lowest name; ``disagrees`` if the fields vary."""
     order = reduce(lambda e, p: e.when(F.col(file_col) == p[1], p[0]), enumerate(preferred[1:], 1), F.when(F.col(file_col) == preferred[0], 0)).otherwise(len(preferred))

@@ -10,9 +10,11 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import dense, pairs, topk
-from ..operators import retrieval as rt
+from ..operators import dense, pairs, scoring, topk, trials
+from ..operators import evaluation as ev
+from ..sources import digests
 from ..sources.stores import shared_dir
+from .label_queries import CASES_SQL, COUNTS_SQL, TRIAL, TRIALS_SQL, cases
 from .rank_queries import BASE_SQL, LEX, MAXSIM_SQL, PATH, UNIFORM_SQL, lexical, sql_rank
 from .registry import query, table
 
@@ -81,3 +83,92 @@ def pair_store_runs(spark: SparkSession, sf: str) -> DataFrame:
         if run == 2:
             store.compact()
     return spark.createDataFrame(out, "run long, found long, scored long, parts long")
+
+
+# ---------------------------------------------------------------- runs
+
+
+def _noisy(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """(cases, answers by case and trial) of the label queries' noisy judge."""
+    every = cases(spark, sf).select(F.col("doc_id").cast("string").alias("case_id"), F.col("lang").alias("verdict"), "target", "doc_id", "n_chars")
+    return every, every.where("target IS NOT NULL")
+
+
+def _answered(missing: DataFrame) -> DataFrame:
+    return missing.withColumn("answer", F.expr(TRIAL))
+
+
+@query(f"WITH {CASES_SQL}, n AS (SELECT count(*) AS n FROM cases WHERE target IS NOT NULL) SELECT run::BIGINT AS run, (CASE run WHEN 1 THEN 0 WHEN 2 THEN 2 ELSE 3 END * n)::BIGINT AS found, (CASE run WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 0 END * n)::BIGINT AS asked FROM n, (VALUES (1), (2), (3)) AS r(run)")
+def trial_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Two trials, then three, then three again: what each run found stored and what it had to ask for."""
+    _, scoreable = _noisy(spark, sf)
+    store, out = trials.trial_store(spark, shared_dir(spark), sf), []
+    for run, k in ((1, 2), (2, 3), (3, 3)):
+        out.append((run, *trials.run_trials(store, scoreable, "noisy", k, _answered)))
+    return spark.createDataFrame(out, "run long, found long, asked long")
+
+
+@query(f"""WITH {TRIALS_SQL}, c AS (SELECT case_id, lang AS verdict, t.target, CASE WHEN max(t.answer::INT) <> min(t.answer::INT) THEN 'contradiction' WHEN count(t.answer) BETWEEN 1 AND count(*) - 1 THEN 'abstention_flip' ELSE 'stable' END AS state,
+  string_agg(CASE WHEN t.answer THEN 'false' WHEN NOT t.answer THEN 'not-false' ELSE 'abstain' END, ',' ORDER BY trial) AS answers FROM trials t JOIN cases ON doc_id = case_id WHERE judge = 'noisy' GROUP BY ALL)
+SELECT case_id::VARCHAR AS case_id, verdict, target, answers, state FROM c""")
+def trial_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    """Every scoreable case with its answers over three stored trials, and whether they agree."""
+    every, scoreable = _noisy(spark, sf)
+    store = trials.trial_store(spark, shared_dir(spark), sf)
+    trials.run_trials(store, scoreable, "noisy", 3, _answered)
+    return trials.align(store.read(), every, 3).select("case_id", "verdict", "target", F.array_join("answers", ",").alias("answers"), "state")
+
+
+WORD_SQL = "CASE event_type WHEN 'error' THEN 'false' WHEN 'click' THEN 'not-false' WHEN 'view' THEN 'unparsed' WHEN 'purchase' THEN 'truncated' ELSE 'unclear' END"
+
+
+@query(f"""WITH w AS (SELECT user_id, arg_min({WORD_SQL}, event_id) AS was, arg_max({WORD_SQL}, event_id) AS now FROM events GROUP BY user_id)
+SELECT was, now, CASE WHEN was IN ('unparsed', 'truncated') OR now IN ('unparsed', 'truncated') THEN 'untested' WHEN was = now THEN 'same' ELSE 'flipped' END AS outcome, count(*)::BIGINT AS n, min(user_id::VARCHAR) AS first FROM w GROUP BY ALL""")
+def case_flips(spark: SparkSession, sf: str) -> DataFrame:
+    """Events stand for replies: from the first reply of each user to the last, how many went from which answer to which."""
+    word = F.expr("CASE event_type WHEN 'error' THEN 'false' WHEN 'click' THEN 'not-false' WHEN 'view' THEN NULL ELSE 'unclear' END")
+    said = table(spark, sf, "events").select(F.col("user_id").cast("string").alias("case_id"), "event_id", F.struct(word.alias("word"), (F.col("event_type") == "purchase").alias("truncated")).alias("r"))
+    run = lambda pick: said.groupBy("case_id").agg(pick("r", "event_id").alias("r")).select("case_id", "r.*")
+    return trials.transitions(trials.flips(run(F.min_by), run(F.max_by)))
+
+
+@query("""WITH c AS (SELECT sha256(coalesce(text, '')) AS h, count(*) AS n FROM documents GROUP BY 1),
+l AS (SELECT substr(h, 1, 6) AS h, sha256(string_agg(h || ':' || n, chr(10) ORDER BY h || ':' || n)) AS x FROM c GROUP BY substr(h, 1, 6)),
+m AS (SELECT substr(h, 1, 3) AS h, sha256(string_agg(h || ':' || x, chr(10) ORDER BY h || ':' || x)) AS x FROM l GROUP BY substr(h, 1, 3))
+SELECT sha256(string_agg(h || ':' || x, chr(10) ORDER BY h || ':' || x)) AS digest, (SELECT sum(n) FROM c)::BIGINT AS n FROM m""")
+def text_digest(spark: SparkSession, sf: str) -> DataFrame:
+    """One digest of all texts, whatever files, order and partitions they lie in."""
+    docs = table(spark, sf, "documents").select("text")
+    return docs.agg(F.lit(digests.tree_digest(docs, "text")).alias("digest"), F.count("*").alias("n"))
+
+
+@query(f"""WITH {CASES_SQL}, f AS (SELECT user_id, arg_min(event_type, event_id) AS e FROM events GROUP BY user_id), r AS (SELECT lang, target, e, CASE e WHEN 'error' THEN true WHEN 'click' THEN false WHEN 'purchase' THEN n_chars < 600 END AS answer FROM cases JOIN f ON user_id = doc_id WHERE target IS NOT NULL)
+SELECT lang, {COUNTS_SQL}, count_if(e = 'view')::BIGINT AS unparsed, count_if(e = 'view')::BIGINT AS unparsed_only, count_if(e = 'purchase')::BIGINT AS truncated, count_if(e = 'purchase' AND answer IS NOT NULL)::BIGINT AS truncated_answered FROM r GROUP BY lang""")
+def confusion_tallies(spark: SparkSession, sf: str) -> DataFrame:
+    """Confusion counts with replies that could not be read or were cut; the first event of a user is its reply."""
+    first = table(spark, sf, "events").groupBy(F.col("user_id").alias("doc_id")).agg(F.min_by("event_type", "event_id").alias("e"))
+    answer = F.expr("CASE e WHEN 'error' THEN true WHEN 'click' THEN false WHEN 'purchase' THEN n_chars < 600 END")
+    judged = cases(spark, sf).drop("answer").join(first, "doc_id").select("lang", "target", answer.alias("answer"), (F.col("e") == "view").alias("unparsed"), (F.col("e") == "purchase").alias("truncated"))
+    return ev.confusion(judged, "lang")
+
+
+@query("""WITH j AS (SELECT lang, quality = 0 AS hit, n_chars > 1000 AS kept, CASE quality WHEN 0 THEN 'drift' WHEN 1 THEN 'new' END AS v FROM documents JOIN labels USING (doc_id)),
+b AS (SELECT * FROM j UNION ALL SELECT 'all', hit, kept, v FROM j),
+g AS (SELECT lang, count_if(kept)::BIGINT AS n, count_if(kept AND v = 'drift')::BIGINT AS h, count_if(v = 'drift')::BIGINT AS before, count_if(kept AND v = 'new')::BIGINT AS kept_new, count_if(NOT kept AND v = 'new')::BIGINT AS dropped_new FROM b GROUP BY lang)
+SELECT lang, n AS retained_n, h AS retained_hits, before AS positives_before, round(CASE WHEN n > 0 THEN h / n::DOUBLE END, 4) AS precision, kept_new, dropped_new,
+ round(CASE WHEN n = 0 THEN 0 ELSE greatest(0, (h / n::DOUBLE + 1.96 * 1.96 / (2 * n) - 1.96 * sqrt(h / n::DOUBLE * (1 - h / n::DOUBLE) / n + 1.96 * 1.96 / (4.0 * n * n))) / (1 + 1.96 * 1.96 / n)) END, 4) AS lo,
+ round(CASE WHEN n = 0 THEN 0 ELSE least(1, (h / n::DOUBLE + 1.96 * 1.96 / (2 * n) + 1.96 * sqrt(h / n::DOUBLE * (1 - h / n::DOUBLE) / n + 1.96 * 1.96 / (4.0 * n * n))) / (1 + 1.96 * 1.96 / n)) END, 4) AS hi FROM g""")
+def retention_report(spark: SparkSession, sf: str) -> DataFrame:
+    """What a stricter label set (long documents) keeps of the judged ones, with intervals, by language and blended."""
+    docs = table(spark, sf, "documents").select("doc_id", "lang", "n_chars")
+    verdicts = table(spark, sf, "labels").select("doc_id", F.when(F.col("quality") == 0, "drift").when(F.col("quality") == 1, "new").alias("verdict"))
+    r = scoring.retention_report(docs, docs.where("n_chars > 1000"), verdicts, "doc_id", "lang")
+    of = lambda c: F.coalesce(F.try_element_at(F.col(c), F.lit("new")), F.lit(0)).alias(f"{c}_new")
+    return r.select("lang", "retained_n", "retained_hits", "positives_before", "precision", of("kept"), of("dropped"), "lo", "hi")
+
+
+@query("SELECT doc_id, lang FROM documents JOIN labels USING (doc_id) WHERE quality = 0 AND n_chars <= 1000")
+def lost_positives(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "lang", "n_chars")
+    verdicts = table(spark, sf, "labels").select("doc_id", F.when(F.col("quality") == 0, "drift").otherwise("new").alias("verdict"))
+    return scoring.lost_positives(docs, docs.where("n_chars > 1000"), verdicts, "doc_id").select("doc_id", "lang")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def table_text(rows: DataFrame, order: list[str], most: int = 500) -> str:
+def table_text(rows: DataFrame, order: list[str | Column], most: int = 500) -> str:
     """A fixed-width table of a result; meant for aggregates, so more than ``most`` rows are refused."""
     got = rows.orderBy(*order).limit(most + 1).collect()
     if len(got) > most:

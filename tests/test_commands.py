@@ -86,6 +86,16 @@ def test_commands_run(spark, mined, repo, tmp_path, capsys):
     assert main(["mine", "--repos", f"r={repo}", "--out", str(tmp_path / "again"), "--pin", "x=HEAD"], spark) == 2
 
 
+def test_model_arms_from_the_command_line(spark, mined, repo, tmp_path, capsys):
+    """A scorer given by module and name; a second run finds its pairs stored, and results are written with their making."""
+    base = ["retrieve-eval", "--labels", mined, "--repos", f"r={repo}", "--scorer", "plumbline.plans.model_queries:Md5Scorer", "--pair-store", str(tmp_path / "pairs"), "--top-n", "2"]
+    assert main([*base, "--out", str(tmp_path / "r.json")], spark) == 0 and "rerank(lexical@2)-ablated" in capsys.readouterr().out
+    held = json.loads(spark.read.text(str(tmp_path / "r.json"), wholetext=True).first()[0])
+    assert list(held)[0] == "provenance" and {r["arm"] for r in held["results"]} >= {"lexical", "shuffle", "rerank(lexical@2)"} and held["provenance"]["code"]["files"]
+    assert main(base, spark) == 0
+    assert main([*base[:-4], "--pair-store", str(tmp_path / "pairs"), "--scorer", "plumbline.plans.model_queries:Other"], spark) == 2
+
+
 def test_pins_add_up():
     from plumbline.__main__ import _revs
     from plumbline.sources.sheets import Refusal

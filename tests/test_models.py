@@ -275,3 +275,95 @@ def test_hot_tokens_are_sliced_and_scores_stay(spark):
     asked = salted.join(wanted.select("tree", "tok").distinct(), ["tree", "tok"], "left_semi")
     sizes = asked.groupBy("tree", "tok", "slice").count().agg(F.max("count")).first()[0]
     assert sizes <= 2.5 * 16 and wanted.where("tok = 'hot'").count() == 6 * 19
+
+
+def test_evaluation_equals_plain_rankings(spark, tmp_path, scorer):
+    """All arms over small trees against full rankings by hand, the models' arms among them."""
+    from plumbline.plans import retrieval_eval as run
+
+    folder, make = scorer
+    rng = random.Random(12)
+    words = ["transport", "setting", "timeout", "connection", "handler", "response", "request", "session"]
+    blobs = [("r", "s1", "docs/guide.md", "The transport and the timeout of a session."), ("r", "s1", "docs/handler_page.md", "About handlerThing response."), ("r", "s2", "docs/guide.md", "Request and session.")]
+    for sha, n in (("s1", 25), ("s2", 4)):
+        blobs += [("r", sha, f"src/m{k:02d}.py", " ".join(rng.choice(words) for _ in range(rng.randint(0, 6)))) for k in range(n)]
+    blobs += [("r", "s1", "src/handler_page.py", "nothing")]
+    df = spark.createDataFrame(blobs, "repo string, sha string, path string, text string")
+    queries = spark.createDataFrame([
+        ("q1", "r", "r@s1", "docs/guide.md", ["src/m03.py", "src/m20.py", "src/gone.py"], ["transport"]), ("q2", "r", "r@s1", "docs/handler_page.md", ["src/handler_page.py"], []), ("q3", "r", "r@s2", "docs/guide.md", ["src/m01.py"], ["request", "session"]),
+    ], "query_id string, repo string, tree string, doc_path string, relevant array<string>, evidence array<string>")
+    enc = run.Encoding(dense.vector_store(spark, fresh(tmp_path, "v"), "letters"), "letters", Letters)
+    rr = run.Reranking(pairs.pair_store(spark, fresh(tmp_path, "p"), f"overlap-{folder}"), f"overlap-{folder}", make, 5)
+    got = {r["arm"]: r for r in run.evaluate(queries, df, (1, 3), 1.2, 3, enc, rr).collect()}
+    assert set(got) == {"lexical", "lexical-ablated", "lexical-tf", "path", "dense", "dense-ablated", "rerank(lexical@5)", "rerank(lexical@5)-ablated", "shuffle"}
+    assert {r["n"] for r in got.values()} == {3} and {r["lost"] for r in got.values()} == {1}
+    # by hand: lexical, ablated, rerank, dense
+    held, pool, cand = rt.tree_tokens(df)
+    toks = {}
+    for r in cand.collect():
+        toks.setdefault((r["tree"], r["path"]), set()).add(r["tok"])
+    files = {}
+    for r in pool.collect():
+        files.setdefault(r["tree"], []).append(r["path"])
+    text = {(f"{a}@{b}", p): t for a, b, p, t in blobs}
+    from pyspark.sql import functions as F
+
+    from plumbline.functions import tokens
+
+    own = {r["query_id"]: set(r["t"]) for r in queries.join(held.withColumnRenamed("path", "doc_path"), ["tree", "doc_path"]).select("query_id", tokens.extract(F.col("text"), with_versions=False).alias("t")).collect()}
+
+    def lexical(q, cut):
+        n = len(files[q["tree"]])
+        score = {}
+        for p in files[q["tree"]]:
+            mine = toks.get((q["tree"], p), set())
+            df_ = lambda t: sum(t in toks.get((q["tree"], o), ()) for o in files[q["tree"]])
+            if mine:
+                score[p] = round(sum(np.log(1 + (n - df_(t) + 0.5) / (df_(t) + 0.5)) for t in (own[q["query_id"]] - cut) & mine) / len(mine) ** 0.5, 9)
+        return sorted(files[q["tree"]], key=lambda p: (-score.get(p, 0.0), p))
+
+    def strip(t, cut):
+        import re
+
+        return re.sub("|".join(sorted(cut, key=len, reverse=True)), " ", t, flags=re.I) if cut else t
+
+    def reranked(q, cut):
+        order, doc = lexical(q, cut), strip(text[q["tree"], q["doc_path"]], cut)
+        head = {p: len(set(doc.split()) & set(text[q["tree"], p].split())) - 10 if text[q["tree"], p].strip() else -99 for p in order[:5]}
+        return sorted(head, key=lambda p: (-head[p], p)) + order[5:]
+
+    def by_vectors(q, cut):
+        one = lambda t: Letters().encode([t]).astype(np.float32).astype(float)[0]
+        doc = one(strip(text[q["tree"], q["doc_path"]], cut))
+        score = {p: round(float(doc @ one(text[q["tree"], p])), 5) for p in files[q["tree"]] if text[q["tree"], p].strip()}
+        return sorted(files[q["tree"]], key=lambda p: (-score.get(p, -9), p))
+
+    for arm, how in (("lexical", lexical), ("rerank(lexical@5)", reranked), ("dense", by_vectors)):
+        for name, ablated in ((arm, False), (arm + "-ablated", True)):
+            rr_, r1, r3 = [], [], []
+            for q in queries.collect():
+                order = how(q, set(q["evidence"]) if ablated else set())
+                places = [order.index(p) + 1 for p in q["relevant"] if p in order]
+                rr_.append(1 / min(places))
+                r1.append(sum(p <= 1 for p in places) / len(places))
+                r3.append(sum(p <= 3 for p in places) / len(places))
+            assert (got[name]["mrr"], got[name]["recall_1"], got[name]["recall_3"]) == tuple(round(sum(x) / 3, 6) for x in (rr_, r1, r3)), name
+
+
+def test_ranks_of_scored_and_unscored_candidates(spark):
+    """Equal to a full ranking where a missing score is 0, with scores below and at 0."""
+    rng = random.Random(3)
+    pool = [(t, f"p{n:02d}") for t, k in (("t", 30), ("u", 3)) for n in range(k)]
+    scores, relevant, want = [], [], {}
+    for q in range(12):
+        tree = "u" if q % 5 == 4 else "t"
+        files = [p for t, p in pool if t == tree]
+        for arm in ("a", "b"):
+            mine = {p: rng.choice([-0.5, -0.25, 0.0, 0.25, 0.25, 0.7]) for p in files if rng.random() < 0.5}
+            scores += [(arm, q, p, s) for p, s in mine.items()]
+            order = sorted(files, key=lambda p: (-mine.get(p, 0.0), p))
+            for p in rng.sample(files, 3):
+                relevant.append((arm, q, tree, p))
+                want[arm, q, p] = order.index(p) + 1
+    got = rt.ranks_with_tail(spark.createDataFrame(scores, "arm string, query_id int, path string, score double"), spark.createDataFrame(relevant, "arm string, query_id int, tree string, path string"), spark.createDataFrame(pool, "tree string, path string"))
+    assert {(r["arm"], r["query_id"], r["path"]): r["rank"] for r in got.collect()} == want
