@@ -59,13 +59,24 @@ def _example(rows: DataFrame, label: str, shape: str, basis: str, at: Column, co
 COMMIT = ("repo", "fix_sha", "parent_sha", "committed_at", "subject", "files_in_commit")
 
 
+def once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """``rows`` with columns computed once a row: as what a generator gives, no filter on them is moved below, to compute them again."""
+    return rows.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def _doc_sides(rows: DataFrame, diffs: DataFrame) -> DataFrame:
     docs = rows.where("kind = 'doc' AND status = 'M'").select("repo", F.col("sha").alias("fix_sha"), "parent_sha", "committed_at", "subject", F.col("n_files").alias("files_in_commit"), F.col("path").alias("doc_path"))
     docs = docs.join(diffs.select("repo", F.col("sha").alias("fix_sha"), F.col("path").alias("doc_path"), "diff"), ["repo", "fix_sha", "doc_path"])
     sides = {"added": "+", "removed": "-"}
-    docs = docs.withColumns({name: tokens.changed(F.col("diff"), mark) for name, mark in sides.items()})
-    return docs.withColumns({f"doc_lines_{name}": F.size(name) for name in sides} | {name: F.array_join(name, "\n") for name in sides})
+    docs = once(docs, **{f"{name}_lines": tokens.changed(F.col("diff"), mark) for name, mark in sides.items()})
+    docs = once(docs, **{f"doc_lines_{name}": F.size(f"{name}_lines") for name in sides}, **{name: F.array_join(f"{name}_lines", "\n") for name in sides})
+    return docs.drop(*[f"{name}_lines" for name in sides])
+
+
 
+def _tokens_of_sides(added: Column, removed: Column) -> Column:
+    """[tokens added, tokens removed], by one expression over both; tokens never reach across lines, so all are their union."""
+    return F.transform(F.array(added, removed), lambda t: tokens.extract(tokens.strip_urls(t)))
 
 
 def _long_enough(cfg: MineConfig) -> Column:
@@ -76,7 +87,11 @@ def shape_b(rows: DataFrame, diffs: DataFrame, cfg: MineConfig = MineConfig()) -
     """Commits of documents alone that withdraw tokens from existing prose."""
     docs = _doc_sides(rows.where("n_code = 0 AND n_docs = n_files"), diffs)
     docs = docs.where(_long_enough(cfg) & ~F.concat_ws("\n", "added", "removed").rlike(r"tutorial\d+|docs_src"))
-    docs = docs.withColumn("gone", tokens.delta(F.col("added"), F.col("removed"), literals_only=cfg.literals_only)["removed_only"])
+    if cfg.literals_only:
+        gone = tokens.delta(F.col("added"), F.col("removed"), literals_only=True)["removed_only"]
+    else:
+        docs, gone = once(docs, sides=_tokens_of_sides(F.col("added"), F.col("removed"))), tokens.longest_first(F.array_except(F.col("sides")[1], F.col("sides")[0]))
+    docs = once(docs, gone=gone)
     if cfg.require_withdrawn:
         docs = docs.where(F.size("gone") > 0)
     if cfg.require_symbol:
@@ -86,12 +101,13 @@ def shape_b(rows: DataFrame, diffs: DataFrame, cfg: MineConfig = MineConfig()) -
 
 def shape_a(rows: DataFrame, diffs: DataFrame, cfg: MineConfig = MineConfig()) -> DataFrame:
     """Modified documents with modified code of the same commit that share tokens, withdrawn on both sides."""
-    docs = _doc_sides(rows, diffs).where(_long_enough(cfg))
-    side = lambda text: tokens.extract(tokens.strip_urls(text))
-    docs = docs.select(*COMMIT, "doc_path", "doc_lines_added", "doc_lines_removed", side(F.concat_ws("\n", "added", "removed")).alias("all"), F.array_except(side(F.col("removed")), side(F.col("added"))).alias("gone"))
+    docs = _doc_sides(rows.where("n_code > 0"), diffs).where(_long_enough(cfg))
+    both = lambda t: once(t, all=F.array_union(F.col("sides")[0], F.col("sides")[1]), gone=F.array_except(F.col("sides")[1], F.col("sides")[0])).drop("sides")
+    docs = both(once(docs, sides=_tokens_of_sides(F.col("added"), F.col("removed"))).drop("added", "removed", "diff"))
     code = rows.where("kind = 'code' AND status = 'M'").select("repo", "sha", F.col("path").alias("code_path")).join(diffs.withColumnRenamed("path", "code_path"), ["repo", "sha", "code_path"])
     bare = lambda marks: tokens.strip_comment_lines(tokens.changed_text(F.col("diff"), marks))
-    code = code.select("repo", F.col("sha").alias("fix_sha"), "code_path", side(bare("+-")).alias("all"), F.array_except(side(bare("-")), side(bare("+"))).alias("gone"))
+    code = once(code.select("repo", F.col("sha").alias("fix_sha"), "code_path", "diff"), sides=_tokens_of_sides(bare("+"), bare("-")))
+    code = both(code.drop("diff"))
     flat = lambda t, path: t.select("repo", "fix_sha", path, F.explode("all").alias("tok"), "gone").withColumn("gone", F.array_contains("gone", F.col("tok")))
     pairs = flat(docs, "doc_path").withColumnRenamed("gone", "dg").join(flat(code, "code_path").withColumnRenamed("gone", "cg"), ["repo", "fix_sha", "tok"])
     pairs = pairs.groupBy("repo", "fix_sha", "doc_path", "code_path").agg(F.collect_set("tok").alias("toks"), F.count_if(F.col("dg") & F.col("cg")).alias("both"))
@@ -104,9 +120,11 @@ def shape_a(rows: DataFrame, diffs: DataFrame, cfg: MineConfig = MineConfig()) -
     return _example(pairs, "drift", "A", BASIS["A"], F.col("parent_sha"), F.col("code_path"), F.slice(tokens.longest_first(F.col("toks")), 1, cfg.keep_tokens))
 
 
-def matched_negatives(positives: DataFrame) -> DataFrame:
-    """The same pairs right after the fix, labelled clean."""
-    return _example(positives, "clean", "negative", BASIS["negative"], F.col("fix_sha"), F.col("code_path"), F.col("shared_identifiers"))
+def with_negatives(positives: DataFrame) -> DataFrame:
+    """The positives and the same pairs right after the fix, labelled clean; each row is made once and gives both."""
+    clean = {"example_id": texts.stable_id(F.col("repo"), F.col("fix_sha"), F.col("doc_path"), F.col("code_path"), F.lit("clean")), "label": F.lit("clean"), "label_basis": F.lit(BASIS["negative"]), "shape": F.lit("negative"), "at_sha": F.col("fix_sha")}
+    each = F.array(F.struct(*positives.columns), F.struct(*[clean.get(c, F.col(c)).alias(c) for c in positives.columns]))
+    return positives.select(F.explode(each).alias("e")).select("e.*")
 
 
 def cochanged(files: DataFrame) -> DataFrame:
@@ -174,4 +192,4 @@ def dedupe(examples: DataFrame) -> DataFrame:
 def mine(files: DataFrame, diffs: DataFrame, cfg: MineConfig = MineConfig()) -> DataFrame:
     rows = eligible(files, cfg)
     positives = shape_b(rows, diffs, cfg).unionByName(shape_a(rows, diffs, cfg))
-    return dedupe(positives.unionByName(matched_negatives(positives)))
+    return dedupe(with_negatives(positives))
