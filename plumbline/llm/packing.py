@@ -32,7 +32,7 @@ from .common import bounded_batches, slim, texts
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, relaid boolean"
 #: Chunks whose ids a task remembers before it starts anew; texts encoded together.
-CACHE_WORDS, GROUP = 600_000, 500
+CACHE_WORDS, GROUP = 600_000, 2_000
 PUNCTUATION = ".,;:!?|%*&#$"
 
 
