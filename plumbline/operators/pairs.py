@@ -85,6 +85,7 @@ def rerank_heads(base: DataFrame, queries: DataFrame, code: DataFrame, store: St
     """
     if top_n < 2:
         raise ValueError("top_n must be 2 or more")
+    base = written(base, "base")  # its head is read twice and its tail once
     pairs, q, p = head_pairs(base, queries, code, top_n, evidence, size, overlap)
     counts = store.fill(pairs, lambda missing: score_pairs(missing, q, p, model, scorer, batch))
     best = pairs.join(store.read(), ["q", "p"]).groupBy("query_id", "path").agg(F.max("score").alias("score"))
