@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from plumbline.llm import quality, toxicity
+from plumbline.llm import nearcopies, quality, toxicity
 from test_operators import components_of, measured, prose, removed
 
 public = pytest.importorskip("public_tokenizers")
@@ -117,3 +117,63 @@ def test_near_copies_at_similarity_of_four_fifths(spark):
     frame = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in docs], SCHEMA)
     kept = {r["doc_id"] for r in corpus_pipeline.STAGES[2][1](spark, frame, "").collect()}
     assert kept == {i for i in held if truth[i] == i} and 12 <= len(kept) < 24
+
+
+def near_sets(seed, n):
+    """Sets of shingle hashes, some an edited form of an earlier one."""
+    rng, out = np.random.default_rng(seed), []
+    for k in range(n):
+        if k and rng.random() < 0.7:
+            old = out[rng.integers(k)]
+            out.append(np.unique(np.concatenate([old[rng.random(len(old)) < 0.93], rng.integers(0, 1 << 63, rng.integers(0, 5), dtype=np.uint64), old[:1]])))
+        else:
+            out.append(np.unique(rng.integers(0, 1 << 63, rng.integers(1, 80), dtype=np.uint64)))
+    return out
+
+
+def linked(held, parts):
+    """Components over all similar pairs and over the members of each part."""
+    near = lambda a, b: parts[a] == parts[b] or nearcopies.jaccard(held[a], held[b]) >= 0.8
+    return components_of(list(range(len(held))), near)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_cells_join_all_similar_members(seed):
+    held, rng = near_sets(seed, 70), np.random.default_rng(seed)
+    parts = np.where(rng.random(70) < 0.3, 0, np.arange(70)) if seed else np.arange(70)
+    edges = list(nearcopies.joins(held, parts))
+    assert all(parts[a] != parts[b] and nearcopies.jaccard(held[a], held[b]) >= 0.8 for a, b in edges)
+    assert len(edges) < len(set(parts.tolist())), "a forest, not all pairs"
+    want = linked(held, parts)
+    assert components_of(list(range(70)), lambda a, b: parts[a] == parts[b] or (a, b) in edges or (b, a) in edges) == want
+    crossing = list(nearcopies.joins(held, np.arange(70), between=30))
+    assert crossing and all((a < 30) != (b < 30) for a, b in crossing)
+
+
+@pytest.mark.parametrize("limit", [{"TILE": 7}, {"TILE_BYTES": 2000}, {}])
+def test_large_buckets_are_cut_into_tiles(spark, monkeypatch, limit):
+    for name, value in limit.items():
+        monkeypatch.setattr(nearcopies, name, value)
+    held = near_sets(9, 60)
+    parts = [0 if k < 12 else k for k in range(60)]
+    rows = spark.createDataFrame([(b, k, len(held[k]), parts[k]) for b in (1, 2) for k in range(60)], "bucket long, rep long, size long, component long")
+    stored = spark.createDataFrame([(k, bytearray(h.tobytes())) for k, h in enumerate(held)], "node long, held binary")
+    edges = {(r["a"], r["b"]) for r in nearcopies.across(rows, stored).collect()}
+    assert edges and all(nearcopies.jaccard(held[a], held[b]) >= 0.8 for a, b in edges)
+    got = components_of(list(range(60)), lambda a, b: parts[a] == parts[b] or (a, b) in edges or (b, a) in edges)
+    assert got == linked(held, parts)
+
+
+def test_near_copies_of_very_long_texts_ties_and_unlike_rows_that_share_keys(spark, monkeypatch):
+    # every text in one bucket, whatever it says: only the exact comparison decides
+    monkeypatch.setattr(nearcopies, "band_keys", lambda hashes: np.arange(nearcopies.BANDS, dtype=np.uint64))
+    rng = random.Random(5)
+    long = [f"w{rng.randrange(9000)}" for _ in range(60_000)]
+    edited = list(long)
+    for k in range(0, 60_000, 600):
+        edited[k] = "other"
+    texts = {7: " ".join(long), 3: " ".join(edited), 5: "same words here again now", 6: "same words here again now", 8: "one", 9: "two", 10: "", 11: None}
+    texts |= {20 + k: prose(900 + k, 40) for k in range(30)}
+    docs = spark.createDataFrame(list(texts.items()) + [(7, texts[7])], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in nearcopies.groups(docs).collect()}
+    assert got == {i: {7: 3, 6: 5, 11: 10}.get(i, i) for i in texts}
