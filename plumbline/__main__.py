@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import sys
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -219,26 +220,40 @@ def _chosen(spark, a) -> DataFrame:
 
 
 def judge_eval(spark, a) -> int:
-    """Free judges; with --repos also the absence of marked identifiers from the code shown, over the same cases."""
+    """The judges that --judges names: free ones; with --repos also absence and, from stored --replies, paid ones over the same cases."""
+    free, paid = judging.roster((a.judges or "floors").split(","), a.model)
+    if paid and not (a.repos and a.replies):
+        raise sheets.Refusal(f"{', '.join(paid.values())} need --repos and --replies")
     cases = _chosen(spark, a)
-    judged = scoring.free_judges(cases.select("example_id", "target"), F.col("example_id"), a.rate, a.seed)
+    judged = scoring.free_judges(cases.select("example_id", "target"), F.col("example_id"), a.rate, a.seed).where(F.col("judge").isin(free))
     if a.repos:
         shown = _shown(spark, a, cases).cache()
         if unusable := shown.where(~F.col("usable")).count():
             print(f"{unusable} cases without a document or code to show are left out")
         usable = shown.where("usable")
         judged = judged.join(usable.select("example_id"), "example_id", "left_semi")
-        absence = contexts.absence_judges(usable, a.lexical_thresholds).join(cases.select("example_id", "target"), "example_id")
-        judged = judged.unionByName(absence.select("example_id", "target", "judge", "answer"))
+        more = [contexts.absence_judges(usable, a.lexical_thresholds).select("example_id", "judge", "answer")] if "lexical-absence" in free else []
+        if paid:
+            replies = spark.read.schema("key string, reply string, truncated boolean").json(a.replies)
+            model = next(iter(paid.values())).partition(":")[2]
+            answers = judging.paid_answers(usable, replies, paid, model, a.claim_batch).withColumnRenamed("case_id", "example_id").cache()
+            for name in paid.values():
+                print(f"{name}: {answers.where(F.col('judge') == name).count()} of {usable.count()} cases answered")
+            more.append(answers)
+        for rows in more:
+            judged = judged.unionByName(rows.join(cases.select("example_id", "target"), "example_id"))
     print(reports.table_text(ev.rates(ev.confusion(judged, "judge")), ["judge"]))
     return 0
 
 
 def judge_prompts(spark, a) -> int:
-    """Write (example_id, key, prompt) of an arm; refused before anything is written if the estimate exceeds --max-tokens."""
-    shown = _shown(spark, a, _chosen(spark, a)).where("usable")
-    prompt = judging.render_page(F.col("doc_text"), F.col("files"))
-    rows = shown.select("example_id", judging.reply_key(a.model, "page", F.col("arm"), prompt).alias("key"), prompt.alias("prompt")).cache()
+    """Write (case_id, key, prompt, and of claims first and n) of an arm for the paid judges; refused before anything is written if the estimate exceeds --max-tokens."""
+    free, paid = judging.roster((a.judges or "model").split(","), a.model)
+    if free:
+        raise sheets.Refusal(f"{', '.join(free)} need no prompt")
+    shown, model = _shown(spark, a, _chosen(spark, a)).where("usable"), next(iter(paid.values())).partition(":")[2]
+    made = {"model": lambda: judging.page_requests(shown, model), "per-claim": lambda: judging.claim_requests(shown, model, a.claim_batch)}
+    rows = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), [made[k]().withColumn("judge", F.lit(name)) for k, name in paid.items()]).cache()
     print(judging.check_spend(rows, a.max_tokens), "tokens, estimated")
     rows.write.mode("errorifexists").json(a.out)
     return 0
@@ -283,7 +298,7 @@ COMMANDS = {
 }
 OPTIONAL = {"limit": 0, "easy": 0, "max-files": 20, "n": 20, "trials": 3, "rate": 0.3, "seed": "0", "shape": "A", "rev": "HEAD", "sheets": "", "repos": "", "since": "", "pin": [], "min-doc-lines": 2, "min-shared": 1, "literals-only": 0, "require-withdrawn": 1, "require-symbol": 1, "ks": (1, 5, 10), "tf-k1": 1.2,
             "arm": "seeded", "k": 5, "doc-budget": contexts.DOC_BUDGET, "code-budget": contexts.CODE_BUDGET, "lexical-thresholds": (1, 3, 6), "only": "", "model": "model", "max-tokens": 1_000_000, "bundle": "", "store": "", "out": "",
-            "encoder": "", "scorer": "", "vector-store": "", "pair-store": "", "top-n": pairs.TOP_N}
+            "judges": "", "replies": "", "claim-batch": judging.CLAIM_BATCH, "encoder": "", "scorer": "", "vector-store": "", "pair-store": "", "top-n": pairs.TOP_N}
 
 
 def _numbers(text: str) -> tuple[int, ...]:

@@ -6,14 +6,19 @@ a join with it, and requests without a reply are what is left to send.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import texts, tokens
 from ..sources.sheets import Refusal
+from .evaluation import page_answer
 
 #: Columns that would tell a judge the answer; no prompt may be built from them.
 LEAKING = ("subject", "shared_identifiers", "fix_sha", "diff", "verdict", "target", "label")
+#: Judges that cost nothing, the kinds that call a model, and how many claims one request of them holds.
+FREE, PAID, CLAIM_BATCH = ("always-false", "always-not-false", "abstain", "prior", "lexical-absence"), ("model", "per-claim"), 8
 
 
 def render_page(doc: Column, files: Column) -> Column:
@@ -25,7 +30,58 @@ def render_page(doc: Column, files: Column) -> Column:
 def render_claims(claims: Column, files: Column) -> Column:
     """A prompt of numbered claims, counted from 1."""
     numbered = F.transform(claims, lambda c, i: F.concat((i + 1).cast("string"), F.lit(". "), c))
-    return F.concat_ws("\n\n", F.lit("Claims:"), F.array_join(numbered, "\n"), F.lit("Code:"), F.array_join(F.transform(files, lambda f: F.concat(F.lit("### "), f["path"], F.lit("\n"), f["text"])), "\n\n"))
+    return F.concat_ws("\n\n", F.lit("Claims:"), F.array_join(numbered, "\n"), F.lit("Code:"), F.array_join(F.transform(files, lambda f: F.concat(F.lit("### "), f["path"], F.lit("\n"), f["text"])), "\n\n"), F.lit('Reply as a JSON array: [{"n": 1, "verdict": "false" | "not-false" | "unclear"}]'))
+
+
+def roster(names: list[str], model: str) -> tuple[list[str], dict[str, str]]:
+    """The free judges that ``names`` ask for, in their order, and of each paid kind the name its results carry.
+
+    A name is a free judge, the group ``floors`` of all free judges, or a paid kind alone or with the id of its model
+    (``model:some-id``); alone it takes ``model``.  Unknown names, empty ids and two different models are refused.
+    """
+    free, asked = [], {}
+    for name in names:
+        kind, colon, given = name.partition(":")
+        if name in FREE or name == "floors":
+            free += FREE if name == "floors" else [name]
+        elif kind not in PAID or (colon and not given):
+            raise Refusal(f"no judge is called {name!r}; there are {', '.join(('floors', *FREE))}, and {' or '.join(f'{k}:<id>' for k in PAID)}")
+        elif asked.setdefault(kind, given or model) != (given or model):
+            raise Refusal(f"{kind} is asked for with two models")
+    if len(set(asked.values())) > 1:
+        raise Refusal(f"one result speaks of one model, not of {sorted(set(asked.values()))}")
+    return list(dict.fromkeys(free)), {k: f"{k}:{m}" for k, m in asked.items()}
+
+
+def page_requests(shown: DataFrame, model: str) -> DataFrame:
+    """case_id, key, prompt of each context ``shown`` (example_id, arm, doc_text, files)."""
+    prompt = render_page(F.col("doc_text"), F.col("files"))
+    return shown.select(F.col("example_id").alias("case_id"), reply_key(model, "page", F.col("arm"), prompt).alias("key"), prompt.alias("prompt"))
+
+
+def claim_requests(shown: DataFrame, model: str, size: int = CLAIM_BATCH) -> DataFrame:
+    """case_id, key, prompt, first, n: a row for each ``size`` claims of a page, ``first`` being the number of the first from 0.
+
+    A page without claims has no row.
+    """
+    cut = texts.batches(texts.claim_units(F.coalesce("doc_text", F.lit(""))), size)
+    rows = shown.select("example_id", "arm", "files", F.posexplode(cut).alias("pos", "claims"))
+    prompt = render_claims(F.col("claims"), F.col("files"))
+    return rows.select(F.col("example_id").alias("case_id"), reply_key(model, "claims", F.col("arm"), prompt).alias("key"), prompt.alias("prompt"), (F.col("pos") * size).alias("first"), F.size("claims").alias("n"))
+
+
+def paid_answers(shown: DataFrame, replies: DataFrame, names: dict[str, str], model: str, size: int = CLAIM_BATCH) -> DataFrame:
+    """case_id, judge, answer of the paid kinds in ``names`` whose replies are stored; a case with a reply missing has no row."""
+    out = []
+    if "model" in names:
+        out.append(judge_pages(page_requests(shown, model), replies).select("case_id", F.lit(names["model"]).alias("judge"), "answer"))
+    if "per-claim" in names:
+        asked = claim_requests(shown, model, size)
+        short = missing_replies(asked, replies).select("key").join(asked, "key").select("case_id").distinct()
+        claims = judge_claims(asked.join(short, "case_id", "left_anti"), replies)
+        pages = claims.groupBy("case_id").agg(page_answer(F.col("answer")).alias("answer"))
+        out.append(pages.select("case_id", F.lit(names["per-claim"]).alias("judge"), "answer"))
+    return reduce(DataFrame.unionByName, out)
 
 
 def check_leaks(columns: list[str]) -> None:

@@ -124,3 +124,21 @@ def test_judge_commands_over_trees(spark, mined, repo, tmp_path, capsys):
     assert main(["judge-prompts", *base, "--out", str(tmp_path / "p")], spark) == 0
     row = spark.read.json(str(tmp_path / "p")).first()
     assert "poolLimit" in row["prompt"] and "rename the setting" not in row["prompt"] and len(row["key"]) == 64
+    # both kinds of paid judges: prompts out, stored replies back in, scored beside the floors that were asked for
+    paid = [*base, "--claim-batch", "1", "--only", ids[0]]
+    assert main(["judge-prompts", *paid, "--judges", "model:m1,per-claim", "--model", "m1", "--out", str(tmp_path / "both")], spark) == 0
+    asked = spark.read.json(str(tmp_path / "both")).collect()
+    pages, claims = ([r for r in asked if r["judge"] == j] for j in ("model:m1", "per-claim:m1"))
+    assert len(pages) == 1 and [(r["first"], r["n"]) for r in claims] == [(k, 1) for k in range(len(claims))]
+    said = [{"key": pages[0]["key"], "reply": '{"verdict": "false"}', "truncated": False}]
+    said += [{"key": r["key"], "reply": '[{"n": 1, "verdict": "not-false"}]', "truncated": False} for r in claims]
+    (tmp_path / "replies.json").write_text("\n".join(map(json.dumps, said)))
+    capsys.readouterr()
+    judges = ["judge-eval", *paid, "--judges", "always-false,model:m1,per-claim:m1"]
+    assert main([*judges, "--replies", str(tmp_path / "replies.json")], spark) == 0
+    out = capsys.readouterr().out
+    assert "model:m1: 1 of 1" in out and f"per-claim:m1: {min(len(claims), 1)} of 1" in out and "always-false" in out and "prior" not in out and "lexical" not in out
+    assert main(judges, spark) == 2
+    for wrong in ("nobody", "model:", "model:a,model:b", "model:a,per-claim:b"):
+        assert main(["judge-eval", *paid, "--judges", wrong, "--replies", "none"], spark) == 2
+    assert main(["judge-prompts", *paid, "--judges", "floors", "--out", str(tmp_path / "none")], spark) == 2
