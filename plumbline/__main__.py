@@ -144,9 +144,9 @@ def _models(spark, a) -> dict:
     return out
 
 
-def _report(spark, a, rows: DataFrame) -> None:
+def _report(spark, a, rows: DataFrame, by: tuple[str, ...] = ("repo", "arm")) -> None:
     """Print the rows; with --out also write them as one JSON text, how they came about first."""
-    print(reports.table_text(rows, ["repo", "arm"]))
+    print(reports.table_text(rows, list(by)))
     if a.out:
         made = {"command": a.command, "config": {k: v for k, v in vars(a).items() if k != "out"}, "code": digests.code_revision()}
         sheets.results_json(rows, made).coalesce(1).write.mode("errorifexists").text(a.out)
@@ -242,7 +242,7 @@ def judge_eval(spark, a) -> int:
             more.append(answers)
         for rows in more:
             judged = judged.unionByName(rows.join(cases.select("example_id", "target"), "example_id"))
-    print(reports.table_text(ev.rates(ev.confusion(judged, "judge")), ["judge"]))
+    _report(spark, a, ev.rates(ev.confusion(judged, "judge")), ("judge",))
     return 0
 
 

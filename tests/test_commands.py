@@ -135,9 +135,11 @@ def test_judge_commands_over_trees(spark, mined, repo, tmp_path, capsys):
     (tmp_path / "replies.json").write_text("\n".join(map(json.dumps, said)))
     capsys.readouterr()
     judges = ["judge-eval", *paid, "--judges", "always-false,model:m1,per-claim:m1"]
-    assert main([*judges, "--replies", str(tmp_path / "replies.json")], spark) == 0
+    assert main([*judges, "--replies", str(tmp_path / "replies.json"), "--out", str(tmp_path / "scores.json")], spark) == 0
     out = capsys.readouterr().out
     assert "model:m1: 1 of 1" in out and f"per-claim:m1: {min(len(claims), 1)} of 1" in out and "always-false" in out and "prior" not in out and "lexical" not in out
+    held = json.loads(spark.read.text(str(tmp_path / "scores.json"), wholetext=True).first()[0])
+    assert {r["judge"] for r in held["results"]} >= {"always-false", "model:m1"} and held["provenance"]["config"]["judges"].endswith("per-claim:m1")
     assert main(judges, spark) == 2
     for wrong in ("nobody", "model:", "model:a,model:b", "model:a,per-claim:b"):
         assert main(["judge-eval", *paid, "--judges", wrong, "--replies", "none"], spark) == 2
