@@ -2,8 +2,9 @@
 
 1. quality rules: documents that the default policy rejects go;
 2. toxicity: documents predicted toxic go (the model learns from the labels of documents still here);
-3. near-duplicates (Jaccard of five-word shingles 0.8 or more, found by minimum hashes and verified; the
-   fingerprints of operator 10 lie too far apart at 0.8): one document of each group stays, the one with the smallest id;
+3. SimHash near-duplicates: the links of operator 10 (fingerprints that differ in two bits at most), and beside
+   them those that lie too far apart for it (Jaccard of five-word shingles 0.8 or more, found by minimum hashes and
+   verified); of each group that the links of both make, the document with the smallest id stays;
 4. substring dedup: passages of 50 words and more that a smaller id has are cut from the text;
 5. packing: what is left is packed into sequences of 2048 tokens.
 
@@ -14,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import nearcopies, packing, quality, substring, toxicity
+from plumbline.llm import nearcopies, packing, quality, simhash, substring, toxicity
 from plumbline.llm.common import table, written
 from plumbline.llm.queries import _tokenizer_file
 
@@ -30,7 +31,7 @@ def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return nearcopies.one_of_each(docs).select(*COLUMNS)
+    return nearcopies.one_of_each(docs, simhash.groups(docs)).select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

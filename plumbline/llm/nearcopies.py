@@ -16,6 +16,7 @@ shingle; texts without words are one class; repeated rows repeat; rows with a nu
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -186,10 +187,20 @@ def groups(docs: DataFrame) -> DataFrame:
     return own.select("doc_id", "key").join(classes, "key").select("doc_id", "component_id")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def merged(*found: DataFrame) -> DataFrame:
+    """(node, component) of the groups that all links of the tables ``found(doc_id, component_id)`` make together."""
+    edges = [f.where("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")) for f in found]
+    return components(written(reduce(DataFrame.union, edges), "links"))
+
+
+def one_of_each(docs: DataFrame, *other: DataFrame) -> DataFrame:
     """The documents with all their columns: of each group the smallest id, and every row without id.
 
-    Repeated rows of one id stay once, rows of one id with different texts all (null counts as empty).
+    ``other``: groups (doc_id, component_id) of other links, which count beside those of this module.  Repeated
+    rows of one id stay once, rows of one id with different texts all (null counts as empty).
     """
+    if other:
+        gone = merged(groups(docs), *other).where("node <> component").select(F.col("node").alias("_gone"))
+        return once_each(docs.where("doc_id IS NOT NULL").join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")).unionByName(docs.where("doc_id IS NULL"))
     found = groups(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
     return once_each(docs.join(found, docs["doc_id"].cast("long") == found["_kept"], "left_semi")).unionByName(docs.where("doc_id IS NULL"))

@@ -177,3 +177,18 @@ def test_near_copies_of_very_long_texts_ties_and_unlike_rows_that_share_keys(spa
     docs = spark.createDataFrame(list(texts.items()) + [(7, texts[7])], "doc_id long, text string")
     got = {r["doc_id"]: r["component_id"] for r in nearcopies.groups(docs).collect()}
     assert got == {i: {7: 3, 6: 5, 11: 10}.get(i, i) for i in texts}
+
+
+def test_fingerprints_of_operator_10_link_too(spark):
+    from plumbline.llm import simhash
+
+    # one long word, repeated, outweighs all others: the fingerprints agree, few five-word shingles do
+    docs = [(k, f"{prose(700 + k, 12)} " + "again " * 60) for k in (4, 5)] + [(9, prose(800, 60)), (None, "x")]
+    a, b = (five_words(t) for _, t in docs[:2])
+    assert len(a & b) < 0.8 * len(a | b) and simhash.fingerprint(docs[0][1]) == simhash.fingerprint(docs[1][1])
+    frame = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in docs], SCHEMA)
+    assert {r["doc_id"] for r in corpus_pipeline.STAGES[2][1](spark, frame, "").collect()} == {4, 9, None}
+    # a chain over links of both kinds is one group
+    near = spark.createDataFrame([(1, 1), (2, 1), (3, 3), (4, 3)], "doc_id long, component_id long")
+    far = spark.createDataFrame([(2, 2), (3, 2)], "doc_id long, component_id long")
+    assert {(r["node"], r["component"]) for r in nearcopies.merged(near, far).collect()} == {(k, 1) for k in (1, 2, 3, 4)}
