@@ -31,7 +31,7 @@ class Md5Scorer:
 @query(f"SELECT * FROM ({BASE_SQL}{sql_rank(LEX)}) WHERE rank <= 20")
 def rank_top_k(spark: SparkSession, sf: str) -> DataFrame:
     """The first twenty documents of each passage (a top-k report), by bounded heaps."""
-    return topk.top_k(lexical(spark, sf), 20)
+    return topk.top_k(lexical(spark, sf, k=20), 20)
 
 
 @query(f"SELECT * FROM (SELECT query_id, path, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path) AS rank FROM {MAXSIM_SQL}) WHERE rank <= 20")
@@ -46,7 +46,7 @@ def maxsim_blocks(spark: SparkSession, sf: str) -> DataFrame:
 
 def _heads(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(base, queries, code): the first twenty documents of each benchmark passage, and both sides' texts."""
-    base = topk.top_k(lexical(spark, sf), pairs.TOP_N)
+    base = topk.top_k(lexical(spark, sf, k=pairs.TOP_N), pairs.TOP_N)
     queries = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.lit("all").alias("tree"), "text")
     return base, queries, table(spark, sf, "documents").select(F.lit("all").alias("tree"), F.expr(PATH).alias("path"), "text")
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths, stats, texts, tokens
-from ..operators import contexts
+from ..operators import contexts, lexicon
 from .registry import query, table
 
 NL = "chr(10)"
@@ -74,10 +74,8 @@ def tok_identifiers(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"SELECT tok, count(*)::BIGINT AS n, count(DISTINCT doc_id)::BIGINT AS df FROM (SELECT doc_id, unnest({sql_occurrences('text')}) AS tok FROM documents) GROUP BY tok")
 def tok_counts(spark: SparkSession, sf: str) -> DataFrame:
-    t = table(spark, sf, "documents").select("doc_id", F.explode(tokens.occurrences(F.col("text"))).alias("tok"))
-    # per document first: the second step counts documents by adding ones, without a distinct
-    per_doc = t.groupBy("tok", "doc_id").agg(F.count("*").alias("n"))
-    return per_doc.groupBy("tok").agg(F.sum("n").alias("n"), F.count("*").alias("df"))
+    docs = table(spark, sf, "documents").select(F.lit("all").alias("tree"), "doc_id", "text")
+    return lexicon.counts(docs, "doc_id").select("tok", "n", "df")
 
 
 @query(f"SELECT doc_id, array_to_string(list_sort({sql_versions('text')}), ' ') AS versions FROM documents")
