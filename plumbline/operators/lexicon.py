@@ -37,8 +37,12 @@ def counted(text: str | None) -> dict[str, int]:
     """The tokens of a text with their counts."""
     out: dict[str, int] = {}
     for identifier, n in Counter(_IDENTIFIER.findall(text or "")).items():
-        for token in pieces(identifier):
-            out[token] = out.get(token, 0) + n
+        if identifier.islower() and "_" not in identifier:  # a plain word is its own token
+            if identifier not in _STOP:
+                out[identifier] = out.get(identifier, 0) + n
+        else:
+            for token in pieces(identifier):
+                out[token] = out.get(token, 0) + n
     return out
 
 
@@ -55,21 +59,25 @@ def counts(docs: DataFrame, *keys: str) -> DataFrame:
     """(tree, tok, n, df) of ``docs(tree, keys, text)``: how often a token stands in a tree's texts, and in how many of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, df = Counter(), Counter()
+        found: dict[str, tuple[Counter, Counter]] = {}  # by tree: texts that hold a token, and its repeats in them
 
-        def out() -> pa.RecordBatch:
-            held = list(df)
-            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in held], pa.string()), pa.array([k[1] for k in held], pa.string()), pa.array([n[k] for k in held], pa.int64()), pa.array([df[k] for k in held], pa.int64())], names=["tree", "tok", "n", "df"])
+        def out() -> Iterator[pa.RecordBatch]:
+            for tree, (df, more) in found.items():
+                held = list(df)
+                yield pa.RecordBatch.from_arrays([pa.array([tree] * len(held), pa.string()), pa.array(held, pa.string()), pa.array([df[t] + more.get(t, 0) for t in held], pa.int64()), pa.array(list(df.values()), pa.int64())], names=["tree", "tok", "n", "df"])
+            found.clear()
 
         for batch in batches:
             for tree, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                for token, k in counted(text.as_py()).items():
-                    n[tree, token] += k
-                    df[tree, token] += 1
+                df, more = found.setdefault(tree, (Counter(), Counter()))
+                here = counted(text.as_py())
+                df.update(iter(here))
+                for token, k in here.items():
+                    if k > 1:
+                        more[token] += k - 1
                 if len(df) > HELD:
-                    yield out()
-                    n.clear(), df.clear()
-        yield out()
+                    yield from out()
+        yield from out()
 
     single, again = once(docs, *dict.fromkeys(["tree", *keys]))
     found = single.select("tree", "text").mapInArrow(run, "tree string, tok string, n long, df long")
