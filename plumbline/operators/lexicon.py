@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache, reduce
+from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from .topk import Heaps
 
 _IDENTIFIER, _CAMEL = re.compile(rf"[A-Za-z_][A-Za-z0-9_]{{{tokens.MIN_LENGTH - 1},}}"), re.compile(tokens.CAMEL)
 _STOP = frozenset(tokens.STOPWORDS)
-#: Tokens a task holds before it hands on their counts; rows and cells of queries' weights that go to every task; texts scored together.
+#: Tokens a task holds before it hands on their counts; rows of queries' tokens that go to every task; cells (text, query) and texts scored together.
 HELD, FEW_ROWS, CELLS, TOGETHER = 500_000, 50_000, 4_000_000, 256
 
 
@@ -37,15 +38,28 @@ def counted(text: str | None) -> dict[str, int]:
     """The tokens of a text with their counts."""
     out: dict[str, int] = {}
     for identifier, n in Counter(_IDENTIFIER.findall(text or "")).items():
-        if identifier.islower() and "_" not in identifier:  # a plain word is its own token
-            if identifier not in _STOP:
-                out[identifier] = out.get(identifier, 0) + n
+        if "_" not in identifier and identifier[1:].islower():  # a plain word is one token
+            if (token := identifier.lower()) not in _STOP:
+                out[token] = out.get(token, 0) + n
         else:
             for token in pieces(identifier):
                 out[token] = out.get(token, 0) + n
     return out
 
 
+def found_of(text: str | None, wanted: frozenset[str]) -> set[str]:
+    """The tokens of a text that are among ``wanted``."""
+    identifiers = set(_IDENTIFIER.findall(text or ""))
+    out = identifiers & wanted
+    for identifier in identifiers:
+        if "_" not in identifier and identifier[1:].islower():
+            if (token := identifier.lower()) in wanted:
+                out.add(token)
+        else:
+            out.update(wanted.intersection(pieces(identifier)))
+    return out
+
+
 def once(docs: DataFrame, *keys: str) -> tuple[DataFrame, DataFrame | None]:
     """``docs`` whose keys stand in one row only, and those whose keys repeat (None if there are none)."""
     again = docs.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1").select(*[F.col(k).alias(f"_{k}") for k in keys]).cache()
@@ -55,7 +69,7 @@ def once(docs: DataFrame, *keys: str) -> tuple[DataFrame, DataFrame | None]:
     return docs.join(again, same, "left_anti"), docs.join(again, same, "left_semi")
 
 
-def counts(docs: DataFrame, *keys: str) -> DataFrame:
+def counts(docs: DataFrame, *keys: str, parts: tuple[DataFrame, DataFrame | None] | None = None) -> DataFrame:
     """(tree, tok, n, df) of ``docs(tree, keys, text)``: how often a token stands in a tree's texts, and in how many of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,7 +93,7 @@ def counts(docs: DataFrame, *keys: str) -> DataFrame:
                     yield from out()
         yield from out()
 
-    single, again = once(docs, *dict.fromkeys(["tree", *keys]))
+    single, again = parts or once(docs, *dict.fromkeys(["tree", *keys]))
     found = single.select("tree", "text").mapInArrow(run, "tree string, tok string, n long, df long")
     if again is not None:
         table = rt.token_table(again, tokens.occurrences(F.col("text")), *dict.fromkeys(["tree", *keys]))
@@ -87,10 +101,37 @@ def counts(docs: DataFrame, *keys: str) -> DataFrame:
     return found.groupBy("tree", "tok").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
 
 
-def idf(docs: DataFrame) -> DataFrame:
-    """``retrieval.idf`` of ``docs(tree, path, text)``."""
+def frequencies(docs: DataFrame, queries: DataFrame, *keys: str, parts: tuple[DataFrame, DataFrame | None] | None = None) -> DataFrame:
+    """(tree, tok, df) of the tokens of ``queries(tree, tok)`` alone, of which tasks hand on one row each; more than ``FEW_ROWS`` are picked from all."""
+    asked = queries.select("tree", "tok").distinct()
+    held = asked.limit(FEW_ROWS + 1).collect()
+    if len(held) > FEW_ROWS:
+        return counts(docs, *keys, parts=parts).drop("n").join(asked, ["tree", "tok"], "left_semi")
+    wanted: dict[str, frozenset[str]] = {t: frozenset(r["tok"] for r in held if r["tree"] == t) - _STOP for t in {r["tree"] for r in held}}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df: dict[str, Counter] = {}
+        for batch in batches:
+            for tree, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if tree in wanted:
+                    df.setdefault(tree, Counter()).update(found_of(text.as_py(), wanted[tree]))
+        for tree, found in df.items():
+            yield pa.RecordBatch.from_arrays([pa.array([tree] * len(found), pa.string()), pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["tree", "tok", "df"])
+
+    names = list(dict.fromkeys(["tree", *keys]))
+    single, again = parts or once(docs, *names)
+    found = single.select("tree", "text").mapInArrow(run, "tree string, tok string, df long")
+    if again is not None:
+        table = rt.token_table(again, tokens.occurrences(F.col("text")), *names).join(asked, ["tree", "tok"], "left_semi")
+        found = found.unionByName(table.groupBy("tree", "tok").agg(F.count("*").alias("df")))
+    return found.groupBy("tree", "tok").agg(F.sum("df").alias("df"))
+
+
+def idf(docs: DataFrame, queries: DataFrame | None = None, parts: tuple[DataFrame, DataFrame | None] | None = None) -> DataFrame:
+    """``retrieval.idf`` of ``docs(tree, path, text)``; with ``queries`` of their tokens alone."""
     n = docs.groupBy("tree").agg(F.count("*").alias("n"))
-    return counts(docs, "path").drop("n").join(rt.small(n, 10_000), "tree").select("tree", "tok", "df", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    df = counts(docs, "path", parts=parts).drop("n") if queries is None else frequencies(docs, queries, "path", parts=parts)
+    return df.join(rt.small(n, 10_000), "tree").select("tree", "tok", "df", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
 
 
 def arm(k1: float | None = None, idf: Column | None = None) -> tuple[Column, float | None]:
@@ -100,64 +141,93 @@ def arm(k1: float | None = None, idf: Column | None = None) -> tuple[Column, flo
     return (F.col("idf") if idf is None else idf), k1
 
 
-def score_arms(queries: DataFrame, docs: DataFrame, weights: DataFrame, arms: dict[str, tuple[Column, float | None]], k: int | None = None) -> DataFrame:
+class Fold(Protocol):
+    """What a task makes of the scores that pass: rows that can't be kept come back at once, the others at the end."""
+
+    def add(self, batch: pa.RecordBatch) -> pa.Table | None: ...
+
+    def rest(self) -> pa.Table | None: ...
+
+
+def folded(fold: Callable[[], Fold], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = fold()
+    for batch in batches:
+        if (early := held.add(batch)) is not None:
+            yield from early.combine_chunks().to_batches()
+    if (last := held.rest()) is not None:
+        yield from last.combine_chunks().to_batches()
+
+
+class _First(Heaps):
+    def rest(self) -> pa.Table | None:
+        return self.cut()[0] if self.held else None
+
+
+def score_arms(
+    queries: DataFrame, docs: DataFrame, weights: DataFrame, arms: dict[str, tuple[Column, float | None]], k: int | None = None,
+    parts: tuple[DataFrame, DataFrame | None] | None = None, fold: tuple[Callable[[], Fold], str] | None = None,
+) -> DataFrame:
     """``retrieval.score_arms`` of ``docs(tree, path, text)``: (query_id, tree, path, one column an arm).
 
-    Queries of few tokens go to every task, which multiplies the texts' tokens by their weights; more are joined over a table of
-    tokens.  With ``k`` and one arm named score, tasks leave out what can't be among a query's first k.
+    Queries of few tokens go to every task, which adds their weights up by lists of the queries that hold a token; more are joined
+    over a table of tokens.  With ``k`` and one arm named score, tasks leave out what can't be among a query's first k; with ``fold``
+    and the schema of its rows, tasks hand on what it makes of the scores.
     """
     wanted = queries.join(weights, ["tree", "tok"])
-    plain = {a: w if k1 is None else w * F.col("tf") / (F.col("tf") + F.lit(k1)) for a, (w, k1) in arms.items()}
-    joined = lambda some: rt.score_arms(queries, rt.token_table(some, tokens.occurrences(F.col("text")), "tree", "path"), weights, plain)
+    kind = queries.schema["query_id"].dataType
+    schema = f"query_id {kind.simpleString()}, tree string, path string, " + ", ".join(f"`{a}` double" for a in arms)
+    if fold is None and k:
+        fold = (lambda: _First(["query_id"], k)), schema
+
+    def joined(some: DataFrame) -> DataFrame:
+        plain = {a: w if k1 is None else w * F.col("tf") / (F.col("tf") + F.lit(k1)) for a, (w, k1) in arms.items()}
+        out = rt.score_arms(queries, rt.token_table(some, tokens.occurrences(F.col("text")), "tree", "path"), weights, plain)
+        if fold is None:
+            return out
+        make, rows = fold
+        return out.mapInArrow(lambda batches: folded(make, batches), rows)
+
     held = wanted.select("query_id", "tree", "tok", *[w.cast("double").alias(a) for a, (w, _) in arms.items()]).limit(FEW_ROWS + 1).collect()
-    trees = {}
+    asked: dict[str, dict] = {}
+    posted: dict[str, dict[str, list]] = {}  # by tree and token: the queries that hold it, and their weights
     for row in held:
-        vocabulary, asked = trees.setdefault(row["tree"], ({}, {}))
-        vocabulary.setdefault(row["tok"], len(vocabulary)), asked.setdefault(row["query_id"], len(asked))
-    if len(held) > FEW_ROWS or sum(len(v) * len(a) for v, a in trees.values()) * len(arms) > CELLS:
+        place = (ids := asked.setdefault(row["tree"], {})).setdefault(row["query_id"], len(ids))
+        posted.setdefault(row["tree"], {}).setdefault(row["tok"], []).append((place, *[row[a] or 0.0 for a in arms]))
+    if len(held) > FEW_ROWS or max(map(len, asked.values()), default=0) * len(arms) * TOGETHER > CELLS:
         return joined(docs)
-    matrices = {t: {a: np.zeros((len(v), len(q))) for a in arms} for t, (v, q) in trees.items()}
-    for row in held:
-        vocabulary, asked = trees[row["tree"]]
-        for a in arms:
-            matrices[row["tree"]][a][vocabulary[row["tok"]], asked[row["query_id"]]] += row[a] or 0.0
-    kinds, names = {a: k1 for a, (_, k1) in arms.items()}, list(arms)
-    kind = queries.schema["query_id"].dataType
     from pyspark.sql.pandas.types import to_arrow_type
 
-    id_type = to_arrow_type(kind)
+    id_type, kinds, names = to_arrow_type(kind), [k1 for _, k1 in arms.values()], list(arms)
+    lists = {}
+    for tree, by_token in posted.items():
+        sizes = np.array([len(rows) for rows in by_token.values()])
+        flat = np.array([row for rows in by_token.values() for row in rows], np.float64)
+        lists[tree] = ({t: k for k, t in enumerate(by_token)}, np.cumsum(sizes) - sizes, sizes, flat[:, 0].astype(np.int64), np.ascontiguousarray(flat[:, 1:].T))
 
     def scored(tree: str, rows: list[tuple[str, dict[str, int]]]) -> pa.RecordBatch:
-        vocabulary, asked = trees[tree]
-        tf = np.zeros((len(rows), len(vocabulary)))
-        for at, (_, found) in enumerate(rows):
-            for token, n in found.items():
-                if (place := vocabulary.get(token)) is not None:
-                    tf[at, place] = n
-        root = np.sqrt(np.array([max(len(found), 1) for _, found in rows]))[:, None]
-        sums = {a: (np.sign(tf) if k1 is None else tf / np.maximum(tf + k1, 1e-300)) @ matrices[tree][a] for a, k1 in kinds.items()}
-        shared = np.sign(tf) @ reduce(np.add, [np.sign(m) for m in matrices[tree].values()]) > 0
-        row, query = np.nonzero(shared)
-        ids = pa.array(list(asked), id_type).take(pa.array(query))
+        vocabulary, starts, sizes, owners, weight = lists[tree]
+        n = len(asked[tree])
+        found = [(at, vocabulary[t], tf) for at, (_, held) in enumerate(rows) for t, tf in held.items() if t in vocabulary]
+        at, token, tf = np.array(found, np.int64).reshape(-1, 3).T
+        times = sizes[token]
+        entry = np.repeat(starts[token] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+        cell, tf = np.repeat(at, times) * n + owners[entry], np.repeat(tf, times)
+        some, place = np.unique(cell, return_inverse=True)
+        row, query = some // max(n, 1), some % max(n, 1)
+        root = np.sqrt(np.array([max(len(held), 1) for _, held in rows]))[row]
+        scores = []
+        for k1, w in zip(kinds, weight):
+            v = np.bincount(place, w[entry] if k1 is None else w[entry] * tf / (tf + k1), len(some))
+            scores.append(pa.array(np.floor(v / root * 1e9 + 0.5) / 1e9, mask=v <= 0))
+        ids = pa.array(list(asked[tree]), id_type).take(pa.array(query))
         paths = pa.array([p for p, _ in rows], pa.string()).take(pa.array(row))
-        scores = [pa.array(np.floor((v / root)[row, query] * 1e9 + 0.5) / 1e9, mask=v[row, query] <= 0) for v in sums.values()]
         return pa.RecordBatch.from_arrays([ids, pa.array([tree] * len(row), pa.string()), paths, *scores], names=["query_id", "tree", "path", *names])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heaps = Heaps(["query_id"], k) if k else None
-        for batch in all_scored(batches):
-            if heaps is None:
-                yield batch
-            elif (early := heaps.add(batch)) is not None:
-                yield from early.combine_chunks().to_batches()
-        if heaps is not None and heaps.held:
-            yield from heaps.cut()[0].combine_chunks().to_batches()
-
     def all_scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_rows: dict[str, list] = {}
         for batch in batches:
             for tree, path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                if tree in trees:
+                if tree in lists:
                     rows = open_rows.setdefault(tree, [])
                     rows.append((path, counted(text.as_py())))
                     if len(rows) == TOGETHER:
@@ -165,6 +235,11 @@ def score_arms(queries: DataFrame, docs: DataFrame, weights: DataFrame, arms: di
         for tree, rows in open_rows.items():
             yield scored(tree, rows)
 
-    single, again = once(docs.select("tree", "path", "text"), "tree", "path")
-    out = single.mapInArrow(run, f"query_id {kind.simpleString()}, tree string, path string, " + ", ".join(f"`{a}` double" for a in names))
+    single, again = parts or once(docs.select("tree", "path", "text"), "tree", "path")
+    single = single.select("tree", "path", "text")
+    if fold is None:
+        out = single.mapInArrow(all_scored, schema)
+    else:
+        make, rows = fold
+        out = single.mapInArrow(lambda batches: folded(make, all_scored(batches)), rows)
     return out if again is None else out.unionByName(joined(again))

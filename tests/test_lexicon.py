@@ -53,3 +53,21 @@ def test_scores_equal_join(spark, docs, monkeypatch, limit):
 def test_no_token_of_a_text_is_shuffled(spark, name):
     plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_extract_all" not in plan and "Generate" not in plan
+
+
+@pytest.mark.parametrize("few", [2, 50_000])
+def test_frequencies_of_queries_tokens_alone(spark, docs, monkeypatch, few):
+    monkeypatch.setattr(lexicon, "FEW_ROWS", few)
+    q = spark.createDataFrame([(t, w) for t in "tuv" for w in "delta alpha header beta snake_case_name self 1234 zzzz alphabeta alphabeta total".split()], "tree string, tok string")
+    cand = rt.token_table(docs, tokens.occurrences(F.col("text")), "tree", "path")
+    want = rt.idf(cand, docs).join(q.distinct(), ["tree", "tok"], "left_semi")
+    assert rows(lexicon.idf(docs, q)) == rows(want) and want.count() > 8
+
+
+def test_ranking_counts_and_scores_no_more_than_queries_ask(spark, monkeypatch):
+    """Frequencies are counted of the passages' tokens alone, and no matrix of all tokens and queries is multiplied."""
+    def refuse(*_, **__):
+        raise AssertionError("all tokens counted")
+
+    monkeypatch.setattr(lexicon, "counts", refuse)
+    assert QUERIES["rank_lexical_ablated"](spark, "/root/testdata/sf0.001").limit(1).count() == 1
