@@ -70,10 +70,11 @@ def head_pairs(base: DataFrame, queries: DataFrame, code: DataFrame, top_n: int
     if evidence is not None:
         words = evidence.groupBy("query_id").agg(F.collect_set("tok").alias("words"))
         docs = docs.join(words, "query_id", "left").withColumn("text", texts.redact(F.col("text"), F.coalesce("words", F.array().cast("array<string>")))).drop("words")
-    head = base.where(F.col("rank") <= top_n).select("query_id", "path").join(queries.select("query_id", "tree"), "query_id")
+    # the head is read twice, and a ranking may be dear; without a look at its size, all texts would be shuffled to meet it
+    head = written(base.where(F.col("rank") <= top_n).select("query_id", "path").join(queries.select("query_id", "tree"), "query_id"), "head")
     q = written(windows(docs.select("query_id", "text"), "q", size, overlap), "q")
     # a file that stands in many heads is cut once
-    p = written(windows(code.join(head.select("tree", "path").distinct(), ["tree", "path"], "left_semi").select("tree", "path", "text"), "p", size, overlap), "p")
+    p = written(windows(code.join(rt.small(head.select("tree", "path").distinct()), ["tree", "path"], "left_semi").select("tree", "path", "text"), "p", size, overlap), "p")
     pairs = head.join(p.select("tree", "path", "p"), ["tree", "path"]).join(q.select("query_id", "q"), "query_id")
     return written(pairs.select("query_id", "path", "q", "p"), "pairs"), q, p
 

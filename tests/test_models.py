@@ -367,3 +367,22 @@ def test_ranks_of_scored_and_unscored_candidates(spark):
                 want[arm, q, p] = order.index(p) + 1
     got = rt.ranks_with_tail(spark.createDataFrame(scores, "arm string, query_id int, path string, score double"), spark.createDataFrame(relevant, "arm string, query_id int, tree string, path string"), spark.createDataFrame(pool, "tree string, path string"))
     assert {(r["arm"], r["query_id"], r["path"]): r["rank"] for r in got.collect()} == want
+
+
+def test_heads_are_ranked_once(spark, tmp_path):
+    """The ranking behind the heads is computed once, however often the heads are read."""
+    seen = str(tmp_path)
+
+    def dear(batches):
+        import uuid
+
+        open(f"{seen}/{uuid.uuid4().hex}", "w").close()
+        yield from batches
+
+    base = spark.createDataFrame([(1, "p", 1), (2, "r", 1), (2, "p", 30)], "query_id long, path string, rank long").coalesce(1).mapInArrow(dear, "query_id long, path string, rank long")
+    queries = spark.createDataFrame([(1, "t", "one"), (2, "t", "two")], "query_id long, tree string, text string")
+    code = spark.createDataFrame([("t", p, p * 3) for p in "pqrs"], "tree string, path string, text string")
+    found, _, p = pairs.head_pairs(base, queries, code)
+    assert sorted((r["query_id"], r["path"]) for r in found.collect()) == [(1, "p"), (2, "r")]
+    assert sorted(r["path"] for r in p.collect()) == ["p", "r"]
+    assert len(os.listdir(seen)) == 1
