@@ -61,7 +61,7 @@ class Before:
 
 def first_ranks(
     queries: DataFrame, docs: DataFrame, weights: DataFrame, arms: dict[str, tuple[Column, float | None]], relevant: DataFrame, first: int,
-    parts: tuple[DataFrame, DataFrame | None] | None = None,
+    parts: lexicon.Parts | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """The ranks (arm, query_id, path, rank) of the ``first`` best of ``relevant(query_id, path)`` in each ranking, and (arm, query_id) of the rankings.
 
@@ -71,10 +71,10 @@ def first_ranks(
     from pyspark.sql.pandas.types import to_arrow_type
 
     rel = relevant.select("query_id", "path").distinct()
-    single, again = parts = parts or lexicon.once(docs.select("tree", "path", "text"), "tree", "path")
+    parts = parts or lexicon.once(docs.select("tree", "path", "text"), "tree", "path")
     wanted = rt.small(rel.select("path").distinct())
     near = lambda some: None if some is None else some.join(wanted, "path", "left_semi")
-    scores = lexicon.score_arms(queries, near(docs), weights, arms, parts=(near(single), near(again)))
+    scores = lexicon.score_arms(queries, near(docs), weights, arms, parts=parts._replace(single=near(parts.single), again=near(parts.again), found=near(parts.found)))
     own = top_k(rt.long(scores, list(arms)).join(rt.small(rel), ["query_id", "path"]), first, "arm", "query_id").cache()
     held, asked = own.limit(FEW_ROWS + 1).collect(), rel.select("query_id").distinct().limit(FEW_ROWS + 1).collect()
     if max(len(held), len(asked)) > FEW_ROWS:

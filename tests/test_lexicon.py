@@ -71,3 +71,57 @@ def test_ranking_counts_and_scores_no_more_than_queries_ask(spark, monkeypatch):
 
     monkeypatch.setattr(lexicon, "counts", refuse)
     assert QUERIES["rank_lexical_ablated"](spark, "/root/testdata/sf0.001").limit(1).count() == 1
+
+
+ODD = ["12abcD", "12", "1_a", "A123", "the", "The", "____", "___1", "é", "x" * 50, "HTTPServer", "a1_b2_cdef", "été4lives_on"]
+
+
+@pytest.mark.parametrize("cut", [1, 40, 1 << 20])
+def test_tally_of_texts_laid_end_to_end(monkeypatch, cut):
+    """Tokens of many texts at once equal those of each text; no word goes on from one text to the next."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(lexicon, "CUT_BYTES", cut)
+    rng = random.Random(cut)
+    texts = [None, "", "alpha", "Beta", None] + [None if rng.random() < 0.1 else rng.choice(["", " ", "-", "é"]).join(rng.choices(WORDS + ODD, k=rng.randint(0, 12))) for _ in range(300)]
+    got: list[dict] = []
+    for part in lexicon.cuts(pa.RecordBatch.from_arrays([pa.array(["no"] + texts)], names=["text"]).slice(1), 0):
+        tally = lexicon.tallied(part.column(0))
+        here: list[dict] = [{} for _ in range(part.num_rows)]
+        for text, token, n in zip(tally.text.tolist(), tally.token.tolist(), tally.n.tolist()):
+            here[text][tally.tokens[token].as_py()] = n
+        assert [len(x) for x in here] == tally.sizes.tolist()
+        got += here
+    assert got == [lexicon.counted(t) for t in texts]
+
+
+def test_one_reading_serves_passages_frequencies_and_scores(spark, docs):
+    """Passages with and without a whole word, in rows whose key repeats, too; frequencies and scores are those of separate readings."""
+    asked = [(1, "delta"), (2, "a delta b"), (3, ""), (4, None), (5, "é"), (6, " alphaBeta "), (7, " delta delt"), (8, "ab alphabeta"), (9, "x"), (10, "ser self d"), (11, " alphaBeta ")]
+    passages = spark.createDataFrame(asked, "query_id int, text string")
+    more = docs.unionByName(spark.createDataFrame([("t", "q1", "x a delta b"), ("t", "q2", "a delta bé"), ("t", "q3", "ab alphabeta9"), ("u", "q4", ""), ("u", "q5", "user self dial")], docs.schema))
+    q = spark.createDataFrame([(k, "t", w) for k in (1, 2) for w in "delta alpha alphabeta header".split()], "query_id int, tree string, tok string")
+    parts = lexicon.once(more, "tree", "path", queries=q, passages=passages)
+    want = [(i, r["path"]) for r in more.collect() for i, p in asked if p is not None and r["text"] is not None and p in r["text"]]
+    assert rows(parts.holders) == sorted(want, key=repr) and {i for i, _ in want} >= {1, 2, 3, 5, 6, 7, 8, 9, 10, 11}
+    weights = lexicon.idf(more, q, parts)
+    assert rows(weights) == rows(lexicon.idf(more, q)) and weights.count() > 2
+    scores = lexicon.score_arms(q, more, weights, {"score": lexicon.arm()}, parts=parts)
+    assert rows(scores) == rows(lexicon.score_arms(q, more, weights, {"score": lexicon.arm()}))
+    assert "text" not in parts.found.columns and "InMemoryRelation" in scores._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["oracle_rank", "context_topk"])
+def test_texts_are_read_once(spark, monkeypatch, name):
+    from plumbline.operators import passages
+
+    calls = []
+    read = lexicon.asked_of
+
+    def refuse(*_, **__):
+        raise AssertionError("texts read for passages alone")
+
+    monkeypatch.setattr(passages, "holders", refuse)
+    monkeypatch.setattr(lexicon, "asked_of", lambda *args: calls.append(1) or read(*args))
+    assert QUERIES[name](spark, "/root/testdata/sf0.001").count() >= 1
+    assert calls == [1]
